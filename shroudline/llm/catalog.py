@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op8_packing
+from .pii import op1_pii
 from .simhash import op7_simhash
 from .substrings import op9_substrings
 from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op4_toxicity": op4_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
     "op9_substrings": op9_substrings,
 }
 

@@ -63,3 +63,10 @@ def map_text(df: DataFrame, text_col: str, schema: str, make: Callable[[], Calla
 def texts(batch: pa.RecordBatch, text_col: str = "text") -> list[str]:
     """The texts as str; null counts as empty."""
     return [x or "" for x in batch.column(text_col).to_pylist()]
+
+
+def recount(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the column of text lengths, if there is one, set to the texts' lengths; null for null texts."""
+    if count_col not in docs.columns:
+        return docs
+    return docs.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))
