@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op10_language
 from .packing import op8_packing
+from .pieces import op6_sentencepiece
 from .pii import op1_pii
+from .quality import op5_quality
 from .simhash import op7_simhash
 from .substrings import op9_substrings
 from .toxicity import op4_toxicity
@@ -15,9 +18,12 @@ from .toxicity import op4_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_substrings": op9_substrings,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
