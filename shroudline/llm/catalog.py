@@ -11,12 +11,14 @@ from .packing import op8_packing
 from .pieces import op6_sentencepiece
 from .pii import op1_pii
 from .quality import op5_quality
+from .rollups import OP2_SQL, op2_rollups
 from .simhash import op7_simhash
 from .substrings import op9_substrings
 from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_rollups": op2_rollups,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
@@ -26,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_rollups": OP2_SQL}
