@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chroma import op3_chroma
 from .language import op10_language
 from .packing import op8_packing
 from .pieces import op6_sentencepiece
@@ -19,6 +20,7 @@ from .toxicity import op4_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_rollups": op2_rollups,
+    "op3_chroma": op3_chroma,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
