@@ -1,6 +1,610 @@
-"""The library's queries and their SQL."""
+"""The library's queries over the driver's tables, and the SQL that gives the same rows.
+
+Tables that the data lack (model calls, backups, audit logs, rectangles) are derived from the
+texts by plain expressions, the same in both languages.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as tx
+from .operators import backups, costs, planning, providers, redaction, replay, rules, selection
+from .operators import findings as fnd
+from .plans import run as plan
+from .sources import audit, corpus, pricing, rulepacks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+PACK = rulepacks.load("pii")
+
+
+def query(sql: str | None = None, ctes: tuple[str, ...] = ()):
+    """Register a query under its function's name, with SQL that stands on some of the CTES."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = ("WITH " + ",\n".join(CTES[c] for c in ctes) + "\n" if ctes else "") + sql
+        return f
+
+    return add
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """Integers as 64-bit ones, as SQL engines give them."""
+    return df.select([F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes])
+
+
+def _finding_cte(name: str, pattern: str, kind: str, confidence: str, order: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""{name} AS (
+  SELECT doc_id, page, {order} AS ord, i - 1 AS nth, '{kind}' AS kind, '{confidence}' AS confidence,
+         len(substr(ptext, 1, o)) - len(replace(substr(ptext, 1, o), ' ', '')) AS word_start,
+         len(substr(ptext, 1, o + len(m[i]) - 1)) - len(replace(substr(ptext, 1, o + len(m[i]) - 1), ' ', '')) AS word_end
+  FROM (
+    SELECT doc_id, page, ptext, m, i,
+           CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: len(x))), 0) AS BIGINT) AS o
+    FROM (SELECT doc_id, page, ptext, m, g, unnest(range(1, len(m) + 1)) AS i
+          FROM (SELECT doc_id, page, ptext, regexp_extract_all(ptext, '{p}') AS m, string_split_regex(ptext, '{p}') AS g FROM pg))))"""
+
+
+_REGEX = [c for c in PACK.categories if c.detection == "regex"]
+
+CTES = {
+    "words": r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_id FROM documents),
+toks AS (SELECT doc_id, block_id, unnest(l) AS text, generate_subscripts(l, 1) AS pos
+         FROM (SELECT doc_id, block_id, list_filter(string_split_regex(line, '[ \t\f\r]+'), lambda x: x <> '') AS l FROM lines)),
+words AS (SELECT doc_id, n // 400 + 1 AS page, n % 400 AS idx, text, block_id
+          FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_id, pos) - 1 AS n FROM toks))""",
+    "pg": """pg AS (SELECT doc_id, page, count(*) AS n, list(text ORDER BY idx) AS ws, string_agg(text, ' ' ORDER BY idx) AS ptext FROM words GROUP BY doc_id, page)""",
+    "found": ",\n".join(_finding_cte(f"f{i}", c.pattern, c.id, c.confidence, i) for i, c in enumerate(_REGEX))
+    + ",\nfound AS ("
+    + " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(len(_REGEX)))
+    + ")",
+    "calls": """calls AS (
+  SELECT conv_id AS doc_id, turn AS batch_idx, 'hosted' AS provider, CASE WHEN role = 'user' THEN 'large' ELSE 'small' END AS model,
+         length(text) AS tokens_in, length(text) % 97 AS tokens_out, CASE WHEN turn = 0 THEN 1180 ELSE 0 END AS cache_creation_input_tokens,
+         CASE WHEN turn > 0 THEN 1180 ELSE 0 END AS cache_read_input_tokens, length(text) * 3 % 5000 AS duration_ms
+  FROM conversations)""",
+    "rates": "rates(provider, model, inp, outp, cw, cr) AS (VALUES ('hosted', 'large', 15.0::DOUBLE, 75.0::DOUBLE, 1.25::DOUBLE, 0.1::DOUBLE), ('hosted', 'medium', 3.0, 15.0, 1.25, 0.1), ('hosted', 'small', 1.0, 5.0, 1.25, 0.1), ('local', '*', 0.0, 0.0, 0.0, 0.0))",
+    "log": """log AS (SELECT CAST(doc_id AS VARCHAR) AS session_key, row_number() OVER (PARTITION BY doc_id ORDER BY ord, page, nth) - 1 AS ordinal, page, word_start, word_end, kind, confidence FROM found)""",
+    "masked": """masked AS (SELECT w.*, EXISTS (SELECT 1 FROM found f WHERE f.doc_id = w.doc_id AND f.page = w.page AND w.idx BETWEEN f.word_start AND f.word_end) AS hit FROM words w)""",
+    "backups": """backups AS (
+  SELECT strftime(TIMESTAMP '2026-01-01 00:00:00' + INTERVAL 1 MINUTE * doc_id * 37, '%Y-%m-%dT%H-%M-%SZ') || '-' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 6) AS session_dir,
+         TIMESTAMP '2026-01-01 00:00:00' + INTERVAL 1 MINUTE * doc_id * 37 AS ts, source AS original_path, 'copy/' || doc_id AS copy_path FROM documents)""",
+}
+
+BASE = ("words", "pg", "found")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.from_documents(spark, sf_dir)
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.regex_findings(_pages(spark, sf_dir), PACK)
+
+
+# ---- sources ----
+
+
+@query("SELECT doc_id, page, idx, text, block_id, idx * 40.0::DOUBLE AS x0, block_id * 12.0::DOUBLE AS y0, (idx * 40 + length(text) * 5)::DOUBLE AS x1, (block_id * 12 + 9)::DOUBLE AS y1 FROM words", ("words",))
+def word_index(spark, sf_dir):
+    """Every word of every document: page, index, block and box."""
+    return longs(corpus.explode_words(_pages(spark, sf_dir)))
+
+
+@query("SELECT doc_id, page, n AS n_words, length(ptext) AS n_chars, sha256(ptext) AS text_sha256 FROM pg", ("words", "pg"))
+def page_texts(spark, sf_dir):
+    text = corpus.page_text(F.col("words"))
+    return longs(_pages(spark, sf_dir).select("doc_id", "page", F.size("words").alias("n_words"), F.length(text).alias("n_chars"), F.sha2(text, 256).alias("text_sha256")))
+
+
+@query("SELECT doc_id, CAST(count(DISTINCT page) AS BIGINT) AS total_pages, CAST(count(*) AS BIGINT) AS total_words FROM words GROUP BY doc_id", ("words",))
+def document_sizes(spark, sf_dir):
+    return longs(corpus.documents_dim(_pages(spark, sf_dir)))
+
+
+@query(r"""SELECT conv_id AS doc_id, turn + 1 AS page, len(l) AS n_words, sha256(array_to_string(l, ' ')) AS text_sha256
+FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \t\f\r\n]+'), lambda x: x <> '') AS l FROM conversations) WHERE len(l) > 0""")
+def conversation_pages(spark, sf_dir):
+    pages = corpus.from_conversations(spark, sf_dir)
+    return longs(pages.select("doc_id", "page", F.size("words").alias("n_words"), F.sha2(corpus.page_text(F.col("words")), 256).alias("text_sha256")))
+
+
+@query(r"""SELECT page_id AS doc_id, len(l) AS n_words, sha256(array_to_string(l, ' ')) AS text_sha256
+FROM (SELECT page_id, list_filter(string_split_regex(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\f\r\n]+'), lambda x: x <> '') AS l FROM pages) WHERE len(l) > 0""")
+def web_page_words(spark, sf_dir):
+    pages = corpus.from_web_pages(spark, sf_dir)
+    return longs(pages.select("doc_id", F.size("words").alias("n_words"), F.sha2(corpus.page_text(F.col("words")), 256).alias("text_sha256")))
+
+
+@query("SELECT * FROM (VALUES ('pii-en', 4::BIGINT, 'person_name', 'medium'), ('pii-en', 5, 'street_address', 'medium')) t(rule_set, ord, id, confidence)")
+def model_categories(spark, sf_dir):
+    return longs(rules.model_categories(rulepacks.as_table(spark, PACK)).select("rule_set", "ord", "id", "confidence"))
+
+
+# ---- findings ----
+
+
+def _findings_of(kind: str):
+    i = [c.id for c in _REGEX].index(kind)
+    cte = _finding_cte("found", _REGEX[i].pattern, kind, _REGEX[i].confidence, i)
+    CTES[f"found_{kind}"] = cte
+    only = rulepacks.RulePack(PACK.name, PACK.display_name, PACK.description, PACK.version, (_REGEX[i],))
+
+    def run(spark, sf_dir):
+        return longs(rules.regex_findings(_pages(spark, sf_dir), only).select("doc_id", "page", "word_start", "word_end"))
+
+    run.__name__ = f"findings_{kind}"
+    query("SELECT doc_id, page, word_start, word_end FROM found", ("words", "pg", f"found_{kind}"))(run)
+
+
+for _kind in ("email", "phone_us", "ssn_us", "iban"):
+    _findings_of(_kind)
+
+
+@query("SELECT doc_id, page, word_start, word_end, kind, confidence, 'rules:pii-en' AS source FROM found", BASE)
+def findings_all_rules(spark, sf_dir):
+    return longs(_found(spark, sf_dir).drop("seq"))
+
+
+@query("SELECT kind, confidence, count(*) AS n_findings, count(DISTINCT doc_id) AS n_documents FROM found GROUP BY kind, confidence", BASE)
+def findings_by_kind(spark, sf_dir):
+    return _found(spark, sf_dir).groupBy("kind", "confidence").agg(F.count("*").alias("n_findings"), F.count_distinct("doc_id").alias("n_documents"))
+
+
+@query("""SELECT f.doc_id, f.page, word_start, word_end, kind, array_to_string(ws[word_start+1:word_end+1], ' ') AS text,
+sha256(array_to_string(ws[word_start+1:word_end+1], ' ')) AS text_sha256, sha256(array_to_string(ws[greatest(word_start-16,0)+1:least(n, word_end+17)], ' ')) AS context_sha256
+FROM found f JOIN pg USING (doc_id, page)""", BASE)
+def finding_texts(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    rows = fnd.with_words(rules.regex_findings(pages, PACK), pages)
+    text = fnd.text_of(fnd.covered())
+    return longs(rows.select("doc_id", "page", "word_start", "word_end", "kind", text.alias("text"), F.sha2(text, 256).alias("text_sha256"), F.sha2(fnd.context(), 256).alias("context_sha256")))
+
+
+@query("""SELECT f.doc_id, f.page, f.word_start, f.word_end, f.kind, min(w.idx * 40.0::DOUBLE) AS x0, min(w.block_id * 12.0::DOUBLE) - 1.5::DOUBLE AS y0,
+max((w.idx * 40 + length(w.text) * 5)::DOUBLE) AS x1, max((w.block_id * 12 + 9)::DOUBLE) + 1.5::DOUBLE AS y1
+FROM found f JOIN words w ON f.doc_id = w.doc_id AND f.page = w.page AND w.idx BETWEEN f.word_start AND f.word_end
+GROUP BY f.doc_id, f.page, f.word_start, f.word_end, f.kind, f.nth""", BASE)
+def finding_boxes(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    rows = fnd.with_words(rules.regex_findings(pages, PACK), pages)
+    return longs(rows.select("doc_id", "page", "word_start", "word_end", "kind", fnd.finding_box().alias("b")).select("doc_id", "page", "word_start", "word_end", "kind", "b.*"))
+
+
+_TWICE = """twice AS (SELECT doc_id, page, word_start, word_end, kind, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY ord, page, nth) AS seq FROM found
+UNION ALL SELECT doc_id, page, word_start, word_end, kind, CASE WHEN kind = 'email' THEN 'low' ELSE 'high' END, 1000000 + row_number() OVER (PARTITION BY doc_id ORDER BY ord, page, nth) FROM found)"""
+CTES["twice"] = _TWICE
+
+
+@query("""SELECT doc_id, page, word_start, word_end, kind, confidence, first_seq AS seq FROM (
+SELECT *, row_number() OVER (PARTITION BY doc_id, page, word_start, word_end, kind ORDER BY CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, seq) AS rn,
+min(seq) OVER (PARTITION BY doc_id, page, word_start, word_end, kind) AS first_seq FROM twice) WHERE rn = 1""", (*BASE, "twice"))
+def dedupe_findings(spark, sf_dir):
+    """The findings twice, with other confidences the second time, deduplicated."""
+    first = fnd.best_position(_found(spark, sf_dir)).withColumn("seq", (F.col("ordinal") + 1).cast("long")).drop("ordinal")
+    again = first.withColumns({"confidence": F.when(F.col("kind") == "email", "low").otherwise("high"), "seq": F.col("seq") + 1000000})
+    return longs(fnd.dedupe(first.unionByName(again)).drop("source"))
+
+
+@query("SELECT doc_id, page, word_start + 350 * (page % 2) AS word_start, word_end + 350 * (page % 2) AS word_end, kind FROM found", BASE)
+def translate_indices(spark, sf_dir):
+    """Findings of odd pages as if they came from a slice that begins at word 350."""
+    rows = _found(spark, sf_dir).withColumn("slice_start", F.when(F.col("page") % 2 == 1, 350))
+    return longs(fnd.translate(rows).select("doc_id", "page", "word_start", "word_end", "kind"))
+
+
+@query("""SELECT doc_id, page, 0::BIGINT AS word_start, least(n - 1, doc_id % 7) AS word_end, 'person_name' AS kind, CASE doc_id % 3 WHEN 0 THEN 'high' ELSE 'medium' END AS confidence
+FROM pg WHERE page = 1 AND (doc_id % 7) < n""", ("words", "pg"))
+def payload_parse(spark, sf_dir):
+    """One valid item of three in a made-up answer for each document: the others name an unknown page and lack a field."""
+    pages = _pages(spark, sf_dir)
+    sizes = pages.select("doc_id", "page", F.size("words").alias("n_words"))
+    conf = F.when(F.col("doc_id") % 3 == 0, '"high"').when(F.col("doc_id") % 3 == 1, '"sure"').otherwise("null")
+    payload = F.format_string(
+        '{"findings": [{"page": 1, "start": "0", "end": %d.5, "kind": "person_name", "confidence": %s}, {"page": 9999, "start": 0, "end": 0, "kind": "x"}, {"page": 1, "end": 2, "kind": "x"}]}',
+        F.col("doc_id") % 7, conf,
+    )
+    answers = pages.select("doc_id").distinct().select("doc_id", payload.alias("payload"))
+    return longs(fnd.parse_payloads(answers, sizes, F.lit("llm")).drop("seq", "source"))
+
+
+# ---- selections ----
+
+
+@query("SELECT doc_id, page, n AS n_words FROM pg WHERE page IN (1, 3, 4, 5)", ("words", "pg"))
+def selected_pages(spark, sf_dir):
+    return longs(selection.select_pages(_pages(spark, sf_dir), "1, 3-5").select("doc_id", "page", F.size("words").alias("n_words")))
+
+
+CTES["spec"] = """spec AS (SELECT doc_id, total, list_sort(list_distinct([1, 2, 3] || range(2 + doc_id % 4, 7) || [9])) AS ps FROM (SELECT doc_id, max(page) AS total FROM words GROUP BY doc_id))"""
+_RANGES = """SELECT doc_id, {name} FROM (SELECT doc_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS {name} FROM (
+SELECT doc_id, min(p) AS a, max(p) AS b FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, unnest(ps) AS p, total FROM spec) {where}) GROUP BY doc_id, g) GROUP BY doc_id)"""
+
+
+def _specs(spark, sf_dir) -> DataFrame:
+    dim = corpus.documents_dim(_pages(spark, sf_dir))
+    return dim.select("doc_id", "total_pages", F.format_string("1-3, %d-6,9", 2 + F.col("doc_id") % 4).alias("spec"))
+
+
+@query(_RANGES.format(name="ranges", where=""), ("words", "spec"))
+def compact_page_ranges(spark, sf_dir):
+    return _specs(spark, sf_dir).select("doc_id", tx.page_ranges(selection.expand(F.col("spec"))).alias("ranges"))
+
+
+@query(_RANGES.format(name="bad_pages", where="WHERE p > total"), ("words", "spec"))
+def out_of_range_pages(spark, sf_dir):
+    specs = _specs(spark, sf_dir)
+    return selection.out_of_range(specs.select("doc_id", "spec"), specs.select("doc_id", "total_pages"))
+
+
+@query("SELECT doc_id, page, idx - n // 4 AS idx, text FROM words JOIN (SELECT doc_id, page, n FROM pg) USING (doc_id, page) WHERE idx >= n // 4 AND idx < n // 2", ("words", "pg"))
+def slice_pages(spark, sf_dir):
+    """The second quarter of each page, numbered anew."""
+    n = F.size("words")
+    part = selection.slice_words(F.col("words"), F.floor(n / 4).cast("int"), F.floor(n / 2).cast("int"))
+    return longs(corpus.explode_words(_pages(spark, sf_dir).select("doc_id", "page", part.alias("words"))).select("doc_id", "page", "idx", "text"))
+
+
+# ---- prompts and costs ----
+
+CTES["flat"] = """flat AS (SELECT doc_id, page, '<page n="' || page || '">' || chr(10) || string_agg('[' || idx || ']' || text, ' ' ORDER BY idx) || chr(10) || '</page>' AS s FROM words GROUP BY doc_id, page)"""
+CTES["prompts"] = """prompts AS (SELECT doc_id, 'Categories: person_name, street_address' || chr(10) || chr(10) || 'Schema: json' || chr(10) || chr(10) || '<document>' || chr(10) || string_agg(s, chr(10) ORDER BY page) || chr(10) || '</document>' AS prompt FROM flat GROUP BY doc_id)"""
+
+
+@query("SELECT doc_id, page, length(s) AS n_chars, sha256(s) AS sha256 FROM flat", ("words", "flat"))
+def serialize_flat(spark, sf_dir):
+    s = tx.serialize_flat(F.col("page"), F.col("words"))
+    return longs(_pages(spark, sf_dir).select("doc_id", "page", F.length(s).alias("n_chars"), F.sha2(s, 256).alias("sha256")))
+
+
+@query("""SELECT doc_id, page, sha256('<page n="' || page || '">' || chr(10) || string_agg('<block id="' || block_id || '">' || inner_text || '</block>', chr(10) ORDER BY block_id) || chr(10) || '</page>') AS sha256, count(*) AS n_blocks
+FROM (SELECT doc_id, page, block_id, string_agg('[' || idx || ']' || text, ' ' ORDER BY idx) AS inner_text FROM words GROUP BY doc_id, page, block_id) GROUP BY doc_id, page""", ("words",))
+def serialize_blocks(spark, sf_dir):
+    s = tx.serialize_blocks(F.col("page"), F.col("words"))
+    return longs(_pages(spark, sf_dir).select("doc_id", "page", F.sha2(s, 256).alias("sha256"), F.size(tx.block_starts(F.col("words"))).alias("n_blocks")))
+
+
+@query("SELECT doc_id, CAST(sum(b) AS BIGINT) AS n_blocks FROM (SELECT doc_id, page, count(DISTINCT block_id) AS b FROM words GROUP BY doc_id, page) GROUP BY doc_id", ("words",))
+def layout_blocks(spark, sf_dir):
+    distinct = F.size(F.array_distinct(F.transform("words", lambda w: w["block_id"])))
+    return _pages(spark, sf_dir).groupBy("doc_id").agg(F.sum(distinct.cast("long")).alias("n_blocks"))
+
+
+def _prompts(spark, sf_dir) -> DataFrame:
+    parts = _pages(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", tx.serialize_flat(F.col("page"), F.col("words")).alias("s")))).alias("p"))
+    cats = F.array(*[F.lit(c.id) for c in PACK.categories if c.detection == "llm"])
+    prefix = tx.static_prefix(cats, F.array().cast("array<string>"), "json")
+    return parts.select("doc_id", F.concat(prefix, tx.document_block(F.transform("p", lambda x: x["s"]))).alias("prompt"))
+
+
+@query("SELECT doc_id, sha256(prompt) AS prompt_sha256 FROM prompts", ("words", "flat", "prompts"))
+def prompt_hashes(spark, sf_dir):
+    return _prompts(spark, sf_dir).select("doc_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@query("SELECT doc_id, length(prompt) // 4 + 500 AS tokens, (length(prompt) // 4 + 500) / 1e6 * 15.0::DOUBLE + (length(prompt) // 4 + 500) * 0.18::DOUBLE / 1e6 * 75.0::DOUBLE AS cost_usd FROM prompts", ("words", "flat", "prompts"))
+def cost_estimates(spark, sf_dir):
+    rows = _prompts(spark, sf_dir).select("doc_id", tx.count_tokens(F.col("prompt")).alias("tokens"), F.lit("hosted").alias("provider"), F.lit("large").alias("model"))
+    return pricing.with_rates(rows, pricing.sample(spark)).select("doc_id", "tokens", costs.estimate(F.col("tokens")).alias("cost_usd"))
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    n, turn = F.length("text").cast("long"), F.col("turn")
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        F.col("conv_id").alias("doc_id"), turn.alias("batch_idx"), F.lit("hosted").alias("provider"), F.when(F.col("role") == "user", "large").otherwise("small").alias("model"),
+        n.alias("tokens_in"), (n % 97).alias("tokens_out"), F.when(turn == 0, 1180).otherwise(0).cast("long").alias("cache_creation_input_tokens"),
+        F.when(turn > 0, 1180).otherwise(0).cast("long").alias("cache_read_input_tokens"), (n * 3 % 5000).alias("duration_ms"),
+    )
+
+
+CTES["spent"] = """spent AS (SELECT doc_id, c.model, sum(tokens_in) AS ti, sum(tokens_in) / 1e6 * any_value(inp) + sum(cache_creation_input_tokens) / 1e6 * any_value(inp) * any_value(cw) + sum(cache_read_input_tokens) / 1e6 * any_value(inp) * any_value(cr) + sum(tokens_out) / 1e6 * any_value(outp) AS cost_usd, any_value(inp) AS inp, any_value(outp) AS outp
+FROM calls c JOIN rates r ON c.provider = r.provider AND c.model = r.model GROUP BY doc_id, c.model)"""
+
+
+@query("SELECT doc_id, model, cost_usd FROM spent", ("calls", "rates", "spent"))
+def actual_costs(spark, sf_dir):
+    """Cost of the calls of each conversation by model, with cache multipliers."""
+    return costs.actual(pricing.with_rates(_calls(spark, sf_dir), pricing.sample(spark)), ["doc_id", "model"])
+
+
+@query("SELECT doc_id, model, cost_usd > 2.0 * (ti / 1e6 * inp + ti * 0.18::DOUBLE / 1e6 * outp) AS diverged FROM spent", ("calls", "rates", "spent"))
+def cost_divergence(spark, sf_dir):
+    calls = pricing.with_rates(_calls(spark, sf_dir), pricing.sample(spark))
+    estimated = calls.groupBy("doc_id", "model", "input_per_million", "output_per_million").agg(F.sum("tokens_in").alias("t")).select("doc_id", "model", costs.estimate(F.col("t")).alias("estimated"))
+    return costs.actual(calls, ["doc_id", "model"]).join(estimated, ["doc_id", "model"]).select("doc_id", "model", costs.diverged(F.col("cost_usd"), F.col("estimated")).alias("diverged"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'hosted' ELSE 'local' END AS provider, CASE WHEN doc_id % 2 = 0 THEN 'medium' ELSE 'any-' || doc_id % 5 END AS model,
+CASE WHEN doc_id % 2 = 0 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS input_per_million FROM documents""")
+def wildcard_rates(spark, sf_dir):
+    even = F.col("doc_id") % 2 == 0
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    calls = docs.select("doc_id", F.when(even, "hosted").otherwise("local").alias("provider"), F.when(even, "medium").otherwise(F.concat(F.lit("any-"), F.col("doc_id") % 5)).alias("model"))
+    return pricing.with_rates(calls, pricing.sample(spark)).select("doc_id", "provider", "model", "input_per_million")
+
+
+@query("""SELECT doc_id, batch_idx // 2 AS batch_idx, max(duration_ms) AS duration_ms, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
+CAST(sum(cache_creation_input_tokens) AS BIGINT) AS cache_creation_input_tokens, CAST(sum(cache_read_input_tokens) AS BIGINT) AS cache_read_input_tokens FROM calls GROUP BY doc_id, batch_idx // 2""", ("calls",))
+def batch_summary(spark, sf_dir):
+    return planning.batch_summaries(_calls(spark, sf_dir).withColumn("batch_idx", F.floor(F.col("batch_idx") / 2)))
+
+
+# ---- plans of calls ----
+
+
+@query("SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1) // 3 AS batch_idx FROM pg", ("words", "pg"))
+def page_batches(spark, sf_dir):
+    return longs(planning.batches(_pages(spark, sf_dir), 3))
+
+
+def _submissions(spark) -> DataFrame:
+    cats = rulepacks.as_table(spark, PACK).unionByName(spark.createDataFrame([("own", 6, "case_no", "case number", "llm", "low", None, "small")], rulepacks.as_table(spark, PACK).schema))
+    return planning.submissions(cats, spark.createDataFrame([(0, "names of judges"), (1, "dates of birth")], "ord int, text string"), "large")
+
+
+@query("""SELECT * FROM (VALUES (0::BIGINT, 'large', 'person_name,street_address', ''), (1, 'small', 'case_no', ''), (2, 'large', '', 'names of judges'), (3, 'large', '', 'dates of birth')) t(ord, model, category_ids, instructions)""")
+def submissions_by_model(spark, sf_dir):
+    return longs(_submissions(spark).select("ord", "model", F.array_join("category_ids", ",").alias("category_ids"), F.array_join("instructions", ",").alias("instructions")))
+
+
+_TREE = """WITH RECURSIVE sizes AS (SELECT doc_id, n_words FROM (SELECT doc_id, length(text) AS n_words FROM documents)),
+tree(doc_id, path, w0, w1, lvl) AS (
+  SELECT doc_id, '', 0::BIGINT, n_words, 0 FROM sizes
+  UNION ALL
+  SELECT doc_id, path || side, CASE side WHEN 'L' THEN w0 ELSE w1 - ((w1 - w0) // 2 + 50) END, CASE side WHEN 'L' THEN w0 + (w1 - w0) // 2 + 50 ELSE w1 END, lvl + 1
+  FROM tree, (VALUES ('L'), ('R')) s(side) WHERE w1 - w0 > 100 AND lvl < 4)
+SELECT doc_id, path, w0, w1 FROM tree"""
+
+
+@query(_TREE)
+def halve_tree(spark, sf_dir):
+    """Halves down to four levels of ranges as long as the documents' texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = docs.select("doc_id", F.lit("").alias("path"), F.array(F.lit(1)).alias("pages"), F.lit(0).alias("w0"), F.length("text").cast("int").alias("w1"))
+    return longs(planning.halve_tree(items, 4).select("doc_id", "path", "w0", "w1"))
+
+
+@query("SELECT source, CAST(backoff AS DOUBLE) AS backoff, k AS attempt, backoff * pow(2.0, k) AS delay FROM (SELECT source, backoff, unnest(range(0, tries)) AS k FROM (SELECT source, count(*) % 5 AS tries, (count(*) % 3 + 1)::DOUBLE AS backoff FROM documents GROUP BY source))")
+def retry_schedule(spark, sf_dir):
+    by = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg((F.count("*") % 5).alias("tries"), (F.count("*") % 3 + 1).cast("double").alias("backoff"))
+    return longs(by.select("source", "backoff", F.posexplode(tx.retry_delays(F.col("tries"), F.col("backoff"), F.lit(2.0))).alias("attempt", "delay")))
+
+
+@query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN 'flag' ELSE '' END, ''), CASE WHEN doc_id % 4 = 0 THEN lang END, nullif(CASE WHEN doc_id % 5 = 0 THEN source ELSE '' END, ''), 'default') AS setting FROM documents")
+def config_precedence(spark, sf_dir):
+    k = F.col("doc_id")
+    layers = (F.when(k % 3 == 0, "flag").otherwise(""), F.when(k % 4 == 0, F.col("lang")), F.when(k % 5 == 0, F.col("source")).otherwise(""), F.lit("default"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tx.first_set(*layers).alias("setting"))
+
+
+@query(r"""SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 2 THEN trim('```' || text, E' \n') ELSE trim(text, E' \n') END) AS sha256 FROM documents""")
+def strip_code_fences(spark, sf_dir):
+    """Texts in a fence with a language, bare, or with a fence that isn't closed."""
+    k, t = F.col("doc_id") % 3, F.col("text")
+    plain = F.regexp_replace(t, r"^\s+|\s+$", "")
+    fenced = F.when(k == 0, F.concat(F.lit("  ```json\n"), plain, F.lit("\n```\n"))).when(k == 1, t).otherwise(F.concat(F.lit("```"), t))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(tx.strip_code_fence(fenced), 256).alias("sha256"))
+
+
+@query(r"""SELECT doc_id, n - 1 AS nth, rule FROM (SELECT doc_id, unnest(rules) AS rule, generate_subscripts(rules, 1) AS n FROM (SELECT doc_id, CASE doc_id % 4
+WHEN 0 THEN ['1. ' || lang, '3. ' || source] WHEN 1 THEN ['- ' || lang, '* ' || source] WHEN 2 THEN [lang || ' names', source] ELSE [lang || ' 1. ' || source] END AS rules FROM documents))""")
+def instruction_split(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    text = (
+        F.when(k == 0, F.format_string("please:\n1. %s\n2. \n  3. %s\n", "lang", "source"))
+        .when(k == 1, F.format_string("- %s\n-  \n* %s\n", "lang", "source"))
+        .when(k == 2, F.format_string("%s names\n \n\n%s", "lang", "source"))
+        .otherwise(F.format_string("  %s 1. %s", "lang", "source"))
+    )
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(tx.split_instruction(text)).alias("nth", "rule"))
+    return longs(docs)
+
+
+# ---- redaction, verification, difference ----
+
+
+@query("SELECT doc_id, page, count(*) FILTER (NOT hit) AS n_words, coalesce(sha256(string_agg(text, ' ' ORDER BY idx) FILTER (NOT hit)), sha256('')) AS sha256 FROM masked GROUP BY doc_id, page", (*BASE, "masked"))
+def redacted_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    out = redaction.redact(pages, rules.regex_findings(pages, PACK))
+    return longs(out.select("doc_id", "page", F.size("words").alias("n_words"), F.sha2(corpus.page_text(F.col("words")), 256).alias("sha256")))
+
+
+@query("SELECT doc_id, page, sha256(string_agg(CASE WHEN hit THEN '█' ELSE text END, ' ' ORDER BY idx)) AS sha256 FROM masked GROUP BY doc_id, page", (*BASE, "masked"))
+def redacted_texts(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return longs(redaction.redacted_text(pages, rules.regex_findings(pages, PACK)).select("doc_id", "page", F.sha2("text", 256).alias("sha256")))
+
+
+@query("SELECT doc_id, page, idx, text FROM masked WHERE hit", (*BASE, "masked"))
+def diff_removed_words(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return longs(redaction.removed_words(pages, redaction.redact(pages, rules.regex_findings(pages, PACK))).select("doc_id", "page", "idx", "text"))
+
+
+@query("SELECT doc_id, page, count(*) FILTER (hit) AS n_removed, string_agg(text, ',' ORDER BY idx) FILTER (hit) AS removed FROM masked GROUP BY doc_id, page", (*BASE, "masked"))
+def diff_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    diff = redaction.page_diff(pages, redaction.redact(pages, rules.regex_findings(pages, PACK)))
+    return longs(diff.select("doc_id", "page", F.size("removed").alias("n_removed"), F.when(F.size("removed") > 0, F.array_join("removed", ",")).alias("removed")))
+
+
+@query("SELECT doc_id, page, 'page ' || page || ': ' || count(*) FILTER (hit) || ' removed' || coalesce(': ' || string_agg(text, ', ' ORDER BY idx) FILTER (hit), '') AS line FROM masked GROUP BY doc_id, page", (*BASE, "masked"))
+def diff_lines(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return longs(redaction.render_text(redaction.page_diff(pages, redaction.redact(pages, rules.regex_findings(pages, PACK)))))
+
+
+CTES["rects"] = """rects AS (SELECT doc_id, page, r.rect_id, 400.0::DOUBLE * r.rect_id AS x0, 0.0::DOUBLE AS y0, 400.0::DOUBLE * r.rect_id + 170 AS x1, CASE WHEN r.rect_id = 2 THEN 4.0::DOUBLE ELSE 9.5::DOUBLE END AS y1,
+CASE WHEN (doc_id + r.rect_id) % 3 = 0 THEN 0.9 ELSE 0.1 END AS shade FROM (SELECT DISTINCT doc_id, page FROM words), (VALUES (0), (1), (2)) r(rect_id))"""
+CTES["leaks"] = """leaks AS (SELECT r.doc_id, r.page, r.rect_id, string_agg(w.text, ' ' ORDER BY w.idx) AS recovered_text FROM rects r JOIN words w ON r.doc_id = w.doc_id AND r.page = w.page
+AND w.idx * 40 >= r.x0 - 1 AND w.block_id * 12 >= r.y0 - 1 AND w.idx * 40 + length(w.text) * 5 <= r.x1 + 1 AND w.block_id * 12 + 9 <= r.y1 + 1
+WHERE shade < 0.5 AND r.y1 - r.y0 >= 5 GROUP BY r.doc_id, r.page, r.rect_id HAVING regexp_matches(string_agg(w.text, ''), '[\\p{L}\\p{N}]'))""".replace("\\\\", "\\")
+
+
+def _rects(pages: DataFrame) -> DataFrame:
+    rows = pages.select("doc_id", "page", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("rect_id"))
+    shade = F.when((F.col("doc_id") + F.col("rect_id")) % 3 == 0, 0.9).otherwise(0.1)
+    return rows.select("doc_id", "page", "rect_id", (F.col("rect_id") * 400.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("rect_id") * 400.0 + 170).alias("x1"), F.when(F.col("rect_id") == 2, 4.0).otherwise(9.5).alias("y1"), F.array(shade, shade, shade).alias("fill"))
+
+
+@query("SELECT doc_id, page, CAST(rect_id AS BIGINT) AS rect_id, recovered_text FROM leaks", ("words", "rects", "leaks"))
+def overlay_leaks(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return longs(redaction.overlay_leaks(pages, _rects(pages)).select("doc_id", "page", "rect_id", "recovered_text"))
+
+
+CTES["meta"] = """meta AS (SELECT doc_id, 'author' AS field, source AS value FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'title', '  ' FROM documents UNION ALL SELECT doc_id, 'xmp', text FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'unknown', 'x' FROM documents)"""
+CTES["meta_leaks"] = """meta_leaks AS (SELECT doc_id, CASE WHEN field = 'xmp' THEN substr(trim(value), 1, 200) ELSE trim(value) END AS recovered_text, CASE WHEN field = 'xmp' THEN 'XMP metadata stream is non-empty' ELSE '/Author field contains ''' || trim(value) || '''' END AS detail FROM meta WHERE trim(value) <> '' AND field <> 'unknown')"""
+
+
+def _metadata(spark, sf_dir) -> DataFrame:
+    docs, k = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
+    fields = F.array(
+        F.struct(F.lit("author").alias("field"), F.when(k % 5 == 0, F.col("source")).alias("value")), F.struct(F.lit("title").alias("field"), F.lit("  ").alias("value")),
+        F.struct(F.lit("xmp").alias("field"), F.when(k % 7 == 0, F.col("text")).alias("value")), F.struct(F.lit("unknown").alias("field"), F.lit("x").alias("value")),
+    )
+    return docs.select("doc_id", F.inline(fields))
+
+
+@query("SELECT doc_id, recovered_text, detail FROM meta_leaks", ("meta", "meta_leaks"))
+def metadata_leaks(spark, sf_dir):
+    return redaction.metadata_leaks(_metadata(spark, sf_dir)).select("doc_id", "recovered_text", "detail")
+
+
+@query("""SELECT doc_id, o + m = 0 AS passed, o + m AS n_leaks, CASE WHEN o + m = 0 THEN 'no residual leaks' WHEN o = 0 THEN m || ' metadata' WHEN m = 0 THEN o || ' text_under_overlay' ELSE o || ' text_under_overlay, ' || m || ' metadata' END AS summary
+FROM (SELECT d.doc_id, (SELECT count(*) FROM leaks l WHERE l.doc_id = d.doc_id) AS o, (SELECT count(*) FROM meta_leaks l WHERE l.doc_id = d.doc_id) AS m FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM words))""", ("words", "rects", "leaks", "meta", "meta_leaks"))
+def verify_reports(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    docs = pages.select("doc_id").distinct()
+    leaks = redaction.overlay_leaks(pages, _rects(pages)).unionByName(redaction.metadata_leaks(_metadata(spark, sf_dir)).join(docs, "doc_id", "left_semi"))
+    return longs(redaction.reports(docs, leaks))
+
+
+# ---- audit, undo, backups ----
+
+
+@query("""SELECT f.doc_id, json_object('event', 'finding', 'ts', '1970-01-01T00:00:00Z', 'page', f.page, 'word_start', word_start, 'word_end', word_end, 'kind', kind, 'confidence', confidence, 'source', 'rules:pii-en',
+'text_length', length(t), 'text_sha256', sha256(t), 'context_sha256', sha256(c), 'decision', 'applied', 'reviewer', 'auto')::VARCHAR AS line
+FROM (SELECT f.*, array_to_string(ws[word_start+1:word_end+1], ' ') AS t, array_to_string(ws[greatest(word_start-16,0)+1:least(n, word_end+17)], ' ') AS c FROM found f JOIN pg USING (doc_id, page)) f""", BASE)
+def audit_lines(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    events = plan.run(pages, rules.regex_findings(pages, PACK)).events
+    return events.where("value LIKE '%\"event\":\"finding\"%'").select(F.col("session_id").alias("doc_id"), F.col("value").alias("line"))
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    """The audit lines of a run, parsed: events with a session_key and a line_no."""
+    pages = _pages(spark, sf_dir)
+    lines = plan.run(pages, rules.regex_findings(pages, PACK)).events
+    return audit.parse_lines(lines.select(F.col("session_id").cast("string").alias("session_key"), F.col("ord").alias("line_no"), "value"))
+
+
+@query("SELECT session_key, ordinal, page, word_start, word_end, kind, confidence FROM log", (*BASE, "log"))
+def replay_applied(spark, sf_dir):
+    return longs(replay.applied(_log(spark, sf_dir)).drop("source"))
+
+
+@query("SELECT session_key, ordinal FROM log WHERE (page IN (1, 2) AND kind = 'email') OR ordinal = 0", (*BASE, "log"))
+def exclusion_set(spark, sf_dir):
+    found = replay.applied(_log(spark, sf_dir))
+    return longs(replay.exclusions(found, pages=[1, 2], kind="email", picked=found.where("ordinal = 0")))
+
+
+@query("SELECT session_key, ordinal, kind FROM log WHERE NOT (page = 1 AND kind = 'phone_us')", (*BASE, "log"))
+def kept_findings(spark, sf_dir):
+    found = replay.applied(_log(spark, sf_dir))
+    return longs(replay.kept(found, replay.exclusions(found, page=1, kind="phone_us")).select("session_key", "ordinal", "kind"))
+
+
+@query("SELECT session_key, page, count(*) AS n_findings FROM log GROUP BY session_key, page", (*BASE, "log"))
+def picker_pages(spark, sf_dir):
+    return longs(replay.page_choices(replay.applied(_log(spark, sf_dir))))
+
+
+@query("SELECT session_key, ordinal FROM log WHERE page = 1", (*BASE, "log"))
+def picker_expanded(spark, sf_dir):
+    found = replay.applied(_log(spark, sf_dir))
+    return longs(replay.expand_pages(found, replay.page_choices(found).where("page = 1")))
+
+
+@query("""SELECT w.doc_id, w.page, count(*) AS n_words FROM words w WHERE w.doc_id IN (SELECT doc_id FROM found) AND NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = w.doc_id AND f.page = w.page AND f.kind <> 'email' AND w.idx BETWEEN f.word_start AND f.word_end) GROUP BY w.doc_id, w.page""", BASE)
+def undo_emails(spark, sf_dir):
+    """Pages after the emails are taken back from the redaction."""
+    out = plan.undo(_pages(spark, sf_dir), _log(spark, sf_dir), kind="email")
+    return longs(out.select("doc_id", "page", F.size("words").alias("n_words")).where("n_words > 0"))
+
+
+def _backups(spark, sf_dir) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ts = F.lit("2026-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(F.col("doc_id") * 37).cast("int"))
+    name = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH-mm-ss'Z'"), F.lit("-"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 6))
+    rows = docs.select(name.alias("session_dir"), F.col("source").alias("original_path"), F.concat(F.lit("copy/"), F.col("doc_id")).alias("copy_path"))
+    return rows.withColumn("ts", audit.backup_time(F.col("session_dir")))
+
+
+@query("SELECT original_path, max(session_dir) AS session_dir, arg_max(copy_path, session_dir) AS copy_path FROM backups GROUP BY original_path", ("backups",))
+def latest_backups(spark, sf_dir):
+    return backups.latest(_backups(spark, sf_dir))
+
+
+_NOW = "2026-01-20 00:00:00"
+
+
+@query(f"SELECT session_dir FROM backups WHERE epoch(ts) < epoch(TIMESTAMP '{_NOW}') - 240 * 3600", ("backups",))
+def expired_backups(spark, sf_dir):
+    return backups.expired(_backups(spark, sf_dir), 240, F.lit(_NOW).cast("timestamp")).select("session_dir")
+
+
+@query("SELECT session_dir, CAST(floor((epoch(TIMESTAMP '2027-01-01 00:00:00') - epoch(ts)) / 3600) AS BIGINT) || 'h ago' AS age FROM backups", ("backups",))
+def backup_ages(spark, sf_dir):
+    return _backups(spark, sf_dir).select("session_dir", backups.age_label(F.col("ts"), F.lit("2027-01-01 00:00:00").cast("timestamp")).alias("age"))
+
+
+@query("SELECT source AS base, coalesce(max(CASE WHEN doc_id % 3 = 0 THEN doc_id END) + 1, 2) AS next_version FROM documents GROUP BY source")
+def next_versions(spark, sf_dir):
+    k = F.col("doc_id")
+    name = F.when(k % 3 == 0, F.concat("source", F.lit(".v"), k)).when(k % 3 == 1, F.concat("source", F.lit(".vx"))).otherwise(F.concat(F.lit("other."), "source", F.lit(".v99999999")))
+    return longs(backups.next_versions(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("base"), name.alias("name"))))
+
+
+# ---- runs ----
+
+
+def stub_provider(prompt: str, categories: list[str], instructions: list[str], model: str, attempt: int) -> dict | None:
+    """A provider without a model: it finds the first word of each page, and gives up on long prompts."""
+    import json
+    import re
+
+    if len(prompt) > 12_000:
+        return None
+    pages = re.findall(r'<page n="(\d+)">', prompt)
+    kind = categories[0] if categories else "instruction"
+    found = [{"page": int(p), "start": 0, "end": 0, "kind": kind, "confidence": "high"} for p in pages]
+    return {"payload": json.dumps({"findings": found}), "tokens_in": len(prompt) // 4, "tokens_out": len(found), "duration_ms": 1}
+
+
+@query()
+def model_findings(spark, sf_dir):
+    """Findings of the stub provider over all pages, with halves of what it gives up on."""
+    found, _, _ = providers.detect(_pages(spark, sf_dir), _submissions(spark), stub_provider, pages_per_batch=4, parallel=8)
+    return longs(found.select("doc_id", "batch_idx", "ord", "page", "word_start", "word_end", "kind", "confidence", "source"))
+
+
+@query("""SELECT doc_id, true AS passed, (SELECT count(*) FROM found f WHERE f.doc_id = d.doc_id) AS n_findings, (SELECT count(*) FROM masked m WHERE m.doc_id = d.doc_id AND NOT hit) AS n_words
+FROM (SELECT DISTINCT doc_id FROM words) d""", (*BASE, "masked"))
+def run_rules(spark, sf_dir):
+    """A whole run with the rule pack: findings, verdict and words left of each document."""
+    pages = _pages(spark, sf_dir)
+    result = plan.run(pages, plan.detect(pages, PACK))
+    n = result.findings.groupBy("doc_id").agg(F.count("*").alias("n_findings"))
+    left = result.pages.groupBy("doc_id").agg(F.sum(F.size("words")).alias("n_words"))
+    return longs(result.report.join(n, "doc_id", "left").join(left, "doc_id").select("doc_id", "passed", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), "n_words"))
