@@ -10,12 +10,14 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, table, texts
+from .common import steps, table
 
 #: Window lengths, powers of two, longest first.
 TIERS = (4096, 2048, 1024, 512)
@@ -24,26 +26,25 @@ BUFFER_TOKENS = 2_000_000
 #: Tokens of a step group; its sequences have one length, so that its cost is the same as that of any other group of the tier.
 GROUP_TOKENS = 65_536
 END_ID = 2
-#: Entries of a worker's table of encoded words.
-TABLE_WORDS, TABLE_WORD_CHARS = 600_000, 64
+#: Entries of a worker's table of encoded runs, and characters of a run that is kept in it.
+TABLE_RUNS, TABLE_RUN_CHARS = 800_000, 64
 
-_WORD = re.compile(r"[^ \n]+")
 
+#: A word that is a run of Latin letters, which normalisation leaves alone, with a run of ASCII punctuation behind it; an apostrophe may begin a contraction, "<" a special token.
+_SIMPLE = "^(?P<letters>[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)(?P<marks>[!-&(-/:;=-@\\[-`{-~]*)$"
 
-class Words:
-    """Ids of words without white space, as little-endian unsigned 32-bit integers, in a bounded table.
+
+class Runs:
+    """Ids of runs of letters and of punctuation, as little-endian unsigned 32-bit integers, in a bounded table.
 
     The tokenizer lower-cases, splits into runs of letters, single digits and runs of other
-    characters, and merges within those. A word of Latin letters with ASCII punctuation behind it
-    is two such runs and goes to the merges directly; all other words go through the tokenizer.
+    characters, and merges within those. The merges get many new runs as one text; their ends are
+    found by the pieces that end a word. Words of another form go through the tokenizer one by one.
     """
 
-    #: Latin letters that normalisation leaves alone, then punctuation; an apostrophe may begin a contraction, "<" a special token.
-    SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:;=-@\[-`{-~]*)")
-
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
@@ -51,57 +52,79 @@ class Words:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.whole = Tokenizer.from_file(path)
         self.merges = Tokenizer(self.whole.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends_word = np.zeros(self.whole.get_vocab_size(), dtype=bool)
+        self.ends_word[[i for piece, i in self.whole.get_vocab().items() if piece.endswith("</w>")]] = True
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.byte_chars = dict(zip(shown, map(chr, shown))) | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.known: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _as_bytes(self, run: str) -> str:
         return run if run.isascii() else "".join(map(self.byte_chars.__getitem__, run.encode()))
 
-    def add(self, words: set[str]) -> dict[str, bytes]:
-        """Put words into the table; returns those that are too long for it."""
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > TABLE_WORDS:
-            self.known, self.runs, new = {}, {"": b""}, words
-        simple, rest = [], []
-        for w in new:
-            if m := self.SIMPLE.fullmatch(w):
-                simple.append((w, m[1].lower(), m[2]))
-            else:
-                rest.append(w)
-        runs = list({r for _, *two in simple for r in two}.difference(self.runs))
-        for at in range(0, len(runs), 20_000):
-            part = runs[at : at + 20_000]
-            got = self.merges.encode_batch_fast([self._as_bytes(r) for r in part], add_special_tokens=False)
-            self.runs.update((r, array("I", e.ids).tobytes()) for r, e in zip(part, got))
-        found = {w: self.runs[letters] + self.runs[marks] for w, letters, marks in simple}
-        found.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)))
-        long = {w: ids for w, ids in found.items() if len(w) > TABLE_WORD_CHARS}
-        for w in long:
-            del found[w]
-        self.known.update(found)
-        return long
+    def lookup(self, runs: list[str]) -> list[bytes]:
+        """The ids of each of some distinct lower-case runs; those that are not too long are kept."""
+        if len(self.known) + len(runs) > TABLE_RUNS:
+            self.known = {"": b""}
+        found = list(map(self.known.get, runs))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            text = " ".join([self._as_bytes(runs[i]) for i in part])
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) != len(part):
+                raise RuntimeError("the pieces that end words don't part the runs")
+            raw, start = ids.tobytes(), 0
+            for i, end in zip(part, ends.tolist()):
+                found[i] = raw[start:end]
+                if len(runs[i]) <= TABLE_RUN_CHARS:
+                    self.known[runs[i]] = found[i]
+                start = end
+        return found
+
+    def others(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+
+
+_runs = lru_cache(maxsize=2)(Runs)
 
 
-_words = lru_cache(maxsize=2)(Words)
+def _numbered(runs: pa.Array) -> tuple[list[str], np.ndarray]:
+    coded = runs.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
-def encode(items: list[str], path: str | None = None) -> list[bytes]:
-    """Ids of each text, the end id included, as little-endian unsigned 32-bit integers.
+def encode(items: pa.Array, path: str | None = None) -> list[np.ndarray]:
+    """Ids of each text of an Arrow array, the end id included.
 
     The tokenizer's pieces never hold white space, so words between spaces and line feeds are
-    encoded alone; each distinct word is encoded once and looked up afterwards.
+    encoded alone. Arrow splits the texts, numbers their distinct words and parts these into runs;
+    each distinct run is looked up once, and numpy puts the ids of all words in a row.
     """
-    table_of, end = _words(path), array("I", [END_ID]).tobytes()
-    split = [_WORD.findall(t) for t in items]
-    words: set[str] = set()
-    for s in split:
-        words.update(s)
-    long = table_of.add(words)
-    look = table_of.known.__getitem__ if not long else lambda w: long[w] if w in long else table_of.known[w]
-    return [b"".join(map(look, s)) + end for s in split]
+    lists = pc.split_pattern(pc.replace_substring(pc.fill_null(items, ""), "\n", " "), pattern=" ")
+    coded = lists.flatten().dictionary_encode()
+    parts = pc.extract_regex(coded.dictionary, pattern=_SIMPLE)
+    simple = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+    table_of = _runs(path)
+    letters, letter_at = _numbered(pc.utf8_lower(pc.fill_null(pc.struct_field(parts, "letters"), "")))
+    marks, mark_at = _numbered(pc.fill_null(pc.struct_field(parts, "marks"), ""))
+    other = coded.dictionary.filter(pa.array(~simple)).to_pylist()
+    found = table_of.lookup(letters) + table_of.lookup(marks) + table_of.others(other)
+    # A word is two runs: its letters and its punctuation, or the word and nothing.
+    two = np.empty((len(simple), 2), dtype=np.int64)
+    two[:, 0], two[:, 1] = letter_at, mark_at + len(letters)
+    two[~simple, 0] = len(letters) + len(marks) + np.arange(len(other))
+    pieces = np.frombuffer(b"".join(found), dtype="<u4")
+    size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+    first = np.cumsum(size) - size
+    index = two[coded.indices.to_numpy()].ravel()
+    counts = size[index]
+    after = np.cumsum(counts)
+    ids = pieces[np.repeat(first[index] - (after - counts), counts) + np.arange(int(after[-1]) if len(after) else 0)]
+    bounds = np.concatenate([[0], after])[2 * np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+    return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 class Packer:
@@ -121,8 +144,8 @@ class Packer:
         self.groups = dict.fromkeys(TIERS, 0)
         self.base = first_sequence
 
-    def add(self, doc_id, ids: bytes) -> None:
-        n = len(ids) // 4
+    def add(self, doc_id, ids: np.ndarray) -> None:
+        n = len(ids)
         start, top = 0, TIERS[0]
         while n - start >= top:
             self.emit([(top, 0, doc_id, start, ids, n)], top)
@@ -137,7 +160,7 @@ class Packer:
         self.groups[tier] += window
         offset = 0
         for size, _, doc_id, start, ids, total in pieces:
-            self.rows.append((doc_id, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), total, self.next, offset, window, group))
+            self.rows.append((doc_id, start, size, zlib.crc32(ids[start : start + size].tobytes()), total, self.next, offset, window, group))
             offset += size
         self.next += 1
 
@@ -207,9 +230,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA) if rows else None
 
         for part in steps(batches, "text"):
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts(part), tokenizer)):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text"), tokenizer)):
                 packer.add(doc_id, ids)
-                held += len(ids) // 4
+                held += len(ids)
             if held >= BUFFER_TOKENS:
                 packer.pack(final=False)
                 held = 0
