@@ -82,7 +82,10 @@ class Chunks:
         return [self.model.decode(x) for x in ids]
 
 
-_chunks = lru_cache(maxsize=2)(Chunks)
+@lru_cache(maxsize=2)
+def _chunks(path: str | None) -> Chunks:
+    """A worker's table for a model; it stays between tasks."""
+    return Chunks(path)
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
