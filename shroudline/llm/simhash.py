@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, map_text, texts
@@ -170,16 +170,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """The rows of ``docs``, columns unchanged, of which one row of each near-duplicate group stays: one with the smallest id.
 
-    Rows without an id stay only if their group has no row with an id; of several rows with
-    the kept id, one stays.
+    Of several rows with the kept id one stays. Rows without an id can't be told apart: they all stay.
     """
     groups = near_duplicates(docs, id_col, text_col, k)
-    keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    from pyspark.sql import Window
-
-    kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep"))).drop("__keep")
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    kept = docs.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
     once = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)))
-    return kept.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").drop("__nth")
+    kept = kept.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").drop("__nth")
+    return kept.union(docs.where(F.col(id_col).isNull()))
 
 
 def op7_simhash(spark, sf_dir):

@@ -1,0 +1,43 @@
+import hashlib
+import random
+
+import pytest
+
+from shroudline.llm import pieces
+
+from .conftest import CLASH, ODD
+
+pytest.importorskip("public_tokenizers")
+
+
+def test_chunks_give_the_library_s_ids():
+    chunks = pieces._chunks(None)
+    rng = random.Random(5)
+    parts = ["a", "b", " ", "  ", "   ", "▁", "▁▁", "\n", "é", "the", "\t", "　", "🙂", "\x00", "<s>", "</s>", "ing", "1", ".", "<0x0A>", "​", "\xa0"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 16))) for _ in range(4000)]
+    want = chunks.model.encode(texts, add_eos=True)
+    assert chunks.encode(texts) == want
+    assert chunks.decode(want) == [chunks.model.decode(x) for x in want]
+
+
+def test_a_small_table_changes_nothing(monkeypatch):
+    monkeypatch.setattr(pieces, "TABLE_CHUNKS", 5)
+    monkeypatch.setattr(pieces, "TABLE_CHUNK_CHARS", 4)
+    chunks = pieces.Chunks(None)
+    texts = ["one two three four five six", "seven eight one two nine", "", "one"]
+    assert chunks.encode(texts) == chunks.model.encode(texts, add_eos=True)
+
+
+def test_table(make_docs):
+    texts = [*ODD, "plain text"]
+    model = pieces._chunks(None).model
+    docs = make_docs([*texts, (None, "x")], CLASH)
+    got = {r["doc_id"]: r for r in pieces.digests(docs).collect()}
+    for i, t in enumerate(texts):
+        ids = model.encode(t or "", add_eos=True)
+        assert got[i + 1]["n_tokens"] == len(ids)
+        assert got[i + 1]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i + 1]["decoded_sha256"] == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+    full = {r["doc_id"]: r for r in pieces.encode_decode(docs).collect()}
+    assert full[10]["decoded"] == "plain text" and full[1]["ids"] == [2] and None in full
+    assert pieces.digests(docs.limit(0)).count() == 0
