@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, map_text, texts
 
-#: Bytes a chunk has at least and at most; a cut is taken at one in 2**CUT_BITS of the white-space bytes.
-MIN_CHUNK, MAX_CHUNK, CUT_BITS = 16, 160, 2
+#: Bytes a chunk has at least and at most; a cut is taken at one in CUT_ONE_IN of the white-space bytes.
+MIN_CHUNK, MAX_CHUNK, CUT_ONE_IN = 16, 160, 3
 #: Words that a repeated passage has at least.
 MIN_WORDS = 15
 #: A digest found more often than this share of all repeated chunk rows counts as hot; there can be no more than 1 / HOT_SHARE such digests.
@@ -44,7 +44,7 @@ def chunk_bounds(raw: bytes) -> list[tuple[int, int]]:
         return []
     data = np.frombuffer(raw, dtype=np.uint8)
     space = _SPACE[data]
-    cuts = np.flatnonzero(space & (gear_hashes(data) >> np.uint32(32 - CUT_BITS) == 0)).tolist()
+    cuts = np.flatnonzero(space & (gear_hashes(data) < np.uint32(2**32 // CUT_ONE_IN))).tolist()
     cuts.append(n)
     spaces = None
     out, start = [], 0
