@@ -164,7 +164,7 @@ sha256(array_to_string(ws[word_start+1:word_end+1], ' ')) AS text_sha256, sha256
 FROM found f JOIN pg USING (doc_id, page)""", BASE)
 def finding_texts(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    rows = fnd.with_words(rules.regex_findings(pages, PACK), pages)
+    rows = rules.regex_findings(pages, PACK, with_words=True)
     text = fnd.text_of(fnd.covered())
     return longs(rows.select("doc_id", "page", "word_start", "word_end", "kind", text.alias("text"), F.sha2(text, 256).alias("text_sha256"), F.sha2(fnd.context(), 256).alias("context_sha256")))
 
@@ -175,7 +175,7 @@ FROM found f JOIN words w ON f.doc_id = w.doc_id AND f.page = w.page AND w.idx B
 GROUP BY f.doc_id, f.page, f.word_start, f.word_end, f.kind, f.nth""", BASE)
 def finding_boxes(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    rows = fnd.with_words(rules.regex_findings(pages, PACK), pages)
+    rows = rules.regex_findings(pages, PACK, with_words=True)
     return longs(rows.select("doc_id", "page", "word_start", "word_end", "kind", fnd.finding_box().alias("b")).select("doc_id", "page", "word_start", "word_end", "kind", "b.*"))
 
 
@@ -414,33 +414,33 @@ def instruction_split(spark, sf_dir):
 @query("SELECT doc_id, page, count(*) FILTER (NOT hit) AS n_words, coalesce(sha256(string_agg(text, ' ' ORDER BY idx) FILTER (NOT hit)), sha256('')) AS sha256 FROM masked GROUP BY doc_id, page", (*BASE, "masked"))
 def redacted_pages(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    out = redaction.redact(pages, rules.regex_findings(pages, PACK))
+    out = redaction.redact_found(rules.annotate(pages, PACK))
     return longs(out.select("doc_id", "page", F.size("words").alias("n_words"), F.sha2(corpus.page_text(F.col("words")), 256).alias("sha256")))
 
 
 @query("SELECT doc_id, page, sha256(string_agg(CASE WHEN hit THEN '█' ELSE text END, ' ' ORDER BY idx)) AS sha256 FROM masked GROUP BY doc_id, page", (*BASE, "masked"))
 def redacted_texts(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    return longs(redaction.redacted_text(pages, rules.regex_findings(pages, PACK)).select("doc_id", "page", F.sha2("text", 256).alias("sha256")))
+    return longs(redaction.text_found(rules.annotate(pages, PACK)).select("doc_id", "page", F.sha2("text", 256).alias("sha256")))
 
 
 @query("SELECT doc_id, page, idx, text FROM masked WHERE hit", (*BASE, "masked"))
 def diff_removed_words(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    return longs(redaction.removed_words(pages, redaction.redact(pages, rules.regex_findings(pages, PACK))).select("doc_id", "page", "idx", "text"))
+    return longs(redaction.removed_words(pages, redaction.redact_found(rules.annotate(pages, PACK))).select("doc_id", "page", "idx", "text"))
 
 
 @query("SELECT doc_id, page, count(*) FILTER (hit) AS n_removed, string_agg(text, ',' ORDER BY idx) FILTER (hit) AS removed FROM masked GROUP BY doc_id, page", (*BASE, "masked"))
 def diff_pages(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    diff = redaction.page_diff(pages, redaction.redact(pages, rules.regex_findings(pages, PACK)))
+    diff = redaction.page_diff(pages, redaction.redact_found(rules.annotate(pages, PACK)))
     return longs(diff.select("doc_id", "page", F.size("removed").alias("n_removed"), F.when(F.size("removed") > 0, F.array_join("removed", ",")).alias("removed")))
 
 
 @query("SELECT doc_id, page, 'page ' || page || ': ' || count(*) FILTER (hit) || ' removed' || coalesce(': ' || string_agg(text, ', ' ORDER BY idx) FILTER (hit), '') AS line FROM masked GROUP BY doc_id, page", (*BASE, "masked"))
 def diff_lines(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    return longs(redaction.render_text(redaction.page_diff(pages, redaction.redact(pages, rules.regex_findings(pages, PACK)))))
+    return longs(redaction.render_text(redaction.page_diff(pages, redaction.redact_found(rules.annotate(pages, PACK)))))
 
 
 CTES["rects"] = """rects AS (SELECT doc_id, page, r.rect_id, 400.0::DOUBLE * r.rect_id AS x0, 0.0::DOUBLE AS y0, 400.0::DOUBLE * r.rect_id + 170 AS x1, CASE WHEN r.rect_id = 2 THEN 4.0::DOUBLE ELSE 9.5::DOUBLE END AS y1,
@@ -497,14 +497,14 @@ def verify_reports(spark, sf_dir):
 FROM (SELECT f.*, array_to_string(ws[word_start+1:word_end+1], ' ') AS t, array_to_string(ws[greatest(word_start-16,0)+1:least(n, word_end+17)], ' ') AS c FROM found f JOIN pg USING (doc_id, page)) f""", BASE)
 def audit_lines(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    events = plan.run(pages, rules.regex_findings(pages, PACK)).events
+    events = plan.run(pages, PACK).events
     return events.where("value LIKE '%\"event\":\"finding\"%'").select(F.col("session_id").alias("doc_id"), F.col("value").alias("line"))
 
 
 def _log(spark, sf_dir) -> DataFrame:
     """The audit lines of a run, parsed: events with a session_key and a line_no."""
     pages = _pages(spark, sf_dir)
-    lines = plan.run(pages, rules.regex_findings(pages, PACK)).events
+    lines = plan.run(pages, PACK).events
     return audit.parse_lines(lines.select(F.col("session_id").cast("string").alias("session_key"), F.col("ord").alias("line_no"), "value"))
 
 
@@ -604,7 +604,7 @@ FROM (SELECT DISTINCT doc_id FROM words) d""", (*BASE, "masked"))
 def run_rules(spark, sf_dir):
     """A whole run with the rule pack: findings, verdict and words left of each document."""
     pages = _pages(spark, sf_dir)
-    result = plan.run(pages, plan.detect(pages, PACK))
+    result = plan.run(pages, PACK)
     n = result.findings.groupBy("doc_id").agg(F.count("*").alias("n_findings"))
     left = result.pages.groupBy("doc_id").agg(F.sum(F.size("words")).alias("n_words"))
     return longs(result.report.join(n, "doc_id", "left").join(left, "doc_id").select("doc_id", "passed", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), "n_words"))

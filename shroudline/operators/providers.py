@@ -32,13 +32,18 @@ class CallFailed(RuntimeError):
 def work_items(pages: DataFrame, pages_per_batch: int, submissions: DataFrame) -> DataFrame:
     """An item for each batch and submission: (doc_id, batch_idx, ord, path, pages, w0, w1, model, category_ids, instructions).
 
-    The submissions, a few for a whole run, are broadcast. One page alone carries its range of words.
+    The submissions are as few as a rule pack has models and a user instructions; they become a
+    literal of the plan. One page alone carries its range of words.
     """
+    plans = [(r["ord"], r["model"], list(r["category_ids"]), list(r["instructions"])) for r in submissions.collect()]
+    each = [F.struct(F.lit(o).alias("ord"), F.lit(m).alias("model"), F.lit(c).cast("array<string>").alias("category_ids"), F.lit(i).cast("array<string>").alias("instructions")) for o, m, c, i in plans]
+    if not each:
+        raise ValueError("there is no submission")
     sizes = pages.select("doc_id", "page", F.size("words").alias("n"))
     grouped = batches(pages, pages_per_batch).join(sizes, ["doc_id", "page"]).groupBy("doc_id", "batch_idx").agg(F.array_sort(F.collect_list("page")).alias("pages"), F.sum("n").cast("int").alias("n"))
     alone = F.size("pages") == 1
     items = grouped.select("doc_id", "batch_idx", F.lit("").alias("path"), "pages", F.when(alone, F.lit(0)).alias("w0"), F.when(alone, F.col("n")).alias("w1"))
-    return items.crossJoin(F.broadcast(submissions))
+    return items.select("*", F.inline(F.array(*each)))
 
 
 def with_prompts(items: DataFrame, pages: DataFrame) -> DataFrame:

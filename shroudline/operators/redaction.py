@@ -13,25 +13,35 @@ METADATA_FIELDS = ("author", "title", "subject", "keywords", "creator", "produce
 XMP_CHARS = 200
 
 
+def with_ranges(pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """Pages with a column found, the ranges of the findings on them: the findings are gathered by page and joined once, pages are never exploded."""
+    ranges = findings.groupBy("doc_id", "page").agg(F.collect_set(F.struct("word_start", "word_end")).alias("found"))
+    return pages.join(ranges, ["doc_id", "page"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<word_start:int,word_end:int>>")))
+
+
+def _hit(w: Column) -> Column:
+    return F.exists("found", lambda r: w["idx"].between(r["word_start"], r["word_end"]))
+
+
+def redact_found(pages: DataFrame) -> DataFrame:
+    """Pages (with a column found) without the words that any range covers; the words that stay keep their index and box."""
+    return pages.select("doc_id", "page", F.when(F.size("found") == 0, F.col("words")).otherwise(F.filter("words", lambda w: ~_hit(w))).alias("words"))
+
+
 def redact(pages: DataFrame, findings: DataFrame) -> DataFrame:
-    """Pages without the words that any finding covers; the words that stay keep their index and box.
+    """The same for findings in a table of their own."""
+    return redact_found(with_ranges(pages, findings))
 
-    The ranges of a page are gathered first, so that pages are joined once and never exploded.
-    """
-    ranges = findings.groupBy("doc_id", "page").agg(F.collect_set(F.struct("word_start", "word_end")).alias("ranges"))
-    joined = pages.join(ranges, ["doc_id", "page"], "left")
-    hit = lambda w: F.exists("ranges", lambda r: w["idx"].between(r["word_start"], r["word_end"]))
-    kept = F.when(F.col("ranges").isNull(), F.col("words")).otherwise(F.filter("words", lambda w: ~hit(w)))
-    return joined.select("doc_id", "page", kept.alias("words"))
+
+def text_found(pages: DataFrame, token: str = "█") -> DataFrame:
+    """(doc_id, page, text) of pages with a column found: the words with a token in the place of each covered one."""
+    masked = F.array_join(F.transform("words", lambda w: F.when(_hit(w), F.lit(token)).otherwise(w["text"])), " ")
+    return pages.select("doc_id", "page", F.when(F.size("found") == 0, page_text(F.col("words"))).otherwise(masked).alias("text"))
 
 
 def redacted_text(pages: DataFrame, findings: DataFrame, token: str = "█") -> DataFrame:
-    """(doc_id, page, text): the words with a token in the place of each covered one."""
-    ranges = findings.groupBy("doc_id", "page").agg(F.collect_set(F.struct("word_start", "word_end")).alias("ranges"))
-    joined = pages.join(ranges, ["doc_id", "page"], "left")
-    hit = lambda w: F.exists("ranges", lambda r: w["idx"].between(r["word_start"], r["word_end"]))
-    masked = F.array_join(F.transform("words", lambda w: F.when(hit(w), F.lit(token)).otherwise(w["text"])), " ")
-    return joined.select("doc_id", "page", F.when(F.col("ranges").isNull(), page_text(F.col("words"))).otherwise(masked).alias("text"))
+    """The same for findings in a table of their own."""
+    return text_found(with_ranges(pages, findings), token)
 
 
 def removed_words(original: DataFrame, redacted: DataFrame) -> DataFrame:
@@ -51,12 +61,15 @@ def require_same_pages(original: DataFrame, redacted: DataFrame) -> None:
 
 
 def page_diff(original: DataFrame, redacted: DataFrame) -> DataFrame:
-    """(doc_id, page, before_text, after_text, removed): pages with the words removed from them, in order; pages without any stay."""
-    gone = removed_words(original, redacted).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("r"))
-    before = original.select("doc_id", "page", page_text(F.col("words")).alias("before_text"))
-    after = redacted.select("doc_id", "page", page_text(F.col("words")).alias("after_text"))
-    removed = F.transform(F.coalesce("r", F.array().cast("array<struct<idx:int,text:string>>")), lambda x: x["text"])
-    return before.join(after, ["doc_id", "page"]).join(gone, ["doc_id", "page"], "left").select("doc_id", "page", "before_text", "after_text", removed.alias("removed"))
+    """(doc_id, page, before_text, after_text, removed): pages with the words removed from them, in order; pages without any stay.
+
+    Both versions of a page are joined once; the difference of their words is taken inside the row.
+    """
+    place = lambda w: F.struct(F.bround(w["x0"], 1).alias("x"), F.bround(w["y0"], 1).alias("y"), w["text"].alias("text"))
+    both = original.select("doc_id", "page", "words").join(redacted.select("doc_id", "page", F.col("words").alias("after")), ["doc_id", "page"])
+    gone = both.withColumn("gone", F.array_except(F.transform("words", place), F.transform("after", place)))
+    removed = F.when(F.size("gone") > 0, F.transform(F.filter("words", lambda w: F.array_contains("gone", place(w))), lambda w: w["text"])).otherwise(F.array().cast("array<string>"))
+    return gone.select("doc_id", "page", page_text(F.col("words")).alias("before_text"), page_text(F.col("after")).alias("after_text"), removed.alias("removed"))
 
 
 def render_json(diff: DataFrame) -> DataFrame:

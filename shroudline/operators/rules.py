@@ -41,34 +41,40 @@ def match_ranges(text: Column, pattern: str) -> Column:
     return F.aggregate(both, zero, add, lambda acc: acc["out"])
 
 
-def regex_findings(pages: DataFrame, pack: RulePack) -> DataFrame:
-    """One finding for each match of each regex category on each page: FINDING_COLUMNS.
+FOUND = "array<struct<word_start:int,word_end:int,kind:string,confidence:string,ord:int,nth:int>>"
 
-    seq orders the findings of a document by category, page and place. Patterns must not match
-    the empty string. Pages without a match of any category are left out before anything else.
+
+def annotate(pages: DataFrame, pack: RulePack) -> DataFrame:
+    """Pages with a column found: the findings of the regex categories, in the order of category and place.
+
+    All of it happens inside the row of the page: nothing is exploded, joined or shuffled, and
+    what needs the words of a finding (its text, its box, the redacted page) is another
+    projection of the same row. Patterns must not match the empty string.
     """
-    cats = [c for c in pack.categories if c.detection == "regex" and c.pattern]
+    cats = [(o, c) for o, c in enumerate(c for c in pack.categories if c.detection == "regex" and c.pattern)]
     if not cats:
-        return pages.select("doc_id", "page").limit(0).selectExpr("doc_id", "page", "0 word_start", "0 word_end", "'' kind", "'' confidence", "'' source", "0L seq")
-    texts = pages.select("doc_id", "page", page_text(F.col("words")).alias("text"))
-    hits = [F.when(F.col("text").rlike(java_pattern(c.pattern)), match_ranges(F.col("text"), c.pattern)) for c in cats]
+        return pages.withColumn("found", F.array().cast(FOUND))
 
     def labelled(order: int, c: Category):
         return lambda s, i: F.struct(
             s["word_start"].alias("word_start"), s["word_end"].alias("word_end"), F.lit(c.id).alias("kind"), F.lit(c.confidence).alias("confidence"), F.lit(order).alias("ord"), i.alias("nth")
         )
 
-    rows = F.flatten(
-        F.array_compact(
-            F.array(*[
-                F.transform(h, labelled(o, c))
-                for o, (c, h) in enumerate(zip(cats, hits))
-            ])
-        )
-    )
-    found = texts.select("doc_id", "page", F.inline(rows))
+    none = F.array().cast("array<struct<word_start:int,word_end:int>>")
+    text = pages.withColumn("__text", page_text(F.col("words")))
+    hits = [F.transform(F.when(F.col("__text").rlike(java_pattern(c.pattern)), match_ranges(F.col("__text"), c.pattern)).otherwise(none), labelled(o, c)) for o, c in cats]
+    return text.withColumn("found", F.concat(*hits)).drop("__text")
+
+
+def regex_findings(pages: DataFrame, pack: RulePack, with_words: bool = False) -> DataFrame:
+    """One finding for each match of each regex category on each page: FINDING_COLUMNS, and the page's words if asked for.
+
+    seq orders the findings of a document by category, page and place.
+    """
+    keep = ["doc_id", "page", *["words"] * with_words]
+    found = annotate(pages, pack).where(F.size("found") > 0).select(*keep, F.inline("found"))
     seq = F.col("ord").cast("long") * F.lit(1 << 50) + F.col("page").cast("long") * F.lit(1 << 20) + F.col("nth")
-    return found.select("doc_id", "page", "word_start", "word_end", "kind", "confidence", F.lit(f"rules:{pack.name}").alias("source"), seq.alias("seq"))
+    return found.select(*keep, "word_start", "word_end", "kind", "confidence", F.lit(f"rules:{pack.name}").alias("source"), seq.alias("seq"))
 
 
 def model_categories(table: DataFrame) -> DataFrame:

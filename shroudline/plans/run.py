@@ -32,14 +32,23 @@ def detect(pages: DataFrame, pack: RulePack, selection: str | None = None, provi
     return found.unionByName(more.withColumn("seq", F.col("seq") + (1 << 56)).select(*found.columns))
 
 
-def run(pages: DataFrame, found: DataFrame, metadata: DataFrame | None = None, rects: DataFrame | None = None, ts: str = "1970-01-01T00:00:00Z", include_text: bool = False) -> Result:
+def run(pages: DataFrame, found: DataFrame | RulePack, metadata: DataFrame | None = None, rects: DataFrame | None = None, ts: str = "1970-01-01T00:00:00Z", include_text: bool = False) -> Result:
     """Redact the pages, verify what came out, and make the audit lines (session_id, ord, value).
 
+    found is a table of findings, or the rule pack that pages are searched with: then findings,
+    redaction and audit lines are projections of the pages themselves, without a join.
+
     A document that fails the verification keeps its report and its audit lines, but its pages are
     not among the result's. Documents without findings have no audit lines.
     """
     documents = pages.select("doc_id").distinct()
-    redacted = redaction.redact(pages, found)
+    if isinstance(found, RulePack):
+        rows = rules.regex_findings(pages, found, with_words=True)
+        redacted = redaction.redact_found(rules.annotate(pages, found))
+        found = rows.drop("words")
+    else:
+        rows = fnd.with_words(found, pages)
+        redacted = redaction.redact(pages, found)
     leaks = None
     if rects is not None:
         leaks = redaction.overlay_leaks(redacted, rects)
@@ -51,8 +60,7 @@ def run(pages: DataFrame, found: DataFrame, metadata: DataFrame | None = None, r
     else:
         report = redaction.reports(documents, leaks)
     good = redacted.join(report.where("passed").select("doc_id"), "doc_id", "left_semi")
-    rows = fnd.with_words(found, pages).withColumn("ts", F.lit(ts))
-    lines = rows.select(F.col("doc_id").alias("session_id"), "seq", audit.finding_json(fnd.text_of(fnd.covered()), fnd.context(), F.lit("applied"), include_text).alias("value"))
+    lines = rows.withColumn("ts", F.lit(ts)).select(F.col("doc_id").alias("session_id"), "seq", audit.finding_json(fnd.text_of(fnd.covered()), fnd.context(), F.lit("applied"), include_text).alias("value"))
     counts = found.groupBy("doc_id").agg(F.count("*").alias("n"))
     start = counts.select(F.col("doc_id").alias("session_id"), F.lit(-1).cast("long").alias("seq"), F.to_json(F.struct(F.lit("session_start").alias("event"), F.lit(1).alias("audit_schema_version"), F.col("doc_id").cast("string").alias("session_id"), F.concat(F.lit("doc:"), F.col("doc_id")).alias("input_path"), F.concat(F.lit("redacted:"), F.col("doc_id")).alias("output_path"))).alias("value"))
     status = audit.session_status(F.col("passed"), F.col("n_leaks"))

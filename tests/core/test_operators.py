@@ -335,3 +335,16 @@ def test_streaming_audit(spark, tmp_path):
     done = stream.writeStream.outputMode("complete").format("memory").queryName("kinds").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     done.awaitTermination(120)
     assert sorted((r["kind"], r["n"]) for r in spark.table("kinds").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_rows_of_pages_and_tables_of_findings_agree(spark, pages_of):
+    pages = pages_of("mail a@bc.de or 123-45-6789 now a@bc.de", "clean text", "1 (743) 555-3824")
+    in_rows, joined = plan.run(pages, PACK), plan.run(pages, plan.detect(pages, PACK))
+    for name in ("findings", "pages", "report", "events"):
+        a, b = (sorted(map(str, getattr(r, name).collect())) for r in (in_rows, joined))
+        assert a == b
+    diff = redaction.removed_words(pages, joined.pages).groupBy("doc_id").agg(F.count("*").alias("n"))
+    sizes = redaction.page_diff(pages, in_rows.pages).select("doc_id", F.size("removed").alias("n")).where("n > 0")
+    assert {tuple(r) for r in diff.collect()} == {tuple(r) for r in sizes.collect()}
+    plain = redaction.text_found(rules.annotate(pages, PACK)).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, redaction.redacted_text(pages, plan.detect(pages, PACK)).collect()))
