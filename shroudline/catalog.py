@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import backups, costs, planning, providers, redaction, replay, rules, selection
 from .operators import findings as fnd
+from .plans import instructions
 from .plans import run as plan
 from .sources import audit, corpus, pricing, rulepacks
 
@@ -608,3 +609,31 @@ def run_rules(spark, sf_dir):
     n = result.findings.groupBy("doc_id").agg(F.count("*").alias("n_findings"))
     left = result.pages.groupBy("doc_id").agg(F.sum(F.size("words")).alias("n_words"))
     return longs(result.report.join(n, "doc_id", "left").join(left, "doc_id").select("doc_id", "passed", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), "n_words"))
+
+
+# ---- more of prompts, models and undo ----
+
+
+@query("SELECT conv_id AS doc_id, turn, 120.0::DOUBLE * (turn + 1) AS seconds, length(text) % 97 >= CAST(floor(0.95::DOUBLE * 64) AS BIGINT) AS cut_off FROM conversations")
+def call_limits(spark, sf_dir):
+    """Time limit of the attempt numbered as the turn, and whether an answer would count as cut off at 64 tokens."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.select(F.col("conv_id").alias("doc_id"), "turn", tx.read_timeout(F.col("turn")).alias("seconds"), tx.cut_off(F.length("text") % 97, F.lit(64)).alias("cut_off"))
+
+
+@query("""SELECT r.provider, r.model, r.inp AS input_per_million, r.model IN (SELECT model FROM calls) AS available FROM rates r""", ("calls", "rates"))
+def listed_models(spark, sf_dir):
+    return pricing.listed(pricing.sample(spark), _calls(spark, sf_dir)).select("provider", "model", "input_per_million", "available")
+
+
+@query("""SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'parser' ELSE 'original' END AS source, CASE doc_id % 2 WHEN 0 THEN 2::BIGINT ELSE 1::BIGINT END AS n_rules FROM documents""")
+def decomposed_instructions(spark, sf_dir):
+    text = F.when(F.col("doc_id") % 2 == 0, F.format_string("- %s\n- %s", "lang", "source")).otherwise(F.format_string("%s - %s", "lang", "source"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("text"))
+    return longs(instructions.decompose(rows).select("doc_id", "source", F.size("rules").alias("n_rules")))
+
+
+@query("""SELECT session_key, ordinal, json_object('event', 'undo_finding', 'page', page, 'word_start', word_start, 'word_end', word_end, 'kind', kind, 'confidence', confidence, 'source', 'rules:pii-en')::VARCHAR AS line FROM log WHERE kind = 'email'""", (*BASE, "log"))
+def undo_lines(spark, sf_dir):
+    found = replay.applied(_log(spark, sf_dir))
+    return longs(replay.undo_events(found, replay.exclusions(found, kind="email")).withColumnRenamed("value", "line"))

@@ -49,3 +49,9 @@ def require_rates(priced: DataFrame) -> DataFrame:
     if missing := priced.where("input_per_million IS NULL").select("provider", "model").first():
         raise KeyError(f"no rate for {missing['provider']}/{missing['model']}")
     return priced
+
+
+def listed(pricing: DataFrame, installed: DataFrame) -> DataFrame:
+    """The price list with a column available: whether the model is among the installed ones (provider, model)."""
+    have = installed.select("provider", "model", F.lit(True).alias("available")).distinct()
+    return pricing.join(have, ["provider", "model"], "left").withColumn("available", F.coalesce("available", F.lit(False)))
