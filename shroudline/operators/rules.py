@@ -21,6 +21,11 @@ def java_pattern(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
+def any_pattern(pack: RulePack) -> str:
+    """One pattern that a text has a match of if any regex category has; nothing matches that of a pack without one."""
+    return "(?U)" + ("|".join(f"(?:{c.pattern})" for c in pack.categories if c.detection == "regex" and c.pattern) or "(?!)")
+
+
 def match_ranges(text: Column, pattern: str) -> Column:
     """array<struct<word_start, word_end>> of the matches in a text of words with one space between; a space belongs to the word before it."""
     p = F.lit(java_pattern(pattern))
@@ -63,7 +68,8 @@ def annotate(pages: DataFrame, pack: RulePack) -> DataFrame:
     none = F.array().cast("array<struct<word_start:int,word_end:int>>")
     text = pages.withColumn("__text", page_text(F.col("words")))
     hits = [F.transform(F.when(F.col("__text").rlike(java_pattern(c.pattern)), match_ranges(F.col("__text"), c.pattern)).otherwise(none), labelled(o, c)) for o, c in cats]
-    return text.withColumn("found", F.concat(*hits)).drop("__text")
+    found = F.when(F.col("__text").rlike(any_pattern(pack)), F.concat(*hits)).otherwise(F.array().cast(FOUND))
+    return text.withColumn("found", found).drop("__text")
 
 
 def regex_findings(pages: DataFrame, pack: RulePack, with_words: bool = False) -> DataFrame:
@@ -72,7 +78,10 @@ def regex_findings(pages: DataFrame, pack: RulePack, with_words: bool = False) -
     seq orders the findings of a document by category, page and place.
     """
     keep = ["doc_id", "page", *["words"] * with_words]
-    found = annotate(pages, pack).where(F.size("found") > 0).select(*keep, F.inline("found"))
+    # Pages without a match go by one test of their text. The inline is an outer one, as Spark would
+    # infer a filter from any other, push it down and search every page twice.
+    some = pages.where(page_text(F.col("words")).rlike(any_pattern(pack)))
+    found = annotate(some, pack).select(*keep, F.inline_outer("found")).where("word_start IS NOT NULL")
     seq = F.col("ord").cast("long") * F.lit(1 << 50) + F.col("page").cast("long") * F.lit(1 << 20) + F.col("nth")
     return found.select(*keep, "word_start", "word_end", "kind", "confidence", F.lit(f"rules:{pack.name}").alias("source"), seq.alias("seq"))
 

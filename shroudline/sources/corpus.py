@@ -39,11 +39,21 @@ def index_words(words: Column) -> Column:
     )
 
 
+def with_word(df: DataFrame, text: Column) -> DataFrame:
+    """The rows whose text has a word."""
+    return df.where(text.rlike(r"[^ \t\n\f\r]"))
+
+
 def paginate(df: DataFrame, id_col: str, text: Column, page_words: int = PAGE_WORDS) -> DataFrame:
-    """Pages of page_words words; a text without a word has no page."""
-    words = df.select(F.col(id_col).cast("long").alias("doc_id"), split_words(text).alias("w")).where(F.size("w") > 0)
+    """Pages of page_words words; a text without a word has no page.
+
+    Texts without a word go by a test of the text: a test of the words would be pushed down and
+    split every text twice. For the same reason the explode is an outer one, from which Spark
+    infers no filter.
+    """
+    words = with_word(df, text).select(F.col(id_col).cast("long").alias("doc_id"), split_words(text).alias("w"))
     starts = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / page_words).cast("int"))
-    cut = words.select("doc_id", F.posexplode(F.transform(starts, lambda p: F.slice("w", p * page_words + 1, page_words))).alias("p", "words"))
+    cut = words.select("doc_id", F.posexplode_outer(F.transform(starts, lambda p: F.slice("w", p * page_words + 1, page_words))).alias("p", "words"))
     return cut.select("doc_id", (F.col("p") + 1).cast("int").alias("page"), index_words(F.col("words")).alias("words"))
 
 
@@ -54,8 +64,8 @@ def from_documents(spark: SparkSession, sf_dir: str, page_words: int = PAGE_WORD
 def from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation is a document, each turn a page."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    words = turns.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), split_words(F.col("text")).alias("w"))
-    return words.where(F.size("w") > 0).select("doc_id", "page", index_words(F.col("w")).alias("words"))
+    words = with_word(turns, F.col("text")).select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), split_words(F.col("text")).alias("w"))
+    return words.select("doc_id", "page", index_words(F.col("w")).alias("words"))
 
 
 def strip_markup(html: Column) -> Column:
@@ -67,7 +77,7 @@ def from_web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A web page is a document of one page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     words = pages.select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), split_words(strip_markup(F.col("html"))).alias("w"))
-    return words.where(F.size("w") > 0).select("doc_id", "page", index_words(F.col("w")).alias("words"))
+    return words.select("doc_id", "page", index_words(F.col("w")).alias("words")).where(F.size("words") > 0).select("doc_id", "page", "words")
 
 
 def explode_words(pages: DataFrame) -> DataFrame:
