@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, held_out, map_text, table, texts
 
-#: Documents that the regression is fitted on, at most, and how many of them are landmarks.
-MAX_LABELLED, LANDMARKS = 3000, 96
+#: Documents that the regression is fitted on, at most, how many of them are landmarks, and languages that it tells apart, at most (the most frequent ones).
+MAX_LABELLED, LANDMARKS, MAX_LANGUAGES = 3000, 96, 256
 #: Lengths of the n-grams and bits that they are hashed to.
 GRAMS, BITS = (1, 2, 3), 14
 RIDGE = 1e-2
@@ -69,7 +69,7 @@ def learn(docs: DataFrame, max_labelled: int = MAX_LABELLED, n_landmarks: int =
     ids = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"))
     hashed = ids.withColumn("h", F.xxhash64("id"))
     # A first cut by the hash keeps the ranking below small: max_labelled rows of each language at most.
-    share = hashed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()
+    share = hashed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not share:
         return None
     each = max(1, max_labelled // len(share))
