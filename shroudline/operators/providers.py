@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import ensure_checkpoint_dir
 from ..functions.text import document_block, serialize_flat
 from .findings import dedupe, parse_payloads, translate
 from .planning import batches, halves
@@ -84,6 +85,7 @@ def detect(pages: DataFrame, submissions: DataFrame, provider: Provider, *, page
     was halved; those of different items or submissions are not. With strict an item that can't be
     halved any more raises CallFailed, otherwise it is a row of failed.
     """
+    ensure_checkpoint_dir(pages.sparkSession)
     todo = work_items(pages, pages_per_batch, submissions)
     answered, failed = [], []
     for _ in range(max_levels):
