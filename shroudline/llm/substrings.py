@@ -99,19 +99,21 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The chunks that at least two documents have, with first_doc, the smallest id that has the chunk.
 
     Digests are counted with partial aggregates. The few hot digests, whose number HOT_SHARE bounds,
-    are joined by broadcast; all others by a shuffle of the chunk rows.
+    are joined by broadcast. Then all rows are joined with the other repeated digests by a shuffle,
+    in which the rows of hot digests have a salt for each document that no digest has: they match
+    nothing there, and no task gets many of them. So the texts are cut twice in all.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = chunks(docs, id_col, text_col)
     found = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
     shared = found.where("first_doc < last_doc").select("digest", "first_doc", "n").checkpoint()
     total = shared.agg(F.sum("n")).first()[0] or 0
-    hot = shared.where(F.col("n") > total * HOT_SHARE).select("digest", "first_doc")
-    cold = shared.where(F.col("n") <= total * HOT_SHARE).select("digest", "first_doc")
     # sum(n) is total, and each hot digest has over HOT_SHARE of it: fewer than 1 / HOT_SHARE rows.
-    hot_rows = rows.join(F.broadcast(hot), "digest")
-    cold_rows = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold, "digest")
-    return hot_rows.unionByName(cold_rows)
+    hot = shared.where(F.col("n") > total * HOT_SHARE).select("digest", F.col("first_doc").alias("hot_first"))
+    cold = shared.where(F.col("n") <= total * HOT_SHARE).select("digest", "first_doc", F.lit(0).alias("salt"))
+    marked = rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.when(F.col("hot_first").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.lit(1024)).cast("int")))
+    joined = marked.join(cold, ["digest", "salt"], "left").withColumn("first_doc", F.coalesce("hot_first", "first_doc"))
+    return joined.where("first_doc IS NOT NULL").select("doc_id", "idx", "start", "len", "words", "digest", "first_doc")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
