@@ -27,7 +27,7 @@ BUFFER_TOKENS = 2_000_000
 GROUP_TOKENS = 65_536
 END_ID = 2
 #: Entries of a worker's table of encoded runs, and characters of a run that is kept in it.
-TABLE_RUNS, TABLE_RUN_CHARS = 800_000, 64
+TABLE_RUNS, TABLE_RUN_CHARS = 500_000, 64
 
 
 #: A word that is a run of Latin letters, which normalisation leaves alone, with a run of ASCII punctuation behind it; an apostrophe may begin a contraction, "<" a special token.
