@@ -9,6 +9,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import ensure_checkpoint_dir  # noqa: F401
+
 #: Rows and bytes of text that one step inside a task handles at most; a longer single text is a step of its own.
 STEP_ROWS, STEP_BYTES = 512, 8_000_000
 
@@ -17,16 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set one only where none is configured, as in tests."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
 def held_out(doc_id: str | Column) -> Column:
     """True where crc32 of the id's decimal text is divisible by five; such rows are never learned from. Null ids are held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

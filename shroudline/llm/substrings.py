@@ -100,8 +100,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Digests are counted with partial aggregates. The few hot digests, whose number HOT_SHARE bounds,
     are joined by broadcast. Then all rows are joined with the other repeated digests by a shuffle,
-    in which the rows of hot digests have a salt for each document that no digest has: they match
-    nothing there, and no task gets many of them. So the texts are cut twice in all.
+    in which rows of hot digests have a key of their document instead: no task gets many of them,
+    and whatever they might meet there gives way to what the broadcast gave. So the texts are cut
+    twice in all.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = chunks(docs, id_col, text_col)
@@ -110,9 +111,10 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = shared.agg(F.sum("n")).first()[0] or 0
     # sum(n) is total, and each hot digest has over HOT_SHARE of it: fewer than 1 / HOT_SHARE rows.
     hot = shared.where(F.col("n") > total * HOT_SHARE).select("digest", F.col("first_doc").alias("hot_first"))
-    cold = shared.where(F.col("n") <= total * HOT_SHARE).select("digest", "first_doc", F.lit(0).alias("salt"))
-    marked = rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.when(F.col("hot_first").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.lit(1024)).cast("int")))
-    joined = marked.join(cold, ["digest", "salt"], "left").withColumn("first_doc", F.coalesce("hot_first", "first_doc"))
+    cold = shared.where(F.col("n") <= total * HOT_SHARE).select(F.col("digest").alias("key"), "first_doc")
+    key = F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.xxhash64("digest", "doc_id"))
+    marked = rows.join(F.broadcast(hot), "digest", "left").withColumn("key", key)
+    joined = marked.join(cold, "key", "left").withColumn("first_doc", F.coalesce("hot_first", "first_doc"))
     return joined.where("first_doc IS NOT NULL").select("doc_id", "idx", "start", "len", "words", "digest", "first_doc")
 
 
