@@ -113,9 +113,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot = shared.where(F.col("n") > total * HOT_SHARE).select("digest", F.col("first_doc").alias("hot_first"))
     cold = shared.where(F.col("n") <= total * HOT_SHARE).select(F.col("digest").alias("key"), "first_doc")
     key = F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.xxhash64("digest", "doc_id"))
-    marked = rows.join(F.broadcast(hot), "digest", "left").withColumn("key", key)
+    marked = rows.join(F.broadcast(hot), "digest", "left").withColumn("key", key).drop("digest")
     joined = marked.join(cold, "key", "left").withColumn("first_doc", F.coalesce("hot_first", "first_doc"))
-    return joined.where("first_doc IS NOT NULL").select("doc_id", "idx", "start", "len", "words", "digest", "first_doc")
+    return joined.where("first_doc IS NOT NULL").select("doc_id", "idx", "start", "len", "words", "key", "first_doc")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -128,7 +128,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     inside one document alone are none of this operator's business; repeated rows with one id
     count as one document; extra columns are not looked at; an empty table gives no rows.
     """
-    rows = repeated_chunks(docs, id_col, text_col).dropDuplicates(["doc_id", "idx", "start", "digest"])
+    rows = repeated_chunks(docs, id_col, text_col).dropDuplicates(["doc_id", "idx", "start", "key"])
     in_doc = Window.partitionBy("doc_id")
     runs = rows.withColumn("run", F.col("idx") - F.row_number().over(in_doc.orderBy("idx", "start")))
     runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(F.col("run_words") >= min_words)
