@@ -26,6 +26,14 @@ def any_pattern(pack: RulePack) -> str:
     return "(?U)" + ("|".join(f"(?:{c.pattern})" for c in pack.categories if c.detection == "regex" and c.pattern) or "(?!)")
 
 
+def may_match(text: Column, pack: RulePack) -> Column:
+    """False for most texts without a match, by one scan for the characters that matches need; null texts have none."""
+    cats = [c for c in pack.categories if c.detection == "regex" and c.pattern]
+    if not cats or any(c.needs is None for c in cats):
+        return F.lit(True)
+    return text.rlike("|".join(sorted({c.needs for c in cats})))
+
+
 def match_ranges(text: Column, pattern: str) -> Column:
     """array<struct<word_start, word_end>> of the matches in a text of words with one space between; a space belongs to the word before it."""
     p = F.lit(java_pattern(pattern))
@@ -67,8 +75,9 @@ def annotate(pages: DataFrame, pack: RulePack) -> DataFrame:
 
     none = F.array().cast("array<struct<word_start:int,word_end:int>>")
     text = pages.withColumn("__text", page_text(F.col("words")))
-    hits = [F.transform(F.when(F.col("__text").rlike(java_pattern(c.pattern)), match_ranges(F.col("__text"), c.pattern)).otherwise(none), labelled(o, c)) for o, c in cats]
-    found = F.when(F.col("__text").rlike(any_pattern(pack)), F.concat(*hits)).otherwise(F.array().cast(FOUND))
+    one = lambda c: F.lit(True) if c.needs is None else F.col("__text").rlike(c.needs)
+    hits = [F.transform(F.when(one(c) & F.col("__text").rlike(java_pattern(c.pattern)), match_ranges(F.col("__text"), c.pattern)).otherwise(none), labelled(o, c)) for o, c in cats]
+    found = F.when(may_match(F.col("__text"), pack) & F.col("__text").rlike(any_pattern(pack)), F.concat(*hits)).otherwise(F.array().cast(FOUND))
     return text.withColumn("found", found).drop("__text")
 
 
@@ -80,7 +89,8 @@ def regex_findings(pages: DataFrame, pack: RulePack, with_words: bool = False) -
     keep = ["doc_id", "page", *["words"] * with_words]
     # Pages without a match go by one test of their text. The inline is an outer one, as Spark would
     # infer a filter from any other, push it down and search every page twice.
-    some = pages.where(page_text(F.col("words")).rlike(any_pattern(pack)))
+    text = page_text(F.col("words"))
+    some = pages.where(may_match(text, pack) & text.rlike(any_pattern(pack)))
     found = annotate(some, pack).select(*keep, F.inline_outer("found")).where("word_start IS NOT NULL")
     seq = F.col("ord").cast("long") * F.lit(1 << 50) + F.col("page").cast("long") * F.lit(1 << 20) + F.col("nth")
     return found.select(*keep, "word_start", "word_end", "kind", "confidence", F.lit(f"rules:{pack.name}").alias("source"), seq.alias("seq"))
