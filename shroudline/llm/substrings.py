@@ -1,8 +1,9 @@
 """Substring deduplication by content-defined chunks.
 
 Texts are cut where a gear rolling hash says so, so that an insertion moves the cuts next to it
-only. Chunks are compared by digest over all documents. A run of neighbouring chunks that other
-documents have too, of at least MIN_WORDS words, is a repeated passage.
+only. From each chunk on, the shortest stretch of whole chunks that has MIN_WORDS words is compared
+by digest over all documents. A stretch depends on its own chunks alone, so two documents share one
+exactly where both hold these words in a row. What shared stretches cover is a repeated passage.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import ensure_checkpoint_dir, map_text, texts
 MIN_CHUNK, MAX_CHUNK, CUT_ONE_IN = 16, 160, 3
 #: Words that a repeated passage has at least.
 MIN_WORDS = 15
-#: A digest found more often than this share of all repeated chunk rows counts as hot; there can be no more than 1 / HOT_SHARE such digests.
+#: A digest found more often than this share of all repeated rows counts as hot; there can be no more than 1 / HOT_SHARE such digests.
 HOT_SHARE = 1 / 2000
 
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 9) for b in range(256)], dtype=np.uint32)
@@ -71,32 +72,46 @@ def chunk_bounds(raw: bytes) -> list[tuple[int, int]]:
     return trimmed
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, idx, start, len, words, digest): the chunks of every text; start and len count bytes of UTF-8."""
+def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, start, end, at, words, digest): from each chunk on, the fewest chunks that have min_words words, if there are as many.
+
+    start and end count bytes of UTF-8; at is the number of words before the stretch.
+    """
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = batch.column("doc_id").to_pylist()
-            cols: list[list] = [[], [], [], [], [], []]
             digest = xxhash.xxh3_64_intdigest
+            out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(ids, texts(batch)):
                 raw = text.encode("utf-8", "surrogatepass")
-                for idx, (a, b) in enumerate(chunk_bounds(raw)):
-                    piece = raw[a:b]
-                    for c, v in zip(cols, (doc_id, idx, a, b - a, len(piece.split()), digest(piece))):
-                        c.append(v)
-            arrays = [pa.array(c, t) for c, t in zip(cols[:5], (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))]
-            arrays.append(pa.array(np.array(cols[5], dtype=np.uint64).astype(np.int64)))
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "idx", "start", "len", "words", "digest"])
+                bounds = chunk_bounds(raw)
+                pieces = [raw[a:b] for a, b in bounds]
+                before = np.cumsum([0, *(len(piece.split()) for piece in pieces)])
+                ends = np.searchsorted(before, before[:-1] + max(min_words, 1))
+                n = int(np.searchsorted(ends, len(bounds), "right"))  # ends grow; from here on too few words are left
+                if not n:
+                    continue
+                ends, edges = ends[:n], np.array(bounds)
+                of_chunks = memoryview(np.array([digest(piece) for piece in pieces], dtype=np.uint64).tobytes())
+                out[0].append(np.full(n, doc_id, dtype=np.int64))
+                out[1].append(edges[:n, 0])
+                out[2].append(edges[ends - 1, 1])
+                out[3].append(before[:n])
+                out[4].append(before[ends] - before[:n])
+                out[5].append(np.array([digest(of_chunks[8 * i : 8 * j]) for i, j in enumerate(ends.tolist())], dtype=np.uint64).astype(np.int64))
+            kinds = (np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)
+            arrays = [pa.array(np.concatenate(c).astype(t) if c else np.array([], dtype=t)) for c, t in zip(out, kinds)]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "end", "at", "words", "digest"])
 
         return apply
 
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_text(narrow, "text", "doc_id long, idx int, start int, len int, words int, digest long", make)
+    return map_text(narrow, "text", "doc_id long, start int, end int, at int, words int, digest long", make)
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The chunks that at least two documents have, with first_doc, the smallest id that has the chunk.
+def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The stretches that at least two documents have, with first_doc, the smallest id that has the stretch.
 
     Digests are counted with partial aggregates. The few hot digests, whose number HOT_SHARE bounds,
     are joined by broadcast. Then all rows are joined with the other repeated digests by a shuffle,
@@ -105,7 +120,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twice in all.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = chunks(docs, id_col, text_col)
+    rows = stretches(docs, id_col, text_col, min_words)
     found = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
     shared = found.where("first_doc < last_doc").select("digest", "first_doc", "n").checkpoint()
     total = shared.agg(F.sum("n")).first()[0] or 0
@@ -115,30 +130,46 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.xxhash64("digest", "doc_id"))
     marked = rows.join(F.broadcast(hot), "digest", "left").withColumn("key", key).drop("digest")
     joined = marked.join(cold, "key", "left").withColumn("first_doc", F.coalesce("hot_first", "first_doc"))
-    return joined.where("first_doc IS NOT NULL").select("doc_id", "idx", "start", "len", "words", "key", "first_doc")
+    return joined.where("first_doc IS NOT NULL").select("doc_id", "start", "end", "at", "words", "first_doc")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, run, start, end, words, first_doc, removable): the repeated passages, as byte ranges.
 
-    A passage is a run of neighbouring repeated chunks, of min_words words or more. It gives one
-    row for each stretch whose chunks all have, or all lack, an earlier document that keeps them
-    (removable).
+    A passage is what overlapping repeated stretches cover, each of which one other document holds
+    in a row. It gives one row for each part that stretches of an earlier document, which keeps
+    them, cover or don't cover (removable).
     Cases: null texts and ids give no passage; texts of any length are read whole; repetitions
     inside one document alone are none of this operator's business; repeated rows with one id
     count as one document; extra columns are not looked at; an empty table gives no rows.
     """
-    rows = repeated_chunks(docs, id_col, text_col).dropDuplicates(["doc_id", "idx", "start", "key"])
-    in_doc = Window.partitionBy("doc_id")
-    runs = rows.withColumn("run", F.col("idx") - F.row_number().over(in_doc.orderBy("idx", "start")))
-    runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(F.col("run_words") >= min_words)
-    runs = runs.withColumn("removable", F.col("first_doc") < F.col("doc_id"))
-    part = F.col("idx") - F.row_number().over(Window.partitionBy("doc_id", "run", "removable").orderBy("idx", "start"))
+    rows = repeated_stretches(docs, id_col, text_col, min_words).dropDuplicates(["doc_id", "start", "end", "first_doc"])
+    in_doc = Window.partitionBy("doc_id").orderBy("start", "end")
+    so_far, earlier = in_doc.rowsBetween(Window.unboundedPreceding, 0), in_doc.rowsBetween(Window.unboundedPreceding, -1)
+    begin, end = F.struct(F.col("start").alias("byte"), F.col("at").alias("word")), F.struct(F.col("end").alias("byte"), (F.col("at") + F.col("words")).alias("word"))
+    rows = rows.select("doc_id", "start", "first_doc", begin.alias("begin"), end.alias("stop"), (F.col("first_doc") < F.col("doc_id")).alias("cut"), "end")
+    rows = rows.select(
+        "doc_id", "start", "end", "begin",
+        F.when(F.col("cut"), F.col("first_doc")).alias("first_doc"),
+        F.lead("begin").over(in_doc).alias("next"),
+        F.max("stop").over(so_far).alias("covered"),
+        F.max("stop").over(earlier).alias("reached"),
+        F.max(F.when(F.col("cut"), F.col("stop"))).over(so_far).alias("cuttable"),
+    )
+    rows = rows.withColumn("run", F.sum(F.when(F.col("start") < F.col("reached.byte"), 0).otherwise(1)).over(so_far))
+    # From the start of a row to that of the next one: first what can go, then what only this or later documents cover.
+    gone_to = F.least(F.greatest("begin", "cuttable"), F.coalesce("next", "covered"))
+    kept_to = F.least("covered", F.coalesce("next", "covered"))
+    piece = lambda a, b, removable, first: F.struct(a.alias("a"), b.alias("b"), F.lit(removable).alias("removable"), first.alias("first_doc"))
+    pieces = F.array(piece(F.col("begin"), gone_to, True, F.col("first_doc")), piece(gone_to, kept_to, False, F.col("doc_id")))
+    parts = rows.select("doc_id", "run", F.explode(pieces).alias("p")).select("doc_id", "run", "p.*").where("a.byte < b.byte")
+    in_run = Window.partitionBy("doc_id").orderBy("a.byte")
+    turn = (F.lag("run").over(in_run) != F.col("run")) | (F.lag("removable").over(in_run) != F.col("removable"))
     return (
-        runs.withColumn("part", part)
+        parts.withColumn("part", F.sum(F.when(turn, 1).otherwise(0)).over(in_run.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("doc_id", "run", "removable", "part")
-        .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("len")).alias("end"), F.sum("words").alias("words"), F.min("first_doc").alias("first_doc"))
-        .select("doc_id", "run", "start", "end", "words", "first_doc", "removable")
+        .agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("first_doc").alias("first_doc"))
+        .select("doc_id", "run", F.col("a.byte").alias("start"), F.col("b.byte").alias("end"), (F.col("b.word") - F.col("a.word")).alias("words"), "first_doc", "removable")
     )
 
 

@@ -76,3 +76,48 @@ def test_odd_texts_null_ids_and_empty_table(make_docs):
     assert None in rows and "word " * 6000 in rows
     assert substrings.shared_documents(docs.limit(0)).count() == 0
     assert {r["doc_id"] for r in substrings.shared_documents(docs).collect()} == {4, 50}
+
+
+def test_one_other_document_holds_each_passage(make_docs):
+    rng = random.Random(4)
+    mixed = prose(rng, 200)
+    bounds = substrings.chunk_bounds(mixed.encode())
+    pairs = [mixed[a:d] for (a, _), (_, d) in zip(bounds, bounds[1:])]
+    donors = [f"{pair} {prose(rng, 40)}" for pair in pairs if len(pair.split()) < substrings.MIN_WORDS]
+    docs = make_docs([*donors, mixed])
+    assert substrings.shared_documents(docs).count() == 0
+    assert [r["text"] for r in substrings.remove_repeats(docs).where(f"doc_id = {len(donors) + 1}").collect()] == [mixed]
+
+
+def test_passages_are_what_shared_stretches_cover(make_docs):
+    rng = random.Random(5)
+    pool = [prose(rng, n) for n in (8, 20, 30, 45, 60, 12)]
+    texts = ["\n".join(rng.choice((rng.choice(pool), prose(rng, 10))) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    held: dict[tuple, list[int]] = {}
+    places = []
+    for k, text in enumerate(texts, 1):
+        raw = text.encode()
+        bounds = substrings.chunk_bounds(raw)
+        for i in range(len(bounds)):
+            for j in range(i + 1, len(bounds) + 1):
+                pieces = tuple(raw[a:b] for a, b in bounds[i:j])
+                if sum(len(p.split()) for p in pieces) >= substrings.MIN_WORDS:
+                    held.setdefault(pieces, []).append(k)
+                    places.append((k, bounds[i][0], bounds[j - 1][1], pieces))
+                    break
+    shared, gone = {}, {}
+    for k, a, b, pieces in places:
+        if set(held[pieces]) != {k}:
+            shared.setdefault(k, set()).update(range(a, b))
+        if min(held[pieces]) < k:
+            gone.setdefault(k, set()).update(range(a, b))
+    got_shared, got_gone, words = {}, {}, {}
+    for r in substrings.passages(make_docs(texts)).collect():
+        got_shared.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+        if r["removable"]:
+            assert r["first_doc"] < r["doc_id"]
+            got_gone.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+        words[r["doc_id"]] = words.get(r["doc_id"], 0) + r["words"]
+    solid = lambda found: {k: {i for i in at if not texts[k - 1][i].isspace()} for k, at in found.items()}
+    assert solid(got_shared) == solid(shared) and solid(got_gone) == solid(gone) and gone
+    assert words == {k: len("".join(c if i in at else " " for i, c in enumerate(texts[k - 1])).split()) for k, at in shared.items()}
