@@ -4,6 +4,7 @@ Texts are cut where a gear rolling hash says so, so that an insertion moves the
 only. From each chunk on, the shortest stretch of whole chunks that has MIN_WORDS words is compared
 by digest over all documents. A stretch depends on its own chunks alone, so two documents share one
 exactly where both hold these words in a row. What shared stretches cover is a repeated passage.
+Text without white space is cut between characters in the same way, and its length counts as words.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from .common import ensure_checkpoint_dir, map_text, texts
 
 #: Bytes a chunk has at least and at most; a cut is taken at one in CUT_ONE_IN of the white-space bytes.
 MIN_CHUNK, MAX_CHUNK, CUT_ONE_IN = 16, 160, 3
+#: Bytes without white space after which text may also be cut between characters, at one in CHAR_CUT_ONE_IN of them. The gear hash reads as many.
+LONG_RUN, CHAR_CUT_ONE_IN = 32, 12
+#: Length that counts as a word in such text: an East Asian character has the length 3, others 1.
+WORD_LENGTH = 6
 #: Words that a repeated passage has at least.
 MIN_WORDS = 15
 #: A digest found more often than this share of all repeated rows counts as hot; there can be no more than 1 / HOT_SHARE such digests.
@@ -39,20 +44,28 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_bounds(raw: bytes) -> list[tuple[int, int]]:
-    """Half-open byte ranges of the chunks, in order, without the white space around them."""
+    """Half-open byte ranges of the chunks, in order, without the white space around them.
+
+    Cuts are at white space, and between characters that have LONG_RUN bytes without white space
+    before them, as in Chinese, Japanese, Thai, base64 or minified JSON. Either kind of cut
+    depends on the bytes just before it only.
+    """
     n = len(raw)
     if not n:
         return []
     data = np.frombuffer(raw, dtype=np.uint8)
-    space = _SPACE[data]
-    cuts = np.flatnonzero(space & (gear_hashes(data) < np.uint32(2**32 // CUT_ONE_IN))).tolist()
-    cuts.append(n)
-    spaces = None
+    spaces = np.flatnonzero(_SPACE[data])
+    h = gear_hashes(data)
+    cuts = spaces[h[spaces] < np.uint32(2**32 // CUT_ONE_IN)]
+    edges = np.concatenate(([-1], spaces, [n]))
+    if np.diff(edges).max() > LONG_RUN:
+        at = np.flatnonzero(h[:-1] < np.uint32(2**32 // CHAR_CUT_ONE_IN)) + 1
+        at = at[(data[at] & 0xC0 != 0x80) & ~_SPACE[data[at]]]
+        at = at[at - edges[np.searchsorted(edges, at) - 1] > LONG_RUN]
+        cuts = np.union1d(cuts, at)
     out, start = [], 0
-    for cut in cuts:
+    for cut in [*cuts.tolist(), n]:
         while cut - start > MAX_CHUNK:  # no cut by content: at the last space, else between characters
-            if spaces is None:
-                spaces = np.flatnonzero(space)
             k = int(np.searchsorted(spaces, start + MAX_CHUNK, "right")) - 1
             end = int(spaces[k]) if k >= 0 and spaces[k] > start + MIN_CHUNK else start + MAX_CHUNK
             while end > start and end < n and raw[end] & 0xC0 == 0x80:
@@ -72,6 +85,27 @@ def chunk_bounds(raw: bytes) -> list[tuple[int, int]]:
     return trimmed
 
 
+def chunk_words(raw: bytes, bounds: list[tuple[int, int]]) -> list[int]:
+    """The words of each chunk; parts of words that a cut made, and words of over LONG_RUN bytes, count by their length."""
+    n, out = len(raw), []
+    for a, b in bounds:
+        parts = raw[a:b].split()
+        long = {k for k, part in enumerate(parts) if len(part) > LONG_RUN}
+        if a and not _SPACE[raw[a - 1]]:
+            long.add(0)
+        if b < n and not _SPACE[raw[b]]:
+            long.add(len(parts) - 1)
+        out.append(len(parts) - len(long) + sum(_by_length(parts[k]) for k in long))
+    return out
+
+
+def _by_length(part: bytes) -> int:
+    data = np.frombuffer(part, dtype=np.uint8)
+    # Lead bytes from E3 on, but for the private and presentation forms of EE and EF, and those of four bytes.
+    wide = np.count_nonzero((data >= 0xE3) & (data <= 0xED)) + np.count_nonzero(data >= 0xF0)
+    return -(-(np.count_nonzero(data & 0xC0 != 0x80) + 2 * wide) // WORD_LENGTH)
+
+
 def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, at, words, digest): from each chunk on, the fewest chunks that have min_words words, if there are as many.
 
@@ -87,7 +121,7 @@ def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 raw = text.encode("utf-8", "surrogatepass")
                 bounds = chunk_bounds(raw)
                 pieces = [raw[a:b] for a, b in bounds]
-                before = np.cumsum([0, *(len(piece.split()) for piece in pieces)])
+                before = np.cumsum([0, *chunk_words(raw, bounds)])
                 ends = np.searchsorted(before, before[:-1] + max(min_words, 1))
                 n = int(np.searchsorted(ends, len(bounds), "right"))  # ends grow; from here on too few words are left
                 if not n:

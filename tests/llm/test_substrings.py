@@ -121,3 +121,42 @@ def test_passages_are_what_shared_stretches_cover(make_docs):
     solid = lambda found: {k: {i for i in at if not texts[k - 1][i].isspace()} for k, at in found.items()}
     assert solid(got_shared) == solid(shared) and solid(got_gone) == solid(gone) and gone
     assert words == {k: len("".join(c if i in at else " " for i, c in enumerate(texts[k - 1])).split()) for k, at in shared.items()}
+
+
+def unspaced(rng, n, kind):
+    if kind == "json":
+        return ",".join(str(rng.randint(0, 10**6)) for _ in range(n // 7 + 1))[:n]
+    if kind == "base64":
+        return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    low, high = {"chinese": (0x4E00, 0x9FA5), "thai": (0x0E01, 0x0E2E)}[kind]
+    return "".join(chr(rng.randint(low, high)) for _ in range(n))
+
+
+def test_passages_without_white_space_are_found_wherever_they_stand(make_docs):
+    rng = random.Random(6)
+    for kind in ("chinese", "thai", "json", "base64"):
+        passage = unspaced(rng, 600, kind)
+        texts = [unspaced(rng, 300, kind) + passage + unspaced(rng, 300, kind)]
+        texts += [unspaced(rng, n, kind) + passage + unspaced(rng, 300, kind) for n in (1, 7, 53)] + [prose(rng, 30) + " " + passage]
+        raws = [t.encode() for t in texts]
+        first, *others = [{r[a:b] for a, b in substrings.chunk_bounds(r)} for r in raws]
+        size = len(passage.encode())
+        assert all(sum(map(len, first & o)) > 0.8 * size for o in others)
+        for r in raws:
+            assert all(b - a <= substrings.MAX_CHUNK and r[a:b].decode() for a, b in substrings.chunk_bounds(r))
+        docs = make_docs([*texts, unspaced(rng, 1500, kind)])
+        assert {r["doc_id"] for r in substrings.shared_documents(docs).collect()} == {1, 2, 3, 4, 5}
+        cut = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(docs).collect()}
+        assert cut[1] == texts[0] and all(len(texts[k - 1]) - len(cut[k]) > 480 for k in (2, 3, 4, 5))
+
+
+def test_length_counts_as_words_without_white_space(make_docs):
+    rng = random.Random(7)
+    for kind, short, enough in (("chinese", 25, 100), ("base64", 60, 240)):
+        for n, found in ((short, set()), (enough, {1, 2})):
+            passage = unspaced(rng, n, kind)
+            docs = make_docs([unspaced(rng, 40, kind) + passage + unspaced(rng, 90, kind), unspaced(rng, 71, kind) + passage])
+            assert {r["doc_id"] for r in substrings.shared_documents(docs).collect()} == found
+    text = prose(rng, 300).encode()
+    bounds = substrings.chunk_bounds(text)
+    assert substrings.chunk_words(text, bounds) == [len(text[a:b].split()) for a, b in bounds]
