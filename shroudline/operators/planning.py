@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import ensure_checkpoint_dir
+
 #: Words that the halves of a page share at their cut. Fixed value.
 OVERLAP = 50
 
@@ -55,9 +57,18 @@ def halves(items: DataFrame) -> DataFrame:
     return splits.select(*others, F.explode(F.array(left, right)).alias("c")).select(*others, "c.*")
 
 
-def halve_tree(items: DataFrame, levels: int) -> DataFrame:
-    """Items with all their descendants down to a level; each level is one projection, no join."""
+def halve_tree(items: DataFrame, levels: int | None = None) -> DataFrame:
+    """Items with all their descendants, or those down to a level; each level is one projection, no join.
+
+    Without levels it goes on until nothing can be halved: floor(log2(n - 2 * OVERLAP)) + 1 levels
+    for n words, and about four rows a word. Levels are checkpointed then.
+    """
     out = level = items
+    if levels is None:
+        ensure_checkpoint_dir(items.sparkSession)
+        while not (level := halves(level).checkpoint()).isEmpty():
+            out = out.unionByName(level)
+        return out
     for _ in range(levels):
         level = halves(level)
         out = out.unionByName(level)

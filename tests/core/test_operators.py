@@ -170,6 +170,18 @@ def test_halves(spark):
     assert got == [(1, "L", [1], 0, 4050), (1, "R", [1], 3950, 8000), (2, "LL", [1], 100, 200), (2, "LR", [1], 101, 201), (4, "L", [1], None, None), (4, "R", [2, 5], None, None)]
 
 
+def test_halve_tree_reaches_the_floor(spark):
+    def tree(path, w0, w1):
+        half = (w1 - w0) // 2 + 50
+        below = tree(path + "L", w0, w0 + half) + tree(path + "R", w1 - half, w1) if w1 - w0 > 100 else []
+        return [(path, w0, w1), *below]
+
+    items = spark.createDataFrame([(1, "", [1], 0, 1000), (2, "", [1], 0, 116), (3, "", [1], 0, 100), (4, "", [1, 2, 5], None, None)], "doc_id long, path string, pages array<int>, w0 int, w1 int")
+    got = sorted((r["doc_id"], r["path"], r["w0"], r["w1"]) for r in planning.halve_tree(items).where("doc_id < 4").collect())
+    assert got == sorted((k, *node) for k, n in ((1, 1000), (2, 116), (3, 100)) for node in tree("", 0, n))
+    assert sorted(r["path"] for r in planning.halve_tree(items).where("doc_id = 4").collect()) == ["", "L", "R", "RL", "RR"]
+
+
 def test_submissions(spark):
     cats = spark.createDataFrame([(0, "a", "llm", None), (1, "b", "llm", "m"), (2, "c", "regex", None), (3, "d", "llm", None)], "ord int, id string, detection string, model string")
     rules_ = spark.createDataFrame([(0, "x")], "ord int, text string")
