@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -77,26 +78,28 @@ def call(prompts: DataFrame, provider: Provider, max_retries: int, parallel: int
     return prompts.repartition(parallel, "doc_id", "batch_idx", "path", "ord").mapInPandas(run, out.schema)
 
 
-def detect(pages: DataFrame, submissions: DataFrame, provider: Provider, *, pages_per_batch: int = 1, max_retries: int = 0, parallel: int = 4, max_levels: int = 16, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def detect(pages: DataFrame, submissions: DataFrame, provider: Provider, *, pages_per_batch: int = 1, max_retries: int = 0, parallel: int = 4, max_levels: int | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, calls, failed) of a provider over all pages and submissions.
 
     Answers are written to the checkpoint folder before anything reads them, so that no call is
     made twice. Findings of halves are moved to their page and deduplicated within the item that
     was halved; those of different items or submissions are not. With strict an item that can't be
-    halved any more raises CallFailed, otherwise it is a row of failed.
+    halved any more raises CallFailed, otherwise it is a row of failed. Rounds go on until nothing is
+    lost, which the size of the pages bounds; with max_levels, what the last round loses counts as failed.
     """
     ensure_checkpoint_dir(pages.sparkSession)
     todo = work_items(pages, pages_per_batch, submissions)
     answered, failed = [], []
-    for _ in range(max_levels):
+    for level in count(1):
         got = call(with_prompts(todo, pages), provider, max_retries, parallel).checkpoint()
         answered.append(got.where("answered"))
         lost = got.where("NOT answered").select(*todo.columns)
-        floor = lost.where((F.size("pages") == 1) & (F.col("w1") - F.col("w0") <= 100))
-        if strict and (bad := floor.first()):
+        last = level == max_levels
+        given_up = lost if last else lost.where((F.size("pages") == 1) & (F.col("w1") - F.col("w0") <= 100))
+        if strict and (bad := given_up.first()):
             raise CallFailed(f"document {bad['doc_id']}, batch {bad['batch_idx']}, pages {bad['pages']}, words {bad['w0']} to {bad['w1']}: no answer in {max_retries + 1} attempts")
-        failed.append(floor)
-        if lost.isEmpty():
+        failed.append(given_up)
+        if last or lost.isEmpty():
             break
         sizes = pages.select("doc_id", F.col("page").alias("only"), F.size("words").cast("int").alias("n"))
         children = halves(lost)

@@ -225,6 +225,15 @@ def test_failed_items_are_halved_and_findings_moved(spark, pages_of):
     assert {r["doc_id"] for r in failed.collect()} == {0}
 
 
+def test_what_the_last_round_loses_is_failed(spark, pages_of):
+    pages = pages_of(" ".join(["w"] * 900), page_words=1000)
+    subs = spark.createDataFrame([(0, "m", ["s"], [])], "ord int, model string, category_ids array<string>, instructions array<string>")
+    _, _, failed = providers.detect(pages, subs, words_provider(300), parallel=2, max_levels=2, strict=False)
+    assert sorted((r["path"], r["w0"], r["w1"]) for r in failed.collect()) == [("L", 0, 500), ("R", 400, 900)]
+    with pytest.raises(providers.CallFailed):
+        providers.detect(pages, subs, words_provider(300), parallel=2, max_levels=2)
+
+
 def test_batches_of_pages_are_halved_by_pages(spark, pages_of):
     pages = pages_of(" ".join(["secret"] * 50), page_words=10)
     subs = spark.createDataFrame([(0, "m", [], ["find it"])], "ord int, model string, category_ids array<string>, instructions array<string>")
