@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
+from .functions.tables import table
 from .operators import backups, costs, planning, providers, redaction, replay, rules, selection
 from .operators import findings as fnd
 from .plans import instructions
@@ -68,7 +69,7 @@ words AS (SELECT doc_id, n // 400 + 1 AS page, n % 400 AS idx, text, block_id
     + " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(len(_REGEX)))
     + ")",
     "calls": """calls AS (
-  SELECT conv_id AS doc_id, turn AS batch_idx, 'hosted' AS provider, CASE WHEN role = 'user' THEN 'large' ELSE 'small' END AS model,
+  SELECT conv_id AS doc_id, turn AS batch_idx, CASE WHEN role IS NULL THEN 'local' ELSE 'hosted' END AS provider, CASE WHEN role = 'user' THEN 'large' ELSE 'small' END AS model,
          length(text) AS tokens_in, length(text) % 97 AS tokens_out, CASE WHEN turn = 0 THEN 1180 ELSE 0 END AS cache_creation_input_tokens,
          CASE WHEN turn > 0 THEN 1180 ELSE 0 END AS cache_read_input_tokens, length(text) * 3 % 5000 AS duration_ms
   FROM conversations)""",
@@ -77,7 +78,7 @@ words AS (SELECT doc_id, n // 400 + 1 AS page, n % 400 AS idx, text, block_id
     "masked": """masked AS (SELECT w.*, EXISTS (SELECT 1 FROM found f WHERE f.doc_id = w.doc_id AND f.page = w.page AND w.idx BETWEEN f.word_start AND f.word_end) AS hit FROM words w)""",
     "backups": """backups AS (
   SELECT strftime(TIMESTAMP '2026-01-01 00:00:00' + INTERVAL 1 MINUTE * doc_id * 37, '%Y-%m-%dT%H-%M-%SZ') || '-' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 6) AS session_dir,
-         TIMESTAMP '2026-01-01 00:00:00' + INTERVAL 1 MINUTE * doc_id * 37 AS ts, source AS original_path, 'copy/' || doc_id AS copy_path FROM documents)""",
+         TIMESTAMP '2026-01-01 00:00:00' + INTERVAL 1 MINUTE * doc_id * 37 AS ts, source AS original_path, 'copy/' || doc_id AS copy_path, doc_id FROM documents)""",
 }
 
 BASE = ("words", "pg", "found")
@@ -160,6 +161,24 @@ def findings_by_kind(spark, sf_dir):
     return _found(spark, sf_dir).groupBy("kind", "confidence").agg(F.count("*").alias("n_findings"), F.count_distinct("doc_id").alias("n_documents"))
 
 
+# Texts with the kinds of data that the driver's tables lack, and with matches over several words.
+LITERALS = (
+    "ssn 123-45-6789 and (987-65-4321), not 12-345-6789 or 1234-56-7890",
+    "pay to DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432 today",
+    "call +1 555 123 4567, (555)123-4567 or 555.123.4567x; mail a.b@c.de.",
+    "FR14 2004 1010 0505 0001 3M02 606 987-65-4321 x@y.org 555 123 4567",
+)
+CTES["literals"] = "documents(doc_id, text) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(LITERALS)) + ")"
+
+
+@query("SELECT doc_id, page, word_start, word_end, kind, array_to_string(ws[word_start+1:word_end+1], ' ') AS text FROM found f JOIN pg USING (doc_id, page)", ("literals", *BASE))
+def findings_in_literals(spark, sf_dir):
+    """Social security numbers, bank accounts, and matches over several words."""
+    docs = spark.createDataFrame(list(enumerate(LITERALS)), "doc_id long, text string")
+    rows = rules.regex_findings(corpus.paginate(docs, "doc_id", F.col("text")), PACK, with_words=True)
+    return longs(rows.select("doc_id", "page", "word_start", "word_end", "kind", fnd.text_of(fnd.covered()).alias("text")))
+
+
 @query("""SELECT f.doc_id, f.page, word_start, word_end, kind, array_to_string(ws[word_start+1:word_end+1], ' ') AS text,
 sha256(array_to_string(ws[word_start+1:word_end+1], ' ')) AS text_sha256, sha256(array_to_string(ws[greatest(word_start-16,0)+1:least(n, word_end+17)], ' ')) AS context_sha256
 FROM found f JOIN pg USING (doc_id, page)""", BASE)
@@ -206,6 +225,11 @@ def translate_indices(spark, sf_dir):
 FROM pg WHERE page = 1 AND (doc_id % 7) < n""", ("words", "pg"))
 def payload_parse(spark, sf_dir):
     """One valid item of three in a made-up answer for each document: the others name an unknown page and lack a field."""
+    answers, sizes = _answers(spark, sf_dir)
+    return longs(fnd.parse_payloads(answers, sizes, F.lit("llm")).drop("seq", "source"))
+
+
+def _answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     pages = _pages(spark, sf_dir)
     sizes = pages.select("doc_id", "page", F.size("words").alias("n_words"))
     conf = F.when(F.col("doc_id") % 3 == 0, '"high"').when(F.col("doc_id") % 3 == 1, '"sure"').otherwise("null")
@@ -213,8 +237,13 @@ def payload_parse(spark, sf_dir):
         '{"findings": [{"page": 1, "start": "0", "end": %d.5, "kind": "person_name", "confidence": %s}, {"page": 9999, "start": 0, "end": 0, "kind": "x"}, {"page": 1, "end": 2, "kind": "x"}]}',
         F.col("doc_id") % 7, conf,
     )
-    answers = pages.select("doc_id").distinct().select("doc_id", payload.alias("payload"))
-    return longs(fnd.parse_payloads(answers, sizes, F.lit("llm")).drop("seq", "source"))
+    return pages.where("page = 1").select("doc_id", payload.alias("payload")), sizes
+
+
+@query("""SELECT doc_id, CASE WHEN (doc_id % 7) < n THEN 1 ELSE 0 END::BIGINT AS n_kept, CASE WHEN (doc_id % 7) < n THEN 2 ELSE 3 END::BIGINT AS n_dropped FROM pg WHERE page = 1""", ("words", "pg"))
+def dropped_findings(spark, sf_dir):
+    """How many items of the answers of payload_parse are kept and dropped."""
+    return longs(fnd.dropped_items(*_answers(spark, sf_dir)))
 
 
 # ---- selections ----
@@ -270,7 +299,7 @@ def serialize_flat(spark, sf_dir):
 FROM (SELECT doc_id, page, block_id, string_agg('[' || idx || ']' || text, ' ' ORDER BY idx) AS inner_text FROM words GROUP BY doc_id, page, block_id) GROUP BY doc_id, page""", ("words",))
 def serialize_blocks(spark, sf_dir):
     s = tx.serialize_blocks(F.col("page"), F.col("words"))
-    return longs(_pages(spark, sf_dir).select("doc_id", "page", F.sha2(s, 256).alias("sha256"), F.size(tx.block_starts(F.col("words"))).alias("n_blocks")))
+    return longs(_pages(spark, sf_dir).select("doc_id", "page", F.sha2(s, 256).alias("sha256"), tx.block_runs(F.col("words")).alias("n_blocks")))
 
 
 @query("SELECT doc_id, CAST(sum(b) AS BIGINT) AS n_blocks FROM (SELECT doc_id, page, count(DISTINCT block_id) AS b FROM words GROUP BY doc_id, page) GROUP BY doc_id", ("words",))
@@ -299,8 +328,8 @@ def cost_estimates(spark, sf_dir):
 
 def _calls(spark, sf_dir) -> DataFrame:
     n, turn = F.length("text").cast("long"), F.col("turn")
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
-        F.col("conv_id").alias("doc_id"), turn.alias("batch_idx"), F.lit("hosted").alias("provider"), F.when(F.col("role") == "user", "large").otherwise("small").alias("model"),
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), turn.alias("batch_idx"), F.when(F.col("role").isNull(), "local").otherwise("hosted").alias("provider"), F.when(F.col("role") == "user", "large").otherwise("small").alias("model"),
         n.alias("tokens_in"), (n % 97).alias("tokens_out"), F.when(turn == 0, 1180).otherwise(0).cast("long").alias("cache_creation_input_tokens"),
         F.when(turn > 0, 1180).otherwise(0).cast("long").alias("cache_read_input_tokens"), (n * 3 % 5000).alias("duration_ms"),
     )
@@ -327,7 +356,7 @@ def cost_divergence(spark, sf_dir):
 CASE WHEN doc_id % 2 = 0 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS input_per_million FROM documents""")
 def wildcard_rates(spark, sf_dir):
     even = F.col("doc_id") % 2 == 0
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     calls = docs.select("doc_id", F.when(even, "hosted").otherwise("local").alias("provider"), F.when(even, "medium").otherwise(F.concat(F.lit("any-"), F.col("doc_id") % 5)).alias("model"))
     return pricing.with_rates(calls, pricing.sample(spark)).select("doc_id", "provider", "model", "input_per_million")
 
@@ -346,9 +375,31 @@ def page_batches(spark, sf_dir):
     return longs(planning.batches(_pages(spark, sf_dir), 3))
 
 
+@query("""SELECT doc_id, batch_idx, CASE WHEN min(page) = max(page) THEN CAST(min(page) AS VARCHAR) ELSE min(page) || '–' || max(page) END AS label
+FROM (SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1) // 3 AS batch_idx FROM pg) GROUP BY doc_id, batch_idx""", ("words", "pg"))
+def batch_labels(spark, sf_dir):
+    """The first and last page of each batch, as messages show them."""
+    rows = planning.batches(_pages(spark, sf_dir), 3).groupBy("doc_id", "batch_idx").agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    return longs(rows.select("doc_id", "batch_idx", tx.page_range_label(F.col("pages")).alias("label")))
+
+
+@query("""SELECT * FROM (VALUES (0::BIGINT, 'large', 'person_name,street_address', 'names of judges'), (1, 'large', 'person_name,street_address', 'dates of birth')) t(ord, model, category_ids, instructions)""")
+def joint_submissions(spark, sf_dir):
+    rows = planning.joint_submissions(_own_categories(spark), _asked(spark), "large")
+    return longs(rows.select("ord", "model", F.array_join("category_ids", ",").alias("category_ids"), F.array_join("instructions", ",").alias("instructions")))
+
+
+def _own_categories(spark) -> DataFrame:
+    cats = rulepacks.as_table(spark, PACK)
+    return cats.unionByName(spark.createDataFrame([("own", 6, "case_no", "case number", "llm", "low", None, "small")], cats.schema))
+
+
+def _asked(spark) -> DataFrame:
+    return spark.createDataFrame([(0, "names of judges"), (1, "dates of birth")], "ord int, text string")
+
+
 def _submissions(spark) -> DataFrame:
-    cats = rulepacks.as_table(spark, PACK).unionByName(spark.createDataFrame([("own", 6, "case_no", "case number", "llm", "low", None, "small")], rulepacks.as_table(spark, PACK).schema))
-    return planning.submissions(cats, spark.createDataFrame([(0, "names of judges"), (1, "dates of birth")], "ord int, text string"), "large")
+    return planning.submissions(_own_categories(spark), _asked(spark), "large")
 
 
 @query("""SELECT * FROM (VALUES (0::BIGINT, 'large', 'person_name,street_address', ''), (1, 'small', 'case_no', ''), (2, 'large', '', 'names of judges'), (3, 'large', '', 'dates of birth')) t(ord, model, category_ids, instructions)""")
@@ -356,26 +407,27 @@ def submissions_by_model(spark, sf_dir):
     return longs(_submissions(spark).select("ord", "model", F.array_join("category_ids", ",").alias("category_ids"), F.array_join("instructions", ",").alias("instructions")))
 
 
-_TREE = """WITH RECURSIVE sizes AS (SELECT doc_id, n_words FROM (SELECT doc_id, length(text) AS n_words FROM documents)),
-tree(doc_id, path, w0, w1, lvl) AS (
-  SELECT doc_id, '', 0::BIGINT, n_words, 0 FROM sizes
+_TREE = r"""WITH RECURSIVE sizes AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\f\r]+')) AS n_words FROM documents),
+tree(doc_id, path, w0, w1) AS (
+  SELECT doc_id, '', 0::BIGINT, n_words FROM sizes WHERE n_words > 0
   UNION ALL
-  SELECT doc_id, path || side, CASE side WHEN 'L' THEN w0 ELSE w1 - ((w1 - w0) // 2 + 50) END, CASE side WHEN 'L' THEN w0 + (w1 - w0) // 2 + 50 ELSE w1 END, lvl + 1
-  FROM tree, (VALUES ('L'), ('R')) s(side) WHERE w1 - w0 > 100 AND lvl < 4)
+  SELECT doc_id, path || side, CASE side WHEN 'L' THEN w0 ELSE w1 - ((w1 - w0) // 2 + 50) END, CASE side WHEN 'L' THEN w0 + (w1 - w0) // 2 + 50 ELSE w1 END
+  FROM tree, (VALUES ('L'), ('R')) s(side) WHERE w1 - w0 > 100)
 SELECT doc_id, path, w0, w1 FROM tree"""
 
 
 @query(_TREE)
 def halve_tree(spark, sf_dir):
-    """Halves down to four levels of ranges as long as the documents' texts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    items = docs.select("doc_id", F.lit("").alias("path"), F.array(F.lit(1)).alias("pages"), F.lit(0).alias("w0"), F.length("text").cast("int").alias("w1"))
-    return longs(planning.halve_tree(items, 4).select("doc_id", "path", "w0", "w1"))
+    """The words of each document as one range, with all halves that failing calls could come to."""
+    n = F.regexp_count("text", F.lit(r"[^ \t\n\f\r]+"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).where("n > 0")
+    items = docs.select("doc_id", F.lit("").alias("path"), F.array(F.lit(1)).alias("pages"), F.lit(0).alias("w0"), F.col("n").alias("w1"))
+    return longs(planning.halve_tree(items).select("doc_id", "path", "w0", "w1"))
 
 
 @query("SELECT source, CAST(backoff AS DOUBLE) AS backoff, k AS attempt, backoff * pow(2.0, k) AS delay FROM (SELECT source, backoff, unnest(range(0, tries)) AS k FROM (SELECT source, count(*) % 5 AS tries, (count(*) % 3 + 1)::DOUBLE AS backoff FROM documents GROUP BY source))")
 def retry_schedule(spark, sf_dir):
-    by = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg((F.count("*") % 5).alias("tries"), (F.count("*") % 3 + 1).cast("double").alias("backoff"))
+    by = table(spark, sf_dir, "documents").groupBy("source").agg((F.count("*") % 5).alias("tries"), (F.count("*") % 3 + 1).cast("double").alias("backoff"))
     return longs(by.select("source", "backoff", F.posexplode(tx.retry_delays(F.col("tries"), F.col("backoff"), F.lit(2.0))).alias("attempt", "delay")))
 
 
@@ -383,7 +435,7 @@ def retry_schedule(spark, sf_dir):
 def config_precedence(spark, sf_dir):
     k = F.col("doc_id")
     layers = (F.when(k % 3 == 0, "flag").otherwise(""), F.when(k % 4 == 0, F.col("lang")), F.when(k % 5 == 0, F.col("source")).otherwise(""), F.lit("default"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tx.first_set(*layers).alias("setting"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.first_set(*layers).alias("setting"))
 
 
 @query(r"""SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 2 THEN trim('```' || text, E' \n') ELSE trim(text, E' \n') END) AS sha256 FROM documents""")
@@ -392,7 +444,7 @@ def strip_code_fences(spark, sf_dir):
     k, t = F.col("doc_id") % 3, F.col("text")
     plain = F.regexp_replace(t, r"^\s+|\s+$", "")
     fenced = F.when(k == 0, F.concat(F.lit("  ```json\n"), plain, F.lit("\n```\n"))).when(k == 1, t).otherwise(F.concat(F.lit("```"), t))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(tx.strip_code_fence(fenced), 256).alias("sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.strip_code_fence(fenced), 256).alias("sha256"))
 
 
 @query(r"""SELECT doc_id, n - 1 AS nth, rule FROM (SELECT doc_id, unnest(rules) AS rule, generate_subscripts(rules, 1) AS n FROM (SELECT doc_id, CASE doc_id % 4
@@ -405,7 +457,7 @@ def instruction_split(spark, sf_dir):
         .when(k == 2, F.format_string("%s names\n \n\n%s", "lang", "source"))
         .otherwise(F.format_string("  %s 1. %s", "lang", "source"))
     )
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(tx.split_instruction(text)).alias("nth", "rule"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.split_instruction(text)).alias("nth", "rule"))
     return longs(docs)
 
 
@@ -433,8 +485,8 @@ def diff_removed_words(spark, sf_dir):
 
 @query("SELECT doc_id, page, count(*) FILTER (hit) AS n_removed, string_agg(text, ',' ORDER BY idx) FILTER (hit) AS removed FROM masked GROUP BY doc_id, page", (*BASE, "masked"))
 def diff_pages(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    diff = redaction.page_diff(pages, redaction.redact_found(rules.annotate(pages, PACK)))
+    """Pages and their own redaction, compared in the row."""
+    diff = redaction.diff_found(rules.annotate(_pages(spark, sf_dir), PACK))
     return longs(diff.select("doc_id", "page", F.size("removed").alias("n_removed"), F.when(F.size("removed") > 0, F.array_join("removed", ",")).alias("removed")))
 
 
@@ -457,20 +509,31 @@ def _rects(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", "rect_id", (F.col("rect_id") * 400.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("rect_id") * 400.0 + 170).alias("x1"), F.when(F.col("rect_id") == 2, 4.0).otherwise(9.5).alias("y1"), F.array(shade, shade, shade).alias("fill"))
 
 
+def _with_rects(pages: DataFrame) -> DataFrame:
+    """The same rectangles in a column of the pages, as an extractor that sees drawings gives them."""
+
+    def rect(i: int):
+        shade = F.when((F.col("doc_id") + i) % 3 == 0, 0.9).otherwise(0.1)
+        return F.struct(F.lit(i).cast("long").alias("rect_id"), F.lit(400.0 * i).alias("x0"), F.lit(0.0).alias("y0"), F.lit(400.0 * i + 170).alias("x1"), F.lit(4.0 if i == 2 else 9.5).alias("y1"), F.array(shade, shade, shade).alias("fill"))
+
+    return pages.withColumn("rects", F.array(*map(rect, range(3))))
+
+
 @query("SELECT doc_id, page, CAST(rect_id AS BIGINT) AS rect_id, recovered_text FROM leaks", ("words", "rects", "leaks"))
 def overlay_leaks(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     return longs(redaction.overlay_leaks(pages, _rects(pages)).select("doc_id", "page", "rect_id", "recovered_text"))
 
 
-CTES["meta"] = """meta AS (SELECT doc_id, 'author' AS field, source AS value FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'title', '  ' FROM documents UNION ALL SELECT doc_id, 'xmp', text FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'unknown', 'x' FROM documents)"""
-CTES["meta_leaks"] = """meta_leaks AS (SELECT doc_id, CASE WHEN field = 'xmp' THEN substr(trim(value), 1, 200) ELSE trim(value) END AS recovered_text, CASE WHEN field = 'xmp' THEN 'XMP metadata stream is non-empty' ELSE '/Author field contains ''' || trim(value) || '''' END AS detail FROM meta WHERE trim(value) <> '' AND field <> 'unknown')"""
+CTES["meta"] = """meta AS (SELECT doc_id, 'author' AS field, source AS value FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'title', ' ' || chr(9) || chr(10) FROM documents UNION ALL SELECT doc_id, 'xmp', text FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'unknown', 'x' FROM documents)"""
+CTES["meta_leaks"] = r"""bare AS (SELECT doc_id, field, regexp_replace(value, '^\s+|\s+$', '', 'g') AS value FROM meta),
+meta_leaks AS (SELECT doc_id, CASE WHEN field = 'xmp' THEN substr(value, 1, 200) ELSE value END AS recovered_text, CASE WHEN field = 'xmp' THEN 'XMP metadata stream is non-empty' ELSE '/Author field contains ''' || value || '''' END AS detail FROM bare WHERE value <> '' AND field <> 'unknown')"""
 
 
 def _metadata(spark, sf_dir) -> DataFrame:
-    docs, k = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id")
     fields = F.array(
-        F.struct(F.lit("author").alias("field"), F.when(k % 5 == 0, F.col("source")).alias("value")), F.struct(F.lit("title").alias("field"), F.lit("  ").alias("value")),
+        F.struct(F.lit("author").alias("field"), F.when(k % 5 == 0, F.col("source")).alias("value")), F.struct(F.lit("title").alias("field"), F.lit(" \t\n").alias("value")),
         F.struct(F.lit("xmp").alias("field"), F.when(k % 7 == 0, F.col("text")).alias("value")), F.struct(F.lit("unknown").alias("field"), F.lit("x").alias("value")),
     )
     return docs.select("doc_id", F.inline(fields))
@@ -484,34 +547,59 @@ def metadata_leaks(spark, sf_dir):
 @query("""SELECT doc_id, o + m = 0 AS passed, o + m AS n_leaks, CASE WHEN o + m = 0 THEN 'no residual leaks' WHEN o = 0 THEN m || ' metadata' WHEN m = 0 THEN o || ' text_under_overlay' ELSE o || ' text_under_overlay, ' || m || ' metadata' END AS summary
 FROM (SELECT d.doc_id, (SELECT count(*) FROM leaks l WHERE l.doc_id = d.doc_id) AS o, (SELECT count(*) FROM meta_leaks l WHERE l.doc_id = d.doc_id) AS m FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM words))""", ("words", "rects", "leaks", "meta", "meta_leaks"))
 def verify_reports(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    docs = pages.select("doc_id").distinct()
-    leaks = redaction.overlay_leaks(pages, _rects(pages)).unionByName(redaction.metadata_leaks(_metadata(spark, sf_dir)).join(docs, "doc_id", "left_semi"))
-    return longs(redaction.reports(docs, leaks))
+    """Verdicts over documents: text under rectangles, counted in the row of its page, and metadata."""
+    return longs(redaction.report_of(redaction.leak_counts(_with_rects(_pages(spark, sf_dir)), _metadata(spark, sf_dir))))
 
 
 # ---- audit, undo, backups ----
 
 
-@query("""SELECT f.doc_id, json_object('event', 'finding', 'ts', '1970-01-01T00:00:00Z', 'page', f.page, 'word_start', word_start, 'word_end', word_end, 'kind', kind, 'confidence', confidence, 'source', 'rules:pii-en',
-'text_length', length(t), 'text_sha256', sha256(t), 'context_sha256', sha256(c), 'decision', 'applied', 'reviewer', 'auto')::VARCHAR AS line
-FROM (SELECT f.*, array_to_string(ws[word_start+1:word_end+1], ' ') AS t, array_to_string(ws[greatest(word_start-16,0)+1:least(n, word_end+17)], ' ') AS c FROM found f JOIN pg USING (doc_id, page)) f""", BASE)
+CTES["hashed"] = """hashed AS (SELECT f.*, array_to_string(ws[word_start+1:word_end+1], ' ') AS t, array_to_string(ws[greatest(word_start-16,0)+1:least(n, word_end+17)], ' ') AS c FROM found f JOIN pg USING (doc_id, page))"""
+CTES["boxed"] = """boxed AS (SELECT h.*, b.box FROM hashed h JOIN (SELECT f.doc_id, f.page, f.ord, f.nth, [min(w.idx * 40.0::DOUBLE), min(w.block_id * 12.0::DOUBLE), max((w.idx * 40 + length(w.text) * 5)::DOUBLE), max((w.block_id * 12 + 9)::DOUBLE)] AS box
+FROM found f JOIN words w ON f.doc_id = w.doc_id AND f.page = w.page AND w.idx BETWEEN f.word_start AND f.word_end GROUP BY f.doc_id, f.page, f.ord, f.nth) b USING (doc_id, page, ord, nth))"""
+CTES["sides"] = """sides AS (SELECT doc_id, count(*) AS n_pages, CAST(sum(strlen(ptext)) AS BIGINT) AS n_bytes, sha256(string_agg(sha256(ptext), '' ORDER BY page)) AS before, sha256(string_agg(after, '' ORDER BY page)) AS after
+FROM (SELECT pg.doc_id, pg.page, ptext, m.after FROM pg JOIN (SELECT doc_id, page, coalesce(sha256(string_agg(text, ' ' ORDER BY idx) FILTER (NOT hit)), sha256('')) AS after FROM masked GROUP BY doc_id, page) m USING (doc_id, page)) GROUP BY doc_id)"""
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return plan.run(_pages(spark, sf_dir), PACK).events
+
+
+def _lines_of(spark, sf_dir, event: str) -> DataFrame:
+    events = _events(spark, sf_dir).where(F.get_json_object("value", "$.event") == event)
+    return events.select(F.col("session_id").alias("doc_id"), F.col("value").alias("line"))
+
+
+@query("""SELECT doc_id, json_object('event', 'finding', 'ts', '1970-01-01T00:00:00Z', 'page', page, 'word_start', word_start, 'word_end', word_end, 'kind', kind, 'confidence', confidence, 'source', 'rules:pii-en', 'bbox', box,
+'text_length', length(t), 'text_sha256', sha256(t), 'context_sha256', sha256(c), 'decision', 'applied', 'reviewer', 'auto')::VARCHAR AS line FROM boxed""", (*BASE, "hashed", "boxed"))
 def audit_lines(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    events = plan.run(pages, PACK).events
-    return events.where("value LIKE '%\"event\":\"finding\"%'").select(F.col("session_id").alias("doc_id"), F.col("value").alias("line"))
+    return _lines_of(spark, sf_dir, "finding")
+
+
+@query("""SELECT doc_id, json_object('event', 'session_start', 'audit_schema_version', 1, 'session_id', CAST(doc_id AS VARCHAR), 'ts_start', '1970-01-01T00:00:00Z', 'engine_version', '0.2', 'input_path', 'doc:' || doc_id, 'input_sha256', before,
+'input_pages', n_pages, 'input_bytes', n_bytes, 'output_path', 'redacted:' || doc_id, 'provider', 'none', 'model', 'none', 'model_version', 'none', 'rules', ['pii-en'], 'instructions', []::VARCHAR[], 'config_resolved_from', []::VARCHAR[])::VARCHAR AS line
+FROM sides WHERE doc_id IN (SELECT doc_id FROM found)""", (*BASE, "masked", "sides"))
+def audit_starts(spark, sf_dir):
+    """The first line of each session: hashes and sizes of what went in."""
+    return _lines_of(spark, sf_dir, "session_start")
+
+
+@query("""SELECT doc_id, json_object('event', 'session_end', 'ts_end', '1970-01-01T00:00:00Z', 'status', 'ok', 'redactions_applied', n, 'redactions_rejected', 0, 'redactions_excluded', 0, 'duration_ms', 0, 'tokens_in', 0, 'tokens_out', 0, 'cost_usd', 0.0::DOUBLE,
+'verify_result', 'pass', 'verify_leak_count', 0, 'output_sha256', after)::VARCHAR AS line FROM sides JOIN (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id) USING (doc_id)""", (*BASE, "masked", "sides"))
+def audit_ends(spark, sf_dir):
+    """The last line of each session: what was done, the verdict and the hash of what came out."""
+    return _lines_of(spark, sf_dir, "session_end")
 
 
 def _log(spark, sf_dir) -> DataFrame:
     """The audit lines of a run, parsed: events with a session_key and a line_no."""
-    pages = _pages(spark, sf_dir)
-    lines = plan.run(pages, PACK).events
+    lines = _events(spark, sf_dir)
     return audit.parse_lines(lines.select(F.col("session_id").cast("string").alias("session_key"), F.col("ord").alias("line_no"), "value"))
 
 
 @query("SELECT session_key, ordinal, page, word_start, word_end, kind, confidence FROM log", (*BASE, "log"))
 def replay_applied(spark, sf_dir):
-    return longs(replay.applied(_log(spark, sf_dir)).drop("source"))
+    return longs(replay.applied(_log(spark, sf_dir)).drop("source", "text_sha256", "context_sha256"))
 
 
 @query("SELECT session_key, ordinal FROM log WHERE (page IN (1, 2) AND kind = 'email') OR ordinal = 0", (*BASE, "log"))
@@ -537,15 +625,38 @@ def picker_expanded(spark, sf_dir):
     return longs(replay.expand_pages(found, replay.page_choices(found).where("page = 1")))
 
 
-@query("""SELECT w.doc_id, w.page, count(*) AS n_words FROM words w WHERE w.doc_id IN (SELECT doc_id FROM found) AND NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = w.doc_id AND f.page = w.page AND f.kind <> 'email' AND w.idx BETWEEN f.word_start AND f.word_end) GROUP BY w.doc_id, w.page""", BASE)
+@query("""SELECT w.doc_id, w.page, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = w.doc_id AND f.page = w.page AND f.kind <> 'email' AND w.idx BETWEEN f.word_start AND f.word_end)) AS n_words
+FROM words w WHERE w.doc_id IN (SELECT doc_id FROM found) GROUP BY w.doc_id, w.page""", BASE)
 def undo_emails(spark, sf_dir):
     """Pages after the emails are taken back from the redaction."""
     out = plan.undo(_pages(spark, sf_dir), _log(spark, sf_dir), kind="email")
-    return longs(out.select("doc_id", "page", F.size("words").alias("n_words")).where("n_words > 0"))
+    return longs(out.select("doc_id", "page", F.size("words").alias("n_words")))
+
+
+CTES["undone"] = """undone AS (SELECT CAST(doc_id AS VARCHAR) AS session_key, row_number() OVER (PARTITION BY doc_id ORDER BY ord, page, nth) - 1 AS ordinal, h.* FROM hashed h)"""
+
+
+@query("""SELECT session_key, json_object('event', 'undo_start', 'audit_schema_version', 1, 'schema_kind', 'undo', 'undo_id', sha256(session_key || ':1970-01-01T00:00:00Z'), 'ts_start', '1970-01-01T00:00:00Z', 'engine_version', '0.2',
+'source_session_id', session_key, 'source_session_ts', '1970-01-01T00:00:00Z', 'source_audit_path', session_key, 'input_path', 'doc:' || session_key, 'output_path', 'redacted:' || session_key, 'backup_path', 'copy/' || session_key,
+'selector', json_object('interactive', false, 'pages', NULL, 'page', NULL, 'kind', 'email', 'words', NULL), 'findings_total', n, 'findings_excluded', k)::VARCHAR AS line
+FROM (SELECT session_key, count(*) AS n, count(*) FILTER (kind = 'email') AS k FROM log GROUP BY session_key) WHERE k > 0
+UNION ALL SELECT session_key, json_object('event', 'undo_finding', 'ts', '1970-01-01T00:00:00Z', 'page', page, 'word_start', word_start, 'word_end', word_end, 'kind', kind, 'source', 'rules:pii-en', 'text_sha256', sha256(t), 'context_sha256', sha256(c))::VARCHAR FROM undone WHERE kind = 'email'
+UNION ALL SELECT session_key, json_object('event', 'undo_end', 'ts_end', '1970-01-01T00:00:00Z', 'status', 'ok', 'redactions_kept', n - k, 'redactions_un_redacted', k, 'verify_result', 'skipped', 'verify_leak_count', 0)::VARCHAR
+FROM (SELECT session_key, count(*) AS n, count(*) FILTER (kind = 'email') AS k FROM log GROUP BY session_key) WHERE k > 0""", (*BASE, "log", "hashed", "undone"))
+def undo_logs(spark, sf_dir):
+    """The whole log of taking all emails back: start, findings with their hashes, end."""
+    copies = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("session_dir"), F.concat(F.lit("copy/"), F.col("doc_id")).alias("copy_path"))
+    return plan.undo_lines(_log(spark, sf_dir), copies, kind="email").select("session_key", F.col("value").alias("line"))
+
+
+@query("SELECT session_key, ordinal, CASE WHEN page = 2 THEN '' ELSE t END AS text FROM undone", (*BASE, "hashed", "undone"))
+def replayed_texts(spark, sf_dir):
+    """The texts of the findings of a log from the originals, which lack their second pages here."""
+    return longs(replay.texts(replay.applied(_log(spark, sf_dir)), _pages(spark, sf_dir).where("page <> 2")))
 
 
 def _backups(spark, sf_dir) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     ts = F.lit("2026-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(F.col("doc_id") * 37).cast("int"))
     name = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH-mm-ss'Z'"), F.lit("-"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 6))
     rows = docs.select(name.alias("session_dir"), F.col("source").alias("original_path"), F.concat(F.lit("copy/"), F.col("doc_id")).alias("copy_path"))
@@ -557,6 +668,14 @@ def latest_backups(spark, sf_dir):
     return backups.latest(_backups(spark, sf_dir))
 
 
+@query("""SELECT b.session_dir, b.original_path, CASE WHEN doc_id % 3 = 0 THEN 's' || doc_id END AS session_id FROM backups b""", ("backups",))
+def backup_audits(spark, sf_dir):
+    """Backups with the audit logs of the same names, which every third has."""
+    rows = _backups(spark, sf_dir).withColumn("k", F.regexp_extract("copy_path", r"(\d+)$", 1).cast("long"))
+    logs = rows.where("k % 3 = 0").select(F.col("session_dir").alias("session_key"), F.concat(F.lit("s"), F.col("k")).alias("session_id"))
+    return backups.with_audit(rows.drop("k"), logs).select("session_dir", "original_path", "session_id")
+
+
 _NOW = "2026-01-20 00:00:00"
 
 
@@ -574,41 +693,64 @@ def backup_ages(spark, sf_dir):
 def next_versions(spark, sf_dir):
     k = F.col("doc_id")
     name = F.when(k % 3 == 0, F.concat("source", F.lit(".v"), k)).when(k % 3 == 1, F.concat("source", F.lit(".vx"))).otherwise(F.concat(F.lit("other."), "source", F.lit(".v99999999")))
-    return longs(backups.next_versions(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("base"), name.alias("name"))))
+    return longs(backups.next_versions(table(spark, sf_dir, "documents").select(F.col("source").alias("base"), name.alias("name"))))
 
 
 # ---- runs ----
 
 
-def stub_provider(prompt: str, categories: list[str], instructions: list[str], model: str, attempt: int) -> dict | None:
-    """A provider without a model: it finds the first word of each page, and gives up on long prompts."""
-    import json
-    import re
+@providers.register("stub")
+def stub_provider(model: str = "stub") -> providers.Provider:
+    """A provider without a model: it finds the first word of each page, and gives up on more than 300 words."""
+
+    def answer(request: providers.Request) -> dict | None:
+        import json
+        import re
+
+        # Each word has a space before it: between words, and in the tag of its page.
+        if request.document.count(" ") > 300:
+            return None
+        kind = request.categories[0] if request.categories else "instruction"
+        found = [{"page": int(p), "start": 0, "end": 0, "kind": kind, "confidence": "high"} for p in re.findall(r'<page n="(\d+)">', request.document)]
+        return {"payload": json.dumps({"findings": found}), "tokens_in": len(request.prompt) // 4, "tokens_out": len(found), "duration_ms": 1}
+
+    return answer
 
-    if len(prompt) > 12_000:
-        return None
-    pages = re.findall(r'<page n="(\d+)">', prompt)
-    kind = categories[0] if categories else "instruction"
-    found = [{"page": int(p), "start": 0, "end": 0, "kind": kind, "confidence": "high"} for p in pages]
-    return {"payload": json.dumps({"findings": found}), "tokens_in": len(prompt) // 4, "tokens_out": len(found), "duration_ms": 1}
 
+CTES["asked"] = """asked(ord, kind, source) AS (VALUES (0::BIGINT, 'person_name', 'llm'), (1, 'case_no', 'llm'), (2, 'instruction', 'instruction'), (3, 'instruction', 'instruction'))"""
 
-@query()
+
+@query("""SELECT doc_id, (page - 1) // 4 AS batch_idx, ord, page, w AS word_start, w AS word_end, kind, 'high' AS confidence, source
+FROM (SELECT doc_id, page, unnest(CASE WHEN n > 300 THEN [0, n - (n // 2 + 50)] ELSE [0] END) AS w FROM pg), asked""", ("words", "pg", "asked"))
 def model_findings(spark, sf_dir):
-    """Findings of the stub provider over all pages, with halves of what it gives up on."""
-    found, _, _ = providers.detect(_pages(spark, sf_dir), _submissions(spark), stub_provider, pages_per_batch=4, parallel=8)
+    """Findings of the stub provider over all pages, four to a batch, with halves of what it gives up on."""
+    found, _, _ = providers.detect(_pages(spark, sf_dir), _submissions(spark), providers.make_provider("stub", "stub"), pages_per_batch=4, parallel=8)
     return longs(found.select("doc_id", "batch_idx", "ord", "page", "word_start", "word_end", "kind", "confidence", "source"))
 
 
-@query("""SELECT doc_id, true AS passed, (SELECT count(*) FROM found f WHERE f.doc_id = d.doc_id) AS n_findings, (SELECT count(*) FROM masked m WHERE m.doc_id = d.doc_id AND NOT hit) AS n_words
-FROM (SELECT DISTINCT doc_id FROM words) d""", (*BASE, "masked"))
+@query("""SELECT doc_id, count(*) AS n_calls, CAST(sum(CASE WHEN n > 300 THEN 2 ELSE 1 END) AS BIGINT) AS n_findings FROM pg GROUP BY doc_id""", ("words", "pg"))
+def model_call_records(spark, sf_dir):
+    """Records of one submission's calls, a page at a time, that failing pages are halved for: their lines are numbered, and hash prompt and answer."""
+    subs = _submissions(spark).where("ord = 0")
+    found, calls, _ = providers.detect(_pages(spark, sf_dir), subs, providers.make_provider("stub", "stub"), parallel=8, seed=7)
+    lines = providers.call_records(calls, 7).select("doc_id", F.col("pages")[0].alias("page"), "chunk_idx", audit.call_line(plan.EPOCH).alias("value"))
+    good = lines.where((F.length(F.get_json_object("value", "$.prompt_sha256")) == 64) & (F.get_json_object("value", "$.seed_requested") == "7"))
+    per = good.groupBy("doc_id").agg(F.count_distinct("page").alias("n_calls"), (F.max("chunk_idx") + 1).cast("long").alias("n_findings"))
+    return per
+
+
+CTES["left_leaks"] = CTES["leaks"].replace("leaks AS (", "left_leaks AS (").replace("JOIN words w ON", "JOIN (SELECT * FROM masked WHERE NOT hit) w ON")
+CTES["verdicts"] = """verdicts AS (SELECT doc_id, coalesce(o, 0) + coalesce(m, 0) AS n_leaks FROM (SELECT DISTINCT doc_id FROM words) LEFT JOIN (SELECT doc_id, count(*) AS o FROM left_leaks GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS m FROM meta_leaks GROUP BY doc_id) USING (doc_id))"""
+
+
+@query("""SELECT doc_id, n_leaks = 0 AS passed, n_leaks, coalesce(f.n, 0) AS n_findings, CASE WHEN n_leaks = 0 THEN coalesce(m.n, 0) ELSE 0 END AS n_words
+FROM verdicts LEFT JOIN (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id) f USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM masked WHERE NOT hit GROUP BY doc_id) m USING (doc_id)""", (*BASE, "masked", "rects", "left_leaks", "meta", "meta_leaks", "verdicts"))
 def run_rules(spark, sf_dir):
-    """A whole run with the rule pack: findings, verdict and words left of each document."""
-    pages = _pages(spark, sf_dir)
-    result = plan.run(pages, PACK)
+    """A whole run with the rule pack: findings, the verdict over rectangles and metadata, and the words of the documents that pass."""
+    result = plan.run(_with_rects(_pages(spark, sf_dir)), PACK, metadata=_metadata(spark, sf_dir))
     n = result.findings.groupBy("doc_id").agg(F.count("*").alias("n_findings"))
     left = result.pages.groupBy("doc_id").agg(F.sum(F.size("words")).alias("n_words"))
-    return longs(result.report.join(n, "doc_id", "left").join(left, "doc_id").select("doc_id", "passed", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), "n_words"))
+    return longs(result.report.join(n, "doc_id", "left").join(left, "doc_id", "left").select("doc_id", "passed", "n_leaks", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("n_words", F.lit(0)).alias("n_words")))
 
 
 # ---- more of prompts, models and undo ----
@@ -617,7 +759,7 @@ def run_rules(spark, sf_dir):
 @query("SELECT conv_id AS doc_id, turn, 120.0::DOUBLE * (turn + 1) AS seconds, length(text) % 97 >= CAST(floor(0.95::DOUBLE * 64) AS BIGINT) AS cut_off FROM conversations")
 def call_limits(spark, sf_dir):
     """Time limit of the attempt numbered as the turn, and whether an answer would count as cut off at 64 tokens."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = table(spark, sf_dir, "conversations")
     return turns.select(F.col("conv_id").alias("doc_id"), "turn", tx.read_timeout(F.col("turn")).alias("seconds"), tx.cut_off(F.length("text") % 97, F.lit(64)).alias("cut_off"))
 
 
@@ -629,11 +771,11 @@ def listed_models(spark, sf_dir):
 @query("""SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'parser' ELSE 'original' END AS source, CASE doc_id % 2 WHEN 0 THEN 2::BIGINT ELSE 1::BIGINT END AS n_rules FROM documents""")
 def decomposed_instructions(spark, sf_dir):
     text = F.when(F.col("doc_id") % 2 == 0, F.format_string("- %s\n- %s", "lang", "source")).otherwise(F.format_string("%s - %s", "lang", "source"))
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     return longs(instructions.decompose(rows).select("doc_id", "source", F.size("rules").alias("n_rules")))
 
 
-@query("""SELECT session_key, ordinal, json_object('event', 'undo_finding', 'page', page, 'word_start', word_start, 'word_end', word_end, 'kind', kind, 'confidence', confidence, 'source', 'rules:pii-en')::VARCHAR AS line FROM log WHERE kind = 'email'""", (*BASE, "log"))
+@query("""SELECT session_key, ordinal, json_object('event', 'undo_finding', 'ts', '1970-01-01T00:00:00Z', 'page', page, 'word_start', word_start, 'word_end', word_end, 'kind', kind, 'source', 'rules:pii-en', 'text_sha256', sha256(t), 'context_sha256', sha256(c))::VARCHAR AS line FROM undone WHERE kind = 'email'""", (*BASE, "hashed", "undone"))
 def undo_lines(spark, sf_dir):
     found = replay.applied(_log(spark, sf_dir))
     return longs(replay.undo_events(found, replay.exclusions(found, kind="email")).withColumnRenamed("value", "line"))

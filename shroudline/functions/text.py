@@ -23,22 +23,35 @@ def serialize_flat(page: Column, words: Column) -> Column:
     return F.concat(F.lit('<page n="'), page.cast("string"), F.lit('">\n'), numbered(words), F.lit("\n</page>"))
 
 
-def block_starts(words: Column) -> Column:
-    """Positions (from 1) of the words that begin a run of one block."""
-    first = lambda w, i: (i == 0) | (w["block_id"] != F.get(words, F.greatest(i - 1, F.lit(0)))["block_id"])
-    flags = F.transform(words, lambda w, i: F.when(first(w, i), i + 1))
-    return F.array_compact(flags)
+def _opens_block(words: Column, w: Column, i: Column) -> Column:
+    """True for the first word of a page, and for one whose block isn't that of the word before."""
+    return (i == 0) | (w["block_id"] != F.get(words, F.greatest(i - 1, F.lit(0)))["block_id"])
+
+
+def block_runs(words: Column) -> Column:
+    """How many runs of words of one block there are."""
+    return F.size(F.filter(words, lambda w, i: _opens_block(words, w, i)))
 
 
 def serialize_blocks(page: Column, words: Column) -> Column:
-    """A page in its tag, with a tag for each run of words of one block; a block that comes back opens a new tag."""
-    starts = block_starts(words)
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array((F.size(words) + 1).cast("int")))
-    runs = F.arrays_zip(starts.alias("a"), ends.alias("b"))
-    tag = lambda r: F.concat(
-        F.lit('<block id="'), F.get(words, r["a"] - 1)["block_id"].cast("string"), F.lit('">'), numbered(F.slice(words, r["a"], r["b"] - r["a"])), F.lit("</block>")
-    )
-    return F.concat(F.lit('<page n="'), page.cast("string"), F.lit('">\n'), F.array_join(F.transform(runs, tag), "\n"), F.lit("\n</page>"))
+    """A page in its tag, with a tag for each run of words of one block; a block that comes back opens a new tag.
+
+    Each word gives a piece that may close one tag and open the next, so that one pass makes the whole.
+    """
+
+    def piece(w: Column, i: Column) -> Column:
+        tag = F.concat(F.lit('<block id="'), w["block_id"].cast("string"), F.lit('">'))
+        before = F.when(i == 0, tag).when(_opens_block(words, w, i), F.concat(F.lit("</block>\n"), tag)).otherwise(" ")
+        return F.concat(before, F.lit("["), w["idx"].cast("string"), F.lit("]"), w["text"])
+
+    inner = F.array_join(F.transform(words, piece), "")
+    return F.concat(F.lit('<page n="'), page.cast("string"), F.lit('">\n'), F.when(F.size(words) > 0, F.concat(inner, F.lit("</block>"))).otherwise(""), F.lit("\n</page>"))
+
+
+def page_range_label(pages: Column) -> Column:
+    """First and last of a sorted array of pages with an en dash between, or the only one."""
+    first, last = F.get(pages, F.lit(0)).cast("string"), F.element_at(pages, -1).cast("string")
+    return F.when(F.size(pages) > 1, F.concat(first, F.lit("\u2013"), last)).otherwise(first)
 
 
 def static_prefix(category_ids: Column, instructions: Column, schema_hint: str) -> Column:

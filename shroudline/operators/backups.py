@@ -12,6 +12,22 @@ def latest(backups: DataFrame) -> DataFrame:
     return backups.groupBy("original_path").agg(F.max_by(row, "session_dir").alias("b")).select("original_path", "b.*")
 
 
+def latest_of(backups: DataFrame, original_path: str) -> DataFrame:
+    """The latest backup of one original; paths are compared as they are written, which are absolute ones in manifests."""
+    return latest(backups.where(F.col("original_path") == original_path))
+
+
+def newest(backups: DataFrame, session_dirs: DataFrame) -> DataFrame:
+    """The backup in the folder whose name is last among all (session_dir); none if that folder has no manifest, and so is not among the backups."""
+    last = session_dirs.agg(F.max("session_dir").alias("session_dir"))
+    return backups.join(F.broadcast(last), "session_dir", "left_semi")  # one row
+
+
+def with_audit(backups: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Backups with the audit log of the same name (sessions: session_key and its fields), null where there is none."""
+    return backups.join(sessions.withColumnRenamed("session_key", "session_dir"), "session_dir", "left")
+
+
 def by_session(backups: DataFrame, session_dir: str) -> DataFrame:
     return backups.where(F.col("session_dir") == session_dir)
 

@@ -24,19 +24,21 @@ def with_words(findings: DataFrame, pages: DataFrame) -> DataFrame:
     return findings.join(pages.select("doc_id", "page", "words"), ["doc_id", "page"])
 
 
-def covered() -> Column:
-    """The words of the row's inclusive range; none if it begins behind the page."""
-    return F.slice("words", F.col("word_start") + 1, F.greatest(F.col("word_end") - F.col("word_start") + 1, F.lit(0)))
+def covered(start: Column | str = "word_start", end: Column | str = "word_end", words: Column | str = "words") -> Column:
+    """The words of an inclusive range, the row's own if no other is given; none if it begins behind the page."""
+    start, end, words = (F.col(c) if isinstance(c, str) else c for c in (start, end, words))
+    return F.slice(words, start + 1, F.greatest(end - start + 1, F.lit(0)))
 
 
 def text_of(words: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: w["text"]), " ")
 
 
-def context() -> Column:
+def context(start: Column | str = "word_start", end: Column | str = "word_end", words: Column | str = "words") -> Column:
     """Text of the range with up to CONTEXT_WORDS words on either side."""
-    lo = F.greatest(F.col("word_start") - CONTEXT_WORDS, F.lit(0))
-    return text_of(F.slice("words", lo + 1, F.least(F.size("words"), F.col("word_end") + CONTEXT_WORDS + 1) - lo))
+    start, end, words = (F.col(c) if isinstance(c, str) else c for c in (start, end, words))
+    lo = F.greatest(start - CONTEXT_WORDS, F.lit(0))
+    return text_of(F.slice(words, lo + 1, F.least(F.size(words), end + CONTEXT_WORDS + 1) - lo))
 
 
 def box_union(words: Column) -> Column:
@@ -86,12 +88,8 @@ def _int(c: Column) -> Column:
     )
 
 
-def parse_payloads(answers: DataFrame, page_sizes: DataFrame, source: Column) -> DataFrame:
-    """Findings of model answers (doc_id, payload JSON {"findings": [...]}); page_sizes (doc_id, page, n_words).
-
-    An item goes if a field is missing or no number, if its page is unknown, or if its range isn't
-    on the page; a confidence that isn't known counts as medium. seq follows the order in the answer.
-    """
+def _items(answers: DataFrame, page_sizes: DataFrame, source: Column) -> DataFrame:
+    """The items of model answers with a flag: ok where they are findings on a known page."""
     item = "struct<page:string,start:string,end:string,kind:string,confidence:string>"
     items = answers.select("doc_id", F.posexplode(F.from_json("payload", f"findings array<{item}>")["findings"]).alias("seq", "i"))
     known = F.col("i.confidence").isin(*RANKS)
@@ -99,8 +97,24 @@ def parse_payloads(answers: DataFrame, page_sizes: DataFrame, source: Column) ->
         "doc_id", _int(F.col("i.page")).alias("page"), _int(F.col("i.start")).alias("word_start"), _int(F.col("i.end")).alias("word_end"),
         F.col("i.kind").alias("kind"), F.when(known, F.col("i.confidence")).otherwise("medium").alias("confidence"), source.alias("source"), F.col("seq").cast("long").alias("seq"),
     )
-    whole = typed.where("kind IS NOT NULL AND word_start BETWEEN 0 AND word_end")
-    return whole.join(page_sizes, ["doc_id", "page"]).where("word_end < n_words").drop("n_words")
+    sized = typed.join(page_sizes, ["doc_id", "page"], "left")
+    whole = F.col("kind").isNotNull() & (F.col("word_start") >= 0) & (F.col("word_start") <= F.col("word_end")) & (F.col("word_end") < F.col("n_words"))
+    return sized.withColumn("ok", F.coalesce(whole, F.lit(False))).drop("n_words")
+
+
+def parse_payloads(answers: DataFrame, page_sizes: DataFrame, source: Column) -> DataFrame:
+    """Findings of model answers (doc_id, payload JSON {"findings": [...]}); page_sizes (doc_id, page, n_words).
+
+    An item goes if a field is missing or no number, if its page is unknown, or if its range isn't
+    on the page; a confidence that isn't known counts as medium. seq follows the order in the answer.
+    """
+    return _items(answers, page_sizes, source).where("ok").drop("ok")
+
+
+def dropped_items(answers: DataFrame, page_sizes: DataFrame) -> DataFrame:
+    """(doc_id, n_kept, n_dropped): how many items of the answers parse_payloads keeps and drops."""
+    items = _items(answers, page_sizes, F.lit(None).cast("string"))
+    return items.groupBy("doc_id").agg(F.count_if("ok").alias("n_kept"), F.count_if(~F.col("ok")).alias("n_dropped"))
 
 
 def best_position(findings: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:

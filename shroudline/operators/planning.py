@@ -38,6 +38,23 @@ def submissions(categories: DataFrame, instructions: DataFrame, default_model: s
     return per_model.union(per_rule).select(order.alias("ord"), "model", "category_ids", "instructions")
 
 
+def joint_submissions(categories: DataFrame, instructions: DataFrame, default_model: str) -> DataFrame:
+    """The older plan, with the columns of submissions: the categories of the first model ride with each instruction, on the default model.
+
+    Without instructions they make one submission, without either there is none.
+    """
+    wanted = categories.where("detection = 'llm'").withColumn("model", F.coalesce("model", F.lit(default_model)))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"])
+    first = wanted.groupBy("model").agg(F.min("ord").alias("first"), ids.alias("category_ids")).orderBy("first").limit(1)
+    none = F.array().cast("array<string>")
+    # At most one row on the left, as many on the right as the user has instructions.
+    both = instructions.select("ord", F.array("text").alias("instructions"), F.lit(1).alias("k")).join(F.broadcast(first.select("category_ids", F.lit(1).alias("k"))), "k", "full")
+    rows = both.where("instructions IS NOT NULL OR category_ids IS NOT NULL").select(
+        F.coalesce("ord", F.lit(0)).alias("at"), F.lit(default_model).alias("model"), F.coalesce("category_ids", none).alias("category_ids"), F.coalesce("instructions", none).alias("instructions")
+    )
+    return rows.select((F.row_number().over(Window.orderBy("at")) - 1).alias("ord"), "model", "category_ids", "instructions")
+
+
 def halves(items: DataFrame) -> DataFrame:
     """The two children of each work item (doc_id, path, pages array<int>, w0, w1); items at the floor have none.
 

@@ -1,14 +1,18 @@
 """Model-backed detection: a provider answers for batches of pages; what fails is tried again, then halved.
 
-A provider is a callable that is shipped to the tasks: (prompt, categories, instructions, model,
-attempt) to a dict with payload (JSON text), tokens_in, tokens_out and duration_ms, or None where it
-failed or the item was too large. An answer without findings is final; None is not. One level of
+A provider is a callable that is shipped to the tasks: from a Request to a dict with payload (JSON
+text) and usage (tokens_in and so on, see USAGE), or None where it failed or the item was too large.
+An answer without findings is final; None is not, and an exception counts as None. One level of
 halving is one round over the items that failed, all of them at once.
 """
 
 from __future__ import annotations
 
+import hashlib
+import logging
+import time
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 from itertools import count
 
@@ -17,12 +21,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import ensure_checkpoint_dir
-from ..functions.text import document_block, serialize_flat
+from ..functions.text import READ_SECONDS, document_block, serialize_blocks, serialize_flat, static_prefix, system_text
 from .findings import dedupe, parse_payloads, translate
 from .planning import batches, halves
 from .selection import slice_words
 
-Provider = Callable[[str, list[str], list[str], str, int], dict | None]
+
+@dataclass(frozen=True)
+class Request:
+    """One attempt of a call. system and prefix are the same for all batches of a submission, so that a provider can cache them; document is not."""
+
+    document: str
+    prefix: str = ""
+    system: str = ""
+    categories: list[str] = field(default_factory=list)
+    instructions: list[str] = field(default_factory=list)
+    model: str = "default"
+    attempt: int = 0
+    seed: int | None = None
+
+    @property
+    def prompt(self) -> str:
+        return self.prefix + self.document
+
+    @property
+    def timeout(self) -> float:
+        """Seconds that the attempt may take: each one as much more as the first."""
+        return READ_SECONDS * (self.attempt + 1)
+
+
+Provider = Callable[[Request], dict | None]
+
+#: Providers by name, each made from a model's name and options.
+PROVIDERS: dict[str, Callable[..., Provider]] = {}
+
+
+def register(name: str):
+    """Register a maker of providers under a name."""
+
+    def add(make: Callable[..., Provider]) -> Callable[..., Provider]:
+        PROVIDERS[name] = make
+        return make
+
+    return add
+
+
+def make_provider(name: str, model: str, **options) -> Provider:
+    """The provider of a name; ValueError for an unknown one."""
+    if name not in PROVIDERS:
+        raise ValueError(f"no provider {name!r}; there are {', '.join(sorted(PROVIDERS)) or 'none'}")
+    return PROVIDERS[name](model, **options)
+
+
+#: Whole numbers that an answer may carry; what is missing or no number counts as 0.
+USAGE = ("tokens_in", "tokens_out", "duration_ms", "cache_creation_input_tokens", "cache_read_input_tokens")
+
+
+def usage(answer: dict, name: str) -> int:
+    try:
+        return int(answer.get(name) or 0)
+    except (TypeError, ValueError):
+        return 0
+
 
 SCHEMA_HINT = '{"findings": [{"page": int, "start": int, "end": int, "kind": str, "confidence": "high|medium|low"}]}'
 
@@ -48,37 +108,73 @@ def work_items(pages: DataFrame, pages_per_batch: int, submissions: DataFrame) -
     return items.select("*", F.inline(F.array(*each)))
 
 
-def with_prompts(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """Items with the text of their pages; a range of words is numbered from 0."""
-    rows = items.select("*", F.posexplode("pages").alias("nth", "page")).join(pages, ["doc_id", "page"])
+def with_prompts(items: DataFrame, pages: DataFrame, layout_aware: bool = False) -> DataFrame:
+    """Items with their prefix and the text of their pages (document), with blocks if layout_aware; a range of words is numbered from 0."""
+    rows = items.select("*", F.posexplode("pages").alias("nth", "page")).join(pages.select("doc_id", "page", "words"), ["doc_id", "page"])
     words = F.when(F.col("w0").isNull(), F.col("words")).otherwise(slice_words(F.col("words"), F.coalesce("w0", F.lit(0)), F.coalesce("w1", F.lit(0))))
     key = [c for c in items.columns if c != "pages"]
-    text = F.struct("nth", "page", serialize_flat(F.col("page"), words).alias("s"))
+    text = F.struct("nth", "page", (serialize_blocks if layout_aware else serialize_flat)(F.col("page"), words).alias("s"))
     back = rows.groupBy(*key).agg(F.array_sort(F.collect_list(text)).alias("t"))
-    return back.select(*key, F.transform("t", lambda x: x["page"]).alias("pages"), document_block(F.transform("t", lambda x: x["s"])).alias("prompt"))
-
-
-def call(prompts: DataFrame, provider: Provider, max_retries: int, parallel: int) -> DataFrame:
-    """Call the provider for each prompt, again up to max_retries times where it gives None; parallel tasks call at once at most."""
-    out = prompts.select("*", F.lit("").alias("payload"), F.lit(False).alias("answered"), *[F.lit(0).cast("long").alias(c) for c in ("tokens_in", "tokens_out", "duration_ms")])
+    prefix = static_prefix(F.col("category_ids"), F.col("instructions"), SCHEMA_HINT)
+    return back.select(*key, F.transform("t", lambda x: x["page"]).alias("pages"), prefix.alias("prefix"), document_block(F.transform("t", lambda x: x["s"])).alias("document"))
+
+
+def waits(max_retries: int, backoff: float, multiplier: float) -> list[float]:
+    """Seconds before each retry."""
+    return [backoff * multiplier**k for k in range(max_retries)]
+
+
+CALL = (
+    "payload string, answered boolean, attempts int, temperature double, seed_honored boolean, system_fingerprint string, prompt_sha256 string, response_sha256 string, "
+    + ", ".join(f"{c} long" for c in USAGE)
+)
+
+
+def call(prompts: DataFrame, provider: Provider, max_retries: int, parallel: int, *, backoff: float = 1.0, multiplier: float = 2.0, seed: int | None = None, layout_aware: bool = False) -> DataFrame:
+    """Call the provider for each prompt, again up to max_retries times where it gives None, waiting longer each time; parallel tasks call at once at most."""
+    system, pauses = system_text(layout_aware), waits(max_retries, backoff, multiplier)
+    names = [c.split()[0] for c in CALL.split(", ")]
+
+    def one(row) -> tuple:
+        made = Request(row.document, row.prefix, system, list(row.category_ids), list(row.instructions), row.model, 0, seed)
+        answer = None
+        for attempt in range(max_retries + 1):
+            if attempt:
+                time.sleep(pauses[attempt - 1])
+            try:
+                answer = provider(Request(**{**made.__dict__, "attempt": attempt}))
+            except Exception:  # noqa: BLE001 - whatever a provider raises, the item was not answered
+                logging.getLogger(__name__).warning("attempt %d failed", attempt + 1, exc_info=True)
+            if answer is not None:
+                break
+        got = answer or {}
+        payload = str(got.get("payload", ""))
+        temperature = float(got.get("temperature") or 0.0)
+        return (
+            payload, answer is not None, attempt + 1, temperature, bool(got.get("seed_honored", False)), got.get("system_fingerprint"),
+            hashlib.sha256((system + made.prompt).encode()).hexdigest(), hashlib.sha256(payload.encode()).hexdigest(), *[usage(got, c) for c in USAGE],
+        )
 
     def run(parts):
         for part in parts:
-            answers = []
-            for row in part.itertuples(index=False):
-                answer = None
-                for attempt in range(max_retries + 1):
-                    answer = provider(row.prompt, list(row.category_ids), list(row.instructions), row.model, attempt)
-                    if answer is not None:
-                        break
-                answers.append(answer or {})
-            got = pd.DataFrame({"payload": [a.get("payload", "") for a in answers], "answered": [bool(a) for a in answers], **{c: [int(a.get(c, 0)) for a in answers] for c in ("tokens_in", "tokens_out", "duration_ms")}}, index=part.index)
-            yield part.assign(**{c: got[c] for c in got.columns})
+            got = pd.DataFrame([one(row) for row in part.itertuples(index=False)], columns=names, index=part.index)
+            yield pd.concat([part.drop(columns=["document", "prefix"]), got], axis=1)
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prompts.schema if f.name not in ("document", "prefix"))
+    return prompts.repartition(parallel, "doc_id", "batch_idx", "path", "ord").mapInPandas(run, f"{kept}, {CALL}")
+
 
-    return prompts.repartition(parallel, "doc_id", "batch_idx", "path", "ord").mapInPandas(run, out.schema)
+def call_records(calls: DataFrame, seed: int | None = None) -> DataFrame:
+    """The answered calls (as detect gives them) with the fields of their audit lines: chunk_idx counts a document's calls from 0."""
+    order = Window.partitionBy("doc_id").orderBy("batch_idx", "ord", "path")
+    span = F.when(F.col("w0").isNotNull(), F.array("w0", "w1"))
+    return calls.where("answered").select("*", (F.row_number().over(order) - 1).alias("chunk_idx"), F.lit(seed).cast("long").alias("seed_requested"), span.alias("page_word_range"))
 
 
-def detect(pages: DataFrame, submissions: DataFrame, provider: Provider, *, pages_per_batch: int = 1, max_retries: int = 0, parallel: int = 4, max_levels: int | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def detect(
+    pages: DataFrame, submissions: DataFrame, provider: Provider, *, pages_per_batch: int = 1, max_retries: int = 0, parallel: int = 4, max_levels: int | None = None, strict: bool = True,
+    backoff: float = 1.0, multiplier: float = 2.0, seed: int | None = None, layout_aware: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, calls, failed) of a provider over all pages and submissions.
 
     Answers are written to the checkpoint folder before anything reads them, so that no call is
@@ -91,7 +187,7 @@ def detect(pages: DataFrame, submissions: DataFrame, provider: Provider, *, page
     todo = work_items(pages, pages_per_batch, submissions)
     answered, failed = [], []
     for level in count(1):
-        got = call(with_prompts(todo, pages), provider, max_retries, parallel).checkpoint()
+        got = call(with_prompts(todo, pages, layout_aware), provider, max_retries, parallel, backoff=backoff, multiplier=multiplier, seed=seed, layout_aware=layout_aware).checkpoint()
         answered.append(got.where("answered"))
         lost = got.where("NOT answered").select(*todo.columns)
         last = level == max_levels
@@ -107,13 +203,15 @@ def detect(pages: DataFrame, submissions: DataFrame, provider: Provider, *, page
         single = single.withColumns({"w0": F.coalesce("w0", F.lit(0)), "w1": F.coalesce("w1", "n")}).select(*todo.columns)
         todo = children.where(F.size("pages") > 1).select(*todo.columns).unionByName(single)
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    calls = union(answered).drop("prompt")
+    calls = union(answered)
     sizes = pages.select("doc_id", "page", F.size("words").alias("n_words"))
     keys = F.struct("batch_idx", "ord", "path", "w0").alias("item")
     tag = F.when(F.size("category_ids") > 0, F.lit("llm")).otherwise(F.lit("instruction"))
-    answers = calls.select(F.col("doc_id"), "payload", keys, tag.alias("tag"), F.coalesce(F.col("w1") - F.col("w0"), F.lit(1 << 30)).alias("limit"))
-    item = answers.select(F.struct("doc_id", "item", "tag", "limit").alias("doc_id"), "payload")
-    parsed = parse_payloads(item, item.select("doc_id").distinct().join(sizes.withColumnRenamed("doc_id", "d"), F.col("doc_id.doc_id") == F.col("d")).select("doc_id", "page", F.least("n_words", F.col("doc_id.limit")).alias("n_words")), F.lit(""))
+    answers = calls.select(F.col("doc_id"), "payload", keys, "pages", tag.alias("tag"), F.coalesce(F.col("w1") - F.col("w0"), F.lit(1 << 30)).alias("limit"))
+    item = answers.select(F.struct("doc_id", "item", "tag", "limit").alias("doc_id"), "pages", "payload")
+    # The pages of an item, with the words that it has of them.
+    own = item.select("doc_id", F.col("doc_id.doc_id").alias("d"), F.explode("pages").alias("page")).join(sizes.withColumnRenamed("doc_id", "d"), ["d", "page"])
+    parsed = parse_payloads(item.drop("pages"), own.select("doc_id", "page", F.least("n_words", F.col("doc_id.limit")).alias("n_words")), F.lit(""))
     flat = parsed.select("doc_id.*", "page", "word_start", "word_end", "kind", "confidence", "seq").withColumnRenamed("tag", "source")
     moved = translate(flat.withColumn("slice_start", F.col("item.w0"))).select("doc_id", F.col("item.batch_idx").alias("batch_idx"), F.col("item.ord").alias("ord"), F.col("item.path").alias("path"), "page", "word_start", "word_end", "kind", "confidence", "source", "seq")
     ordered = moved.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("batch_idx", "ord", "path", "seq")).cast("long"))

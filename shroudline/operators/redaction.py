@@ -13,19 +13,36 @@ METADATA_FIELDS = ("author", "title", "subject", "keywords", "creator", "produce
 XMP_CHARS = 200
 
 
+FOUND = "array<struct<word_start:int,word_end:int,kind:string,confidence:string,source:string,seq:bigint>>"
+
+
 def with_ranges(pages: DataFrame, findings: DataFrame) -> DataFrame:
     """Pages with a column found, the ranges of the findings on them: the findings are gathered by page and joined once, pages are never exploded."""
     ranges = findings.groupBy("doc_id", "page").agg(F.collect_set(F.struct("word_start", "word_end")).alias("found"))
     return pages.join(ranges, ["doc_id", "page"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<word_start:int,word_end:int>>")))
 
 
+def with_found(pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """Pages with a column found, the findings on them as a table has them, in the order of seq."""
+    row = F.struct("seq", "word_start", "word_end", "kind", "confidence", "source")
+    by_page = findings.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("f"))
+    order = lambda f: F.struct(*[f[c].alias(c) for c in ("word_start", "word_end", "kind", "confidence", "source", "seq")])
+    joined = pages.select("doc_id", "page", "words").join(by_page, ["doc_id", "page"], "left")
+    return joined.select("doc_id", "page", "words", F.coalesce(F.transform("f", order).cast(FOUND), F.array().cast(FOUND)).alias("found"))
+
+
 def _hit(w: Column) -> Column:
     return F.exists("found", lambda r: w["idx"].between(r["word_start"], r["word_end"]))
 
 
+def left_over() -> Column:
+    """The words of the row's page that no range of its column found covers."""
+    return F.when(F.size("found") == 0, F.col("words")).otherwise(F.filter("words", lambda w: ~_hit(w)))
+
+
 def redact_found(pages: DataFrame) -> DataFrame:
     """Pages (with a column found) without the words that any range covers; the words that stay keep their index and box."""
-    return pages.select("doc_id", "page", F.when(F.size("found") == 0, F.col("words")).otherwise(F.filter("words", lambda w: ~_hit(w))).alias("words"))
+    return pages.select("doc_id", "page", left_over().alias("words"))
 
 
 def redact(pages: DataFrame, findings: DataFrame) -> DataFrame:
@@ -72,6 +89,13 @@ def page_diff(original: DataFrame, redacted: DataFrame) -> DataFrame:
     return gone.select("doc_id", "page", page_text(F.col("words")).alias("before_text"), page_text(F.col("after")).alias("after_text"), removed.alias("removed"))
 
 
+def diff_found(pages: DataFrame) -> DataFrame:
+    """The same for pages with a column found and their own redaction: what goes is in the row, so that nothing is joined."""
+    none = F.array().cast("array<string>")
+    removed = F.when(F.size("found") > 0, F.transform(F.filter("words", _hit), lambda w: w["text"])).otherwise(none)
+    return pages.select("doc_id", "page", page_text(F.col("words")).alias("before_text"), page_text(left_over()).alias("after_text"), removed.alias("removed"))
+
+
 def render_json(diff: DataFrame) -> DataFrame:
     """(doc_id, page, line): each page of a diff as one compact line of JSON."""
     return diff.select("doc_id", "page", F.to_json(F.struct("page", "removed", "before_text", "after_text")).alias("line"))
@@ -109,24 +133,45 @@ def overlays(rects: DataFrame) -> DataFrame:
     return rects.where(is_dark(F.col("fill")) & (F.col("y1") - F.col("y0") >= MIN_HEIGHT))
 
 
+RECTS = "array<struct<rect_id:bigint,x0:double,y0:double,x1:double,y1:double,fill:array<double>>>"
+
+
+def with_rects(pages: DataFrame, rects: DataFrame) -> DataFrame:
+    """Pages with a column rects, the overlays among the rectangles of a table on them; one join."""
+    box = F.struct("rect_id", "x0", "y0", "x1", "y1", "fill")
+    by_page = overlays(rects).groupBy("doc_id", "page").agg(F.collect_list(box).cast(RECTS).alias("rects"))
+    return pages.join(by_page, ["doc_id", "page"], "left").withColumn("rects", F.coalesce("rects", F.array().cast(RECTS)))
+
+
+def covered_texts() -> Column:
+    """array<struct<rect_id, recovered_text>>: the text under each dark rectangle of the row's column rects, where there is more than punctuation."""
+    r_in = lambda w, r: (
+        (w["x0"] >= r["x0"] - TOLERANCE) & (w["y0"] >= r["y0"] - TOLERANCE) & (w["x1"] <= r["x1"] + TOLERANCE) & (w["y1"] <= r["y1"] + TOLERANCE)
+    )
+    dark = F.filter("rects", lambda r: is_dark(r["fill"]) & (r["y1"] - r["y0"] >= MIN_HEIGHT))
+    text = lambda r: F.array_join(F.transform(F.filter("words", lambda w: r_in(w, r)), lambda w: w["text"]), " ")
+    found = F.transform(dark, lambda r: F.struct(r["rect_id"].alias("rect_id"), text(r).alias("recovered_text")))
+    return F.filter(found, lambda t: t["recovered_text"].rlike(r"[\p{L}\p{N}]"))
+
+
+def found_leaks(pages: DataFrame) -> DataFrame:
+    """Text under dark rectangles of pages with a column rects: (doc_id, page, rect_id, kind, recovered_text, detail), one row a rectangle."""
+    rows = pages.select("doc_id", "page", F.inline_outer(covered_texts())).where("rect_id IS NOT NULL")
+    return rows.select("doc_id", "page", "rect_id", F.lit("text_under_overlay").alias("kind"), "recovered_text", F.lit("drawn rectangle covers selectable text").alias("detail"))
+
+
 def overlay_leaks(pages: DataFrame, rects: DataFrame) -> DataFrame:
-    """Text under dark rectangles: (doc_id, page, kind, recovered_text, detail), one row a rectangle.
+    """Text under dark rectangles of a table (doc_id, page, rect_id, x0, y0, x1, y1, fill).
 
-    Rectangles are joined with the pages that still hold their words in arrays, so that the test
-    runs inside a row. A rectangle over punctuation only is no leak.
+    The rectangles of a page are gathered and joined with the page, which holds its words in an
+    array, so that the test runs inside a row. A rectangle over punctuation only is no leak.
     """
-    box = overlays(rects).join(pages, ["doc_id", "page"])
-    inside = lambda w: (
-        (w["x0"] >= F.col("x0") - TOLERANCE) & (w["y0"] >= F.col("y0") - TOLERANCE) & (w["x1"] <= F.col("x1") + TOLERANCE) & (w["y1"] <= F.col("y1") + TOLERANCE)
-    )
-    found = box.select("doc_id", "page", "rect_id", F.array_join(F.transform(F.filter("words", inside), lambda w: w["text"]), " ").alias("recovered_text"))
-    real = found.where(F.col("recovered_text").rlike(r"[\p{L}\p{N}]"))
-    return real.select("doc_id", "page", "rect_id", F.lit("text_under_overlay").alias("kind"), "recovered_text", F.lit("drawn rectangle covers selectable text").alias("detail"))
+    return found_leaks(with_rects(pages, rects))
 
 
 def metadata_leaks(metadata: DataFrame) -> DataFrame:
     """Non-empty metadata (doc_id, field, value); the field "xmp" is the metadata stream. Same columns as overlay_leaks, page 0."""
-    value = F.trim("value")
+    value = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
     std = metadata.where(F.col("field").isin(*METADATA_FIELDS) & (value != ""))
     detail = F.concat(F.lit("/"), F.initcap("field"), F.lit(" field contains '"), value, F.lit("'"))
     plain = std.select("doc_id", F.lit(0).alias("page"), F.lit(None).cast("long").alias("rect_id"), F.lit("metadata").alias("kind"), value.alias("recovered_text"), detail.alias("detail"))
@@ -134,6 +179,22 @@ def metadata_leaks(metadata: DataFrame) -> DataFrame:
     return plain.union(xmp.select("doc_id", F.lit(0), F.lit(None).cast("long"), F.lit("metadata"), F.substring(value, 1, XMP_CHARS), F.lit("XMP metadata stream is non-empty")))
 
 
+def leak_counts(pages: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_overlays, n_metadata) of every document of pages with a column rects: one pass over the pages, one over the metadata."""
+    per = pages.groupBy("doc_id").agg(F.sum(F.size(covered_texts())).alias("n_overlays"))
+    if metadata is None:
+        return per.withColumn("n_metadata", F.lit(0).cast("long"))
+    more = metadata_leaks(metadata).groupBy("doc_id").agg(F.count("*").alias("n_metadata"))
+    return per.join(more, "doc_id", "left").select("doc_id", "n_overlays", F.coalesce("n_metadata", F.lit(0)).alias("n_metadata"))
+
+
+def report_of(counts: DataFrame) -> DataFrame:
+    """(doc_id, passed, n_leaks, summary) of documents with the columns n_overlays and n_metadata; the summary counts leaks by kind, text under overlays first."""
+    part = lambda c, kind: F.when(F.col(c) > 0, F.concat_ws(" ", F.col(c).cast("string"), F.lit(kind)))
+    n, parts = F.col("n_overlays") + F.col("n_metadata"), F.concat_ws(", ", part("n_overlays", "text_under_overlay"), part("n_metadata", "metadata"))
+    return counts.select("doc_id", (n == 0).alias("passed"), n.alias("n_leaks"), F.when(n == 0, "no residual leaks").otherwise(parts).alias("summary"))
+
+
 def reports(documents: DataFrame, leaks: DataFrame) -> DataFrame:
     """(doc_id, passed, n_leaks, summary) of every document; the summary counts leaks by kind, text under overlays first."""
     kinds = leaks.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import fresh
 from ..sources.corpus import page_text
 from ..sources.rulepacks import Category, RulePack
 
@@ -74,11 +75,17 @@ def annotate(pages: DataFrame, pack: RulePack) -> DataFrame:
         )
 
     none = F.array().cast("array<struct<word_start:int,word_end:int>>")
-    text = pages.withColumn("__text", page_text(F.col("words")))
-    one = lambda c: F.lit(True) if c.needs is None else F.col("__text").rlike(c.needs)
-    hits = [F.transform(F.when(one(c) & F.col("__text").rlike(java_pattern(c.pattern)), match_ranges(F.col("__text"), c.pattern)).otherwise(none), labelled(o, c)) for o, c in cats]
-    found = F.when(may_match(F.col("__text"), pack) & F.col("__text").rlike(any_pattern(pack)), F.concat(*hits)).otherwise(F.array().cast(FOUND))
-    return text.withColumn("found", found).drop("__text")
+    name = fresh("text", pages)
+    text = F.col(name)
+    one = lambda c: F.lit(True) if c.needs is None else text.rlike(c.needs)
+    hits = [F.transform(F.when(one(c) & text.rlike(java_pattern(c.pattern)), match_ranges(text, c.pattern)).otherwise(none), labelled(o, c)) for o, c in cats]
+    found = F.when(may_match(text, pack) & text.rlike(any_pattern(pack)), F.concat(*hits)).otherwise(F.array().cast(FOUND))
+    return pages.withColumn(name, page_text(F.col("words"))).withColumn("found", found).drop(name)
+
+
+def sequence(ord_: Column, page: Column, nth: Column) -> Column:
+    """The order of a document's findings by category, page and place."""
+    return ord_.cast("long") * F.lit(1 << 50) + page.cast("long") * F.lit(1 << 20) + nth
 
 
 def regex_findings(pages: DataFrame, pack: RulePack, with_words: bool = False) -> DataFrame:
@@ -92,7 +99,7 @@ def regex_findings(pages: DataFrame, pack: RulePack, with_words: bool = False) -
     text = page_text(F.col("words"))
     some = pages.where(may_match(text, pack) & text.rlike(any_pattern(pack)))
     found = annotate(some, pack).select(*keep, F.inline_outer("found")).where("word_start IS NOT NULL")
-    seq = F.col("ord").cast("long") * F.lit(1 << 50) + F.col("page").cast("long") * F.lit(1 << 20) + F.col("nth")
+    seq = sequence(F.col("ord"), F.col("page"), F.col("nth"))
     return found.select(*keep, "word_start", "word_end", "kind", "confidence", F.lit(f"rules:{pack.name}").alias("source"), seq.alias("seq"))
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import ensure_checkpoint_dir
+
 #: Fields that replay needs; other fields of a line are tolerated.
 EVENT = (
-    "event string, session_id string, input_path string, output_path string, ts string, page int, word_start int, word_end int, "
-    "kind string, confidence string, source string, bbox array<double>, text_sha256 string, decision string, status string, verify_result string"
+    "event string, session_id string, input_path string, output_path string, ts string, ts_start string, page int, word_start int, word_end int, kind string, "
+    "confidence string, source string, bbox array<double>, text_sha256 string, context_sha256 string, decision string, status string, verify_result string"
 )
 
+#: Version of the lines' form, and of the library that writes them.
+SCHEMA_VERSION, ENGINE_VERSION = 1, "0.2"
+
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """lines (session_key, line_no, value) to events; blank lines go, and a line that is no JSON object is marked corrupt."""
@@ -19,13 +24,21 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Events of the NDJSON files under path, one session a file; ValueError names the first malformed line."""
-    per_file = Window.partitionBy("session_key").orderBy("at")
-    raw = spark.read.text(path).select(F.input_file_name().alias("session_key"), "value", F.monotonically_increasing_id().alias("at"))
-    events = parse_lines(raw.withColumn("line_no", F.row_number().over(per_file)).drop("at"))
-    if bad := events.where("_corrupt IS NOT NULL").select("session_key", "line_no").first():
+    """Events of the NDJSON files under path, one session a file; ValueError names the first malformed line.
+
+    A file is one row of the scan, so that its lines keep their order and number whatever reads it.
+    Logs are small, one for each document; a log that a single task can't hold belongs into a table.
+    The checks and all readers share one checkpointed pass.
+    """
+    ensure_checkpoint_dir(spark)
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("session_key"), "value")
+    lines = files.select("session_key", F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    events = parse_lines(lines.select("session_key", (F.col("at") + 1).alias("line_no"), "value")).checkpoint()
+    if bad := events.where("_corrupt IS NOT NULL").orderBy("session_key", "line_no").select("session_key", "line_no").first():
         raise ValueError(f"{bad['session_key']}: line {bad['line_no']}: malformed JSON")
-    if lost := events.groupBy("session_key").agg(F.count_if(F.col("event") == "session_start").alias("n")).where("n = 0").first():
+    # Files without any line have no event either.
+    begun = events.where("event = 'session_start'").select("session_key").distinct()
+    if lost := files.select("session_key").join(begun, "session_key", "left_anti").first():
         raise ValueError(f"{lost['session_key']}: no session_start event")
     return events.drop("_corrupt")
 
@@ -34,18 +47,38 @@ def sessions(events: DataFrame, first: bool = False) -> DataFrame:
     """The session_start of each log: the last one counts in replay, the first one (``first``) where a log is only identified."""
     starts = events.where("event = 'session_start'")
     pick = F.min_by if first else F.max_by
-    row = F.struct("session_id", "input_path", "output_path")
+    row = F.struct("session_id", "input_path", "output_path", "ts_start")
     return starts.groupBy("session_key").agg(pick(row, "line_no").alias("s")).select("session_key", "s.*")
 
 
-def finding_json(text: Column, context: Column, decision: Column, include_text: bool = False) -> Column:
-    """A finding event as one compact line of JSON; columns page, word_start, word_end, kind, confidence, source and ts are taken from the row."""
-    fields = [
-        F.lit("finding").alias("event"), "ts", "page", "word_start", "word_end", "kind", "confidence", "source",
-        F.length(text).alias("text_length"), F.sha2(text, 256).alias("text_sha256"), F.sha2(context, 256).alias("context_sha256"),
-        decision.alias("decision"), F.lit("auto").alias("reviewer"),
-    ]
-    return F.to_json(F.struct(*fields, *([text.alias("text"), context.alias("context")] if include_text else [])))
+def line(*fields: Column | str) -> Column:
+    """An event as one compact line of JSON; fields that are null stay."""
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def finding_line(f: Column, page: Column, ts: str, include_text: bool = False) -> Column:
+    """The line of a finding f (a struct as plans.run.facts has it)."""
+    names = ["bbox", "text_length", "text_sha256", "context_sha256"]
+    fields = [F.lit("finding").alias("event"), F.lit(ts).alias("ts"), page.alias("page"), *[f[c].alias(c) for c in ("word_start", "word_end", "kind", "confidence", "source", *names)]]
+    fields += [F.lit("applied").alias("decision"), F.lit("auto").alias("reviewer")]
+    return line(*fields, *[f[c].alias(c) for c in ("text", "context") if include_text])
+
+
+def event_line(event: str, ts: str, *fields: Column) -> Column:
+    """The line of any other event."""
+    return line(F.lit(event).alias("event"), F.lit(ts).alias("ts"), *fields)
+
+
+#: Fields of a model call in its line.
+CALL_FIELDS = (
+    "chunk_idx", "pages", "temperature", "seed_requested", "seed_honored", "system_fingerprint", "prompt_sha256", "response_sha256",
+    "tokens_in", "tokens_out", "duration_ms", "page_word_range", "cache_creation_input_tokens", "cache_read_input_tokens",
+)
+
+
+def call_line(ts: str) -> Column:
+    """The line of a model call (a row of providers.call_records)."""
+    return event_line("chunk_request", ts, *map(F.col, CALL_FIELDS))
 
 
 def session_status(passed: Column, leaks: Column) -> Column:

@@ -10,17 +10,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import table
+
 #: Words of a page of the table adapters.
 PAGE_WORDS = 400
 
 WORDS_TYPE = "array<struct<idx:int,text:string,block_id:int,x0:double,y0:double,x1:double,y1:double>>"
 
 
+#: White space between words; a line feed also ends a block.
+_BLANK = " \t\f\r"
+
+
 def split_words(text: Column) -> Column:
-    """array<struct<text, block_id>>: words between ASCII white space; the block is the number of the line."""
-    line_words = lambda line: F.filter(F.split(line, r"[ \t\f\r]+"), lambda w: w != "")
-    blocks = F.transform(F.split(text, "\n"), lambda line, b: F.transform(line_words(line), lambda w: F.struct(w.alias("text"), b.alias("block_id"))))
-    return F.flatten(blocks)
+    """array<struct<text, block_id>>: words between ASCII white space; the block is the number of the line.
+
+    The text is split once into words; the lines only count theirs.
+    """
+    bare = F.btrim(text, F.lit(_BLANK + "\n"))
+    words = F.when(F.length(bare) > 0, F.split(bare, rf"[{_BLANK}\n]+")).otherwise(F.array().cast("array<string>"))
+    blocks = F.flatten(F.transform(F.split(text, "\n"), lambda line, b: F.array_repeat(b, F.regexp_count(line, F.lit(f"[^{_BLANK}]+")))))
+    return F.arrays_zip(words.alias("text"), blocks.alias("block_id"))
 
 
 def index_words(words: Column) -> Column:
@@ -58,12 +68,12 @@ def paginate(df: DataFrame, id_col: str, text: Column, page_words: int = PAGE_WO
 
 
 def from_documents(spark: SparkSession, sf_dir: str, page_words: int = PAGE_WORDS) -> DataFrame:
-    return paginate(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", F.col("text"), page_words)
+    return paginate(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), page_words)
 
 
 def from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation is a document, each turn a page."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = table(spark, sf_dir, "conversations")
     words = with_word(turns, F.col("text")).select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), split_words(F.col("text")).alias("w"))
     return words.select("doc_id", "page", index_words(F.col("w")).alias("words"))
 
@@ -75,7 +85,7 @@ def strip_markup(html: Column) -> Column:
 
 def from_web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A web page is a document of one page."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = table(spark, sf_dir, "pages")
     words = pages.select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), split_words(strip_markup(F.col("html"))).alias("w"))
     return words.select("doc_id", "page", index_words(F.col("w")).alias("words")).where(F.size("words") > 0).select("doc_id", "page", "words")
 

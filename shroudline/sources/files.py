@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import page_ranges
 from .corpus import WORDS_TYPE
 
 Extractor = Callable[[bytes, list[int] | None], list[tuple[int, list, bool]]]
@@ -62,7 +63,9 @@ def extract(files: DataFrame, extractor: Extractor, selection: list[int] | None
 
 
 def require_recognized(extracted: DataFrame, recognizer: Extractor | None) -> DataFrame:
-    """Raise RecognitionRequired if pages hold images and there is no recognizer."""
-    if recognizer is None and (bad := extracted.where("has_image").select("doc_id", "page").first()):
-        raise RecognitionRequired(f"page {bad['page']} of document {bad['doc_id']} holds an image; text recognition is needed")
+    """Raise RecognitionRequired if pages hold images and there is no recognizer; the message names the pages of one document."""
+    if recognizer is None:
+        bad = extracted.where("has_image").groupBy("doc_id").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+        if row := bad.select("doc_id", page_ranges(F.col("pages")).alias("pages")).first():
+            raise RecognitionRequired(f"pages {row['pages']} of document {row['doc_id']} hold images; text recognition is needed")
     return extracted

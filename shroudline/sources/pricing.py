@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import fresh
+
 SCHEMA = "provider string, model string, input_per_million double, output_per_million double, cache_write_multiplier double, cache_read_multiplier double"
 
 #: Multipliers of a rate that names none.
@@ -35,13 +37,26 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def resolve(spark: SparkSession, path: str | None = None, user_path: str | None = None) -> DataFrame:
+    """The price list of an explicit path, else that of the user if there is one, else the sample."""
+    if path is not None:
+        return load(spark, path)
+    if user_path is not None:
+        file = spark._jvm.org.apache.hadoop.fs.Path(user_path)
+        if file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+            return load(spark, user_path)
+    return sample(spark)
+
+
 def with_rates(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     """calls (provider, model, ...) with the rates of the model, else those of the provider's "*"; rate columns are null if there are none."""
     rates = [c for c in pricing.columns if c not in ("provider", "model")]
-    exact = pricing.select("provider", "model", F.struct(*rates).alias("__exact"))
-    any_model = pricing.where("model = '*'").select("provider", F.struct(*rates).alias("__any"))
+    own, other = fresh("own", calls), fresh("other", calls)
+    exact = pricing.select("provider", "model", F.struct(*rates).alias(own))
+    any_model = pricing.where("model = '*'").select("provider", F.struct(*rates).alias(other))
     both = calls.join(exact, ["provider", "model"], "left").join(any_model, "provider", "left")
-    return both.withColumn("__r", F.coalesce("__exact", "__any")).select(*calls.columns, *[F.col(f"__r.{c}").alias(c) for c in rates])
+    rate = F.coalesce(own, other)
+    return both.select(*calls.columns, *[rate[c].alias(c) for c in rates])
 
 
 def require_rates(priced: DataFrame) -> DataFrame:

@@ -8,8 +8,11 @@ import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.backups import expired
 from . import pricing
+from .audit import backup_time
 
 
 class OutputExists(FileExistsError):
@@ -40,6 +43,21 @@ class Files:
     def remove(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
+    def replace(self, new: str, path: str) -> None:
+        """Put new in the place of path. What was there stands aside until new is there, and comes back if that fails."""
+        aside = f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:8]}"
+        old = self.exists(path)
+        if old:
+            self.move(path, aside)
+        try:
+            self.move(new, path)
+        except BaseException:
+            if old and not self.exists(path):
+                self.move(aside, path)
+            raise
+        if old:
+            self.remove(aside)
+
     def write_text(self, path: str, text: str) -> None:
         out = self._fs.create(self._path(path), True)
         try:
@@ -69,9 +87,7 @@ def publish(pages: DataFrame, path: str, leaks: DataFrame | None = None, overwri
         pages.write.parquet(temp)
         if leaks is not None and (bad := leaks.first()) is not None:
             raise VerificationFailed(f"document {bad['doc_id']}: {bad['detail']}")
-        if fs.exists(path):
-            fs.remove(path)
-        fs.move(temp, path)
+        fs.replace(temp, path)
     finally:
         if fs.exists(temp):
             fs.remove(temp)
@@ -92,19 +108,14 @@ def create_backup(spark: SparkSession, original: str, root: str, now: datetime |
 
 
 def sweep_backups(spark: SparkSession, root: str, retention_hours: int, now: datetime | None = None) -> int:
-    """Delete backups older than retention_hours; their number. 0 keeps all, and so does a name without a time."""
-    if retention_hours == 0:
-        return 0
-    fs, limit, gone = Files(spark, root), (now or datetime.now(UTC)).timestamp() - 3600 * retention_hours, 0
-    for name in fs.names(root):
-        try:
-            made = datetime.strptime(name[:20], "%Y-%m-%dT%H-%M-%SZ").replace(tzinfo=UTC)
-        except ValueError:
-            continue
-        if made.timestamp() < limit:
-            fs.remove(f"{root}/{name}")
-            gone += 1
-    return gone
+    """Delete the backups under root that operators.backups.expired names; their number."""
+    fs = Files(spark, root)
+    names = spark.createDataFrame([(n,) for n in fs.names(root)], "session_dir string")
+    limit = F.lit((now or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+    due = expired(names.withColumn("ts", backup_time(F.col("session_dir"))), retention_hours, limit).collect()  # as many as there are folders
+    for row in due:
+        fs.remove(f"{root}/{row['session_dir']}")
+    return len(due)
 
 
 def refresh_pricing(spark: SparkSession, source: str, target: str) -> None:
@@ -118,6 +129,4 @@ def refresh_pricing(spark: SparkSession, source: str, target: str) -> None:
         out["providers"].setdefault(r["provider"], {})[r["model"]] = rates
     fs = Files(spark, target)
     fs.write_text(f"{target}.tmp", json.dumps(out))
-    if fs.exists(target):
-        fs.remove(target)
-    fs.move(f"{target}.tmp", target)
+    fs.replace(f"{target}.tmp", target)

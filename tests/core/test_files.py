@@ -44,6 +44,11 @@ def test_publish_is_gated(spark, tmp_path):
     assert sinks.free_name(spark, path).endswith("out.v8")
     sinks.publish(spark.range(5), path, overwrite=True)
     assert spark.read.parquet(path).count() == 5
+    # A move that fails leaves what was there.
+    fs = sinks.Files(spark, path)
+    with pytest.raises(Exception):  # noqa: B017
+        fs.replace(f"{path}-missing", path)
+    assert spark.read.parquet(path).count() == 5 and not list(tmp_path.glob("out.old-*"))
 
 
 def test_backups_are_made_and_swept(spark, tmp_path):
@@ -68,6 +73,10 @@ def test_price_list_is_checked_before_it_is_taken(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.refresh_pricing(spark, str(bad), str(target))
     assert pricing.load(spark, str(target)).first()["cache_write_multiplier"] == 1.25
+    assert pricing.resolve(spark, None, str(tmp_path / "none.json")).count() == len(pricing.SAMPLE)
+    assert pricing.resolve(spark, None, str(target)).count() == 1 and pricing.resolve(spark, str(good)).count() == 1
+    calls = spark.createDataFrame([("a", "m", 1, 2)], "provider string, model string, own long, other long")
+    assert pricing.with_rates(calls, pricing.load(spark, str(target))).first()["input_per_million"] == 1.0
 
 
 def test_settings(tmp_path):

@@ -1,5 +1,6 @@
 """Operators on literal rows."""
 
+import json
 import re
 
 import pytest
@@ -195,12 +196,12 @@ def test_submissions(spark):
 def words_provider(limit):
     """Finds every word "secret" of a prompt of limit words or fewer; gives up on longer ones."""
 
-    def provide(prompt, categories, instructions, model, attempt):
+    def provide(request):
         import json as j
         import re as r
 
         found, n = [], 0
-        for number, body in r.findall(r'<page n="(\d+)">\n(.*?)\n</page>', prompt, r.S):
+        for number, body in r.findall(r'<page n="(\d+)">\n(.*?)\n</page>', request.prompt, r.S):
             words = r.findall(r"\[(\d+)\](\S+)", body)
             n += len(words)
             found += [{"page": int(number), "start": int(i), "end": int(i), "kind": "s", "confidence": "low"} for i, w in words if w == "secret"]
@@ -234,6 +235,57 @@ def test_what_the_last_round_loses_is_failed(spark, pages_of):
         providers.detect(pages, subs, words_provider(300), parallel=2, max_levels=2)
 
 
+def test_a_page_that_always_fails_is_halved_to_the_floor_and_reported(spark):
+    words = F.transform(F.sequence(F.lit(0), F.lit(199_999)), lambda i: F.struct(i.cast("int").alias("idx"), F.lit("w").alias("text"), F.lit(0).alias("block_id"), *[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")]))
+    item = spark.range(1).select(F.lit(0).cast("long").alias("doc_id"), F.lit("").alias("path"), F.array(F.lit(1)).alias("pages"), F.lit(0).alias("w0"), F.size(words).alias("w1"))
+    tree = planning.halve_tree(item.checkpoint())
+    leaves = tree.where("w1 - w0 <= 100")
+    assert tree.agg(F.max(F.length("path"))).first()[0] == 18 and leaves.count() > 2 * 200_000 / 100
+    pages = spark.range(1).select(F.lit(0).cast("long").alias("doc_id"), F.lit(1).alias("page"), F.slice(words, 1, 3000).alias("words"))
+    subs = spark.createDataFrame([(0, "m", ["s"], [])], "ord int, model string, category_ids array<string>, instructions array<string>")
+    _, calls, failed = providers.detect(pages, subs, lambda request: None, parallel=2, strict=False)
+    covered = {w for r in failed.collect() for w in range(r["w0"], r["w1"])}
+    assert covered == set(range(3000)) and calls.count() == 0
+
+
+def test_providers_are_retried_with_waits_and_their_errors_are_no_answers(spark, pages_of, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def flaky(request):
+        import time
+
+        with open(log, "a") as out:
+            out.write(f"{time.time()} {request.attempt} {request.timeout} {request.seed} {request.model}\n")
+        if request.attempt == 0:
+            raise OSError("no connection")
+        if request.attempt == 1:
+            return None
+        return {"payload": '{"findings": [{"page": 1, "start": 0, "end": 0, "kind": "s"}, {"page": 2, "start": 0, "end": 0, "kind": "s"}]}', "tokens_in": "12", "tokens_out": "many", "seed_honored": True}
+
+    subs = spark.createDataFrame([(0, "m", ["s"], [])], "ord int, model string, category_ids array<string>, instructions array<string>")
+    found, calls, failed = providers.detect(pages_of("a b\nc", "d"), subs, flaky, max_retries=2, backoff=0.2, parallel=1, seed=5, layout_aware=True)
+    row = providers.call_records(calls, 5).orderBy("doc_id").first()
+    assert (row["attempts"], row["tokens_in"], row["tokens_out"], row["seed_honored"], row["chunk_idx"], row["seed_requested"], list(row["page_word_range"])) == (3, 12, 0, True, 0, 5, [0, 3])
+    assert len(row["prompt_sha256"]) == len(row["response_sha256"]) == 64 and failed.count() == 0
+    assert sorted(r["doc_id"] for r in found.collect()) == [0, 1]  # page 2 is none of these calls'
+    lines = [x.split() for x in open(log).read().splitlines()]
+    assert [x[1:] for x in lines] == [["0", "120.0", "5", "m"], ["1", "240.0", "5", "m"], ["2", "360.0", "5", "m"]] * 2
+    assert float(lines[1][0]) - float(lines[0][0]) >= 0.2 and float(lines[2][0]) - float(lines[1][0]) >= 0.4
+    assert providers.waits(3, 1.0, 2.0) == [1.0, 2.0, 4.0]
+    prompt = providers.with_prompts(providers.work_items(pages_of("a b\nc"), 1, subs), pages_of("a b\nc"), layout_aware=True).first()
+    assert '<block id="1">[2]c</block>' in prompt["document"] and prompt["prefix"].startswith("Categories: s")
+
+
+def test_registry():
+    @providers.register("mine")
+    def make(model, size=1):
+        return lambda request: {"payload": f"{model}{size}"}
+
+    assert providers.make_provider("mine", "m", size=3)(providers.Request("")) == {"payload": "m3"}
+    with pytest.raises(ValueError, match="nobody"):
+        providers.make_provider("nobody", "m")
+
+
 def test_batches_of_pages_are_halved_by_pages(spark, pages_of):
     pages = pages_of(" ".join(["secret"] * 50), page_words=10)
     subs = spark.createDataFrame([(0, "m", [], ["find it"])], "ord int, model string, category_ids array<string>, instructions array<string>")
@@ -287,7 +339,7 @@ def test_overlays_and_metadata(spark, pages_of):
     ]
     leaks = redaction.overlay_leaks(pages, spark.createDataFrame([tuple(float(v) if 3 <= i < 7 else v for i, v in enumerate(r)) for r in rows], rect))
     assert sorted((r["rect_id"], r["recovered_text"]) for r in leaks.collect()) == [(1, "abc def"), (7, "ghi")]
-    meta = redaction.metadata_leaks(spark.createDataFrame([(0, "author", " Ann "), (0, "title", " "), (0, "xmp", "x" * 300), (0, "color", "red")], "doc_id long, field string, value string"))
+    meta = redaction.metadata_leaks(spark.createDataFrame([(0, "author", " Ann "), (0, "title", " \t\n"), (0, "xmp", "x" * 300), (0, "color", "red")], "doc_id long, field string, value string"))
     assert sorted((len(r["recovered_text"]), r["detail"]) for r in meta.collect()) == [(3, "/Author field contains 'Ann'"), (200, "XMP metadata stream is non-empty")]
     report = redaction.reports(pages, leaks.unionByName(meta)).first()
     assert (report["passed"], report["n_leaks"], report["summary"]) == (False, 4, "2 text_under_overlay, 2 metadata")
@@ -319,6 +371,59 @@ def test_run_audit_and_undo(spark, pages_of, tmp_path):
     assert '"status":"verify_failed"' in failed.events.orderBy(F.desc("ord")).first()["value"]
 
 
+def test_lines_of_decomposition_calls_and_failure(spark, pages_of):
+    pages = pages_of("mail a@bc.de", "clean")
+    calls = spark.createDataFrame([(0, i, [1], 0.0, None, False, None, "p", "r", 100, 10, 7, None, 0, 0, 0.25) for i in range(2)], "doc_id long, chunk_idx int, pages array<int>, temperature double, seed_requested long, seed_honored boolean, system_fingerprint string, prompt_sha256 string, response_sha256 string, tokens_in long, tokens_out long, duration_ms long, page_word_range array<int>, cache_creation_input_tokens long, cache_read_input_tokens long, cost_usd double")
+    told = spark.createDataFrame([("parser", "2 rules by form", ["a", "b"])], "source string, detail string, rules array<string>")
+    bad = spark.createDataFrame([(0, "author", "Ann")], "doc_id long, field string, value string")
+    result = plan.run(pages, PACK, metadata=bad, calls=calls, decomposed=told, selection="1", provider="stub", model="m", instructions=("a", "b"), include_text=True)
+    lines = [json.loads(r["value"]) for r in result.events.where("session_id = 0").orderBy("ord").collect()]
+    assert [x["event"] for x in lines] == ["session_start", "instruction_decomposed", "chunk_request", "chunk_request", "finding", "verification_failed", "session_end"]
+    start, told, first, _, found, _, end = lines
+    assert (start["pages_spec"], start["pages_resolved"], start["rules"], start["instructions"], start["input_pages"], start["input_bytes"]) == ("1", [1], ["pii-en"], ["a", "b"], 1, 12)
+    assert told["rule_count"] == 2 and first["seed_requested"] is None and first["chunk_idx"] == 0
+    assert (found["text"], found["context"], found["bbox"]) == ("a@bc.de", "mail a@bc.de", [40.0, 0.0, 75.0, 9.0])
+    assert (end["status"], end["tokens_in"], end["tokens_out"], end["duration_ms"], end["cost_usd"], end["verify_leak_count"], end["output_sha256"]) == ("verify_failed", 200, 20, 14, 0.5, 1, "")
+    assert result.events.where("session_id = 1").count() == 0
+
+
+def test_a_run_searches_each_page_once_for_its_record(spark, pages_of):
+    pages = pages_of("mail a@bc.de or 123-45-6789 now", "clean text")
+    result = plan.run(pages, PACK)
+    for df in (result.findings, result.events, result.report, plan.undo_lines(_keyed(result.events), kind="email")):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in text and "RegExpExtractAll" not in text and "rlike" not in text.lower()
+    undone = plan.undo(pages, _keyed(result.events), kind="email")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in undone.split("LogicalRDD")[0].lower() or undone.count("phone") == 0
+
+
+def _keyed(events):
+    return audit.parse_lines(events.select(F.col("session_id").cast("string").alias("session_key"), F.col("ord").alias("line_no"), "value"))
+
+
+def test_undo_lines_and_texts(spark, pages_of):
+    pages = pages_of("mail a@bc.de or 123-45-6789 now", "clean text", "x@yz.org")
+    log = _keyed(plan.run(pages, PACK).events)
+    counts = spark.createDataFrame([("0", 1, 1), ("2", 0, 0)], "session_key string, n_overlays long, n_metadata long")
+    copies = spark.createDataFrame([("0", "/b/0")], "session_dir string, copy_path string")
+    lines = {}
+    for r in plan.undo_lines(log, copies, counts=counts, kind="email").orderBy("ord").collect():
+        lines.setdefault(r["session_key"], []).append(json.loads(r["value"]))
+    assert set(lines) == {"0", "2"} and [x["event"] for x in lines["0"]] == ["undo_start", "undo_finding", "undo_end"]
+    start, found, end = lines["0"]
+    assert (start["backup_path"], start["findings_total"], start["findings_excluded"], start["selector"]["kind"], start["source_session_id"]) == ("/b/0", 2, 1, "email", "0")
+    assert len(found["text_sha256"]) == len(found["context_sha256"]) == 64
+    assert (end["status"], end["redactions_kept"], end["redactions_un_redacted"], end["verify_result"], end["verify_leak_count"]) == ("verify_failed", 1, 1, "fail", 2)
+    assert lines["2"][0]["backup_path"] is None and lines["2"][-1]["verify_result"] == "pass"
+    texts = {(r["session_key"], r["ordinal"]): r["text"] for r in replay.texts(replay.applied(log), pages.where("doc_id = 0")).collect()}
+    assert texts == {("0", 0): "a@bc.de", ("0", 1): "123-45-6789", ("2", 0): ""}
+    assert replay.parse_words("3-7") == (3, 7) and replay.parse_words(None) is None
+    for bad in ("3", "a-b", "3-", ""):
+        with pytest.raises(ValueError):
+            replay.parse_words(bad)
+    assert replay.page_choices(replay.applied(log), pages=[2]).count() == 0
+
+
 def test_bad_logs(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.log").write_text('{"event": "session_start", "session_id": "1"}\n\n{oops\n')
@@ -342,6 +447,12 @@ def test_backups(spark, tmp_path):
     assert [r["session_dir"] for r in backups.expired(everything, 24, now).collect()] == ["2026-01-02T03-04-05Z-abc123"]
     assert backups.expired(everything, 0, now).count() == 0
     assert backups.by_session(everything, "odd").count() == 1
+    assert backups.latest_of(everything, "/d/a").first()["session_dir"] == "odd" and backups.latest_of(everything, "/d/b").count() == 0
+    dirs = spark.createDataFrame([(r["session_dir"],) for r in rows.collect()], "session_dir string")
+    assert backups.newest(rows, dirs).first()["session_dir"] == "2026-01-03T00-00-00Z"
+    assert backups.newest(rows, dirs.union(spark.createDataFrame([("2026-02-01T00-00-00Z",)], "session_dir string"))).count() == 0
+    logs = spark.createDataFrame([("odd", "s")], "session_key string, session_id string")
+    assert {r["session_dir"]: r["session_id"] for r in backups.with_audit(everything, logs).collect()} == {"odd": "s", "2026-01-03T00-00-00Z": None, "2026-01-02T03-04-05Z-abc123": None}
     files = spark.createDataFrame([("r", "r.v2"), ("r", "r.v10"), ("r", "x.v99"), ("s", "s")], "base string, name string")
     assert {r["base"]: r["next_version"] for r in backups.next_versions(files).collect()} == {"r": 11, "s": 2}
 
@@ -360,12 +471,14 @@ def test_streaming_audit(spark, tmp_path):
 
 def test_rows_of_pages_and_tables_of_findings_agree(spark, pages_of):
     pages = pages_of("mail a@bc.de or 123-45-6789 now a@bc.de", "clean text", "1 (743) 555-3824")
-    in_rows, joined = plan.run(pages, PACK), plan.run(pages, plan.detect(pages, PACK))
+    in_rows, joined = plan.run(pages, PACK), plan.run(pages, plan.detect(pages, PACK), rule_names=(PACK.name,))
     for name in ("findings", "pages", "report", "events"):
         a, b = (sorted(map(str, getattr(r, name).collect())) for r in (in_rows, joined))
         assert a == b
     diff = redaction.removed_words(pages, joined.pages).groupBy("doc_id").agg(F.count("*").alias("n"))
     sizes = redaction.page_diff(pages, in_rows.pages).select("doc_id", F.size("removed").alias("n")).where("n > 0")
     assert {tuple(r) for r in diff.collect()} == {tuple(r) for r in sizes.collect()}
+    both = [redaction.diff_found(rules.annotate(pages, PACK)), redaction.page_diff(pages, in_rows.pages)]
+    assert len({tuple(sorted(map(str, d.select("doc_id", "page", "before_text", "after_text", "removed").collect()))) for d in both}) == 1
     plain = redaction.text_found(rules.annotate(pages, PACK)).collect()
     assert sorted(map(str, plain)) == sorted(map(str, redaction.redacted_text(pages, plan.detect(pages, PACK)).collect()))
