@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir
 
+#: Rounds whose moves are joined in one plan.
+FOLD = 4
+
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label the vertices of undirected links (a, b long): returns (node, root), one row per vertex that has a link.
@@ -42,7 +45,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = moves[0].select("node", F.col("to").alias("root"))
-    for move in moves[1:]:
+    for k, move in enumerate(moves[1:], 1):
         step = move.select(F.col("node").alias("root"), "to")
         out = out.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        if k % FOLD == 0:
+            out = out.checkpoint()
     return out

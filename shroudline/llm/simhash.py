@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, map_text, texts
+from .common import ensure_checkpoint_dir, fresh, join_sized, map_text, table, texts
 from .components import components
 
 #: Fingerprints link at this many differing bits at most.
@@ -43,17 +43,17 @@ def fingerprint(text: str, k: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """(doc_id, fp long): one row for each input row. A null or wordless text has fingerprint zero."""
+    """(doc_id, fp long, h long): one row for each input row; h is a hash of the text. A null or wordless text has fingerprint zero."""
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             fp = np.array([fingerprint(t, k) for t in texts(batch)], dtype=np.uint64).astype(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp), batch.column("h")], names=["doc_id", "fp", "h"])
 
         return apply
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_text(narrow, "text", "doc_id long, fp long", make)
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return map_text(narrow, "text", "doc_id long, fp long, h long", make)
 
 
 def _signed(x: int) -> int:
@@ -145,6 +145,23 @@ def links(nodes: DataFrame) -> DataFrame:
     return out
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, fp, h), and the nodes (fp, n, rep, first): each fingerprint with the number of its rows,
+    the smallest id of its group, and the group's first row as (no_id, doc_id, h). Both are checkpoints.
+
+    Exact copies are one node (an aggregate that is combined on the map side), so that their number
+    never matters for the index or the links.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    rows = fingerprints(docs, id_col, text_col, k).checkpoint()
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    nodes = rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(place).alias("own")).checkpoint()
+    roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).checkpoint()
+    firsts = rooted.groupBy("root").agg(F.count("*").alias("size"), F.min("own").alias("first")).checkpoint()
+    return rows, join_sized(rooted, firsts, "root", "size", "fp").select("fp", "n", F.col("first.doc_id").alias("rep"), "first").checkpoint()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): each row's near-duplicate group, named by its smallest id.
 
@@ -153,34 +170,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a null id gets the group of its fingerprint (null if no row of the group has an id);
     columns other than the id and the text are not looked at; an empty table gives no rows.
 
-    Exact copies are one node (an aggregate that is combined on the map side), so that their number
-    never matters for the index or the links.
+    A fingerprint that a large share of all rows has is joined by broadcast (join_sized).
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    fps = fingerprints(docs, id_col, text_col, k).checkpoint()
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).checkpoint()
-    roots = components(links(nodes.select("fp"))).checkpoint()
-    named = roots.join(nodes.withColumnRenamed("fp", "node"), "node")
-    names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    grouped = named.join(names, "root").select(F.col("node").alias("fp"), "component_id")
-    labels = nodes.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    rows, nodes = _groups(docs, id_col, text_col, k)
+    named = join_sized(rows.select("doc_id", "fp"), nodes.select("fp", "n", "rep"), "fp", "n", "doc_id")
+    return named.select("doc_id", "fp", F.col("rep").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, of which one row of each near-duplicate group stays: one with the smallest id.
+    """The rows of ``docs``, columns unchanged, of which one row of each near-duplicate group stays: the first one.
 
-    Of several rows with the kept id one stays. Rows without an id can't be told apart: they all stay.
+    Rows come in the order of their ids, those without one last, and rows of one id by a hash of
+    their texts; of rows with the same id and text any one counts. So texts in different groups
+    all stay, also under one id or none.
     """
-    groups = near_duplicates(docs, id_col, text_col, k)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
-    once = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)))
-    kept = kept.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").drop("__nth")
-    return kept.union(docs.where(F.col(id_col).isNull()))
+    _, nodes = _groups(docs, id_col, text_col, k)
+    key, h, nth = fresh("key", docs), fresh("h", docs), fresh("nth", docs)
+    keep = nodes.select(F.col("first.doc_id").alias(key), F.col("first.h").alias(h)).distinct()
+    marked = docs.withColumns({key: F.col(id_col).cast("long"), h: F.xxhash64(text_col)})
+    same = marked[key].eqNullSafe(keep[key]) & (marked[h] == keep[h])
+    kept = marked.join(keep, same, "left_semi")
+    once = Window.partitionBy(key, h).orderBy(F.lit(0))
+    return kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)
 
 
 def op7_simhash(spark, sf_dir):
     """Near-duplicate groups of all documents: doc_id, fingerprint, component_id."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -23,4 +23,4 @@ def make_docs(spark):
 
 #: Texts that every operator must bear: null, empty, blank, no letter, long, repeated.
 ODD = [None, "", " \n\t ", "!!! 123 ...", "word " * 6000, "x" * 30000, "naïve Größe ñandú 🙂 漢字", "same text here", "same text here"]
-CLASH = ["word", "digest", "fp", "score", "start", "tokens", "id", "y", "h", "n", "idx", "rep", "key", "mask"]
+CLASH = ["word", "digest", "fp", "score", "start", "tokens", "id", "y", "h", "n", "idx", "rep", "key", "mask", "cuts", "hot", "at", "cold", "nth", "nth_", "part", "bits", "__doc", "__cut", "__keep", "__nth", "__id", "__text"]

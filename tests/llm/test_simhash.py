@@ -102,10 +102,27 @@ def test_null_ids_repeated_rows_and_empty_table(spark, make_docs):
     assert rows == [(0, 0), (0, 4), (4, 4), (4, 4), (9, 9)]
     kept = simhash.keep_representatives(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "a b c"), (0, "alone only once"), (4, "a b c"), (9, "other words here now")]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "alone only once"), (4, "a b c"), (9, "other words here now")]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id_or_have_none_are_told_apart(make_docs):
+    rows = [(None, "a b c d")] * 5 + [(None, "quite another text than that")] * 3 + [(4, "first text of the id four"), (4, "second words under an id"), (6, "second words under an id"), (4, "first text of the id four")]
+    docs = make_docs(rows, CLASH)
+    kept = simhash.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "a b c d"), (0, "quite another text than that"), (4, "first text of the id four"), (4, "second words under an id")]
+
+
+def test_a_hot_fingerprint_is_joined_whole(spark, make_docs, monkeypatch):
+    from shroudline.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", 0.1)
+    docs = make_docs([(i, "the same text as many others") for i in range(60)] + [(100 + i, f"text {i} of its own kind {i * 7}") for i in range(30)])
+    rows = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert len(rows) == 90 and all(rows[i] == 0 for i in range(60)) and all(rows[100 + i] >= 100 for i in range(30))
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     from shroudline.llm.components import components
 
