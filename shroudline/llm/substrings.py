@@ -12,10 +12,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, map_text, texts
+from .common import ensure_checkpoint_dir, fresh, join_sized, map_text, table, texts
 
 #: Bytes a chunk has at least and at most; a cut is taken at one in CUT_ONE_IN of the white-space bytes.
 MIN_CHUNK, MAX_CHUNK, CUT_ONE_IN = 16, 160, 3
@@ -25,8 +25,8 @@ LONG_RUN, CHAR_CUT_ONE_IN = 32, 12
 WORD_LENGTH = 6
 #: Words that a repeated passage has at least.
 MIN_WORDS = 15
-#: A digest found more often than this share of all repeated rows counts as hot; there can be no more than 1 / HOT_SHARE such digests.
-HOT_SHARE = 1 / 2000
+#: Stands for a null id: documents without one come last.
+NO_ID = 2**63 - 1
 
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 9) for b in range(256)], dtype=np.uint32)
 _SPACE = np.zeros(256, dtype=bool)
@@ -106,18 +106,23 @@ def _by_length(part: bytes) -> int:
     return -(-(np.count_nonzero(data & 0xC0 != 0x80) + 2 * wide) // WORD_LENGTH)
 
 
+def _own(doc_id: str | Column, text: str | Column) -> tuple[Column, Column]:
+    """What tells documents apart: the id, NO_ID for null, and a hash of the text."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.xxhash64(text)
+
+
 def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, at, words, digest): from each chunk on, the fewest chunks that have min_words words, if there are as many.
+    """(doc_id, h, start, end, at, words, digest): from each chunk on, the fewest chunks that have min_words words, if there are as many.
 
-    start and end count bytes of UTF-8; at is the number of words before the stretch.
+    doc_id and h tell documents apart; start and end count bytes of UTF-8; at is the number of words before the stretch.
     """
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = batch.column("doc_id").to_pylist()
+            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
             digest = xxhash.xxh3_64_intdigest
-            out: list[list] = [[], [], [], [], [], []]
-            for doc_id, text in zip(ids, texts(batch)):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for doc_id, h, text in zip(ids, hashes, texts(batch)):
                 raw = text.encode("utf-8", "surrogatepass")
                 bounds = chunk_bounds(raw)
                 pieces = [raw[a:b] for a, b in bounds]
@@ -129,61 +134,50 @@ def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 ends, edges = ends[:n], np.array(bounds)
                 of_chunks = memoryview(np.array([digest(piece) for piece in pieces], dtype=np.uint64).tobytes())
                 out[0].append(np.full(n, doc_id, dtype=np.int64))
-                out[1].append(edges[:n, 0])
-                out[2].append(edges[ends - 1, 1])
-                out[3].append(before[:n])
-                out[4].append(before[ends] - before[:n])
-                out[5].append(np.array([digest(of_chunks[8 * i : 8 * j]) for i, j in enumerate(ends.tolist())], dtype=np.uint64).astype(np.int64))
-            kinds = (np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)
+                out[1].append(np.full(n, h, dtype=np.int64))
+                out[2].append(edges[:n, 0])
+                out[3].append(edges[ends - 1, 1])
+                out[4].append(before[:n])
+                out[5].append(before[ends] - before[:n])
+                out[6].append(np.array([digest(of_chunks[8 * i : 8 * j]) for i, j in enumerate(ends.tolist())], dtype=np.uint64).astype(np.int64))
+            kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)
             arrays = [pa.array(np.concatenate(c).astype(t) if c else np.array([], dtype=t)) for c, t in zip(out, kinds)]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "end", "at", "words", "digest"])
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "start", "end", "at", "words", "digest"])
 
         return apply
 
-    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_text(narrow, "text", "doc_id long, start int, end int, at int, words int, digest long", make)
+    doc_id, h = _own(id_col, text_col)
+    narrow = docs.select(doc_id.alias("doc_id"), h.alias("h"), F.col(text_col).alias("text"))
+    return map_text(narrow, "text", "doc_id long, h long, start int, end int, at int, words int, digest long", make)
 
 
 def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The stretches that at least two documents have, with first_doc, the smallest id that has the stretch.
+    """The stretches that at least two documents have, with first_doc, the smallest id that has the stretch, and
+    first_h, the smallest hash of the texts that have it if they all have that id.
 
-    Digests are counted with partial aggregates. The few hot digests, whose number HOT_SHARE bounds,
-    are joined by broadcast. Then all rows are joined with the other repeated digests by a shuffle,
-    in which rows of hot digests have a key of their document instead: no task gets many of them,
-    and whatever they might meet there gives way to what the broadcast gave. So the texts are cut
-    twice in all.
+    Digests are counted with partial aggregates and joined with all rows; hot ones, as those of a
+    licence, are joined by broadcast (join_sized). So the texts are cut twice in all.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = stretches(docs, id_col, text_col, min_words)
-    found = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
-    shared = found.where("first_doc < last_doc").select("digest", "first_doc", "n").checkpoint()
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    # sum(n) is total, and each hot digest has over HOT_SHARE of it: fewer than 1 / HOT_SHARE rows.
-    hot = shared.where(F.col("n") > total * HOT_SHARE).select("digest", F.col("first_doc").alias("hot_first"))
-    cold = shared.where(F.col("n") <= total * HOT_SHARE).select(F.col("digest").alias("key"), "first_doc")
-    key = F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.xxhash64("digest", "doc_id"))
-    marked = rows.join(F.broadcast(hot), "digest", "left").withColumn("key", key).drop("digest")
-    joined = marked.join(cold, "key", "left").withColumn("first_doc", F.coalesce("hot_first", "first_doc"))
-    return joined.where("first_doc IS NOT NULL").select("doc_id", "start", "end", "at", "words", "first_doc")
-
-
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, run, start, end, words, first_doc, removable): the repeated passages, as byte ranges.
-
-    A passage is what overlapping repeated stretches cover, each of which one other document holds
-    in a row. It gives one row for each part that stretches of an earlier document, which keeps
-    them, cover or don't cover (removable).
-    Cases: null texts and ids give no passage; texts of any length are read whole; repetitions
-    inside one document alone are none of this operator's business; repeated rows with one id
-    count as one document; extra columns are not looked at; an empty table gives no rows.
-    """
-    rows = repeated_stretches(docs, id_col, text_col, min_words).dropDuplicates(["doc_id", "start", "end", "first_doc"])
-    in_doc = Window.partitionBy("doc_id").orderBy("start", "end")
+    found = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("h").alias("first_h"), F.max("h").alias("last_h"), F.count("*").alias("n"))
+    one_id = F.when(F.col("first_doc") == F.col("last_doc"), F.col("first_h"))
+    shared = found.where("first_doc < last_doc OR first_h < last_h").select("digest", "first_doc", one_id.alias("first_h"), "n").checkpoint()
+    joined = join_sized(rows, shared, "digest", "n", F.struct("doc_id", "h"))
+    return joined.where("first_doc IS NOT NULL").drop("digest")
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """passages, with doc_id and h as stretches has them."""
+    rows = repeated_stretches(docs, id_col, text_col, min_words).dropDuplicates(["doc_id", "h", "start", "end", "first_doc"])
+    doc = ["doc_id", "h"]
+    in_doc = Window.partitionBy(doc).orderBy("start", "end")
     so_far, earlier = in_doc.rowsBetween(Window.unboundedPreceding, 0), in_doc.rowsBetween(Window.unboundedPreceding, -1)
     begin, end = F.struct(F.col("start").alias("byte"), F.col("at").alias("word")), F.struct(F.col("end").alias("byte"), (F.col("at") + F.col("words")).alias("word"))
-    rows = rows.select("doc_id", "start", "first_doc", begin.alias("begin"), end.alias("stop"), (F.col("first_doc") < F.col("doc_id")).alias("cut"), "end")
+    cut = (F.col("first_doc") < F.col("doc_id")) | F.coalesce(F.col("first_h") < F.col("h"), F.lit(False))
+    rows = rows.select(*doc, "start", "first_doc", begin.alias("begin"), end.alias("stop"), cut.alias("cut"), "end")
     rows = rows.select(
-        "doc_id", "start", "end", "begin",
+        *doc, "start", "end", "begin",
         F.when(F.col("cut"), F.col("first_doc")).alias("first_doc"),
         F.lead("begin").over(in_doc).alias("next"),
         F.max("stop").over(so_far).alias("covered"),
@@ -196,23 +190,43 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     kept_to = F.least("covered", F.coalesce("next", "covered"))
     piece = lambda a, b, removable, first: F.struct(a.alias("a"), b.alias("b"), F.lit(removable).alias("removable"), first.alias("first_doc"))
     pieces = F.array(piece(F.col("begin"), gone_to, True, F.col("first_doc")), piece(gone_to, kept_to, False, F.col("doc_id")))
-    parts = rows.select("doc_id", "run", F.explode(pieces).alias("p")).select("doc_id", "run", "p.*").where("a.byte < b.byte")
-    in_run = Window.partitionBy("doc_id").orderBy("a.byte")
+    parts = rows.select(*doc, "run", F.explode(pieces).alias("p")).select(*doc, "run", "p.*").where("a.byte < b.byte")
+    in_run = Window.partitionBy(doc).orderBy("a.byte")
     turn = (F.lag("run").over(in_run) != F.col("run")) | (F.lag("removable").over(in_run) != F.col("removable"))
     return (
         parts.withColumn("part", F.sum(F.when(turn, 1).otherwise(0)).over(in_run.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "run", "removable", "part")
+        .groupBy(*doc, "run", "removable", "part")
         .agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("first_doc").alias("first_doc"))
-        .select("doc_id", "run", F.col("a.byte").alias("start"), F.col("b.byte").alias("end"), (F.col("b.word") - F.col("a.word")).alias("words"), "first_doc", "removable")
+        .select(*doc, "run", F.col("a.byte").alias("start"), F.col("b.byte").alias("end"), (F.col("b.word") - F.col("a.word")).alias("words"), "first_doc", "removable")
     )
 
 
+def _null_ids(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in ("doc_id", "first_doc")})
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, h, run, start, end, words, first_doc, removable): the repeated passages, as byte ranges; h is a hash of the text.
+
+    A passage is what overlapping repeated stretches cover, each of which one other document holds
+    in a row. It gives one row for each part that stretches of an earlier document, which keeps
+    them, cover or don't cover (removable).
+    Cases: a null text has no passage; texts of any length are read whole; repetitions inside one
+    document alone are none of this operator's business; repeated rows with one id and text
+    count as one document, different texts under one id or none as several. Documents come in the
+    order of their ids, those without one last, and texts of one id by their hashes; where the first id
+    has several texts with a passage and a later id has it too, all texts of the first id keep it.
+    Extra columns are not looked at; an empty table gives no rows.
+    """
+    return _null_ids(_passages(docs, id_col, text_col, min_words))
+
+
 def shared_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each document with a repeated passage: how many, how long, which can go, and where they are."""
-    found = passages(docs, id_col, text_col, min_words)
+    found = _passages(docs, id_col, text_col, min_words)
     by_place = F.array_sort(F.collect_list(F.struct("start", "end", "removable", "first_doc")))
-    return (
-        found.groupBy("doc_id")
+    rows = (
+        found.groupBy("doc_id", "h")
         .agg(
             F.count_distinct("run").alias("n_passages"),
             F.sum("words").alias("repeated_words"),
@@ -226,20 +240,22 @@ def shared_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.array_join(F.transform(F.filter("p", lambda s: s["removable"]), lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("removed"),
         )
     )
+    return _null_ids(rows)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the removable passages cut out of the texts; all rows and columns stay. A null text stays null."""
-    cut = passages(docs, id_col, text_col, min_words).where("removable").groupBy(F.col("doc_id").alias("__doc")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut")
-    )
-    joined = docs.join(cut, F.col(id_col).cast("long") == F.col("__doc"), "left").drop("__doc")
-    at = joined.columns.index(text_col)
+    key, h, cuts = fresh("key", docs), fresh("h", docs), fresh("cuts", docs)
+    gone = _passages(docs, id_col, text_col, min_words).where("removable")
+    cut = gone.groupBy(F.col("doc_id").alias(key), F.col("h").alias(h)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
+    doc_id, text = _own(id_col, text_col)
+    joined = docs.withColumns({key: doc_id, h: text}).join(cut, [key, h], "left").select(*docs.columns, cuts)
+    at = docs.columns.index(text_col)
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column("__cut").to_pylist()):
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column(cuts).to_pylist()):
                 if spans:
                     raw, kept, last = text.encode("utf-8", "surrogatepass"), [], 0
                     for s in spans:
@@ -258,4 +274,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op9_substrings(spark, sf_dir):
     """Documents with passages that other documents have too."""
-    return shared_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return shared_documents(table(spark, sf_dir, "documents"))
