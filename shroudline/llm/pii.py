@@ -67,27 +67,30 @@ def base_spans(text: str) -> list[Span]:
 # ---- word shapes ----
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A word with one of these is looked at together with its neighbours; all other words have the same features.
+#: A word with one of these is looked at together with its neighbours.
 _ANCHOR = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]", re.I)
 _PLAIN = "a"
+#: Where a text has a word that is not plain: anchors, words that begin with "+" or "(", and those of punctuation alone. All other words have the same features.
+_LOOK = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]|(?<![^\x20\x09-\x0D])(?:[+(]|[.,;:!?]+(?![^\x20\x09-\x0D]))", re.I)
+_SHAPED = re.compile(r"(?P<sign>[\[({](?:[aA][tT]|[dD][oO][tT])[\])}])|(?P<low>(?:[a-z]|[^\x00-\x7f])+)|(?P<high>[A-Z]+)|(?P<digit>[0-9])")
+_SIGN = {"low": "a", "high": "A", "digit": "9"}
+#: Length of a shape whose weights are kept in a worker's table; longer ones are worked out each time.
+_KEPT_SHAPE = 200
 
 
 def shape(word: str) -> str:
-    """Letters as a or A, digits as 9, runs of letters shortened to one; what is no ASCII letter or digit stays. Plain words are all alike."""
-    if not _ANCHOR.search(word):
-        return _PLAIN if len(word.strip(".,;:!?")) > 0 and not word.startswith(("+", "(")) else word[:4]
-    s = re.sub(r"[A-Z]+", "A", re.sub(r"(?:[a-z]|[^\x00-\x7f])+", "a", word[:80]))
-    return re.sub(r"[0-9]", "9", s)
+    """Letters as a or A, digits as 9, runs of letters shortened to one; bracketed "at" and "dot" and what is no letter or digit stay. Plain words are all alike."""
+    return _SHAPED.sub(lambda m: _SIGN.get(m.lastgroup) or m[0].lower(), word) if _LOOK.search(word) else _PLAIN
 
 
 def shape_features(s: str) -> list[str]:
     """Features of a word shape, alike for shapes that differ in the lengths of long runs only."""
     core = s.strip(".,;:!?%*$&#\"'|<>")
     digits = s.count("9")
-    runs = re.sub(r"9+", lambda m: f"9{{{min(len(m[0]), 5)}}}" if len(m[0]) < 5 else "9{+}", core)
+    runs = re.sub(r"9+", lambda m: f"9{{{len(m[0])}}}" if len(m[0]) < 5 else "9{+}", core)
     return [
-        f"runs={runs[:40]}", f"loose={re.sub(r'9+', '9', core)[:40]}", f"digits={digits if digits < 12 else '12-19' if digits < 20 else '20+'}",
-        f"at={'@' in s or '[at]' in s or '(at)' in s}", f"dots={min(core.count('.'), 4)}", f"plus={core.startswith('+')}", f"paren={core.startswith('(') or core.endswith(')')}",
+        f"runs={runs}", f"loose={re.sub(r'9+', '9', core)}", f"digits={digits if digits < 12 else '12-19' if digits < 20 else '20+'}",
+        f"at={'@' in s or '[at]' in s or '(at)' in s or '{at}' in s}", f"dots={min(core.count('.'), 4)}", f"plus={core.startswith('+')}", f"paren={core.startswith('(') or core.endswith(')')}",
         f"dash={min(core.count('-'), 4)}", f"hexlike={digits >= 3 and 'a' in core and '@' not in core}", f"plain={s == _PLAIN}", f"tail={s[-1:] in '.,;:!?'}", "bias",
     ]
 
@@ -143,7 +146,7 @@ class Field:
         self.cache: dict[str, np.ndarray] = {}
         plain = self.emissions([_PLAIN] * 3)[1]
         best_gain = max((moves[i, k] + moves[k, j] - moves[i, 0] - moves[0, j] for i in range(len(LABELS)) for j in range(len(LABELS)) for k in range(1, len(LABELS))))
-        #: True if a plain word among plain words is O on every best path: then words between such need no decoding.
+        #: True if a plain word among plain words is O on every best path: then only words that aren't plain, and their neighbours, need decoding.
         self.plain_is_outside = bool(plain[0] - plain[1:].max() > best_gain)
 
     def _table(self, s: str) -> np.ndarray:
@@ -156,7 +159,7 @@ class Field:
                     at = self.features.get(f"{k}:{f}")
                     if at is not None:
                         got[k] += self.weights[at]
-            if len(self.cache) < 100_000:
+            if len(s) <= _KEPT_SHAPE and len(self.cache) < 100_000:
                 self.cache[s] = got
         return got
 
@@ -194,55 +197,68 @@ class Field:
         return out
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
-
-
 def train(rows: list[list[tuple[str, str]]], rounds: int = 200, rate: float = 0.15, ridge: float = 2e-4) -> Field:
-    """Fit the field by Adam on the mean log-likelihood, with forward and backward sums over all rows at once."""
-    features: dict[str, int] = {}
+    """Fit the field by Adam on the mean log-likelihood, with scaled forward and backward sums over all rows at once.
+
+    Weights are kept by feature, but summed once for each distinct shape, as a word's emissions are those of three shapes.
+    """
     k, n, longest = len(LABELS), len(rows), max(map(len, rows))
-    active, place, gold, sizes = [], [], np.zeros((n, longest), int), np.array([len(r) for r in rows])
+    sizes, gold, own = np.array([len(r) for r in rows]), np.zeros((n, longest), int), np.full((n, longest), -1)
+    ids: dict[str, int] = {}
     for r, row in enumerate(rows):
-        shapes = [shape(w) for w, _ in row]
-        for t, (_, lab) in enumerate(row):
-            gold[r, t] = LABELS.index(lab)
-            for kind, at in ((0, t - 1), (1, t), (2, t + 1)):
-                if 0 <= at < len(row):
-                    for f in shape_features(shapes[at]):
-                        active.append(features.setdefault(f"{kind}:{f}", len(features)))
-                        place.append(r * longest + t)
-    present = np.zeros((n * longest, len(features)), dtype=np.float32)
-    np.add.at(present, (np.array(place), np.array(active)), 1)
+        for t, (word, label) in enumerate(row):
+            gold[r, t] = LABELS.index(label)
+            own[r, t] = ids.setdefault(shape(word), len(ids))
+    names: dict[str, int] = {}
+    active = [(i, names.setdefault(f, len(names))) for s, i in ids.items() for f in shape_features(s)]
+    present = np.zeros((len(ids), len(names)))
+    np.add.at(present, tuple(np.array(active).T), 1)
     inside = np.arange(longest) < sizes[:, None]
-    params = [np.zeros((len(features), k)), np.zeros((k, k)), np.zeros(k)]
-    moment = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
+    none = np.full((n, 1), -1)
+    # Shapes of the previous, the own and the next word; where there is none, the row of zeros behind the last shape.
+    around = [np.hstack([none, own[:, :-1]]), own, np.hstack([own[:, 1:], none])]
+    around = [np.where(inside & (x >= 0), x, len(ids)) for x in around]
+    sort = [np.argsort(x.ravel(), kind="stable") for x in around]
+    edges = [np.searchsorted(x.ravel()[o], np.arange(len(ids) + 1)) for x, o in zip(around, sort)]
     hot = np.eye(k)[gold] * inside[..., None]
+    gold_pairs = np.einsum("rti,rtj->ij", hot[:, :-1], hot[:, 1:])
+
+    def by_shape(values: np.ndarray, j: int) -> np.ndarray:
+        """Sums of (n, longest, k) over the places of each shape."""
+        total = np.vstack([np.zeros((1, k)), values.reshape(-1, k)[sort[j]].cumsum(axis=0)])
+        return np.diff(total[edges[j]], axis=0)
+
+    params = [np.zeros((3, len(names), k)), np.zeros((k, k)), np.zeros(k)]
+    moment = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     for step in range(1, rounds + 1):
         weights, moves, start = params
-        e = (present @ weights.astype(np.float32)).astype(float).reshape(n, longest, k)
-        fwd, bwd = np.zeros((n, longest, k)), np.zeros((n, longest, k))
-        fwd[:, 0] = e[:, 0] + start
-        for t in range(1, longest):
-            fwd[:, t] = np.where((t < sizes)[:, None], _logsum(fwd[:, t - 1][:, :, None] + moves, 1) + e[:, t], fwd[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            bwd[:, t] = np.where((t + 1 < sizes)[:, None], _logsum(moves + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 2), 0)
-        z = _logsum(fwd[:, -1], 1)
-        marginal = np.exp(fwd + bwd - z[:, None, None]) * inside[..., None]
+        tables = [np.vstack([present @ weights[j], np.zeros((1, k))]) for j in range(3)]
+        e = sum(table[x] for table, x in zip(tables, around))
+        e[:, 0] += start
+        e = np.exp(e - e.max(axis=2, keepdims=True))
+        move = np.exp(moves - moves.max())
+        fwd, bwd, scale = np.ones((n, longest, k)), np.ones((n, longest, k)), np.ones((n, longest, 1))
+        for t in range(longest):
+            here = e[:, t] if not t else (fwd[:, t - 1] @ move) * e[:, t]
+            scale[:, t] = here.sum(axis=1, keepdims=True)
+            fwd[:, t] = here / scale[:, t]
         pair = np.zeros((k, k))
-        for t in range(1, longest):
-            p = np.exp(fwd[:, t - 1][:, :, None] + moves + (e[:, t] + bwd[:, t])[:, None, :] - z[:, None, None])
-            live = (t < sizes)[:, None, None]
-            pair += (p * live).sum(0) - (hot[:, t - 1][:, :, None] * hot[:, t][:, None, :] * live).sum(0)
-        diff = (marginal - hot).reshape(-1, k)
-        grad_w = (present.T @ diff.astype(np.float32)).astype(float)
-        grads = [grad_w / n + ridge * weights, pair / n + ridge * moves, (marginal - hot)[:, 0].sum(0) / n + ridge * start]
+        for t in range(longest - 1, 0, -1):
+            ahead = np.where((t < sizes)[:, None], e[:, t] * bwd[:, t] / scale[:, t], 0)
+            pair += fwd[:, t - 1].T @ ahead
+            bwd[:, t - 1] = np.where((t < sizes)[:, None], ahead @ move.T, 1)
+        diff = fwd * bwd * inside[..., None] - hot
+        grads = [
+            np.stack([present.T @ by_shape(diff, j) for j in range(3)]) / n + ridge * weights,
+            (pair * move - gold_pairs) / n + ridge * moves,
+            diff[:, 0].sum(axis=0) / n + ridge * start,
+        ]
         for p, g, m in zip(params, grads, moment):
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.999 * m[1] + 0.001 * g * g
             p -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
-    return Field(features, *params)
+    features = {f"{j}:{f}": j * len(names) + i for f, i in names.items() for j in range(3)}
+    return Field(features, params[0].reshape(-1, k), *params[1:])
 
 
 @lru_cache(maxsize=1)
@@ -271,12 +287,11 @@ def all_spans(items: list[str], field: Field) -> list[tuple[list[Span], list[Spa
     base = [base_spans(t) for t in items]
     rows, where = [], []
     for i, t in enumerate(items):
-        if not _ANCHOR.search(t):
+        looks = [m.start() for m in _LOOK.finditer(t)]
+        if not looks:
             continue
         words = [m.span() for m in _WORD.finditer(t)]
-        anchors = [k for k, (a, b) in enumerate(words) if _ANCHOR.search(t, a, b)]
-        if not anchors:
-            continue
+        anchors = np.unique(np.searchsorted([a for a, _ in words], looks, "right") - 1).tolist()
         if field.plain_is_outside:
             windows: list[list[int]] = []
             for k in anchors:

@@ -1,5 +1,9 @@
+import itertools
+import os
+import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -62,6 +66,56 @@ def test_the_field_adds_what_the_patterns_lose():
         assert pii.all_spans([text], field) == [([], [])]
 
 
+def test_whole_words_are_read_whatever_their_length():
+    field = pii.trained()
+    for n in (2, 85, 300, 5000):
+        text = f"mail to {'x' * n}[at]mail.example.com now"
+        (base, spans), = pii.all_spans([text], field)
+        assert base == [] and [(text[a:b], k) for a, b, k in spans] == [(text.split()[2], "email")]
+    assert pii.shape("x" * 300 + "[at]a.b") == "a[at]a.a" and pii.shape("(" + "y" * 90) == "(a" and pii.shape("y" * 90) == "a"
+
+
+def test_every_word_that_is_not_plain_is_looked_at():
+    rng = random.Random(1)
+    for _ in range(3000):
+        word = "".join(rng.choice("aB9@+([]){}.,;:!?-é") for _ in range(rng.randint(1, 7)))
+        text = f"foo {word} bar"
+        assert (pii._LOOK.search(text) is None) == (pii._LOOK.search(word) is None) == (pii.shape(word) == "a" and not pii._LOOK.search(word))
+
+
+def test_viterbi_equals_brute_force_over_all_paths():
+    field = pii.trained()
+    rng = random.Random(2)
+    k = len(pii.LABELS)
+    for row in pii.labelled_rows(6, seed=5):
+        words = [w for w, _ in row][: rng.randint(1, 4)]
+        e = field.emissions([pii.shape(w) for w in words])
+        for inside in (False, True):
+            first = field.moves[0] if inside else field.start
+            score = lambda p: first[p[0]] + sum(e[t, l] for t, l in enumerate(p)) + sum(field.moves[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731, E741
+            best = max(itertools.product(range(k), repeat=len(words)), key=score)
+            assert tuple(field.viterbi([(e, inside)])[0].tolist()) == best
+
+
+def test_the_field_finds_the_forms_of_the_patterns_in_documents_it_never_saw(spark):
+    """Real rows: nothing of documents is in the labelled table. The field alone, without the patterns, against the base spans."""
+    data = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(data):
+        pytest.skip("the driver's tables are not here")
+    field, base, hit, alone = pii.trained(), 0, 0, 0
+    for row in spark.read.parquet(data).select("text").where("text IS NOT NULL").collect():
+        words = [m.span() for m in pii._WORD.finditer(row["text"])]
+        if not (want := pii.base_spans(row["text"])) or not words:
+            continue
+        path = field.viterbi([(field.emissions([pii.shape(row["text"][a:b]) for a, b in words]), False)])[0]
+        kinds = [pii.LABELS[p][2:] for p in path]
+        for a, b, kind in want:
+            base += 1
+            hit += any(k == kind and s < b and a < e for (s, e), k in zip(words, kinds))
+        alone += sum(k != "" and not any(s < b and a < e for a, b, _ in want) for (s, e), k in zip(words, kinds))
+    assert base > 50 and hit / base > 0.9 and alone < base
+
+
 def test_windows_decode_as_whole_texts():
     field = pii.trained()
     rows = [" ".join(w for w, _ in row) for row in pii.labelled_rows(60, seed=99)]
