@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, map_text, table, texts
+from .common import ensure_checkpoint_dir, map_text, steps, table, texts
 from .toxicity import fit_logistic, labelled, logistic
 
-#: Labelled rows that the model is fitted on, at most; a fifth of them are for the calibration.
-MAX_LABELLED = 3000
+#: Labelled rows that the model is fitted on, at most; a fifth of them are for the calibration, if each class has so many rows.
+MAX_LABELLED, MIN_CLASS = 3000, 10
+#: Documents that are scored by one matrix product.
+BLOCK = 64
 #: Hash buckets of the n-grams.
 BUCKETS = 4096
 #: Fixed thresholds: least words, most repeated words in percent, least probability of good quality.
@@ -123,12 +125,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     """Fit the model on at most max_labelled labelled rows (labels: doc_id, quality) outside the held-out fold.
 
     The driver gets one vector of BUCKETS half-precision numbers for each of these rows. Every fifth
-    row is kept from the fit and serves the calibration. Without rows of both classes there is no model.
+    row of each class is kept from the fit and serves the calibration; where a class has under
+    MIN_CLASS rows, all rows serve the fit and there is no calibration. Without rows of both
+    classes there is no model.
     """
     ensure_checkpoint_dir(docs.sparkSession)
 
     def vectors(batches):
-        for batch in batches:
+        for batch in steps(batches, "text"):
             rows = []
             for t in texts(batch):
                 raw = t.encode("utf-8", "surrogatepass")
@@ -136,13 +140,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("y")], names=["x", "y"])
 
     got = labelled(docs, labels, "quality", max_labelled, id_col, text_col).mapInArrow(vectors, "x binary, y int").collect()
-    got.sort(key=lambda r: (bytes(r["x"]), r["y"]))  # the same model whatever the order of the tasks
+    got.sort(key=lambda r: (zlib.crc32(bytes(r["x"])), bytes(r["x"]), r["y"]))  # the same model whatever the order of the tasks
     y = np.array([r["y"] for r in got], dtype=np.float32)
-    calibrate = np.array([zlib.crc32(bytes(r["x"])) % 5 == 0 for r in got], dtype=bool)
-    if not len(y) or any(len(set(part.tolist())) < 2 for part in (y[~calibrate], y[calibrate])):
+    classes = [np.flatnonzero(y == c) for c in (0, 1)]
+    if not all(map(len, classes)):
         return Model()
+    calibrate = np.zeros(len(y), dtype=bool)
+    if min(map(len, classes)) >= MIN_CLASS:
+        for rows in classes:
+            calibrate[rows[::5]] = True
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), dtype=np.float16).reshape(-1, BUCKETS).astype(np.float32)
     weights = fit(x[~calibrate], y[~calibrate])
+    if not calibrate.any():
+        return Model(weights.astype(float), 1.0, float(-(x @ weights).mean()))
     z = (x[calibrate] @ weights).astype(float)
     scale = z.std() or 1.0
     offset, slope = fit_logistic(np.column_stack([np.ones(len(z)), (z - z.mean()) / scale]), y[calibrate].astype(float), ridge=0.05)
@@ -160,12 +170,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            counts, p = [], []
+            counts, p, block = [], [], []
             for t in texts(batch):
                 raw = t.encode("utf-8", "surrogatepass")
                 words, hashes = split_words(raw)
                 counts.append(base_counts(t, words, hashes))
-                p.append(float(model.probability(vector(raw, hashes)[None])[0]))
+                block.append(vector(raw, hashes))
+                if len(block) == BLOCK:
+                    p += model.probability(np.array(block)).tolist()
+                    block = []
+            if block:
+                p += model.probability(np.array(block)).tolist()
             failed = [c[0] < MIN_WORDS or 100 * c[4] > MAX_REPEAT_PERCENT * c[0] for c in counts]
             kept = [not f and x >= MIN_PROBABILITY for f, x in zip(failed, p)]
             columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*counts)), pa.array(failed), pa.array(kept), pa.array(p, pa.float64())]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -13,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_text, table, texts
+from .common import ensure_checkpoint_dir, held_out, map_text, steps, table, texts
 
 #: Labelled rows that the lexicon and the score are learned from, at most; the rows with the smallest id hashes.
 MAX_LABELLED = 6000
-#: Entries of the lexicon at most, and documents of the positive class that an entry is found in at least.
-MAX_ENTRIES, MIN_DOCS = 600, 5
+#: Documents of the positive class that an entry of the lexicon is found in at least.
+MIN_DOCS = 5
 #: Least log ratio of an entry's rates in the two classes.
 MIN_WEIGHT = 2.0
 #: Word beginnings of these lengths are candidates besides whole words.
@@ -31,6 +32,7 @@ HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
     "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o",
     "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "đ": "d",
+    "һ": "h", "ԛ": "q", "ԝ": "w", "ѵ": "v", "г": "r", "η": "n", "ω": "w", "γ": "y", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ħ": "h", "ŧ": "t",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
@@ -87,14 +89,16 @@ class Lexicon:
             if not words or not len(machine):
                 return 0.0, 0.0, 0.0
             best: dict[int, float] = {}
-            spared: list[tuple[int, int]] = []
+            spared: list[tuple[int, int]] = []  # in the order of their ends, which grow; none holds another, so their starts grow, too
             for end, (size, w) in machine.iter(f" {' '.join(words)} "):
                 if w is None:
+                    while spared and spared[-1][0] >= end - size + 1:
+                        spared.pop()
                     spared.append((end - size + 1, end))
                 elif w > best.get(end - size + 1, 0.0):
                     best[end - size + 1] = w
             if spared:
-                best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in spared)}
+                best = {at: w for at, w in best.items() if not inside(at, spared)}
             per = 100.0 / len(words)
             return sum(best.values()) * per, len(best) * per, float(len(best))
 
@@ -108,6 +112,12 @@ class Lexicon:
         return lambda text: float(logistic(design(np.array([features(text)])) @ np.array(coef))[0])
 
 
+def inside(at: int, spans: list[tuple[int, int]]) -> bool:
+    """True if one of the half-open spans, whose starts and ends both grow, holds the place."""
+    k = bisect_right(spans, at, key=lambda s: s[0]) - 1
+    return k >= 0 and at < spans[k][1]
+
+
 def design(x: np.ndarray) -> np.ndarray:
     """Columns of the logistic score: a constant, and the logs of the features, so that length alone moves nothing."""
     return np.column_stack([np.ones(len(x)), np.log1p(x[:, 0]), np.log1p(x[:, 1]), np.log1p(x[:, 2])])
@@ -134,8 +144,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int =
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, y) of at most max_rows labelled rows outside the held-out fold, those with the smallest hashes of their ids.
 
-    An id that is labelled more than once counts once, with its largest label. The ids are
-    broadcast: max_rows bounds their number.
+    An id that is labelled more than once counts once, with its largest label, and of several texts
+    of one id the smallest. The ids are broadcast: max_rows bounds their number.
     """
     ids = (
         labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -144,20 +154,20 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int,
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(max_rows)
     )
-    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "__id").select("text", "y")
+    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "__id").groupBy("__id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learn the lexicon's weights and the score from labelled rows (labels: doc_id, toxic).
 
-    Occurrences are counted in the tasks, summed by Spark, and filtered there; the driver gets
-    MAX_ENTRIES entries at most, and three numbers for each of at most max_labelled rows.
+    Occurrences are counted in the tasks, summed by Spark, and filtered there; the driver gets the
+    entries that at least MIN_DOCS of the at most max_labelled rows have, and three numbers for each of these rows.
     Without rows of both classes the lexicon is empty and every score is 0.
     """
     sample = labelled(docs, labels, "toxic", max_labelled, id_col, text_col).checkpoint()
 
     def count(batches):
-        for batch in batches:
+        for batch in steps(batches, "text"):
             occ: tuple[Counter, Counter] = (Counter(), Counter())
             found: Counter = Counter()
             total = [0, 0]
@@ -177,12 +187,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     if totals is None or not totals["pos"] or not totals["neg"]:
         return Lexicon(exceptions=exceptions)
     weight = F.log((F.col("pos") + 0.5) / (totals["pos"] + 1.0)) - F.log((F.col("neg") + 0.5) / (totals["neg"] + 1.0))
-    top = counts.where(f"entry <> '' AND docs >= {MIN_DOCS}").withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT).orderBy((F.col("w") * F.sqrt("docs")).desc(), "entry").limit(MAX_ENTRIES)
+    top = counts.where(f"entry <> '' AND docs >= {MIN_DOCS}").withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT)
     lexicon = Lexicon(prune({r["entry"]: float(r["w"]) for r in top.collect()}), exceptions)
 
     def measure(batches):
         features = lexicon.matcher()
-        for batch in batches:
+        for batch in steps(batches, "text"):
             x = np.array([features(t) for t in texts(batch)]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(3)), batch.column("y")], names=["a", "b", "c", "y"])
 
@@ -239,8 +249,6 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     is 0; extra columns are not looked at; an empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents")
-    from .common import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     lexicon = learn(docs, table(spark, sf_dir, "labels"))
     scored = score_documents(docs, lexicon)

@@ -1,7 +1,10 @@
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -73,3 +76,38 @@ def test_odd_texts_and_no_labels(spark, make_docs):
     assert rows[1]["n_words"] == 0 and rows[1]["base_failed"] and not rows[1]["kept"]
     assert rows[5]["n_words"] == rows[5]["n_repeat_words"] == 6000 and rows[6]["word_chars"] == 30000
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_vectors_and_probabilities_equal_plain_counts():
+    rng = random.Random(4)
+    model = quality.Model(np.random.default_rng(0).normal(size=quality.BUCKETS), 2.0, -0.5)
+    for _ in range(20):
+        text = "".join(rng.choice("ab é\n!") for _ in range(rng.randint(0, 60)))
+        raw = text.encode()
+        words, hashes = quality.split_words(raw)
+        shift, u32 = 32 - quality.BUCKETS.bit_length() + 1, 2**32
+        plain = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(raw) - n + 1):
+                code = int.from_bytes(raw[i : i + n], "big")
+                plain[(code * 2654435761 + n * 40503) % u32 * 2246822519 % u32 >> shift] += 1
+        h = [zlib.crc32(w) for w in words]
+        for a in h:
+            plain[a * 3266489917 % u32 >> shift] += 1
+        for a, b in zip(h, h[1:]):
+            plain[(a * 668265263 + b) % u32 * 374761393 % u32 >> shift] += 1
+        logs = {k: math.log1p(v) for k, v in plain.items()}
+        norm = math.sqrt(sum(v * v for v in logs.values())) or 1.0
+        x = quality.vector(raw, hashes)
+        assert all(abs(x[k] - v / norm) < 1e-9 for k, v in logs.items()) and np.count_nonzero(x) == len(logs)
+        z = 2.0 * sum(v / norm * model.weights[k] for k, v in logs.items()) - 0.5
+        assert abs(model.probability(x[None])[0] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_a_rare_class_still_gives_a_model(spark, make_docs):
+    rows, labels = corpus(300)
+    few = [(i, q, 0) for i, q, _ in labels if q or i % 23 == 0]
+    model = quality.learn(make_docs(rows), spark.createDataFrame(few, "doc_id long, quality int, toxic int"))
+    assert model.weights is not None
+    bad = [r["kept"] for r in quality.score(make_docs([(i, t) for (i, t), (_, q, _) in zip(rows, labels) if not q]), model).collect()]
+    assert sum(bad) < 0.2 * len(bad)

@@ -63,6 +63,46 @@ def test_exception_phrases_are_spared():
     assert features("a clown")[0] == 250.0
 
 
+def test_matcher_equals_a_plain_scan():
+    rng = random.Random(7)
+    stems = ["ab", "abc", "bca", "cab", "bb", "cc"]
+    for _ in range(300):
+        weights = {rng.choice((f" {w} ", f" {w}")): rng.choice((1.0, 2.0, 3.0)) for w in rng.sample(stems, 4)}
+        phrases = tuple({" ".join(rng.choice(stems) for _ in range(rng.randint(1, 3))) for _ in range(3)})
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 30))]
+        text = f" {' '.join(words)} "
+        spared = set()
+        for p in phrases:
+            for at in range(len(text)):
+                if text.startswith(f" {p} ", at):
+                    spared |= set(range(at, at + len(p) + 1))
+        best = {}
+        for at in range(len(text)):
+            found = [w for e, w in weights.items() if text.startswith(e, at) and f" {e.strip()} " not in {f" {p} " for p in phrases}]
+            if found and at not in spared:
+                best[at] = max(found)
+        got = toxicity.Lexicon({e: w for e, w in weights.items() if f" {e.strip()} " not in {f" {p} " for p in phrases}}, phrases).matcher()(" ".join(words))
+        if any(f" {e.strip()} " not in {f" {p} " for p in phrases} for e in weights):
+            assert got[2] == len(best) and abs(got[0] - sum(best.values()) * 100 / len(words)) < 1e-9
+
+
+def test_long_texts_with_many_spared_phrases_take_no_longer_than_their_length():
+    lexicon = toxicity.Lexicon({" clown ": 5.0}, ("clown fish",))
+    assert lexicon.matcher()("a clown fish " * 200_000 + "clown")[2] == 1
+
+
+def test_the_lexicon_has_as_many_entries_as_the_rows_give(spark, make_docs):
+    rng, bad = random.Random(3), [f"zz{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}q" for i in range(2000)]
+    rows, labels = [], []
+    for i in range(1, 301):
+        toxic = i % 2
+        rows.append((i, " ".join(rng.sample(bad, 400) if toxic else ["house", "river"] * 30)))
+        labels.append((i, 1, toxic))
+    lexicon = toxicity.learn(make_docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    machine = lexicon.matcher()
+    assert all(machine(w)[2] == 1 for w in bad)
+
+
 def test_odd_texts_and_no_labels(spark, make_docs):
     docs = make_docs([*ODD, (None, "grunk")], CLASH)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
