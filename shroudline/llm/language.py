@@ -10,20 +10,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, held_out, map_text, table, texts
+from .common import ensure_checkpoint_dir, held_out, map_text, steps, table, texts
 
-#: Documents that the regression is fitted on, at most, how many of them are landmarks, and languages that it tells apart, at most (the most frequent ones).
-MAX_LABELLED, LANDMARKS, MAX_LANGUAGES = 3000, 96, 256
+#: Documents that the regression is fitted on, at most, and how many of them are landmarks, or one for each language if there are more languages.
+MAX_LABELLED, LANDMARKS = 3000, 96
+#: Groups that the ranking of a language's rows is dealt over, so that no task ranks all rows of a frequent one.
+RANK_GROUPS = 1000
 #: Lengths of the n-grams and bits that they are hashed to.
 GRAMS, BITS = (1, 2, 3), 14
 RIDGE = 1e-2
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHAR = re.compile(r"[^\W\d_]")
 _ASCII = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 _BLOCK = 128
 
 
+def has_letter(text: str) -> bool:
+    """True if the text has a letter; digits written as fractions or exponents are none."""
+    return any(m[0].isalpha() for m in _WORD_CHAR.finditer(text))
+
+
 def present(text: str) -> np.ndarray:
     """Presence of the hashed n-grams of the lower-cased letters, over whole texts; words are one space apart."""
     raw = b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_ASCII).split())
@@ -63,34 +70,36 @@ def learn(docs: DataFrame, max_labelled: int = MAX_LABELLED, n_landmarks: int =
     """Fit on at most max_labelled documents outside the held-out fold that have a language and a letter.
 
     They are those with the smallest hashes of their ids, dealt evenly over the languages as far as
-    there are enough; the driver gets their packed presences, 2 KB each. None without such documents.
+    there are enough; the driver gets their packed presences, 2 KB each. An id with several texts in
+    one language counts once. With more than max_labelled languages, so many are learned.
+    None without such documents.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    ids = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    hashed = ids.withColumn("h", F.xxhash64("id"))
-    # A first cut by the hash keeps the ranking below small: max_labelled rows of each language at most.
-    share = hashed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not share:
+    own = lambda: docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    ids = own().where(F.col("lang").isNotNull() & ~held_out("id")).select("id", "lang")
+    n_languages = ids.select("lang").distinct().count()
+    if not n_languages:
         return None
-    each = max(1, max_labelled // len(share))
-    cut = F.create_map(*[F.lit(x) for r in share for x in (r["lang"], float(min(1.0, 2.0 * each / r["n"] + 40 / r["n"])))])
-    low = hashed.where((F.col("h") / F.lit(2.0**64) + 0.5) <= cut[F.col("lang")])
-    chosen = low.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("nth") <= each)
-    chosen = chosen.groupBy("id").agg(F.min(F.struct("lang", "nth")).alias("s")).select(F.col("id").alias("__id"), "s.lang", "s.nth")
-    sample = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select("text", "lang", "nth")
+    each = max(1, max_labelled // n_languages)
+    hashed = ids.withColumns({"h": F.xxhash64("id"), "part": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(RANK_GROUPS))}).distinct()
+    first = hashed.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "id"))).where(F.col("nth") <= each)
+    chosen = first.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("nth") <= each)
+    # At most max_labelled rows, which are broadcast.
+    chosen = chosen.select("id", "lang", "nth").orderBy("nth", "lang").limit(max_labelled)
+    sample = own().join(F.broadcast(chosen), ["id", "lang"]).select("text", "lang", "nth")
 
     def pack(batches):
-        for batch in batches:
-            bits = [np.packbits(present(t)).tobytes() for t in texts(batch)]
+        for batch in steps(batches, "text"):
+            bits = [np.packbits(present(t)).tobytes() if has_letter(t) else None for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), batch.column("lang"), batch.column("nth")], names=["bits", "lang", "nth"])
 
-    got = [(r["nth"], r["lang"], bytes(r["bits"])) for r in sample.mapInArrow(pack, "bits binary, lang string, nth int").collect()]
-    got = sorted(r for r in got if any(r[2]))[:max_labelled]
+    packed = sample.mapInArrow(pack, "bits binary, lang string, nth int").groupBy("nth", "lang").agg(F.min("bits").alias("bits"))
+    got = sorted((r["nth"], r["lang"], bytes(r["bits"])) for r in packed.where("bits IS NOT NULL").collect())
     if not got:
         return None
     languages = sorted({lang for _, lang, _ in got})
     unpack = lambda rows: np.unpackbits(np.frombuffer(b"".join(b for *_, b in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1)
-    marks = unpack(got[:n_landmarks]).astype(np.float32)
+    marks = unpack(got[: max(n_landmarks, len(languages))]).astype(np.float32)
     marks /= np.sqrt(marks.sum(axis=1))[:, None]
     kernel = Kernel(languages, marks, np.zeros(0))
     k_nm = np.vstack([kernel.similarities(unpack(got[at : at + _BLOCK])) for at in range(0, len(got), _BLOCK)]).astype(float)
@@ -119,7 +128,7 @@ def identify(docs: DataFrame, kernel: Kernel | None, id_col: str = "doc_id", tex
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             items = texts(batch)
             lang, score = [UNKNOWN] * len(items), [0.0] * len(items)
-            known = [i for i, t in enumerate(items) if _LETTER.search(t)] if kernel else []
+            known = [i for i, t in enumerate(items) if has_letter(t)] if kernel else []
             for at in range(0, len(known), _BLOCK):
                 part = known[at : at + _BLOCK]
                 best, s = kernel.predict(np.array([present(items[i]) for i in part]))

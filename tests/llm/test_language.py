@@ -61,3 +61,53 @@ def test_odd_texts_and_nothing_learned(spark, make_docs):
     assert language.learn(docs.withColumn("lang", F.lit(None).cast("string"))) is None
     assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
     assert language.identify(docs.limit(0), kernel).count() == 0
+
+
+def test_letters():
+    assert not any(map(language.has_letter, ("", "½ ² 12 _", "!?", "①", "٣", " \n")))
+    assert all(map(language.has_letter, ("½ a", "é", "漢", "１ª", "12_x")))
+
+
+def test_three_hundred_languages_are_all_learned(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(300 * 4)]
+    rows = [(k, " ".join(rng.choice(words[4 * (k % 300) : 4 * (k % 300) + 4]) for _ in range(40))) for k in range(2400)]
+    docs = make_docs(rows).withColumn("lang", F.format_string("l%03d", F.col("doc_id") % 300))
+    kernel = language.learn(docs)
+    assert len(kernel.languages) == 300 and len(kernel.landmarks) >= 300
+    got = language.identify(docs, kernel).join(docs.select("doc_id", "lang"), "doc_id").where(held_out("doc_id")).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) / len(got) > 0.9
+
+
+def test_rows_that_share_an_id_keep_their_languages(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    a = make_docs([(7, "tion the ing reh " * 5 + str(i)) for i in range(200)]).withColumn("lang", F.lit("aa"))
+    b = make_docs([(7, "keit sch ung und " * 5 + str(i)) for i in range(200)] + [(8 + i, "keit sch ung und") for i in range(20)]).withColumn("lang", F.lit("bb"))
+    kernel = language.learn(a.union(b))
+    assert kernel.languages == ["aa", "bb"] and len(kernel.landmarks) < 30
+    got = {r["lang_pred"] for r in language.identify(a, kernel).collect()}
+    assert got == {"aa"}
+
+
+def test_predictions_equal_plain_kernel_ridge(spark):
+    """With every learned document as a landmark the Nyström solution is that of kernel ridge regression on all of them."""
+    docs = corpus(spark, n=120)
+    kernel = language.learn(docs, n_landmarks=10**6)
+    rows = sorted({(r["lang"], r["text"]) for r in docs.where(~held_out("doc_id") & docs.lang.isNotNull()).collect()})
+    x = np.array([language.present(t) for _, t in rows]).astype(float)
+    unit = x / np.sqrt(x.sum(axis=1))[:, None]
+    gram = unit @ unit.T
+    y = np.where(np.array([lang for lang, _ in rows])[:, None] == np.array(kernel.languages), 1.0, -1.0)
+    lam = language.RIDGE * len(rows) / 100
+    # min |y - b - K a|^2 + lam a'Ka, the offset b free
+    n = len(rows)
+    system = np.block([[gram + lam * np.eye(n), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+    solved = np.linalg.solve(system, np.vstack([y, np.zeros((1, y.shape[1]))]))
+    fresh = [r["text"] for r in docs.where(held_out("doc_id")).collect()]
+    z = np.array([language.present(t) for t in fresh]).astype(float)
+    want = (z / np.sqrt(z.sum(axis=1))[:, None]) @ unit.T @ solved[:n] + solved[n]
+    got = np.column_stack([np.ones(len(z)), kernel.similarities(z)]) @ kernel.coef
+    assert np.abs(want - got).max() < 0.02 and (want.argmax(axis=1) == got.argmax(axis=1)).all()
