@@ -141,7 +141,7 @@ class Packer:
     def __init__(self, first_sequence: int):
         self.next, self.order, self.rows = first_sequence, 0, []
         self.pool: list[tuple] = []
-        self.groups = dict.fromkeys(TIERS, 0)
+        self.groups: dict[int, int] = {}
         self.base = first_sequence
 
     def add(self, doc_id, ids: np.ndarray) -> None:
@@ -155,9 +155,9 @@ class Packer:
             self.pool.append((n - start, self.order, doc_id, start, ids, n))
 
     def emit(self, pieces: list[tuple], window: int) -> None:
-        tier = next((t for t in reversed(TIERS) if window <= t), TIERS[0])
-        group = self.base + (TIERS.index(tier) << 32) + self.groups[tier] // GROUP_TOKENS
-        self.groups[tier] += window
+        filled = self.groups.get(window, 0)
+        group = self.base + (window.bit_length() << 32) + filled // GROUP_TOKENS
+        self.groups[window] = filled + window
         offset = 0
         for size, _, doc_id, start, ids, total in pieces:
             self.rows.append((doc_id, start, size, zlib.crc32(ids[start : start + size].tobytes()), total, self.next, offset, window, group))

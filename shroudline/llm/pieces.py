@@ -17,6 +17,8 @@ TABLE_CHUNKS, TABLE_CHUNK_CHARS = 500_000, 64
 
 #: The white-space marker; a space and the marker itself are the same to the model.
 MARKER = "▁"
+#: Texts whose chunks a model with a normaliser that trims, merges or maps white space gives other pieces than the whole.
+PROBES = ("a b", " a", "a ", "  a  b  ", "\ta\n b", "a\u3000b", "a\xa0 b", "１ ｂ ﬁ", f"a {MARKER}b", "e\u0301 e", "", " ", "A b C")
 _CHUNK = re.compile(r" +[^ ]*")
 
 
@@ -42,6 +44,8 @@ class Chunks:
             raise ValueError("the model has pieces that cross a marker, or adds no marker before a text")
         self.end = self.model.eos_id()
         self.ids: dict[str, list[int]] = {}
+        if self.encode(list(PROBES)) != self.model.encode(list(PROBES), add_eos=True):
+            raise ValueError("the model normalises texts across white space, so that chunks can't be segmented alone")
 
     def split(self, text: str) -> list[str]:
         return _CHUNK.findall(f" {text.replace(MARKER, ' ')}") if text else []
