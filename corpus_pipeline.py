@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shroudline.llm import packing, pii, simhash, substrings, toxicity
 from shroudline.llm.common import ensure_checkpoint_dir, recount, table
+from shroudline.sources.sinks import Files
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written to the shared checkpoint folder and read again."""
+    """Apply the stages to documents; each result is written to the shared checkpoint folder and read again, and goes once the next one is written."""
     ensure_checkpoint_dir(spark)
     folder = posixpath.join(spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir"), f"pipeline-{uuid.uuid4().hex}")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = posixpath.join(folder, f"{k}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            Files(spark, before).remove(before)
+        before = path
     return docs

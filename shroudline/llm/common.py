@@ -22,25 +22,26 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-#: A key with more than this share of all rows counts as hot; there are fewer than 1 / HOT_SHARE such keys.
+#: A key with more than this share of all rows, or half of an average task's share if that is less, counts as hot.
 HOT_SHARE = 1 / 2000
 
 
 def join_sized(rows: DataFrame, sized: DataFrame, key: str, count: str, salt: str | Column) -> DataFrame:
     """rows left-joined with sized, which has one row for each value of the column key (a long, or a text that is no number), and how many rows have it (count).
 
-    The hot keys, whose number HOT_SHARE bounds, are broadcast. All rows are then joined with the other keys by a
+    The hot keys, fewer than 2,000 or twice the shuffle partitions, are broadcast. All rows are then joined with the other keys by a
     shuffle in which rows of a hot key have a key made of the salt instead, so that no task gets many of
     them; what they might meet there gives way to what the broadcast gave. The column count is left out.
     sized is read three times: it should be a checkpoint.
     """
     values = [c for c in sized.columns if c not in (key, count)]
     total = sized.agg(F.sum(count)).first()[0] or 0
+    least = total * min(HOT_SHARE, 0.5 / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hot, at, cold = fresh("hot", rows, sized), fresh("at", rows, sized), fresh("cold", rows, sized)
     packed = F.struct(*values)
-    # sum(count) is total, and each hot key has over HOT_SHARE of it: fewer than 1 / HOT_SHARE rows.
-    few = sized.where(F.col(count) > total * HOT_SHARE).select(key, packed.alias(hot))
-    many = sized.where(F.col(count) <= total * HOT_SHARE).select(F.col(key).alias(at), packed.alias(cold))
+    # sum(count) is total, so that there are fewer than total / least hot keys.
+    few = sized.where(F.col(count) > least).select(key, packed.alias(hot))
+    many = sized.where(F.col(count) <= least).select(F.col(key).alias(at), packed.alias(cold))
     salted = F.when(F.col(hot).isNull(), F.col(key)).otherwise(F.xxhash64(F.lit(key), salt).cast(rows.schema[key].dataType))
     joined = rows.join(F.broadcast(few), key, "left").withColumn(at, salted).join(many, at, "left")
     got = F.coalesce(hot, cold)
