@@ -283,6 +283,11 @@ def slice_pages(spark, sf_dir):
     return longs(corpus.explode_words(_pages(spark, sf_dir).select("doc_id", "page", part.alias("words"))).select("doc_id", "page", "idx", "text"))
 
 
+@query("SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS label FROM documents")
+def truncated_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.truncate(F.col("text"), 40).alias("label"))
+
+
 # ---- prompts and costs ----
 
 CTES["flat"] = """flat AS (SELECT doc_id, page, '<page n="' || page || '">' || chr(10) || string_agg('[' || idx || ']' || text, ' ' ORDER BY idx) || chr(10) || '</page>' AS s FROM words GROUP BY doc_id, page)"""
@@ -367,6 +372,12 @@ def batch_summary(spark, sf_dir):
     return planning.batch_summaries(_calls(spark, sf_dir).withColumn("batch_idx", F.floor(F.col("batch_idx") / 2)))
 
 
+@query("""SELECT count(*) AS n_calls, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(cache_creation_input_tokens) AS BIGINT) AS cache_creation_input_tokens,
+CAST(sum(cache_read_input_tokens) AS BIGINT) AS cache_read_input_tokens, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM calls""", ("calls",))
+def run_totals(spark, sf_dir):
+    return costs.totals(_calls(spark, sf_dir))
+
+
 # ---- plans of calls ----
 
 
@@ -389,6 +400,13 @@ def joint_submissions(spark, sf_dir):
     return longs(rows.select("ord", "model", F.array_join("category_ids", ",").alias("category_ids"), F.array_join("instructions", ",").alias("instructions")))
 
 
+@query("""SELECT * FROM (VALUES (0::BIGINT, 'large', 'street_address'), (1, 'small', 'case_no')) t(ord, model, category_ids)""")
+def active_submissions(spark, sf_dir):
+    """Submissions of the categories that a run has switched on."""
+    rows = planning.submissions(_own_categories(spark), _asked(spark).limit(0), "large", active=["case_no", "street_address", "unknown"])
+    return longs(rows.select("ord", "model", F.array_join("category_ids", ",").alias("category_ids")))
+
+
 def _own_categories(spark) -> DataFrame:
     cats = rulepacks.as_table(spark, PACK)
     return cats.unionByName(spark.createDataFrame([("own", 6, "case_no", "case number", "llm", "low", None, "small")], cats.schema))
@@ -496,6 +514,28 @@ def diff_lines(spark, sf_dir):
     return longs(redaction.render_text(redaction.page_diff(pages, redaction.redact_found(rules.annotate(pages, PACK)))))
 
 
+CTES["diffed"] = """diffed AS (SELECT doc_id, page, coalesce(list(text ORDER BY idx) FILTER (hit), []) AS removed, string_agg(text, ' ' ORDER BY idx) AS before_text, coalesce(string_agg(text, ' ' ORDER BY idx) FILTER (NOT hit), '') AS after_text FROM masked GROUP BY doc_id, page)"""
+
+
+@query("SELECT doc_id, page, sha256(json_object('page', page, 'removed', removed, 'before_text', before_text, 'after_text', after_text)::VARCHAR) AS sha256 FROM diffed", (*BASE, "masked", "diffed"))
+def diff_json(spark, sf_dir):
+    diff = redaction.render_json(redaction.diff_found(rules.annotate(_pages(spark, sf_dir), PACK)))
+    return longs(diff.select("doc_id", "page", F.sha2("line", 256).alias("sha256")))
+
+
+def _escaped(column: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        column = f"replace({column}, '{a}', '{b}')"
+    return column
+
+
+@query(f"""SELECT doc_id, sha256('<table>' || chr(10) || string_agg('<tr><td>' || page || '</td><td>' || {_escaped("array_to_string(removed, ', ')")} || '</td><td>' || {_escaped("before_text")} || '</td><td>' || {_escaped("after_text")} || '</td></tr>', chr(10) ORDER BY page) || chr(10) || '</table>') AS sha256
+FROM diffed GROUP BY doc_id""", (*BASE, "masked", "diffed"))
+def diff_html(spark, sf_dir):
+    html = redaction.render_html(redaction.diff_found(rules.annotate(_pages(spark, sf_dir), PACK)))
+    return html.select("doc_id", F.sha2("html", 256).alias("sha256"))
+
+
 CTES["rects"] = """rects AS (SELECT doc_id, page, r.rect_id, 400.0::DOUBLE * r.rect_id AS x0, 0.0::DOUBLE AS y0, 400.0::DOUBLE * r.rect_id + 170 AS x1, CASE WHEN r.rect_id = 2 THEN 4.0::DOUBLE ELSE 9.5::DOUBLE END AS y1,
 CASE WHEN (doc_id + r.rect_id) % 3 = 0 THEN 0.9 ELSE 0.1 END AS shade FROM (SELECT DISTINCT doc_id, page FROM words), (VALUES (0), (1), (2)) r(rect_id))"""
 CTES["leaks"] = """leaks AS (SELECT r.doc_id, r.page, r.rect_id, string_agg(w.text, ' ' ORDER BY w.idx) AS recovered_text FROM rects r JOIN words w ON r.doc_id = w.doc_id AND r.page = w.page
@@ -655,6 +695,31 @@ def replayed_texts(spark, sf_dir):
     return longs(replay.texts(replay.applied(_log(spark, sf_dir)), _pages(spark, sf_dir).where("page <> 2")))
 
 
+@query("SELECT session_key, page, count(*) AS n_findings FROM log WHERE page IN (1, 3) GROUP BY session_key, page", (*BASE, "log"))
+def picker_filtered(spark, sf_dir):
+    """The choices of a picker that is limited to some pages."""
+    return longs(replay.page_choices(replay.applied(_log(spark, sf_dir)), pages=[1, 3]))
+
+
+@query("""SELECT doc_id, CASE WHEN n = 0 THEN 'ok' WHEN n > 0 THEN 'verify_failed' ELSE 'failed' END AS status, CASE WHEN n = 0 THEN 'pass' WHEN n > 0 THEN 'fail' ELSE 'skipped' END AS verify_result FROM (SELECT doc_id, doc_id % 4 - 1 AS n FROM documents)""")
+def session_statuses(spark, sf_dir):
+    """How sessions end that passed, leaked or broke off."""
+    n = F.col("doc_id") % 4 - 1
+    rows = table(spark, sf_dir, "documents").select("doc_id", audit.session_status(n == 0, F.greatest(n, F.lit(0))).alias("s"))
+    return rows.select("doc_id", "s.status", "s.verify_result")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS session_key, 'a' || doc_id AS first_id, 'b' || doc_id AS last_id FROM documents""")
+def session_starts(spark, sf_dir):
+    """Logs with two starts and an odd line between: the first start identifies a log, the last one counts in replay."""
+    start = lambda k: F.to_json(F.struct(F.lit("session_start").alias("event"), F.concat(F.lit(k), F.col("doc_id")).alias("session_id"), F.lit(1).alias("unknown")))
+    lines = F.array(start("a"), F.lit("  "), F.lit('{"event":"other"}'), start("b"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("session_key"), F.posexplode(lines).alias("line_no", "value"))
+    events = audit.parse_lines(rows)
+    first, last = audit.sessions(events, first=True), audit.sessions(events)
+    return first.select("session_key", F.col("session_id").alias("first_id")).join(last.select("session_key", F.col("session_id").alias("last_id")), "session_key")
+
+
 def _backups(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ts = F.lit("2026-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(F.col("doc_id") * 37).cast("int"))

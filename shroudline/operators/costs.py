@@ -27,5 +27,11 @@ def actual(chunks: DataFrame, by: list[str]) -> DataFrame:
     return total.select(*by, cost.alias("cost_usd"))
 
 
+def totals(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., n_calls, ...): sums of the tokens and times of all calls."""
+    names = ("tokens_in", "tokens_out", "cache_creation_input_tokens", "cache_read_input_tokens", "duration_ms")
+    return chunks.groupBy(*(by or [])).agg(F.count("*").alias("n_calls"), *[F.sum(c).alias(c) for c in names])
+
+
 def diverged(actual_cost: Column, estimated: Column) -> Column:
     return (estimated > 0) & (actual_cost / estimated > DIVERGENCE)

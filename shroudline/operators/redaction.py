@@ -179,6 +179,11 @@ def metadata_leaks(metadata: DataFrame) -> DataFrame:
     return plain.union(xmp.select("doc_id", F.lit(0), F.lit(None).cast("long"), F.lit("metadata"), F.substring(value, 1, XMP_CHARS), F.lit("XMP metadata stream is non-empty")))
 
 
+def clear_metadata(metadata: DataFrame) -> DataFrame:
+    """The metadata (doc_id, field, value) that a redacted document is written with: all fields, the metadata stream included, are empty."""
+    return metadata.withColumn("value", F.lit(""))
+
+
 def leak_counts(pages: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_overlays, n_metadata) of every document of pages with a column rects: one pass over the pages, one over the metadata."""
     per = pages.groupBy("doc_id").agg(F.sum(F.size(covered_texts())).alias("n_overlays"))

@@ -93,6 +93,23 @@ def publish(pages: DataFrame, path: str, leaks: DataFrame | None = None, overwri
             fs.remove(temp)
 
 
+def output_path(spark: SparkSession, source: str, output: str | None = None, *, versioned: bool = False, overwrite: bool = False) -> str:
+    """Where the redaction of source goes: output, or the next free version of it (of source without one); versioned and overwrite exclude each other.
+
+    ValueError if both are asked for or the output is the source itself, OutputExists if it is there and may not be written over.
+    """
+    if versioned and overwrite:
+        raise ValueError("a new version overwrites nothing: choose one of the two")
+    target = (output or f"{source.rstrip('/')}.redacted").rstrip("/")
+    if versioned:
+        return free_name(spark, target)
+    if target == source.rstrip("/"):
+        raise ValueError("the output is the source itself")
+    if Files(spark, target).exists(target) and not overwrite:
+        raise OutputExists(f"{target} exists; {free_name(spark, target)} is free")
+    return target
+
+
 def session_name(now: datetime | None = None) -> str:
     """A folder name that sorts by time and is its own: the second in UTC and six random hexadecimal digits."""
     return f"{(now or datetime.now(UTC)).strftime('%Y-%m-%dT%H-%M-%SZ')}-{uuid.uuid4().hex[:6]}"

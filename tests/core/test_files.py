@@ -51,6 +51,19 @@ def test_publish_is_gated(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5 and not list(tmp_path.glob("out.old-*"))
 
 
+def test_output_paths(spark, tmp_path):
+    source = str(tmp_path / "in")
+    assert sinks.output_path(spark, source) == f"{source}.redacted"
+    (tmp_path / "in.redacted").mkdir()
+    with pytest.raises(sinks.OutputExists):
+        sinks.output_path(spark, source)
+    assert sinks.output_path(spark, source, overwrite=True) == f"{source}.redacted"
+    assert sinks.output_path(spark, source, versioned=True) == f"{source}.redacted.v2"
+    for wrong in ({"output": f"{source}/"}, {"versioned": True, "overwrite": True}):
+        with pytest.raises(ValueError):
+            sinks.output_path(spark, source, **wrong)
+
+
 def test_backups_are_made_and_swept(spark, tmp_path):
     source, root = str(tmp_path / "t"), str(tmp_path / "b")
     spark.range(4).write.parquet(source)

@@ -341,6 +341,8 @@ def test_overlays_and_metadata(spark, pages_of):
     assert sorted((r["rect_id"], r["recovered_text"]) for r in leaks.collect()) == [(1, "abc def"), (7, "ghi")]
     meta = redaction.metadata_leaks(spark.createDataFrame([(0, "author", " Ann "), (0, "title", " \t\n"), (0, "xmp", "x" * 300), (0, "color", "red")], "doc_id long, field string, value string"))
     assert sorted((len(r["recovered_text"]), r["detail"]) for r in meta.collect()) == [(3, "/Author field contains 'Ann'"), (200, "XMP metadata stream is non-empty")]
+    cleared = redaction.clear_metadata(spark.createDataFrame([(0, "author", " Ann "), (0, "xmp", "x")], "doc_id long, field string, value string"))
+    assert cleared.count() == 2 and redaction.metadata_leaks(cleared).count() == 0
     report = redaction.reports(pages, leaks.unionByName(meta)).first()
     assert (report["passed"], report["n_leaks"], report["summary"]) == (False, 4, "2 text_under_overlay, 2 metadata")
     assert redaction.reports(pages, meta.limit(0)).first()["summary"] == "no residual leaks"
