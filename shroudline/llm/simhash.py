@@ -185,12 +185,12 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     all stay, also under one id or none.
     """
     _, nodes = _groups(docs, id_col, text_col, k)
-    key, h, nth = fresh("key", docs), fresh("h", docs), fresh("nth", docs)
-    keep = nodes.select(F.col("first.doc_id").alias(key), F.col("first.h").alias(h)).distinct()
-    marked = docs.withColumns({key: F.col(id_col).cast("long"), h: F.xxhash64(text_col)})
-    same = marked[key].eqNullSafe(keep[key]) & (marked[h] == keep[h])
-    kept = marked.join(keep, same, "left_semi")
-    once = Window.partitionBy(key, h).orderBy(F.lit(0))
+    none, key, h, nth = (fresh(c, docs) for c in ("none", "key", "h", "nth"))
+    # Without nulls, so that one shuffle serves the join and the choice among rows with the same id and text.
+    own = {none: F.col(id_col).isNull(), key: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), h: F.xxhash64(text_col)}
+    first = nodes.select(F.col("first.no_id").alias(none), F.coalesce("first.doc_id", F.lit(0)).alias(key), F.col("first.h").alias(h)).distinct()
+    kept = docs.withColumns(own).join(first, [none, key, h], "left_semi")
+    once = Window.partitionBy(none, key, h).orderBy(F.lit(0))
     return kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)
 
 
