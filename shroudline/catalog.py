@@ -793,15 +793,14 @@ def model_findings(spark, sf_dir):
     return longs(found.select("doc_id", "batch_idx", "ord", "page", "word_start", "word_end", "kind", "confidence", "source"))
 
 
-@query("""SELECT doc_id, count(*) AS n_calls, CAST(sum(CASE WHEN n > 300 THEN 2 ELSE 1 END) AS BIGINT) AS n_findings FROM pg GROUP BY doc_id""", ("words", "pg"))
+@query("""SELECT doc_id, count(*) AS n_pages, CAST(sum(CASE WHEN n > 300 THEN 2 ELSE 1 END) AS BIGINT) AS n_calls FROM pg GROUP BY doc_id""", ("words", "pg"))
 def model_call_records(spark, sf_dir):
-    """Records of one submission's calls, a page at a time, that failing pages are halved for: their lines are numbered, and hash prompt and answer."""
+    """The answered calls of one submission, a page at a time, halves of failing pages among them: each line is numbered, and hashes prompt and answer."""
     subs = _submissions(spark).where("ord = 0")
     found, calls, _ = providers.detect(_pages(spark, sf_dir), subs, providers.make_provider("stub", "stub"), parallel=8, seed=7)
     lines = providers.call_records(calls, 7).select("doc_id", F.col("pages")[0].alias("page"), "chunk_idx", audit.call_line(plan.EPOCH).alias("value"))
     good = lines.where((F.length(F.get_json_object("value", "$.prompt_sha256")) == 64) & (F.get_json_object("value", "$.seed_requested") == "7"))
-    per = good.groupBy("doc_id").agg(F.count_distinct("page").alias("n_calls"), (F.max("chunk_idx") + 1).cast("long").alias("n_findings"))
-    return per
+    return good.groupBy("doc_id").agg(F.count_distinct("page").alias("n_pages"), (F.max("chunk_idx") + 1).cast("long").alias("n_calls"))
 
 
 CTES["left_leaks"] = CTES["leaks"].replace("leaks AS (", "left_leaks AS (").replace("JOIN words w ON", "JOIN (SELECT * FROM masked WHERE NOT hit) w ON")
