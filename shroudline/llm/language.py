@@ -10,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, held_out, map_text, steps, table, texts
+from .common import ensure_checkpoint_dir, held_out, join_sized, map_text, steps, table, texts
 
 #: Documents that the regression is fitted on, at most, and how many of them are landmarks, or one for each language if there are more languages.
 MAX_LABELLED, LANDMARKS = 3000, 96
-#: Groups that the ranking of a language's rows is dealt over, so that no task ranks all rows of a frequent one.
-RANK_GROUPS = 1000
 #: Lengths of the n-grams and bits that they are hashed to.
 GRAMS, BITS = (1, 2, 3), 14
 RIDGE = 1e-2
@@ -76,14 +74,15 @@ def learn(docs: DataFrame, max_labelled: int = MAX_LABELLED, n_landmarks: int =
     """
     ensure_checkpoint_dir(docs.sparkSession)
     own = lambda: docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    ids = own().where(F.col("lang").isNotNull() & ~held_out("id")).select("id", "lang")
-    n_languages = ids.select("lang").distinct().count()
+    ids = own().where(F.col("lang").isNotNull() & ~held_out("id")).select("id", "lang").distinct().withColumn("h", F.xxhash64("id")).checkpoint()
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n")).withColumn("size", F.col("n")).checkpoint()
+    n_languages = counts.count()
     if not n_languages:
         return None
     each = max(1, max_labelled // n_languages)
-    hashed = ids.withColumns({"h": F.xxhash64("id"), "part": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(RANK_GROUPS))}).distinct()
-    first = hashed.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "id"))).where(F.col("nth") <= each)
-    chosen = first.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("nth") <= each)
+    # A first cut by the hash leaves some 2 * each rows of each language, so that the ranking is small whatever a language has.
+    low = join_sized(ids, counts, "lang", "n", "id").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size") <= 2.0 * each + 40)
+    chosen = low.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("nth") <= each)
     # At most max_labelled rows, which are broadcast.
     chosen = chosen.select("id", "lang", "nth").orderBy("nth", "lang").limit(max_labelled)
     sample = own().join(F.broadcast(chosen), ["id", "lang"]).select("text", "lang", "nth")
