@@ -195,9 +195,10 @@ def links(nodes: DataFrame, dims: int, kind: str, threshold: float = THRESHOLD,
     # A sample by hash, whose size is SAMPLE within its deviation.
     share = min(1.0, SAMPLE / max(n, 1))
     sample = nodes.select("x", F.xxhash64(F.lit(2), "x").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).collect()
-    picked = unit([bytes(r["x"]) for r in sorted(sample, key=lambda r: (r["h"], bytes(r["x"])))], dims, kind)
-    if not len(picked):
+    if not sample and not n:
         return spark.createDataFrame([], "a long, b long, n long")
+    sample = sample or nodes.select("x", F.lit(0).alias("h")).limit(1).collect()
+    picked = unit([bytes(r["x"]) for r in sorted(sample, key=lambda r: (r["h"], bytes(r["x"])))], dims, kind)
     cells = Cells(*choose_pivots(picked, -(-n // rows), eps), eps)
     placed = _placed(nodes, cells, dims, kind).checkpoint()
     found = placed.groupBy("cell").agg(F.count("*").alias("size"), F.min("d").alias("low"), F.max("d").alias("high"), F.sum("n").alias("n"), F.min("node").alias("first")).collect()  # as many as there are pivots
