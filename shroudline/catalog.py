@@ -565,9 +565,52 @@ def overlay_leaks(spark, sf_dir):
     return longs(redaction.overlay_leaks(pages, _rects(pages)).select("doc_id", "page", "rect_id", "recovered_text"))
 
 
+CTES["tiles"] = """tiles AS (SELECT doc_id, page, i AS rect_id, (i % 50) * 320.0::DOUBLE AS x0, (i // 50) * 24.0::DOUBLE AS y0, (i % 50) * 320.0::DOUBLE + 250 AS x1, (i // 50) * 24.0::DOUBLE + (CASE WHEN i % 5 = 0 THEN 4 ELSE 21 END) AS y1
+FROM (SELECT DISTINCT doc_id, page FROM words), range(0, 200) t(i))"""
+
+
+def _tiles(pages: DataFrame) -> DataFrame:
+    """Pages with 200 dark rectangles in rows of fifty, every fifth too thin to hide text."""
+
+    def rect(i):
+        x, y = (i % 50) * 320.0, F.floor(i / 50) * 24.0
+        return F.struct(i.cast("long").alias("rect_id"), x.alias("x0"), y.alias("y0"), (x + 250).alias("x1"), (y + F.when(i % 5 == 0, 4.0).otherwise(21.0)).alias("y1"), F.array(F.lit(0.0)).alias("fill"))
+
+    return pages.withColumn("rects", F.transform(F.sequence(F.lit(0), F.lit(199)), rect))
+
+
+@query(r"""SELECT r.doc_id, r.page, r.rect_id, string_agg(w.text, ' ' ORDER BY w.idx) AS recovered_text FROM tiles r JOIN words w ON r.doc_id = w.doc_id AND r.page = w.page
+AND w.idx * 40 >= r.x0 - 1 AND w.block_id * 12 >= r.y0 - 1 AND w.idx * 40 + length(w.text) * 5 <= r.x1 + 1 AND w.block_id * 12 + 9 <= r.y1 + 1
+WHERE r.y1 - r.y0 >= 5 GROUP BY r.doc_id, r.page, r.rect_id HAVING regexp_matches(string_agg(w.text, ''), '[\p{L}\p{N}]')""".replace("\\\\", "\\"), ("words", "tiles"))
+def overlay_tiles(spark, sf_dir):
+    """Text under pages full of rectangles, found by searches in sorted edges."""
+    return longs(redaction.found_leaks(_tiles(_pages(spark, sf_dir))).select("doc_id", "page", "rect_id", "recovered_text"))
+
+
+@query("""SELECT doc_id, page, count(*) FILTER (NOT gone) AS n_words, coalesce(sha256(string_agg(text, ' ' ORDER BY idx) FILTER (NOT gone)), sha256('')) AS sha256
+FROM (SELECT *, idx % 7 IN (0, 1) OR (idx % 40 BETWEEN 20 AND 27) AS gone FROM words) GROUP BY doc_id, page""", ("words",))
+def dense_redactions(spark, sf_dir):
+    """Pages with a finding on every seventh word and the next, and longer ones across them: overlapping ranges are merged once a page."""
+    span = lambda a, b, kind: F.struct(a.alias("word_start"), b.alias("word_end"), F.lit(kind).alias("kind"))
+    last = F.size("words") - 1
+    short = F.transform(F.sequence(F.lit(0), last, F.lit(7)), lambda i: span(i, i + 1, "pair"))
+    long = F.when(last >= 20, F.transform(F.sequence(F.lit(20), last, F.lit(40)), lambda i: span(i, i + 7, "run"))).otherwise(F.array().cast("array<struct<word_start:int,word_end:int,kind:string>>"))
+    out = redaction.redact_found(_pages(spark, sf_dir).withColumn("found", F.concat(short, long)))
+    return longs(out.select("doc_id", "page", F.size("words").alias("n_words"), F.sha2(corpus.page_text(F.col("words")), 256).alias("sha256")))
+
+
+@query("""SELECT doc_id, page, idx, text FROM words w WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, page, idx, text, block_id, idx * 40 + CASE idx % 5 WHEN 3 THEN 0.04 WHEN 4 THEN 0.2 ELSE 0 END AS x FROM words WHERE idx % 11 <> 5) v
+WHERE v.doc_id = w.doc_id AND v.page = w.page AND v.block_id = w.block_id AND v.text = w.text AND round(v.x, 1) = w.idx * 40.0)""", ("words",))
+def diff_versions(spark, sf_dir):
+    """Two versions of all pages: in the later one some words are gone, some have moved by less than a tenth of a point, and some by more."""
+    pages = _pages(spark, sf_dir)
+    moved = F.transform(F.filter("words", lambda w: w["idx"] % 11 != 5), lambda w: w.withField("x0", w["x0"] + F.when(w["idx"] % 5 == 3, 0.04).when(w["idx"] % 5 == 4, 0.2).otherwise(0.0)))
+    return longs(redaction.removed_words(pages, pages.withColumn("words", moved)).select("doc_id", "page", "idx", "text"))
+
+
 CTES["meta"] = """meta AS (SELECT doc_id, 'author' AS field, source AS value FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'title', ' ' || chr(9) || chr(10) FROM documents UNION ALL SELECT doc_id, 'xmp', text FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'unknown', 'x' FROM documents)"""
 CTES["meta_leaks"] = r"""bare AS (SELECT doc_id, field, regexp_replace(value, '^\s+|\s+$', '', 'g') AS value FROM meta),
-meta_leaks AS (SELECT doc_id, CASE WHEN field = 'xmp' THEN substr(value, 1, 200) ELSE value END AS recovered_text, CASE WHEN field = 'xmp' THEN 'XMP metadata stream is non-empty' ELSE '/Author field contains ''' || value || '''' END AS detail FROM bare WHERE value <> '' AND field <> 'unknown')"""
+meta_leaks AS (SELECT doc_id, CASE WHEN field = 'xmp' THEN substr(value, 1, 200) ELSE value END AS recovered_text, CASE WHEN field = 'xmp' THEN 'the metadata stream is not empty' ELSE 'metadata field author holds ''' || value || '''' END AS detail FROM bare WHERE value <> '' AND field <> 'unknown')"""
 
 
 def _metadata(spark, sf_dir) -> DataFrame:
@@ -584,7 +627,7 @@ def metadata_leaks(spark, sf_dir):
     return redaction.metadata_leaks(_metadata(spark, sf_dir)).select("doc_id", "recovered_text", "detail")
 
 
-@query("""SELECT doc_id, o + m = 0 AS passed, o + m AS n_leaks, CASE WHEN o + m = 0 THEN 'no residual leaks' WHEN o = 0 THEN m || ' metadata' WHEN m = 0 THEN o || ' text_under_overlay' ELSE o || ' text_under_overlay, ' || m || ' metadata' END AS summary
+@query("""SELECT doc_id, o + m = 0 AS passed, o + m AS n_leaks, CASE WHEN o + m = 0 THEN 'nothing left' WHEN o = 0 THEN m || ' metadata' WHEN m = 0 THEN o || ' text_under_overlay' ELSE o || ' text_under_overlay, ' || m || ' metadata' END AS summary
 FROM (SELECT d.doc_id, (SELECT count(*) FROM leaks l WHERE l.doc_id = d.doc_id) AS o, (SELECT count(*) FROM meta_leaks l WHERE l.doc_id = d.doc_id) AS m FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM words))""", ("words", "rects", "leaks", "meta", "meta_leaks"))
 def verify_reports(spark, sf_dir):
     """Verdicts over documents: text under rectangles, counted in the row of its page, and metadata."""
@@ -749,7 +792,7 @@ def expired_backups(spark, sf_dir):
     return backups.expired(_backups(spark, sf_dir), 240, F.lit(_NOW).cast("timestamp")).select("session_dir")
 
 
-@query("SELECT session_dir, CAST(floor((epoch(TIMESTAMP '2027-01-01 00:00:00') - epoch(ts)) / 3600) AS BIGINT) || 'h ago' AS age FROM backups", ("backups",))
+@query("SELECT session_dir, CAST(floor((epoch(TIMESTAMP '2027-01-01 00:00:00') - epoch(ts)) / 3600) AS BIGINT) || ' hours old' AS age FROM backups", ("backups",))
 def backup_ages(spark, sf_dir):
     return _backups(spark, sf_dir).select("session_dir", backups.age_label(F.col("ts"), F.lit("2027-01-01 00:00:00").cast("timestamp")).alias("age"))
 
@@ -804,19 +847,33 @@ def model_call_records(spark, sf_dir):
 
 
 CTES["left_leaks"] = CTES["leaks"].replace("leaks AS (", "left_leaks AS (").replace("JOIN words w ON", "JOIN (SELECT * FROM masked WHERE NOT hit) w ON")
-CTES["verdicts"] = """verdicts AS (SELECT doc_id, coalesce(o, 0) + coalesce(m, 0) AS n_leaks FROM (SELECT DISTINCT doc_id FROM words) LEFT JOIN (SELECT doc_id, count(*) AS o FROM left_leaks GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS m FROM meta_leaks GROUP BY doc_id) USING (doc_id))"""
+CTES["verdicts"] = """verdicts AS (SELECT doc_id, coalesce(o, 0) AS n_leaks FROM (SELECT DISTINCT doc_id FROM words) LEFT JOIN (SELECT doc_id, count(*) AS o FROM left_leaks GROUP BY doc_id) USING (doc_id))"""
 
 
 @query("""SELECT doc_id, n_leaks = 0 AS passed, n_leaks, coalesce(f.n, 0) AS n_findings, CASE WHEN n_leaks = 0 THEN coalesce(m.n, 0) ELSE 0 END AS n_words
-FROM verdicts LEFT JOIN (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id) f USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM masked WHERE NOT hit GROUP BY doc_id) m USING (doc_id)""", (*BASE, "masked", "rects", "left_leaks", "meta", "meta_leaks", "verdicts"))
+FROM verdicts LEFT JOIN (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id) f USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM masked WHERE NOT hit GROUP BY doc_id) m USING (doc_id)""", (*BASE, "masked", "rects", "left_leaks", "verdicts"))
 def run_rules(spark, sf_dir):
-    """A whole run with the rule pack: findings, the verdict over rectangles and metadata, and the words of the documents that pass."""
+    """A whole run with the rule pack: findings, the verdict over rectangles and cleared metadata, and the words of the documents that pass."""
     result = plan.run(_with_rects(_pages(spark, sf_dir)), PACK, metadata=_metadata(spark, sf_dir))
     n = result.findings.groupBy("doc_id").agg(F.count("*").alias("n_findings"))
     left = result.pages.groupBy("doc_id").agg(F.sum(F.size("words")).alias("n_words"))
     return longs(result.report.join(n, "doc_id", "left").join(left, "doc_id", "left").select("doc_id", "passed", "n_leaks", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("n_words", F.lit(0)).alias("n_words")))
 
 
+@query("""SELECT doc_id, json_object('event', 'verification_failed', 'ts', '1970-01-01T00:00:00Z', 'leaks', list(json_object('page', page, 'kind', 'text_under_overlay', 'detail', 'text can be read under a dark rectangle') ORDER BY page))::VARCHAR AS line
+FROM left_leaks WHERE doc_id IN (SELECT doc_id FROM found) GROUP BY doc_id""", (*BASE, "masked", "rects", "left_leaks"))
+def failed_verifications(spark, sf_dir):
+    """The lines of the sessions whose redacted pages still hold text under a rectangle: each leak with its page."""
+    events = plan.run(_with_rects(_pages(spark, sf_dir)), PACK).events.where(F.get_json_object("value", "$.event") == "verification_failed")
+    return events.select(F.col("session_id").alias("doc_id"), F.col("value").alias("line"))
+
+
+@query("SELECT doc_id, field, '' AS value FROM meta JOIN verdicts USING (doc_id) WHERE n_leaks = 0", (*BASE, "masked", "rects", "left_leaks", "meta", "verdicts"))
+def cleared_metadata(spark, sf_dir):
+    """The metadata that documents are published with."""
+    return plan.run(_with_rects(_pages(spark, sf_dir)), PACK, metadata=_metadata(spark, sf_dir).where("value IS NOT NULL").join(_pages(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_semi")).metadata.select("doc_id", "field", "value")
+
+
 # ---- more of prompts, models and undo ----
 
 

@@ -38,7 +38,7 @@ def age_hours(ts: Column, now: Column) -> Column:
 
 
 def age_label(ts: Column, now: Column) -> Column:
-    return F.when(ts.isNull(), "(unknown age)").otherwise(F.concat(age_hours(ts, now).cast("string"), F.lit("h ago")))
+    return F.when(ts.isNull(), "of unknown age").otherwise(F.concat(age_hours(ts, now).cast("string"), F.lit(" hours old")))
 
 
 def expired(backups: DataFrame, retention_hours: int, now: Column) -> DataFrame:

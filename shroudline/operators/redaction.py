@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.corpus import explode_words, page_text
+from ..functions.arrays import bind, contains_sorted, covered_by, merged, rank
+from ..sources.corpus import page_text
 
 # A fill is dark if its first three components are under DARK; a thinner box hides no text; tolerance in points.
 DARK, MIN_HEIGHT, TOLERANCE = 0.5, 5.0, 1.0
@@ -31,13 +34,23 @@ def with_found(pages: DataFrame, findings: DataFrame) -> DataFrame:
     return joined.select("doc_id", "page", "words", F.coalesce(F.transform("f", order).cast(FOUND), F.array().cast(FOUND)).alias("found"))
 
 
-def _hit(w: Column) -> Column:
-    return F.exists("found", lambda r: w["idx"].between(r["word_start"], r["word_end"]))
+#: Ranges or rectangles of a page up to which each word is simply tested against all of them.
+FEW = 16
+
+
+def _by_hits(body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """body of a test whether a word is covered by a range of the row's column found.
+
+    Many ranges are merged once for the row, and each word is looked up in them by its index.
+    """
+    one_by_one = body(lambda w: F.exists("found", lambda r: w["idx"].between(r["word_start"], r["word_end"])))
+    looked_up = bind(merged(F.col("found"), "word_start", "word_end"), lambda m: body(lambda w: covered_by(m, w["idx"])))
+    return F.when(F.size("found") <= FEW, one_by_one).otherwise(looked_up)
 
 
 def left_over() -> Column:
     """The words of the row's page that no range of its column found covers."""
-    return F.when(F.size("found") == 0, F.col("words")).otherwise(F.filter("words", lambda w: ~_hit(w)))
+    return F.when(F.size("found") == 0, F.col("words")).otherwise(_by_hits(lambda hit: F.filter("words", lambda w: ~hit(w))))
 
 
 def redact_found(pages: DataFrame) -> DataFrame:
@@ -52,7 +65,7 @@ def redact(pages: DataFrame, findings: DataFrame) -> DataFrame:
 
 def text_found(pages: DataFrame, token: str = "█") -> DataFrame:
     """(doc_id, page, text) of pages with a column found: the words with a token in the place of each covered one."""
-    masked = F.array_join(F.transform("words", lambda w: F.when(_hit(w), F.lit(token)).otherwise(w["text"])), " ")
+    masked = _by_hits(lambda hit: F.array_join(F.transform("words", lambda w: F.when(hit(w), F.lit(token)).otherwise(w["text"])), " "))
     return pages.select("doc_id", "page", F.when(F.size("found") == 0, page_text(F.col("words"))).otherwise(masked).alias("text"))
 
 
@@ -61,12 +74,26 @@ def redacted_text(pages: DataFrame, findings: DataFrame, token: str = "█") ->
     return text_found(with_ranges(pages, findings), token)
 
 
+def _gone() -> Column:
+    """The words of the row's column words that its column after lacks at their place, each as often as it is there.
+
+    Places and texts are keys; those of the later version are sorted once for the row and looked up.
+    """
+    key = lambda w: F.concat_ws(" ", F.bround(w["x0"], 1).cast("string"), F.bround(w["y0"], 1).cast("string"), w["text"])
+    lost = bind(F.sort_array(F.transform("after", key)), lambda keys: F.filter("words", lambda w: ~contains_sorted(keys, key(w))))
+    return F.when(F.col("words") == F.col("after"), F.slice("words", 1, 0)).otherwise(lost)
+
+
+def _versions(original: DataFrame, redacted: DataFrame, how: str) -> DataFrame:
+    """Pages with their later version in a column after; one join."""
+    return original.select("doc_id", "page", "words").join(redacted.select("doc_id", "page", F.col("words").alias("after")), ["doc_id", "page"], how)
+
+
 def removed_words(original: DataFrame, redacted: DataFrame) -> DataFrame:
-    """Words of the original pages that the redacted ones lack at their place: (doc_id, page, idx, text, x0, y0, x1, y1)."""
-    place = lambda df: df.withColumns({"kx": F.bround("x0", 1), "ky": F.bround("y0", 1)})
-    left = place(explode_words(original).select("doc_id", "page", "idx", "text", "x0", "y0", "x1", "y1"))
-    right = place(explode_words(redacted).select("doc_id", "page", "text", "x0", "y0"))
-    return left.join(right, ["doc_id", "page", "kx", "ky", "text"], "left_anti").select("doc_id", "page", "idx", "text", "x0", "y0", "x1", "y1")
+    """Words of the original pages that the redacted ones lack at their place: (doc_id, page, idx, text, x0, y0, x1, y1). A page that is missing lacks all."""
+    both = _versions(original, redacted, "left").withColumn("after", F.coalesce("after", F.slice("words", 1, 0)))
+    rows = both.select("doc_id", "page", F.inline_outer(_gone())).where("idx IS NOT NULL")
+    return rows.select("doc_id", "page", "idx", "text", "x0", "y0", "x1", "y1")
 
 
 def require_same_pages(original: DataFrame, redacted: DataFrame) -> None:
@@ -82,17 +109,14 @@ def page_diff(original: DataFrame, redacted: DataFrame) -> DataFrame:
 
     Both versions of a page are joined once; the difference of their words is taken inside the row.
     """
-    place = lambda w: F.struct(F.bround(w["x0"], 1).alias("x"), F.bround(w["y0"], 1).alias("y"), w["text"].alias("text"))
-    both = original.select("doc_id", "page", "words").join(redacted.select("doc_id", "page", F.col("words").alias("after")), ["doc_id", "page"])
-    gone = both.withColumn("gone", F.array_except(F.transform("words", place), F.transform("after", place)))
-    removed = F.when(F.size("gone") > 0, F.transform(F.filter("words", lambda w: F.array_contains("gone", place(w))), lambda w: w["text"])).otherwise(F.array().cast("array<string>"))
-    return gone.select("doc_id", "page", page_text(F.col("words")).alias("before_text"), page_text(F.col("after")).alias("after_text"), removed.alias("removed"))
+    removed = F.transform(_gone(), lambda w: w["text"])
+    return _versions(original, redacted, "inner").select("doc_id", "page", page_text(F.col("words")).alias("before_text"), page_text(F.col("after")).alias("after_text"), removed.alias("removed"))
 
 
 def diff_found(pages: DataFrame) -> DataFrame:
     """The same for pages with a column found and their own redaction: what goes is in the row, so that nothing is joined."""
     none = F.array().cast("array<string>")
-    removed = F.when(F.size("found") > 0, F.transform(F.filter("words", _hit), lambda w: w["text"])).otherwise(none)
+    removed = F.when(F.size("found") > 0, _by_hits(lambda hit: F.transform(F.filter("words", hit), lambda w: w["text"]))).otherwise(none)
     return pages.select("doc_id", "page", page_text(F.col("words")).alias("before_text"), page_text(left_over()).alias("after_text"), removed.alias("removed"))
 
 
@@ -143,21 +167,59 @@ def with_rects(pages: DataFrame, rects: DataFrame) -> DataFrame:
     return pages.join(by_page, ["doc_id", "page"], "left").withColumn("rects", F.coalesce("rects", F.array().cast(RECTS)))
 
 
-def covered_texts() -> Column:
-    """array<struct<rect_id, recovered_text>>: the text under each dark rectangle of the row's column rects, where there is more than punctuation."""
+def covered_texts(words: Column | str = "words") -> Column:
+    """array<struct<rect_id, recovered_text>>: the text under each dark rectangle of the row's column rects, where there is more than punctuation.
+
+    With many rectangles the words are sorted by their left and by their upper edges once for the
+    row; a rectangle looks up the words that begin within its width and those within its height, and
+    tests the fewer. Boxes are well formed: left before right, upper before lower.
+    """
+    words = F.col(words) if isinstance(words, str) else words
     r_in = lambda w, r: (
         (w["x0"] >= r["x0"] - TOLERANCE) & (w["y0"] >= r["y0"] - TOLERANCE) & (w["x1"] <= r["x1"] + TOLERANCE) & (w["y1"] <= r["y1"] + TOLERANCE)
     )
     dark = F.filter("rects", lambda r: is_dark(r["fill"]) & (r["y1"] - r["y0"] >= MIN_HEIGHT))
-    text = lambda r: F.array_join(F.transform(F.filter("words", lambda w: r_in(w, r)), lambda w: w["text"]), " ")
-    found = F.transform(dark, lambda r: F.struct(r["rect_id"].alias("rect_id"), text(r).alias("recovered_text")))
+    row = lambda r, text: F.struct(r["rect_id"].alias("rect_id"), text.alias("recovered_text"))
+    joined = lambda ws: F.array_join(F.transform(ws, lambda w: w["text"]), " ")
+
+    def one_by_one(ws: Column) -> Column:
+        return F.transform(dark, lambda r: row(r, joined(F.filter(ws, lambda w: r_in(w, r)))))
+
+    def edges(ws: Column, first: str) -> Column:
+        """The words in the order of an edge: struct<at, w>."""
+        sort = F.sort_array(F.transform(ws, lambda w: F.struct(w[first].alias("k"), *[w[c].alias(c) for c in ("idx", "text", "x0", "y0", "x1", "y1")])))
+        return bind(sort, lambda s: F.struct(F.transform(s, lambda w: w["k"]).alias("at"), s.alias("w")))
+
+    def within(e: Column, low: Column, high: Column) -> Column:
+        a, b = rank(e["at"], low - TOLERANCE), rank(e["at"], high + TOLERANCE, lambda v, x: v <= x)
+        return F.struct(a.alias("a"), F.greatest(b - a, F.lit(0)).alias("n"))
+
+    def looked_up(x: Column, y: Column) -> Column:
+        def text(r: Column, wide: Column, tall: Column) -> Column:
+            few = F.when(wide["n"] <= tall["n"], F.slice(x["w"], wide["a"] + 1, wide["n"])).otherwise(F.slice(y["w"], tall["a"] + 1, tall["n"]))
+            inside = F.filter(few, lambda w: r_in(w, r))
+            return joined(F.sort_array(F.transform(inside, lambda w: F.struct(w["idx"].alias("idx"), w["text"].alias("text")))))
+
+        return F.transform(dark, lambda r: row(r, bind(within(x, r["x0"], r["x1"]), lambda wide: bind(within(y, r["y0"], r["y1"]), lambda tall: text(r, wide, tall)))))
+
+    many = bind(words, lambda ws: bind(edges(ws, "x0"), lambda x: bind(edges(ws, "y0"), lambda y: looked_up(x, y))))
+    found = F.when(F.size("rects") <= FEW, bind(words, one_by_one)).otherwise(many)
     return F.filter(found, lambda t: t["recovered_text"].rlike(r"[\p{L}\p{N}]"))
 
 
+OVERLAY, OVERLAY_DETAIL = "text_under_overlay", "text can be read under a dark rectangle"
+LEAKS = "array<struct<page:int,kind:string,detail:string>>"
+
+
+def seen_leaks(pages: DataFrame) -> DataFrame:
+    """Pages with a column seen (covered_texts) as leaks: (doc_id, page, rect_id, kind, recovered_text, detail), one row a rectangle."""
+    rows = pages.select("doc_id", "page", F.inline_outer("seen")).where("rect_id IS NOT NULL")
+    return rows.select("doc_id", "page", "rect_id", F.lit(OVERLAY).alias("kind"), "recovered_text", F.lit(OVERLAY_DETAIL).alias("detail"))
+
+
 def found_leaks(pages: DataFrame) -> DataFrame:
-    """Text under dark rectangles of pages with a column rects: (doc_id, page, rect_id, kind, recovered_text, detail), one row a rectangle."""
-    rows = pages.select("doc_id", "page", F.inline_outer(covered_texts())).where("rect_id IS NOT NULL")
-    return rows.select("doc_id", "page", "rect_id", F.lit("text_under_overlay").alias("kind"), "recovered_text", F.lit("drawn rectangle covers selectable text").alias("detail"))
+    """Text under dark rectangles of pages with a column rects."""
+    return seen_leaks(pages.select("doc_id", "page", covered_texts().alias("seen")))
 
 
 def overlay_leaks(pages: DataFrame, rects: DataFrame) -> DataFrame:
@@ -173,10 +235,10 @@ def metadata_leaks(metadata: DataFrame) -> DataFrame:
     """Non-empty metadata (doc_id, field, value); the field "xmp" is the metadata stream. Same columns as overlay_leaks, page 0."""
     value = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
     std = metadata.where(F.col("field").isin(*METADATA_FIELDS) & (value != ""))
-    detail = F.concat(F.lit("/"), F.initcap("field"), F.lit(" field contains '"), value, F.lit("'"))
+    detail = F.concat(F.lit("metadata field "), "field", F.lit(" holds '"), value, F.lit("'"))
     plain = std.select("doc_id", F.lit(0).alias("page"), F.lit(None).cast("long").alias("rect_id"), F.lit("metadata").alias("kind"), value.alias("recovered_text"), detail.alias("detail"))
     xmp = metadata.where((F.col("field") == "xmp") & (value != ""))
-    return plain.union(xmp.select("doc_id", F.lit(0), F.lit(None).cast("long"), F.lit("metadata"), F.substring(value, 1, XMP_CHARS), F.lit("XMP metadata stream is non-empty")))
+    return plain.union(xmp.select("doc_id", F.lit(0), F.lit(None).cast("long"), F.lit("metadata"), F.substring(value, 1, XMP_CHARS), F.lit("the metadata stream is not empty")))
 
 
 def clear_metadata(metadata: DataFrame) -> DataFrame:
@@ -197,7 +259,7 @@ def report_of(counts: DataFrame) -> DataFrame:
     """(doc_id, passed, n_leaks, summary) of documents with the columns n_overlays and n_metadata; the summary counts leaks by kind, text under overlays first."""
     part = lambda c, kind: F.when(F.col(c) > 0, F.concat_ws(" ", F.col(c).cast("string"), F.lit(kind)))
     n, parts = F.col("n_overlays") + F.col("n_metadata"), F.concat_ws(", ", part("n_overlays", "text_under_overlay"), part("n_metadata", "metadata"))
-    return counts.select("doc_id", (n == 0).alias("passed"), n.alias("n_leaks"), F.when(n == 0, "no residual leaks").otherwise(parts).alias("summary"))
+    return counts.select("doc_id", (n == 0).alias("passed"), n.alias("n_leaks"), F.when(n == 0, "nothing left").otherwise(parts).alias("summary"))
 
 
 def reports(documents: DataFrame, leaks: DataFrame) -> DataFrame:
@@ -206,4 +268,4 @@ def reports(documents: DataFrame, leaks: DataFrame) -> DataFrame:
     order = F.struct(F.when(F.col("kind") == "text_under_overlay", 0).otherwise(1).alias("o"), F.concat_ws(" ", F.col("n").cast("string"), "kind").alias("s"))
     per = kinds.groupBy("doc_id").agg(F.sum("n").alias("n_leaks"), F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["s"]), ", ").alias("summary"))
     joined = documents.select("doc_id").distinct().join(per, "doc_id", "left")
-    return joined.select("doc_id", F.col("n_leaks").isNull().alias("passed"), F.coalesce("n_leaks", F.lit(0)).alias("n_leaks"), F.coalesce("summary", F.lit("no residual leaks")).alias("summary"))
+    return joined.select("doc_id", F.col("n_leaks").isNull().alias("passed"), F.coalesce("n_leaks", F.lit(0)).alias("n_leaks"), F.coalesce("summary", F.lit("nothing left")).alias("summary"))

@@ -23,12 +23,19 @@ START, DECOMPOSED, CALLS, FAILED, END = -(1 << 62), -(1 << 61), -(1 << 60), 1 <<
 
 @dataclass
 class Result:
-    """findings and events come from one checkpointed pass over the pages; pages are redacted when they are read."""
+    """findings, report, leaks and events come from one checkpointed pass over the pages; pages are redacted when they are read.
+
+    pages and metadata are those of the documents that pass; staged are all redacted pages, with what
+    the verification found on each (leaks), as sources.gate writes them.
+    """
 
     findings: DataFrame
     pages: DataFrame
     report: DataFrame
     events: DataFrame
+    leaks: DataFrame
+    staged: DataFrame
+    metadata: DataFrame | None
 
 
 def detect(pages: DataFrame, pack: RulePack, selection: str | None = None, provider: providers.Provider | None = None, submissions: DataFrame | None = None, **options) -> DataFrame:
@@ -63,18 +70,28 @@ def _recorded(f: Column, include_text: bool) -> Column:
     return F.struct(*keep, *more, *([text.alias("text"), around.alias("context")] if include_text else []))
 
 
+def _seen() -> Column:
+    """What the verification finds on the redacted page: text under the rectangles of its column rects."""
+    return F.transform(redaction.covered_texts(redaction.left_over()), lambda t: F.struct(t["rect_id"].alias("rect_id"), t["recovered_text"].alias("recovered_text")))
+
+
 def facts(pages: DataFrame, found: DataFrame | RulePack, include_text: bool = False) -> DataFrame:
-    """What a record needs of each page, a few dozen bytes and its findings: (doc_id, page, n_bytes, before_sha256, after_sha256, found).
+    """What a record needs of each page, a few dozen bytes, its findings and leaks: (doc_id, page, n_bytes, n_left, before_sha256, after_sha256, seen, found).
 
-    One pass over the pages gives it, and a checkpoint keeps it, so that findings, audit lines
-    and whatever an undo derives from them never search the pages again.
+    One pass over the pages gives it, and a checkpoint keeps it, so that findings, verdicts, audit
+    lines and whatever an undo derives from them never search the pages again. n_left is the number of
+    words that stay; seen is what is left under the rectangles of the page, if pages have a column rects.
     """
     ensure_checkpoint_dir(pages.sparkSession)
     before, after = page_text(F.col("words")), page_text(redaction.left_over())
+    seen = _seen() if "rects" in pages.columns else F.array().cast("array<struct<rect_id:bigint,recovered_text:string>>")
+    rows = searched(pages, found)
+    if "rects" in pages.columns and "rects" not in rows.columns:
+        rows = rows.join(pages.select("doc_id", "page", "rects"), ["doc_id", "page"])
     return (
-        searched(pages, found)
+        rows
         .select(
-            "doc_id", "page", F.octet_length(before).cast("long").alias("n_bytes"), F.sha2(before, 256).alias("before_sha256"), F.sha2(after, 256).alias("after_sha256"),
+            "doc_id", "page", seen.alias("seen"), F.size(redaction.left_over()).alias("n_left"), F.octet_length(before).cast("long").alias("n_bytes"), F.sha2(before, 256).alias("before_sha256"), F.sha2(after, 256).alias("after_sha256"),
             F.transform("found", lambda f: _recorded(f, include_text)).alias("found"),
         )
         .checkpoint()
@@ -91,35 +108,44 @@ def run(
     pages: DataFrame, found: DataFrame | RulePack, metadata: DataFrame | None = None, rects: DataFrame | None = None, ts: str = EPOCH, include_text: bool = False, *,
     provider: str = "none", model: str = "none", rule_names: tuple[str, ...] | None = None, instructions: tuple[str, ...] = (), selection: str | None = None, calls: DataFrame | None = None, decomposed: DataFrame | None = None,
 ) -> Result:
-    """Redact the pages, verify what came out, and make the audit lines (session_id, ord, value).
+    """Redact the pages, verify what comes out, and make the audit lines (session_id, ord, value).
 
     found is a table of findings, or the rule pack that pages are searched with. The rectangles
     (rects) are tested on the redacted pages: pages may have a column of that name, or rects is a table.
+    The metadata of a document are cleared as its pages are redacted; the verification looks at the cleared ones.
     calls are the records of model calls (providers.call_records, with cost_usd if known); decomposed is
     (source, detail, rules) of the instructions. A document is a session of its own.
-    A document that fails the verification keeps its report and its audit lines, but its pages are
+    A document that fails the verification keeps its report and its audit lines, which list the leaks, but its pages are
     not among the result's. Documents without findings have no audit lines.
     """
     chosen = select_pages(pages, selection) if selection else pages
+    if rects is not None:
+        chosen = redaction.with_rects(chosen.drop("rects"), rects)
     record = facts(chosen, found, include_text)
     findings = record.select("doc_id", "page", F.inline("found")).select(*rules.FINDING_COLUMNS)
-    after = searched(chosen, found)
-    carried = [c for c in ("rects",) if c in chosen.columns]
-    redacted = after.select("doc_id", "page", redaction.left_over().alias("words"), *carried)
-    if rects is not None:
-        redacted = redaction.with_rects(redacted, rects)
-    if "rects" in redacted.columns:
-        counts = redaction.leak_counts(redacted, metadata).checkpoint()
+    cleared = None if metadata is None else redaction.clear_metadata(metadata)
+    leaks = redaction.seen_leaks(record)
+    counts = record.groupBy("doc_id").agg(F.sum(F.size("seen")).alias("n_overlays"))
+    if cleared is None:
+        counts = counts.withColumn("n_metadata", F.lit(0).cast("long"))
     else:
-        more = None if metadata is None else redaction.metadata_leaks(metadata).groupBy("doc_id").agg(F.count("*").alias("n_metadata"))
-        per = record.select("doc_id").distinct().withColumn("n_overlays", F.lit(0).cast("long"))
-        counts = per.withColumn("n_metadata", F.lit(0).cast("long")) if more is None else per.join(more, "doc_id", "left").withColumn("n_metadata", F.coalesce("n_metadata", F.lit(0)))
+        left = redaction.metadata_leaks(cleared)
+        leaks = leaks.unionByName(left)
+        counts = counts.join(left.groupBy("doc_id").agg(F.count("*").alias("n_metadata")), "doc_id", "left").withColumn("n_metadata", F.coalesce("n_metadata", F.lit(0)))
     report = redaction.report_of(counts)
-    good = redacted.select("doc_id", "page", "words").join(report.where("passed").select("doc_id"), "doc_id", "left_semi")
+    after = searched(chosen, found)
+    if "rects" in chosen.columns and "rects" not in after.columns:
+        after = after.join(chosen.select("doc_id", "page", "rects"), ["doc_id", "page"])
+    bad = report.where("NOT passed").select("doc_id")
+    good = redaction.redact_found(after).join(bad, "doc_id", "left_anti")
+    described = F.transform(_seen(), lambda t: F.struct(F.col("page").alias("page"), F.lit(redaction.OVERLAY).alias("kind"), F.lit(redaction.OVERLAY_DETAIL).alias("detail"))) if "rects" in after.columns else F.array().cast(redaction.LEAKS)
+    staged = after.select("doc_id", "page", redaction.left_over().alias("words"), described.cast(redaction.LEAKS).alias("leaks"))
+    passed_metadata = None if cleared is None else cleared.join(bad, "doc_id", "left_anti")
     per_doc = record.groupBy("doc_id").agg(
         F.sum(F.size("found")).alias("n"), F.count("*").alias("n_pages"), F.sum("n_bytes").alias("n_bytes"), _page_hashes("before_sha256").alias("before"), _page_hashes("after_sha256").alias("after")
     )
-    sessions = per_doc.where("n > 0").join(report, "doc_id")
+    listed = F.array_sort(F.collect_list(F.struct("page", "kind", "detail")))
+    sessions = per_doc.where("n > 0").join(report, "doc_id").join(leaks.groupBy("doc_id").agg(listed.alias("leaks")), "doc_id", "left")
     names = ("tokens_in", "tokens_out", "duration_ms")
     if calls is None:
         sessions = sessions.select("*", *[F.lit(0).cast("long").alias(c) for c in names], F.lit(0.0).alias("cost_usd"))
@@ -141,7 +167,7 @@ def run(
         F.lit("session_end").alias("event"), F.lit(ts).alias("ts_end"), F.col("s.status").alias("status"), F.col("n").alias("redactions_applied"), F.lit(0).alias("redactions_rejected"), F.lit(0).alias("redactions_excluded"), "duration_ms", "tokens_in", "tokens_out", "cost_usd",
         F.col("s.verify_result").alias("verify_result"), F.col("n_leaks").alias("verify_leak_count"), F.when(F.col("passed"), F.col("after")).otherwise("").alias("output_sha256"),
     )
-    failed = audit.event_line("verification_failed", ts, F.col("summary").alias("leaks"))
+    failed = audit.event_line("verification_failed", ts, F.coalesce("leaks", F.array().cast(redaction.LEAKS)).alias("leaks"))
     at = lambda k: F.lit(k).cast("long").alias("ord")
     # Start, failure and end of a session are three lines of one row.
     ends = F.array(F.struct(at(START), start.alias("value")), F.struct(at(FAILED), F.when(~F.col("passed"), failed).alias("value")), F.struct(at(END), end.alias("value")))
@@ -156,7 +182,7 @@ def run(
     if calls is not None:
         rows = calls.join(begun, "doc_id", "left_semi").select(key, (F.lit(CALLS) + F.col("chunk_idx")).cast("long").alias("ord"), audit.call_line(ts).alias("value"))
         events = events.unionByName(rows)
-    return Result(findings, good, report, events)
+    return Result(findings, good, report, events, leaks, staged, passed_metadata)
 
 
 def _selected(selection: str) -> Column:

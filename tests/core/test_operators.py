@@ -331,6 +331,45 @@ def test_redact_diff_and_render(spark, pages_of):
         redaction.require_same_pages(pages, out.where("doc_id = 0"))
 
 
+def test_many_rectangles_and_ranges_give_what_few_give(spark, pages_of, monkeypatch):
+    pages = pages_of(" ".join(f"w{i}" if i % 9 else "." for i in range(300)), "\n".join(["a b c d"] * 30))
+    # Small and wide ones, some of them tall, empty or thin.
+    rect = lambda i: F.struct(i.cast("long").alias("rect_id"), (i * 37 % 400 * 30.0).alias("x0"), (i * 13 % 30 * 12.0).alias("y0"), (i * 37 % 400 * 30.0 + F.when(i % 3 == 0, 9000.0).otherwise(i % 5 * 50.0)).alias("x1"), (i * 13 % 30 * 12.0 + F.when(i % 4 == 0, 300.0).otherwise(i % 2 * 11.0)).alias("y1"), F.array(F.lit(0.1)).alias("fill"))
+    span = lambda i: F.struct((i * 53 % 310).cast("int").alias("word_start"), (i * 53 % 310 + i % 6 - 1).cast("int").alias("word_end"))
+    full = pages.withColumns({"rects": F.transform(F.sequence(F.lit(0), F.lit(199)), rect), "found": F.transform(F.sequence(F.lit(0), F.lit(59)), span)})
+
+    def all_of():
+        leaks = sorted(map(tuple, redaction.found_leaks(full).select("doc_id", "page", "rect_id", "recovered_text").collect()))
+        left = [[w["idx"] for w in r["words"]] for r in redaction.redact_found(full).orderBy("doc_id").collect()]
+        return leaks, left, sorted(map(tuple, redaction.text_found(full).collect())), sorted(map(str, redaction.diff_found(full).collect()))
+
+    many = all_of()
+    assert len(many[0]) > 20 and 0 < len(many[1][0]) < 250
+    monkeypatch.setattr(redaction, "FEW", 1000)
+    assert many == all_of()
+
+
+def test_a_page_with_very_many_rectangles_is_quick(spark, pages_of):
+    import time
+
+    pages = pages_of(" ".join(f"w{i}" for i in range(400)))
+    rect = lambda i: F.struct(i.cast("long").alias("rect_id"), (i % 16000 * 1.0).alias("x0"), F.lit(0.0).alias("y0"), (i % 16000 * 1.0 + 60).alias("x1"), F.lit(9.0).alias("y1"), F.array(F.lit(0.1)).alias("fill"))
+    began = time.monotonic()
+    n = redaction.found_leaks(pages.withColumn("rects", F.transform(F.sequence(F.lit(0), F.lit(9999)), rect))).count()
+    assert n > 9000 and time.monotonic() - began < 20
+
+
+def test_differences_count_repeated_words(spark, pages_of):
+    """A word that is twice at its place is lost twice or not at all; a page that is missing is lost whole."""
+    at = lambda t, x: {"idx": 0, "text": t, "block_id": 0, "x0": x, "y0": 0.0, "x1": x + 5, "y1": 9.0}
+    kind = pages_of("a").schema["words"].dataType.simpleString()
+    make = lambda rows: spark.createDataFrame(rows, f"doc_id long, page int, words {kind}")
+    old = make([(1, 1, [at("a", 1.0), at("a", 1.0), at("b", 2.0), at("b", 2.0), at("c", 3.0)]), (1, 2, [at("z", 1.0)])])
+    new = make([(1, 1, [at("b", 2.04), at("c", 3.06), at("a", 9.0)])])
+    assert sorted(r["text"] for r in redaction.removed_words(old, new).collect()) == ["a", "a", "c", "z"]
+    assert redaction.page_diff(old, new).first()["removed"] == ["a", "a", "c"]
+
+
 def test_overlays_and_metadata(spark, pages_of):
     pages = pages_of("abc def . ghi")
     rect = "doc_id long, page int, rect_id long, x0 double, y0 double, x1 double, y1 double, fill array<double>"
@@ -340,12 +379,12 @@ def test_overlays_and_metadata(spark, pages_of):
     leaks = redaction.overlay_leaks(pages, spark.createDataFrame([tuple(float(v) if 3 <= i < 7 else v for i, v in enumerate(r)) for r in rows], rect))
     assert sorted((r["rect_id"], r["recovered_text"]) for r in leaks.collect()) == [(1, "abc def"), (7, "ghi")]
     meta = redaction.metadata_leaks(spark.createDataFrame([(0, "author", " Ann "), (0, "title", " \t\n"), (0, "xmp", "x" * 300), (0, "color", "red")], "doc_id long, field string, value string"))
-    assert sorted((len(r["recovered_text"]), r["detail"]) for r in meta.collect()) == [(3, "/Author field contains 'Ann'"), (200, "XMP metadata stream is non-empty")]
+    assert sorted((len(r["recovered_text"]), r["detail"]) for r in meta.collect()) == [(3, "metadata field author holds 'Ann'"), (200, "the metadata stream is not empty")]
     cleared = redaction.clear_metadata(spark.createDataFrame([(0, "author", " Ann "), (0, "xmp", "x")], "doc_id long, field string, value string"))
     assert cleared.count() == 2 and redaction.metadata_leaks(cleared).count() == 0
     report = redaction.reports(pages, leaks.unionByName(meta)).first()
     assert (report["passed"], report["n_leaks"], report["summary"]) == (False, 4, "2 text_under_overlay, 2 metadata")
-    assert redaction.reports(pages, meta.limit(0)).first()["summary"] == "no residual leaks"
+    assert redaction.reports(pages, meta.limit(0)).first()["summary"] == "nothing left"
 
 
 # ---- audit, undo, backups ----
@@ -368,20 +407,31 @@ def test_run_audit_and_undo(spark, pages_of, tmp_path):
     found = replay.applied(keyed)
     assert replay.exclusions(found, words=(1, 1)).count() == 1 and replay.exclusions(found).count() == 0 and replay.exclusions(found, page=2, kind="email").count() == 0
     assert replay.undo_events(found, replay.exclusions(found, page=1)).count() == 2
-    failed = plan.run(pages, plan.detect(pages, PACK), metadata=spark.createDataFrame([(0, "author", "Ann")], "doc_id long, field string, value string"))
+    # Metadata are cleared, and the output is judged.
+    meta = spark.createDataFrame([(0, "author", "Ann"), (0, "title", "T"), (1, "xmp", "x")], "doc_id long, field string, value string")
+    cleared = plan.run(pages, PACK, metadata=meta)
+    assert {r["doc_id"]: r["passed"] for r in cleared.report.collect()} == {0: True, 1: True} and cleared.pages.count() == 2
+    assert [r["value"] for r in cleared.metadata.collect()] == ["", "", ""]
+    failed = plan.run(_covered(pages), PACK)
     assert {r["doc_id"] for r in failed.pages.collect()} == {1}
     assert '"status":"verify_failed"' in failed.events.orderBy(F.desc("ord")).first()["value"]
 
 
+def _covered(pages, doc_id=0):
+    """Pages with a dark rectangle over the first words of one document."""
+    box = F.struct(F.lit(1).cast("long").alias("rect_id"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(60.0).alias("x1"), F.lit(9.5).alias("y1"), F.array(F.lit(0.0)).alias("fill"))
+    return pages.withColumn("rects", F.when(F.col("doc_id") == doc_id, F.array(box)).otherwise(F.array().cast(redaction.RECTS)))
+
+
 def test_lines_of_decomposition_calls_and_failure(spark, pages_of):
     pages = pages_of("mail a@bc.de", "clean")
     calls = spark.createDataFrame([(0, i, [1], 0.0, None, False, None, "p", "r", 100, 10, 7, None, 0, 0, 0.25) for i in range(2)], "doc_id long, chunk_idx int, pages array<int>, temperature double, seed_requested long, seed_honored boolean, system_fingerprint string, prompt_sha256 string, response_sha256 string, tokens_in long, tokens_out long, duration_ms long, page_word_range array<int>, cache_creation_input_tokens long, cache_read_input_tokens long, cost_usd double")
     told = spark.createDataFrame([("parser", "2 rules by form", ["a", "b"])], "source string, detail string, rules array<string>")
-    bad = spark.createDataFrame([(0, "author", "Ann")], "doc_id long, field string, value string")
-    result = plan.run(pages, PACK, metadata=bad, calls=calls, decomposed=told, selection="1", provider="stub", model="m", instructions=("a", "b"), include_text=True)
+    result = plan.run(_covered(pages), PACK, calls=calls, decomposed=told, selection="1", provider="stub", model="m", instructions=("a", "b"), include_text=True)
     lines = [json.loads(r["value"]) for r in result.events.where("session_id = 0").orderBy("ord").collect()]
     assert [x["event"] for x in lines] == ["session_start", "instruction_decomposed", "chunk_request", "chunk_request", "finding", "verification_failed", "session_end"]
-    start, told, first, _, found, _, end = lines
+    start, told, first, _, found, wrong, end = lines
+    assert wrong["leaks"] == [{"page": 1, "kind": "text_under_overlay", "detail": "text can be read under a dark rectangle"}]
     assert (start["pages_spec"], start["pages_resolved"], start["rules"], start["instructions"], start["input_pages"], start["input_bytes"]) == ("1", [1], ["pii-en"], ["a", "b"], 1, 12)
     assert told["rule_count"] == 2 and first["seed_requested"] is None and first["chunk_idx"] == 0
     assert (found["text"], found["context"], found["bbox"]) == ("a@bc.de", "mail a@bc.de", [40.0, 0.0, 75.0, 9.0])
@@ -445,7 +495,7 @@ def test_backups(spark, tmp_path):
     assert backups.latest(rows).first()["session_dir"] == "2026-01-03T00-00-00Z"
     everything, now = audit.read_backups(spark, str(tmp_path)), F.lit("2026-01-03 05:00:00").cast("timestamp")
     ages = {r["session_dir"]: r["a"] for r in everything.select("session_dir", backups.age_label(F.col("ts"), now).alias("a")).collect()}
-    assert ages == {"2026-01-02T03-04-05Z-abc123": "25h ago", "2026-01-03T00-00-00Z": "5h ago", "odd": "(unknown age)"}
+    assert ages == {"2026-01-02T03-04-05Z-abc123": "25 hours old", "2026-01-03T00-00-00Z": "5 hours old", "odd": "of unknown age"}
     assert [r["session_dir"] for r in backups.expired(everything, 24, now).collect()] == ["2026-01-02T03-04-05Z-abc123"]
     assert backups.expired(everything, 0, now).count() == 0
     assert backups.by_session(everything, "odd").count() == 1
