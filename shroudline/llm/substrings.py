@@ -1,36 +1,40 @@
 """Substring deduplication by content-defined chunks.
 
-Texts are cut where a gear rolling hash says so, so that an insertion moves the cuts next to it
-only. From each chunk on, the shortest stretch of whole chunks that has MIN_WORDS words is compared
-by digest over all documents. A stretch depends on its own chunks alone, so two documents share one
-exactly where both hold these words in a row. What shared stretches cover is a repeated passage.
-Text without white space is cut between characters in the same way, and its length counts as words.
+A gear hash rolls over the words of a text, eight at a time, and a chunk begins where it is the least
+of eight neighbours. Where chunks begin depends on the fifteen words around only, so that an
+insertion moves nothing else, and of any fifteen words in a row at least one place is a beginning: documents
+that share these words share its digest. What they share around the place is told by the words
+next to it, so that exactly the stretches of MIN_WORDS words are found that two documents hold.
+Text without white space is cut into pieces of a word's length by a gear hash over its bytes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, fresh, join_sized, map_text, table, texts
+from .common import HOT_SHARE, ensure_checkpoint_dir, fresh, join_sized, map_text, table, texts
 
-#: Bytes a chunk has at least and at most; a cut is taken at one in CUT_ONE_IN of the white-space bytes.
-MIN_CHUNK, MAX_CHUNK, CUT_ONE_IN = 16, 160, 3
-#: Bytes without white space after which text may also be cut between characters, at one in CHAR_CUT_ONE_IN of them. The gear hash reads as many.
-LONG_RUN, CHAR_CUT_ONE_IN = 32, 12
-#: Length that counts as a word in such text: an East Asian character has the length 3, others 1.
-WORD_LENGTH = 6
+#: Bytes without white space from which on a text is cut between characters: at one in two beginnings of East Asian ones, one in six of others.
+LONG_RUN, WIDE_ONE_IN, OTHER_ONE_IN = 32, 2, 6
 #: Words that a repeated passage has at least.
 MIN_WORDS = 15
 #: Stands for a null id: documents without one come last.
 NO_ID = 2**63 - 1
+#: One in so many documents tells which digests are hot; a digest is not called hot for fewer occurrences there than HOT_LEAST.
+HOT_ONE_IN, HOT_LEAST = 64, 8
+#: Words whose hashes a task keeps.
+WORDS_KEPT = 500_000
 
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 9) for b in range(256)], dtype=np.uint32)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STEP, _LEFT, _RIGHT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -43,67 +47,78 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_bounds(raw: bytes) -> list[tuple[int, int]]:
-    """Half-open byte ranges of the chunks, in order, without the white space around them.
-
-    Cuts are at white space, and between characters that have LONG_RUN bytes without white space
-    before them, as in Chinese, Japanese, Thai, base64 or minified JSON. Either kind of cut
-    depends on the bytes just before it only.
-    """
-    n = len(raw)
-    if not n:
-        return []
-    data = np.frombuffer(raw, dtype=np.uint8)
-    spaces = np.flatnonzero(_SPACE[data])
-    h = gear_hashes(data)
-    cuts = spaces[h[spaces] < np.uint32(2**32 // CUT_ONE_IN)]
-    edges = np.concatenate(([-1], spaces, [n]))
-    if np.diff(edges).max() > LONG_RUN:
-        at = np.flatnonzero(h[:-1] < np.uint32(2**32 // CHAR_CUT_ONE_IN)) + 1
-        at = at[(data[at] & 0xC0 != 0x80) & ~_SPACE[data[at]]]
-        at = at[at - edges[np.searchsorted(edges, at) - 1] > LONG_RUN]
-        cuts = np.union1d(cuts, at)
-    out, start = [], 0
-    for cut in [*cuts.tolist(), n]:
-        while cut - start > MAX_CHUNK:  # no cut by content: at the last space, else between characters
-            k = int(np.searchsorted(spaces, start + MAX_CHUNK, "right")) - 1
-            end = int(spaces[k]) if k >= 0 and spaces[k] > start + MIN_CHUNK else start + MAX_CHUNK
-            while end > start and end < n and raw[end] & 0xC0 == 0x80:
-                end -= 1
-            out.append((start, end))
-            start = end
-        if cut - start >= MIN_CHUNK or cut == n:
-            out.append((start, cut))
-            start = cut
-    trimmed = []
-    for a, b in out:
-        piece = raw[a:b]
-        left = a + len(piece) - len(piece.lstrip())
-        right = left + len(piece.strip())
-        if right > left:
-            trimmed.append((left, right))
-    return trimmed
-
-
-def chunk_words(raw: bytes, bounds: list[tuple[int, int]]) -> list[int]:
-    """The words of each chunk; parts of words that a cut made, and words of over LONG_RUN bytes, count by their length."""
-    n, out = len(raw), []
-    for a, b in bounds:
-        parts = raw[a:b].split()
-        long = {k for k, part in enumerate(parts) if len(part) > LONG_RUN}
-        if a and not _SPACE[raw[a - 1]]:
-            long.add(0)
-        if b < n and not _SPACE[raw[b]]:
-            long.add(len(parts) - 1)
-        out.append(len(parts) - len(long) + sum(_by_length(parts[k]) for k in long))
+def run_cuts(run: bytes) -> np.ndarray:
+    """Where a run of bytes without white space is cut: at beginnings of characters that the lowest eight bits of the gear hash choose, which depend on the eight bytes before."""
+    data = np.frombuffer(run, dtype=np.uint8)
+    h, lead = gear_hashes(data)[:-1] & np.uint32(0xFF), data[1:]
+    # Lead bytes from E3 on, but for the private and presentation forms of EE and EF, and those of four bytes.
+    wide = (lead >= 0xE3) & (lead <= 0xED) | (lead >= 0xF0)
+    return np.flatnonzero((lead & 0xC0 != 0x80) & (h < np.where(wide, 256 // WIDE_ONE_IN, 256 // OTHER_ONE_IN))) + 1
+
+
+def words_of(raw: bytes) -> list[bytes]:
+    """The words of a text, in pieces where they are runs of over LONG_RUN bytes."""
+    words = raw.split()
+    if not any(len(w) > LONG_RUN for w in words):
+        return words
+    out = []
+    for w in words:
+        edges = [0, *run_cuts(w).tolist(), len(w)] if len(w) > LONG_RUN else [0, len(w)]
+        out += [w[a:b] for a, b in zip(edges, edges[1:])]
     return out
 
 
-def _by_length(part: bytes) -> int:
-    data = np.frombuffer(part, dtype=np.uint8)
-    # Lead bytes from E3 on, but for the private and presentation forms of EE and EF, and those of four bytes.
-    wide = np.count_nonzero((data >= 0xE3) & (data <= 0xED)) + np.count_nonzero(data >= 0xF0)
-    return -(-(np.count_nonzero(data & 0xC0 != 0x80) + 2 * wide) // WORD_LENGTH)
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Beginnings and ends of the words in bytes."""
+    solid = ~_SPACE[np.frombuffer(raw, dtype=np.uint8)]
+    turns = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    starts, ends = turns[::2], turns[1::2]
+    more = [a + run_cuts(raw[a:b]) for a, b in zip(starts, ends) if b - a > LONG_RUN]
+    if more:
+        inner = np.concatenate(more)
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+    return starts, ends
+
+
+class _Hashes(dict):
+    """Hashes of words, some of which are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit hashes."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53) ^ (x >> np.uint64(29))
+
+
+def sizes(min_words: int) -> tuple[int, int, int]:
+    """Words that the gear hash covers, neighbours it must be the least of, and words beside them to min_words."""
+    k = (min_words + 1) // 2
+    return k, min_words - k + 1, min_words - k
+
+
+def beginnings(h: np.ndarray, min_words: int) -> np.ndarray:
+    """The places where chunks begin, given the hashes of the words: every min_words words in a row hold one whose gear hash they cover.
+
+    The gear hash is (h << s) + gear[word], over as many words as have bits in it. Of equal hashes the last one counts.
+    """
+    k, among, _ = sizes(min_words)
+    m = len(h) - k + 1
+    if m < among:
+        return np.zeros(0, dtype=np.int64)
+    gear, shift = (h >> np.uint64(32)).astype(np.uint32), -(-32 // k)
+    rolled = np.zeros(m, dtype=np.uint32)
+    for j in range(-(-32 // shift)):
+        rolled += gear[k - 1 - j : k - 1 - j + m] << np.uint32(shift * j)
+    rolled *= np.uint32(0x9E3779B1)
+    rolled ^= rolled >> np.uint32(15)
+    least = np.lib.stride_tricks.sliding_window_view(rolled[::-1], among).argmin(axis=1)
+    return np.unique(m - 1 - (np.arange(len(least)) + least))
 
 
 def _own(doc_id: str | Column, text: str | Column) -> tuple[Column, Column]:
@@ -111,96 +126,245 @@ def _own(doc_id: str | Column, text: str | Column) -> tuple[Column, Column]:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.xxhash64(text)
 
 
-def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, h, start, end, at, words, digest): from each chunk on, the fewest chunks that have min_words words, if there are as many.
+CHUNKS = "digest long, doc_id long, h long, at int, beside binary"
+
 
-    doc_id and h tell documents apart; start and end count bytes of UTF-8; at is the number of words before the stretch.
+def chunks(docs: DataFrame, min_words: int, skip: Iterable[int] = (), only: Iterable[int] | None = None) -> DataFrame:
+    """(digest, doc_id, h, at, beside) of documents (doc_id, h, text): the chunks with the digest of their first words, the number of words before, and hashes of the words to the left and to the right.
+
+    Digests in skip are left out; with only, all others.
     """
+    k, _, side = sizes(min_words)
+    skip, only = np.array(sorted(skip), dtype=np.int64), None if only is None else np.array(sorted(only), dtype=np.int64)
 
     def make():
+        known = _Hashes()
+        powers = np.array([pow(int(_STEP), j, 1 << 64) for j in range(k)], dtype=np.uint64)
+
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, hashes = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
-            digest = xxhash.xxh3_64_intdigest
-            out: list[list] = [[], [], [], [], [], [], []]
-            for doc_id, h, text in zip(ids, hashes, texts(batch)):
-                raw = text.encode("utf-8", "surrogatepass")
-                bounds = chunk_bounds(raw)
-                pieces = [raw[a:b] for a, b in bounds]
-                before = np.cumsum([0, *chunk_words(raw, bounds)])
-                ends = np.searchsorted(before, before[:-1] + max(min_words, 1))
-                n = int(np.searchsorted(ends, len(bounds), "right"))  # ends grow; from here on too few words are left
-                if not n:
+            out: list[list] = [[], [], [], [], []]
+            for doc_id, own, text in zip(ids, hashes, texts(batch)):
+                words = words_of(text.encode("utf-8", "surrogatepass"))
+                h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+                at = beginnings(h, min_words)
+                if not len(at):
                     continue
-                ends, edges = ends[:n], np.array(bounds)
-                of_chunks = memoryview(np.array([digest(piece) for piece in pieces], dtype=np.uint64).tobytes())
-                out[0].append(np.full(n, doc_id, dtype=np.int64))
-                out[1].append(np.full(n, h, dtype=np.int64))
-                out[2].append(edges[:n, 0])
-                out[3].append(edges[ends - 1, 1])
-                out[4].append(before[:n])
-                out[5].append(before[ends] - before[:n])
-                out[6].append(np.array([digest(of_chunks[8 * i : 8 * j]) for i, j in enumerate(ends.tolist())], dtype=np.uint64).astype(np.int64))
-            kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)
-            arrays = [pa.array(np.concatenate(c).astype(t) if c else np.array([], dtype=t)) for c, t in zip(out, kinds)]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "start", "end", "at", "words", "digest"])
+                digest = _mixed((h[at[:, None] + np.arange(k)] * powers).sum(axis=1, dtype=np.uint64)).view(np.int64)
+                if len(skip) or only is not None:
+                    kept = np.isin(digest, skip, invert=True) if only is None else np.isin(digest, only)
+                    at, digest = at[kept], digest[kept]
+                # Zero stands for a word that isn't there.
+                short = np.concatenate([np.zeros(side, dtype=np.uint16), np.maximum((h >> np.uint64(8)).astype(np.uint16), 1), np.zeros(side, dtype=np.uint16)])
+                left, right = short[at[:, None] + side - 1 - np.arange(side)], short[at[:, None] + side + k + np.arange(side)]
+                for column, values in zip(out, (digest, np.full(len(at), doc_id), np.full(len(at), own), at, np.concatenate([left, right], axis=1))):
+                    column.append(values)
+            n = sum(map(len, out[0]))
+            join = lambda i, t: np.concatenate(out[i]).astype(t) if n else np.zeros(0, dtype=t)
+            beside = np.concatenate(out[4]).astype("<u2").tobytes() if n else b""
+            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 4 * side).astype(np.int32).tobytes()), pa.py_buffer(beside)])
+            return pa.RecordBatch.from_arrays([*[pa.array(join(i, t)) for i, t in enumerate((np.int64, np.int64, np.int64, np.int32))], packed], names=["digest", "doc_id", "h", "at", "beside"])
 
         return apply
 
-    doc_id, h = _own(id_col, text_col)
-    narrow = docs.select(doc_id.alias("doc_id"), h.alias("h"), F.col(text_col).alias("text"))
-    return map_text(narrow, "text", "doc_id long, h long, start int, end int, at int, words int, digest long", make)
+    return map_text(docs, "text", CHUNKS, make)
+
+
+def _keys(digest: np.ndarray, beside: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each number of words to the left: which rows have these and the rest to the right, and a hash of such a stretch for all rows."""
+    left, right = beside[:, :side].astype(np.uint64), beside[:, side:].astype(np.uint64)
+    zero = np.zeros(len(digest), dtype=np.uint64)
+    lefts, rights = [zero], [zero]
+    for j in range(side):
+        lefts.append((lefts[-1] + left[:, j] + np.uint64(1)) * _LEFT)
+        rights.append((rights[-1] + right[:, j] + np.uint64(1)) * _RIGHT)
+    base = _mixed(digest.view(np.uint64))
+    for n in range(side + 1):
+        there = np.ones(len(digest), dtype=bool)
+        if n:
+            there &= left[:, n - 1] > 0
+        if n < side:
+            there &= right[:, side - n - 1] > 0
+        yield n, there, _mixed(base + _mixed(lefts[n]) + (_mixed(rights[side - n]) << np.uint64(1)))
+
+
+def _first(key: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each row: whether several documents have its key, the smallest id among them, whether they all have it, and the smallest hash of texts then."""
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+    back = np.empty(len(key), dtype=np.int64)
+    back[order] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(key)))
+    least, most = (f.reduceat(doc[order], starts) for f in (np.minimum, np.maximum))
+    low, high = (f.reduceat(h[order], starts) for f in (np.minimum, np.maximum))
+    one = least == most
+    return (~one | (low < high))[back], least[back], one[back], low[back]
+
+
+SPANS = "doc_id long, h long, a int, b int, first_doc long, first_h long"
+
+
+def _spans_of(batch: pa.RecordBatch, min_words: int) -> pa.RecordBatch:
+    """The stretches that several of the rows share, all rows of a digest being there; those of one chunk and one first document are put together."""
+    side = sizes(min_words)[2]
+    digest = batch.column("digest").to_numpy()
+    n = len(digest)
+    same = np.diff(digest, append=~digest[-1:]) == 0
+    rows = np.flatnonzero(same | np.concatenate([[False], same[:-1]]))
+    digest, doc, h, at = (batch.column(c).to_numpy()[rows] for c in ("digest", "doc_id", "h", "at"))
+    m = len(rows)
+    wide = np.frombuffer(b"".join(batch.column("beside").take(pa.array(rows)).to_pylist()), dtype="<u2").reshape(m, 2 * side) if n else np.zeros((0, 2 * side), dtype=np.uint16)
+    found, first, text = np.zeros((m, side + 3), dtype=bool), np.zeros((m, side + 3), dtype=np.int64), np.zeros((m, side + 3), dtype=np.int64)
+    alone = np.zeros((m, side + 3), dtype=bool)
+    for left, there, key in _keys(digest, wide, side):
+        i = np.flatnonzero(there)
+        if len(i):
+            shared, least, one, low = _first(key[i], doc[i], h[i])
+            found[i, left + 1], first[i, left + 1], alone[i, left + 1], text[i, left + 1] = shared, least, one, np.where(one, low, 0)
+    joined = found[:, 1:] & found[:, :-1] & (first[:, 1:] == first[:, :-1]) & (alone[:, 1:] == alone[:, :-1]) & (text[:, 1:] == text[:, :-1])
+    r, low = np.nonzero(found[:, 1:] & ~joined)
+    _, high = np.nonzero(found[:, :-1] & ~joined)
+    high = high - 1  # the last column of a run is followed by one that isn't joined to it
+    column = low + 1
+    a, b = at[r] - high, at[r] + min_words - low
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[r]), pa.array(h[r]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(first[r, column]), pa.array(text[r, column], mask=~alone[r, column])],
+        names=["doc_id", "h", "a", "b", "first_doc", "first_h"],
+    )
+
+
+def _cold(rows: DataFrame, min_words: int) -> DataFrame:
+    """The shared stretches of chunks whose digests are not hot: one shuffle, and one pass over the sorted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            digest = batch.column("digest").to_numpy()
+            # The rows of the last digest wait for the next batch.
+            cut = int(np.searchsorted(digest, digest[-1]))
+            if cut == 0 and held and held[0].column("digest")[0].as_py() != digest[0]:
+                yield _spans_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], min_words)
+                held = []
+            if cut:
+                whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+                held = []
+                yield _spans_of(whole, min_words)
+            held.append(batch.slice(cut))
+        if held:
+            yield _spans_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], min_words)
+
+    return rows.repartition("digest").sortWithinPartitions("digest").mapInArrow(run, SPANS)
+
+
+def _hot(rows: DataFrame, min_words: int) -> DataFrame:
+    """The same of chunks whose digests are hot. Rows with the same words beside them are one node, an aggregate that is combined before
+    the shuffle; what nodes share is counted by stretch, and goes back by joins that hold out hot keys (join_sized)."""
+    side = sizes(min_words)[2]
+    ends = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("h").alias("low_h"), F.max("h").alias("high_h")]
+    rows = rows.withColumn("node", F.xxhash64("digest", "beside"))
+    nodes = rows.groupBy("node").agg(F.min("digest").alias("digest"), F.min("beside").alias("beside"), *ends, F.count("*").alias("n")).checkpoint()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            wide = np.frombuffer(b"".join(batch.column("beside").to_pylist()), dtype="<u2").reshape(m, 2 * side)
+            for left, there, key in _keys(batch.column("digest").to_numpy(), wide, side):
+                i = pa.array(np.flatnonzero(there))
+                took = batch.take(i)
+                yield pa.RecordBatch.from_arrays([*[took.column(c) for c in ("node", "low", "high", "low_h", "high_h")], pa.array(np.full(len(i), left, dtype=np.int32)), pa.array(key[there].view(np.int64))], names=["node", "low", "high", "low_h", "high_h", "left", "key"])
+
+    keyed = nodes.drop("n").mapInArrow(run, "node long, low long, high long, low_h long, high_h long, left int, key long")
+    least = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_h").alias("low_h"), F.max("high_h").alias("high_h"), F.count("*").alias("n")]
+    one = F.when(F.col("low") == F.col("high"), F.col("low_h"))
+    shared = keyed.groupBy("key").agg(*least).where("low < high OR low_h < high_h").select("key", F.col("low").alias("first_doc"), one.alias("first_h"), "n").checkpoint()
+    back = join_sized(keyed.select("node", "left", "key"), shared, "key", "n", "node").where("first_doc IS NOT NULL")
+    lists = back.groupBy("node").agg(F.collect_list(F.struct("left", "first_doc", "first_h")).alias("spans")).join(nodes.select("node", "n"), "node").checkpoint()
+    out = join_sized(rows.select("node", "doc_id", "h", "at"), lists, "node", "n", F.struct("doc_id", "h", "at"))
+    out = out.select("doc_id", "h", "at", F.explode("spans").alias("s"))
+    return out.select("doc_id", "h", (F.col("at") - F.col("s.left")).alias("a"), (F.col("at") - F.col("s.left") + min_words).alias("b"), "s.first_doc", "s.first_h")
+
+
+def hot_digests(docs: DataFrame, min_words: int) -> list[int]:
+    """Digests that more than HOT_SHARE of all chunks have, or half of an average task's share, as one document in HOT_ONE_IN tells; fewer than 2,000, or twice the shuffle partitions.
+
+    Only the way of the work depends on them, not its result.
+    """
+    some = docs.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(HOT_ONE_IN)) == 0)
+    counts = chunks(some, min_words).groupBy("digest").agg(F.count("*").alias("n")).checkpoint()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(HOT_LEAST, total * min(HOT_SHARE, 0.5 / int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return [r["digest"] for r in counts.where(F.col("n") > least).select("digest").collect()]
 
 
 def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The stretches that at least two documents have, with first_doc, the smallest id that has the stretch, and
-    first_h, the smallest hash of the texts that have it if they all have that id.
+    """(doc_id, h, a, b, first_doc, first_h): words a to b of a document, of which another one holds each min_words in a row.
 
-    Digests are counted with partial aggregates and joined with all rows; hot ones, as those of a
-    licence, are joined by broadcast (join_sized). So the texts are cut twice in all.
+    first_doc is the smallest id that has them, first_h the smallest hash of the texts that have them if they all have that id.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = stretches(docs, id_col, text_col, min_words)
-    found = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("h").alias("first_h"), F.max("h").alias("last_h"), F.count("*").alias("n"))
-    one_id = F.when(F.col("first_doc") == F.col("last_doc"), F.col("first_h"))
-    shared = found.where("first_doc < last_doc OR first_h < last_h").select("digest", "first_doc", one_id.alias("first_h"), "n").checkpoint()
-    joined = join_sized(rows, shared, "digest", "n", F.struct("doc_id", "h"))
-    return joined.where("first_doc IS NOT NULL").drop("digest")
+    doc_id, h = _own(id_col, text_col)
+    narrow = docs.select(doc_id.alias("doc_id"), h.alias("h"), F.col(text_col).alias("text"))
+    hot = hot_digests(narrow, min_words)
+    out = _cold(chunks(narrow, min_words, skip=hot), min_words)
+    return out.unionByName(_hot(chunks(narrow, min_words, only=hot), min_words)) if hot else out
 
 
 def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """passages, with doc_id and h as stretches has them."""
-    rows = repeated_stretches(docs, id_col, text_col, min_words).dropDuplicates(["doc_id", "h", "start", "end", "first_doc"])
+    """passages in words, with doc_id and h as chunks has them."""
+    rows = repeated_stretches(docs, id_col, text_col, min_words).dropDuplicates(["doc_id", "h", "a", "b", "first_doc"])
     doc = ["doc_id", "h"]
-    in_doc = Window.partitionBy(doc).orderBy("start", "end")
+    in_doc = Window.partitionBy(doc).orderBy("a", "b")
     so_far, earlier = in_doc.rowsBetween(Window.unboundedPreceding, 0), in_doc.rowsBetween(Window.unboundedPreceding, -1)
-    begin, end = F.struct(F.col("start").alias("byte"), F.col("at").alias("word")), F.struct(F.col("end").alias("byte"), (F.col("at") + F.col("words")).alias("word"))
     cut = (F.col("first_doc") < F.col("doc_id")) | F.coalesce(F.col("first_h") < F.col("h"), F.lit(False))
-    rows = rows.select(*doc, "start", "first_doc", begin.alias("begin"), end.alias("stop"), cut.alias("cut"), "end")
     rows = rows.select(
-        *doc, "start", "end", "begin",
-        F.when(F.col("cut"), F.col("first_doc")).alias("first_doc"),
-        F.lead("begin").over(in_doc).alias("next"),
-        F.max("stop").over(so_far).alias("covered"),
-        F.max("stop").over(earlier).alias("reached"),
-        F.max(F.when(F.col("cut"), F.col("stop"))).over(so_far).alias("cuttable"),
+        *doc, "a", "b",
+        F.when(cut, F.col("first_doc")).alias("first_doc"),
+        F.lead("a").over(in_doc).alias("next"),
+        F.max("b").over(so_far).alias("covered"),
+        F.max("b").over(earlier).alias("reached"),
+        F.max(F.when(cut, F.col("b"))).over(so_far).alias("cuttable"),
     )
-    rows = rows.withColumn("run", F.sum(F.when(F.col("start") < F.col("reached.byte"), 0).otherwise(1)).over(so_far))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("a") < F.col("reached"), 0).otherwise(1)).over(so_far))
     # From the start of a row to that of the next one: first what can go, then what only this or later documents cover.
-    gone_to = F.least(F.greatest("begin", "cuttable"), F.coalesce("next", "covered"))
+    gone_to = F.least(F.greatest("a", "cuttable"), F.coalesce("next", "covered"))
     kept_to = F.least("covered", F.coalesce("next", "covered"))
     piece = lambda a, b, removable, first: F.struct(a.alias("a"), b.alias("b"), F.lit(removable).alias("removable"), first.alias("first_doc"))
-    pieces = F.array(piece(F.col("begin"), gone_to, True, F.col("first_doc")), piece(gone_to, kept_to, False, F.col("doc_id")))
-    parts = rows.select(*doc, "run", F.explode(pieces).alias("p")).select(*doc, "run", "p.*").where("a.byte < b.byte")
-    in_run = Window.partitionBy(doc).orderBy("a.byte")
+    pieces = F.array(piece(F.col("a"), gone_to, True, F.col("first_doc")), piece(gone_to, kept_to, False, F.col("doc_id")))
+    parts = rows.select(*doc, "run", F.explode(pieces).alias("p")).select(*doc, "run", "p.*").where("a < b")
+    in_run = Window.partitionBy(doc).orderBy("a")
     turn = (F.lag("run").over(in_run) != F.col("run")) | (F.lag("removable").over(in_run) != F.col("removable"))
     return (
         parts.withColumn("part", F.sum(F.when(turn, 1).otherwise(0)).over(in_run.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*doc, "run", "removable", "part")
         .agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("first_doc").alias("first_doc"))
-        .select(*doc, "run", F.col("a.byte").alias("start"), F.col("b.byte").alias("end"), (F.col("b.word") - F.col("a.word")).alias("words"), "first_doc", "removable")
+        .select(*doc, "run", "a", "b", "first_doc", "removable")
     )
 
 
+def _located(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """_passages with their places in bytes: (doc_id, h, spans), one row a document, spans in order."""
+    found = _passages(docs, id_col, text_col, min_words)
+    span = F.struct("a", "b", "run", "removable", "first_doc")
+    per = found.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    doc_id, h = _own(id_col, text_col)
+    joined = docs.select(doc_id.alias("doc_id"), h.alias("h"), F.col(text_col).alias("text")).join(per, ["doc_id", "h"])
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            places = []
+            for text, spans in zip(texts(batch), batch.column("spans").to_pylist()):
+                starts, ends = word_bounds(text.encode("utf-8", "surrogatepass"))
+                places.append([{**{k: s[k] for k in ("run", "removable", "first_doc")}, "start": int(starts[s["a"]]), "end": int(ends[s["b"] - 1]), "words": s["b"] - s["a"]} for s in spans])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("run", pa.int64()), ("removable", pa.bool_()), ("first_doc", pa.int64())]))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(places, kind)], names=["doc_id", "h", "spans"])
+
+        return apply
+
+    spans = "array<struct<start:bigint,end:bigint,words:bigint,run:bigint,removable:boolean,first_doc:bigint>>"
+    return map_text(joined, "text", f"doc_id long, h long, spans {spans}", make).dropDuplicates(["doc_id", "h"])
+
+
 def _null_ids(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in ("doc_id", "first_doc")})
 
@@ -208,9 +372,9 @@ def _null_ids(df: DataFrame) -> DataFrame:
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, h, run, start, end, words, first_doc, removable): the repeated passages, as byte ranges; h is a hash of the text.
 
-    A passage is what overlapping repeated stretches cover, each of which one other document holds
-    in a row. It gives one row for each part that stretches of an earlier document, which keeps
-    them, cover or don't cover (removable).
+    A passage is what overlapping stretches of min_words words cover, each of which one other document holds
+    in a row; all such stretches are found. It gives one row for each part that stretches of an earlier
+    document, which keeps them, cover or don't cover (removable).
     Cases: a null text has no passage; texts of any length are read whole; repetitions inside one
     document alone are none of this operator's business; repeated rows with one id and text
     count as one document, different texts under one id or none as several. Documents come in the
@@ -218,27 +382,18 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     has several texts with a passage and a later id has it too, all texts of the first id keep it.
     Extra columns are not looked at; an empty table gives no rows.
     """
-    return _null_ids(_passages(docs, id_col, text_col, min_words))
+    rows = _located(docs, id_col, text_col, min_words).select("doc_id", "h", F.inline("spans"))
+    return _null_ids(rows.select("doc_id", "h", "run", "start", "end", "words", "first_doc", "removable"))
 
 
 def shared_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each document with a repeated passage: how many, how long, which can go, and where they are."""
-    found = _passages(docs, id_col, text_col, min_words)
-    by_place = F.array_sort(F.collect_list(F.struct("start", "end", "removable", "first_doc")))
-    rows = (
-        found.groupBy("doc_id", "h")
-        .agg(
-            F.count_distinct("run").alias("n_passages"),
-            F.sum("words").alias("repeated_words"),
-            F.sum(F.when(F.col("removable"), F.col("words")).otherwise(0)).alias("removed_words"),
-            F.min("first_doc").alias("first_doc"),
-            by_place.alias("p"),
-        )
-        .select(
-            "doc_id", "first_doc", "n_passages", "repeated_words", "removed_words",
-            F.array_join(F.transform("p", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("passages"),
-            F.array_join(F.transform(F.filter("p", lambda s: s["removable"]), lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("removed"),
-        )
+    total = lambda spans, c: F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s[c])
+    gone = F.filter("spans", lambda s: s["removable"])
+    places = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    rows = _located(docs, id_col, text_col, min_words).select(
+        "doc_id", F.array_min(F.transform("spans", lambda s: s["first_doc"])).alias("first_doc"), F.size(F.array_distinct(F.transform("spans", lambda s: s["run"]))).cast("long").alias("n_passages"),
+        total(F.col("spans"), "words").alias("repeated_words"), total(gone, "words").alias("removed_words"), places(F.col("spans")).alias("passages"), places(gone).alias("removed"),
     )
     return _null_ids(rows)
 
@@ -247,7 +402,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with the removable passages cut out of the texts; all rows and columns stay. A null text stays null."""
     key, h, cuts = fresh("key", docs), fresh("h", docs), fresh("cuts", docs)
     gone = _passages(docs, id_col, text_col, min_words).where("removable")
-    cut = gone.groupBy(F.col("doc_id").alias(key), F.col("h").alias(h)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
+    cut = gone.groupBy(F.col("doc_id").alias(key), F.col("h").alias(h)).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias(cuts))
     doc_id, text = _own(id_col, text_col)
     joined = docs.withColumns({key: doc_id, h: text}).join(cut, [key, h], "left").select(*docs.columns, cuts)
     at = docs.columns.index(text_col)
@@ -258,9 +413,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for text, spans in zip(batch.column(at).to_pylist(), batch.column(cuts).to_pylist()):
                 if spans:
                     raw, kept, last = text.encode("utf-8", "surrogatepass"), [], 0
+                    starts, ends = word_bounds(raw)
                     for s in spans:
-                        kept.append(raw[last : s["start"]])
-                        last = max(last, s["end"])
+                        kept.append(raw[last : starts[s["a"]]])
+                        last = max(last, ends[s["b"] - 1])
                     kept.append(raw[last:])
                     text = b"".join(kept).decode("utf-8", "surrogatepass")
                 out.append(text)

@@ -1,6 +1,8 @@
+import os
 import random
 
 import numpy as np
+import pytest
 
 from shroudline.llm import substrings
 
@@ -20,19 +22,40 @@ def test_gear_hash_is_the_recurrence():
     assert substrings.gear_hashes(data).tolist() == want
 
 
-def test_chunks_cover_the_words_and_move_little():
+def test_words_are_cut_the_same_way_by_both_functions():
     rng = random.Random(1)
-    text = prose(rng, 3000) + " " + "é" * 1000 + " tail"
-    raw = text.encode()
-    bounds = substrings.chunk_bounds(raw)
-    assert b"".join(raw[a:b] for a, b in bounds).replace(b" ", b"") == raw.replace(b" ", b"")
-    assert all(b - a <= substrings.MAX_CHUNK for a, b in bounds)
-    for a, b in bounds:
-        raw[a:b].decode()  # never inside a character
-    moved = (text[:2000] + "inserted words here " + text[2000:]).encode()
-    pieces = {raw[a:b] for a, b in bounds}
-    again = {moved[a:b] for a, b in substrings.chunk_bounds(moved)}
-    assert len(pieces - again) <= 6
+    for text in [*ODD, prose(rng, 300) + " " + "é" * 1000 + "\t\n tail", *[f" {unspaced(rng, 500, k)} {prose(rng, 9)}\n" for k in ("chinese", "thai", "json", "base64")]]:
+        raw = (text or "").encode()
+        starts, ends = substrings.word_bounds(raw)
+        words = substrings.words_of(raw)
+        assert [raw[a:b] for a, b in zip(starts, ends)] == words
+        assert b"".join(words) == b"".join(raw.split())
+        for w in words:
+            w.decode()  # never inside a character
+
+
+def test_any_fifteen_words_hold_a_beginning_that_depends_on_them_only():
+    rng = np.random.default_rng(2)
+    for min_words in (1, 2, 5, 8, 15, 40):
+        k, among, side = substrings.sizes(min_words)
+        assert k + among - 1 == min_words == k + side
+        h = rng.integers(0, 1 << 63, 600).astype(np.uint64) * np.uint64(2654435761)
+        h[100:160] = h[100]
+        at = substrings.beginnings(h, min_words)
+        for i in range(len(h) - min_words + 1):
+            inside = at[(at >= i) & (at <= i + side)]
+            own = substrings.beginnings(h[i : i + min_words], min_words) + i
+            assert len(own) == 1 and own[0] in inside
+    assert len(substrings.beginnings(rng.integers(0, 1 << 63, 9000).astype(np.uint64), 15)) < 9000 / 4
+
+
+def test_an_insertion_moves_nothing_but_what_is_beside_it():
+    rng = random.Random(1)
+    words = prose(rng, 3000).encode().split()
+    moved = words[:700] + b"inserted words here".split() + words[700:]
+    hashes = [np.array([substrings._Hashes()[w] for w in x], dtype=np.uint64) for x in (words, moved)]
+    first, other = (set(substrings.beginnings(h, 15).tolist()) for h in hashes)
+    assert len({x if x < 690 else x + 3 for x in first} ^ other) <= 8
 
 
 def test_planted_passages_are_found_and_cut(make_docs):
@@ -80,47 +103,82 @@ def test_odd_texts_null_ids_and_empty_table(make_docs):
 
 def test_one_other_document_holds_each_passage(make_docs):
     rng = random.Random(4)
-    mixed = prose(rng, 200)
-    bounds = substrings.chunk_bounds(mixed.encode())
-    pairs = [mixed[a:d] for (a, _), (_, d) in zip(bounds, bounds[1:])]
-    donors = [f"{pair} {prose(rng, 40)}" for pair in pairs if len(pair.split()) < substrings.MIN_WORDS]
-    docs = make_docs([*donors, mixed])
-    assert substrings.shared_documents(docs).count() == 0
-    assert [r["text"] for r in substrings.remove_repeats(docs).where(f"doc_id = {len(donors) + 1}").collect()] == [mixed]
+    words = prose(rng, 200).split()
+    donors = [f"{' '.join(words[i : i + 14])} {prose(rng, 40)}" for i in range(0, 186, 3)]
+    docs = make_docs([*donors, " ".join(words)])
+    assert {r["doc_id"] for r in substrings.shared_documents(docs).collect()} <= set(range(1, len(donors) + 1))
+    assert [r["text"] for r in substrings.remove_repeats(make_docs([donors[0], donors[30], " ".join(words)])).where("doc_id = 3").collect()] == [" ".join(words)]
+
+
+def covered(texts, min_words=substrings.MIN_WORDS):
+    """Brute force: of each text the words that stretches of min_words cover which another text holds, and those that an earlier one holds."""
+    words = {k: substrings.words_of((t or "").encode()) for k, t in texts.items()}
+    held: dict[tuple, set[int]] = {}
+    for k, w in words.items():
+        for i in range(len(w) - min_words + 1):
+            held.setdefault(tuple(w[i : i + min_words]), set()).add(k)
+    shared, gone = {}, {}
+    for k, w in words.items():
+        for i in range(len(w) - min_words + 1):
+            own = held[tuple(w[i : i + min_words])]
+            if len(own) > 1:
+                shared.setdefault(k, set()).update(range(i, i + min_words))
+            if min(own) < k:
+                gone.setdefault(k, set()).update(range(i, i + min_words))
+    return shared, gone
 
 
-def test_passages_are_what_shared_stretches_cover(make_docs):
-    rng = random.Random(5)
-    pool = [prose(rng, n) for n in (8, 20, 30, 45, 60, 12)]
-    texts = ["\n".join(rng.choice((rng.choice(pool), prose(rng, 10))) for _ in range(rng.randint(1, 12))) for _ in range(40)]
-    held: dict[tuple, list[int]] = {}
-    places = []
-    for k, text in enumerate(texts, 1):
-        raw = text.encode()
-        bounds = substrings.chunk_bounds(raw)
-        for i in range(len(bounds)):
-            for j in range(i + 1, len(bounds) + 1):
-                pieces = tuple(raw[a:b] for a, b in bounds[i:j])
-                if sum(len(p.split()) for p in pieces) >= substrings.MIN_WORDS:
-                    held.setdefault(pieces, []).append(k)
-                    places.append((k, bounds[i][0], bounds[j - 1][1], pieces))
-                    break
+def found_words(docs, min_words=substrings.MIN_WORDS):
     shared, gone = {}, {}
-    for k, a, b, pieces in places:
-        if set(held[pieces]) != {k}:
-            shared.setdefault(k, set()).update(range(a, b))
-        if min(held[pieces]) < k:
-            gone.setdefault(k, set()).update(range(a, b))
-    got_shared, got_gone, words = {}, {}, {}
-    for r in substrings.passages(make_docs(texts)).collect():
-        got_shared.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    for r in substrings._passages(docs, "doc_id", "text", min_words).collect():
+        shared.setdefault(r["doc_id"], set()).update(range(r["a"], r["b"]))
         if r["removable"]:
             assert r["first_doc"] < r["doc_id"]
-            got_gone.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+            gone.setdefault(r["doc_id"], set()).update(range(r["a"], r["b"]))
+    return shared, gone
+
+
+def test_passages_are_what_shared_stretches_cover(make_docs):
+    rng = random.Random(5)
+    pool = [prose(rng, n) for n in (8, 14, 15, 16, 20, 30, 45, 60, 12)]
+    texts = {k: "\n".join(rng.choice((rng.choice(pool), prose(rng, 10))) for _ in range(rng.randint(1, 12))) for k in range(1, 41)}
+    texts[41], texts[42] = "x y " * 40, "x y " * 9
+    docs = make_docs(list(texts.items()))
+    for min_words in (15, 6, 1):
+        assert found_words(docs, min_words) == covered(texts, min_words) and covered(texts, min_words)[1]
+    words = {}
+    for r in substrings.passages(docs).collect():
+        raw = texts[r["doc_id"]].encode()[r["start"] : r["end"]]
+        assert len(raw.split()) == r["words"] and raw == raw.strip()
         words[r["doc_id"]] = words.get(r["doc_id"], 0) + r["words"]
-    solid = lambda found: {k: {i for i in at if not texts[k - 1][i].isspace()} for k, at in found.items()}
-    assert solid(got_shared) == solid(shared) and solid(got_gone) == solid(gone) and gone
-    assert words == {k: len("".join(c if i in at else " " for i, c in enumerate(texts[k - 1])).split()) for k, at in shared.items()}
+    assert words == {k: len(v) for k, v in covered(texts)[0].items()}
+
+
+def test_hot_chunks_give_what_others_give(make_docs, monkeypatch):
+    rng = random.Random(15)
+    line = prose(rng, 20)
+    texts = {k: " ".join(rng.choice([[prose(rng, 9), line, prose(rng, 9)], [line, prose(rng, 12)], [prose(rng, 3), line[:80], prose(rng, 3)]])) for k in range(1, 60)}
+    docs = make_docs(list(texts.items()), CLASH)
+    want = covered(texts)
+    monkeypatch.setattr(substrings, "HOT_ONE_IN", 1)
+    called = []
+    monkeypatch.setattr(substrings, "_hot", lambda rows, n, f=substrings._hot: called.append(n) or f(rows, n))
+    assert found_words(docs) == want and called == [15]
+
+
+def test_recall_on_the_whole_table(spark):
+    """Every fifteen words in a row that another document holds are found, and no others."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are not here")
+    docs = spark.read.parquet(path)
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    got, want = found_words(docs), covered(texts)
+    assert sum(map(len, want[0].values())) > 50_000
+    for a, b in zip(got, want):
+        n, m = sum(map(len, a.values())), sum(map(len, b.values()))
+        both = sum(len(a.get(k, set()) & v) for k, v in b.items())
+        assert both == m and both >= 0.9999 * n
 
 
 def test_texts_that_share_an_id_or_have_none(make_docs):
@@ -156,12 +214,6 @@ def test_passages_without_white_space_are_found_wherever_they_stand(make_docs):
         passage = unspaced(rng, 600, kind)
         texts = [unspaced(rng, 300, kind) + passage + unspaced(rng, 300, kind)]
         texts += [unspaced(rng, n, kind) + passage + unspaced(rng, 300, kind) for n in (1, 7, 53)] + [prose(rng, 30) + " " + passage]
-        raws = [t.encode() for t in texts]
-        first, *others = [{r[a:b] for a, b in substrings.chunk_bounds(r)} for r in raws]
-        size = len(passage.encode())
-        assert all(sum(map(len, first & o)) > 0.8 * size for o in others)
-        for r in raws:
-            assert all(b - a <= substrings.MAX_CHUNK and r[a:b].decode() for a, b in substrings.chunk_bounds(r))
         docs = make_docs([*texts, unspaced(rng, 1500, kind)])
         assert {r["doc_id"] for r in substrings.shared_documents(docs).collect()} == {1, 2, 3, 4, 5}
         cut = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(docs).collect()}
@@ -175,6 +227,3 @@ def test_length_counts_as_words_without_white_space(make_docs):
             passage = unspaced(rng, n, kind)
             docs = make_docs([unspaced(rng, 40, kind) + passage + unspaced(rng, 90, kind), unspaced(rng, 71, kind) + passage])
             assert {r["doc_id"] for r in substrings.shared_documents(docs).collect()} == found
-    text = prose(rng, 300).encode()
-    bounds = substrings.chunk_bounds(text)
-    assert substrings.chunk_words(text, bounds) == [len(text[a:b].split()) for a, b in bounds]
