@@ -20,7 +20,7 @@ Span = tuple[int, int, str]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -36,6 +36,8 @@ def luhn(digits: str) -> bool:
 def _valid(kind: str, s: str) -> bool:
     if kind == "ip":
         return all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in s.split("."))
+    if kind == "card" and len(s) > 37:  # nineteen digits and what may stand between them
+        return False
     digits = "".join(_DIGIT.findall(s))
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
@@ -76,6 +78,8 @@ _SHAPED = re.compile(r"(?P<sign>[\[({](?:[aA][tT]|[dD][oO][tT])[\])}])|(?P<low>(
 _SIGN = {"low": "a", "high": "A", "digit": "9"}
 #: Length of a shape whose weights are kept in a worker's table; longer ones are worked out each time.
 _KEPT_SHAPE = 200
+#: Words that are decoded together, padding included; a longer row is decoded alone.
+DECODED = 65_536
 
 
 def shape(word: str) -> str:
@@ -170,17 +174,27 @@ class Field:
         out[:-1] += tables[1:, 2]
         return out
 
-    def viterbi(self, rows: list[tuple[np.ndarray, bool]]) -> list[np.ndarray]:
-        """Best labels of each row of emissions, decoded in batches of rows of similar length; flag: a word stands before the row, which is O."""
-        out: list[np.ndarray] = [np.zeros(0, int)] * len(rows)
-        order = sorted(range(len(rows)), key=lambda i: len(rows[i][0]))
-        for lo in range(0, len(order), 256):
-            ids = order[lo : lo + 256]
+    def viterbi(self, rows: list[tuple[np.ndarray | Emissions, bool]]) -> list[np.ndarray]:
+        """Best labels of each row of emissions; flag: a word stands before the row, which is O.
+
+        Rows of similar length are decoded together, as many as make DECODED words with their padding;
+        a row that is longer is decoded alone, with a byte a word and label in memory.
+        """
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(rows)
+        order, lo = sorted(range(len(rows)), key=lambda i: len(rows[i][0])), 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi - lo + 1) * len(rows[order[hi]][0]) <= DECODED:
+                hi += 1
+            ids, lo = order[lo:hi], hi
             sizes = np.array([len(rows[i][0]) for i in ids])
             longest, k = int(sizes.max()), len(LABELS)
+            if longest > DECODED:
+                out[ids[0]] = self._long(*rows[ids[0]])
+                continue
             e = np.zeros((len(ids), longest, k))
             for r, i in enumerate(ids):
-                e[r, : sizes[r]] = rows[i][0]
+                e[r, : sizes[r]] = rows[i][0][: sizes[r]]
             score = e[:, 0] + np.where(np.array([rows[i][1] for i in ids])[:, None], self.moves[0], self.start)
             back = np.zeros((len(ids), longest, k), dtype=np.int8)
             for t in range(1, longest):
@@ -188,7 +202,7 @@ class Field:
                 back[:, t] = through.argmax(axis=1)
                 score = np.where((t < sizes)[:, None], through.max(axis=1) + e[:, t], score)
             label = score.argmax(axis=1)
-            path = np.zeros((len(ids), longest), dtype=np.int64)
+            path = np.zeros((len(ids), longest), dtype=np.int8)
             for t in range(longest - 1, -1, -1):
                 path[:, t] = label
                 label = np.where(t < sizes, back[np.arange(len(ids)), t, label] if t else label, label)
@@ -196,6 +210,42 @@ class Field:
                 out[i] = path[r, : sizes[r]]
         return out
 
+    def _long(self, row: np.ndarray | Emissions, after: bool) -> np.ndarray:
+        """The same for one long row, whose emissions are made piece by piece."""
+        n, at = len(row), np.arange(len(LABELS))
+        back, score = np.zeros((n, len(LABELS)), dtype=np.int8), None
+        for lo in range(0, n, DECODED):
+            for t, e in enumerate(row[lo : lo + DECODED], lo):
+                if score is None:
+                    score = e + (self.moves[0] if after else self.start)
+                    continue
+                through = score[:, None] + self.moves
+                best = through.argmax(axis=0)
+                back[t], score = best, through[best, at] + e
+        path = np.zeros(n, dtype=np.int8)
+        label = int(score.argmax())
+        for t in range(n - 1, -1, -1):
+            path[t] = label
+            label = int(back[t, label])
+        return path
+
+
+class Emissions:
+    """The emissions of words lo to hi of a text, made as they are read."""
+
+    def __init__(self, field: Field, text: str, starts: np.ndarray, ends: np.ndarray, lo: int, hi: int):
+        self.field, self.text, self.starts, self.ends, self.lo, self.hi = field, text, starts, ends, lo, min(hi, len(starts))
+
+    def __len__(self) -> int:
+        return self.hi - self.lo
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        a, b, _ = part.indices(len(self))
+        a, b = self.lo + a, self.lo + b
+        first = max(0, a - 1)  # one word more on either side, so that the outer features are right
+        wide = zip(self.starts[first : b + 1].tolist(), self.ends[first : b + 1].tolist())
+        return self.field.emissions([shape(self.text[x:y]) for x, y in wide])[a - first :][: b - a]
+
 
 def train(rows: list[list[tuple[str, str]]], rounds: int = 200, rate: float = 0.15, ridge: float = 2e-4) -> Field:
     """Fit the field by Adam on the mean log-likelihood, with scaled forward and backward sums over all rows at once.
@@ -287,38 +337,30 @@ def all_spans(items: list[str], field: Field) -> list[tuple[list[Span], list[Spa
     base = [base_spans(t) for t in items]
     rows, where = [], []
     for i, t in enumerate(items):
-        looks = [m.start() for m in _LOOK.finditer(t)]
-        if not looks:
+        looks = np.fromiter((m.start() for m in _LOOK.finditer(t)), dtype=np.int64)
+        if not len(looks):
             continue
-        words = [m.span() for m in _WORD.finditer(t)]
-        anchors = np.unique(np.searchsorted([a for a, _ in words], looks, "right") - 1).tolist()
+        edges = np.fromiter((x for m in _WORD.finditer(t) for x in m.span()), dtype=np.int64)
+        starts, ends = edges[::2].copy(), edges[1::2].copy()
         if field.plain_is_outside:
-            windows: list[list[int]] = []
-            for k in anchors:
-                if windows and k - 3 <= windows[-1][1]:
-                    windows[-1][1] = k + 3
-                else:
-                    windows.append([max(0, k - 3), k + 3])
+            anchors = np.unique(np.searchsorted(starts, looks, "right") - 1)
+            apart = np.flatnonzero(np.diff(anchors) > 6)
+            windows = list(zip(np.maximum(0, anchors[np.concatenate([[0], apart + 1])] - 3).tolist(), (anchors[np.concatenate([apart, [len(anchors) - 1]])] + 4).tolist()))
         else:
-            windows = [[0, len(words)]]
+            windows = [(0, len(starts))]
         for lo, hi in windows:
-            span = words[lo : hi + 1]
-            # One word more on either side, so that the outer features are right.
-            wide = words[max(0, lo - 1) : hi + 2]
-            e = field.emissions([shape(t[a:b]) for a, b in wide])[lo - max(0, lo - 1) :][: len(span)]
-            rows.append((e, lo > 0))
-            where.append((i, span))
+            rows.append((Emissions(field, t, starts, ends, lo, hi), lo > 0))
+            where.append((i, starts[lo:hi], ends[lo:hi]))
     found: list[list[Span]] = [[] for _ in items]
-    for (i, span), path in zip(where, field.viterbi(rows)):
-        k = 0
-        while k < len(path):
-            if path[k] == 0:
-                k += 1
+    for (i, starts, ends), path in zip(where, field.viterbi(rows)):
+        end = 0
+        for k in np.flatnonzero(path).tolist():
+            if k < end:
                 continue
             kind, end = LABELS[path[k]][2:], k + 1
             while end < len(path) and LABELS[path[end]] == f"I-{kind}":
                 end += 1
-            a, b = span[k][0], span[end - 1][1]
+            a, b = int(starts[k]), int(ends[end - 1])
             s = items[i][a:b]
             if m := re.match(r"[^\w+(]+", s):
                 a += m.end()
@@ -326,7 +368,6 @@ def all_spans(items: list[str], field: Field) -> list[tuple[list[Span], list[Spa
                 b = a + m.start()
             if a < b and _accept(kind, items[i][a:b]):
                 found[i].append((a, b, kind))
-            k = end
     out = []
     for own, more in zip(base, found):
         new = [s for s in more if not any(s[0] < b and a < s[1] for a, b, _ in own)]
@@ -341,7 +382,7 @@ def show(spans: list[Span]) -> str:
 def detect(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans): counts of the base spans, the base spans and all spans of each text.
 
-    Cases: a null text counts as empty and has no span; texts of any length are read whole; repeated
+    Cases: a null text counts as empty and has no span; texts of any length are read whole, and need about 30 bytes a word to be decoded; repeated
     rows and null ids give a row each; extra columns are not looked at; an empty table gives no rows.
     """
 

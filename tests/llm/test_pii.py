@@ -2,6 +2,8 @@ import itertools
 import os
 import random
 import re
+import subprocess
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -149,3 +151,32 @@ def test_table_and_mask(make_docs):
     assert masked[10] == "mail [EMAIL] and [PHONE]" and masked[1] is None and masked[2] == ""
     assert pii.mask(docs, pii.trained()).columns == docs.columns
     assert pii.detect(docs.limit(0), pii.trained()).count() == 0
+
+
+def test_long_rows_are_decoded_alone_with_the_same_result(monkeypatch):
+    rng = random.Random(12)
+    field = pii.trained()
+    texts = [" ".join(rng.choice(["4111", "1111", "+1", "(743)", "555-3824", "7", "a@b.de", "10.1.2.3", "the", "word,"]) for _ in range(n)) for n in (3, 700, 40, 0, 900, 12)]
+    whole = pii.all_spans(texts, field)
+    assert sum(len(x) for _, x in whole) > 100
+    monkeypatch.setattr(pii, "DECODED", 50)
+    assert pii.all_spans(texts, field) == whole
+    monkeypatch.setattr(field, "plain_is_outside", False)
+    assert pii.all_spans(texts, field) == whole
+
+
+def test_a_very_long_text_of_numbers_takes_bounded_memory():
+    """Eight megabytes of numbers beside short texts, in a process of its own with a limit of one gigabyte."""
+    code = """
+import random, resource
+from shroudline.llm import pii
+field = pii.trained()
+resource.setrlimit(resource.RLIMIT_AS, (1 << 30, 1 << 30))
+rng = random.Random(3)
+text = " ".join(str(rng.randint(0, 10**6)) for _ in range(1_150_000))
+assert len(text) > 7_500_000
+got = pii.all_spans([text, *["call +1 (743) 555-3824 or a@b.de"] * 400], field)
+assert len(got) == 401 and all(len(x) == 2 for x, _ in got[1:])
+"""
+    done = subprocess.run([sys.executable, "-c", code], env={**os.environ, "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
