@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, fresh, join_sized, map_text, table, texts
@@ -185,13 +185,12 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     all stay, also under one id or none.
     """
     _, nodes = _groups(docs, id_col, text_col, k)
-    none, key, h, nth = (fresh(c, docs) for c in ("none", "key", "h", "nth"))
-    # Without nulls, so that one shuffle serves the join and the choice among rows with the same id and text.
+    none, key, h, row = (fresh(c, docs) for c in ("none", "key", "h", "row"))
+    # Without nulls, so that one shuffle serves the choice among rows with the same id and text, which every task makes before it, and the join.
     own = {none: F.col(id_col).isNull(), key: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), h: F.xxhash64(text_col)}
+    once = docs.withColumns(own).groupBy(none, key, h).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias(row))
     first = nodes.select(F.col("first.no_id").alias(none), F.coalesce("first.doc_id", F.lit(0)).alias(key), F.col("first.h").alias(h)).distinct()
-    kept = docs.withColumns(own).join(first, [none, key, h], "left_semi")
-    once = Window.partitionBy(none, key, h).orderBy(F.lit(0))
-    return kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)
+    return once.join(first, [none, key, h], "left_semi").select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def op7_simhash(spark, sf_dir):

@@ -11,6 +11,7 @@ Text without white space is cut into pieces of a word's length by a gear hash ov
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ def run_cuts(run: bytes) -> np.ndarray:
 def words_of(raw: bytes) -> list[bytes]:
     """The words of a text, in pieces where they are runs of over LONG_RUN bytes."""
     words = raw.split()
-    if not any(len(w) > LONG_RUN for w in words):
+    if max(map(len, words), default=0) <= LONG_RUN:
         return words
     out = []
     for w in words:
@@ -102,12 +103,20 @@ def sizes(min_words: int) -> tuple[int, int, int]:
     return k, min_words - k + 1, min_words - k
 
 
-def beginnings(h: np.ndarray, min_words: int) -> np.ndarray:
-    """The places where chunks begin, given the hashes of the words: every min_words words in a row hold one whose gear hash they cover.
+def _least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each width neighbours, by doubling."""
+    done = 1
+    while 2 * done <= width:
+        x, done = np.minimum(x[:-done], x[done:]), 2 * done
+    return np.minimum(x[: len(x) - (width - done)], x[width - done :])
+
+
+def beginnings(h: np.ndarray, min_words: int, doc: np.ndarray | None = None) -> np.ndarray:
+    """The places where chunks begin, given the hashes of the words (and the numbers of their documents): every min_words words in a row hold one whose gear hash they cover.
 
     The gear hash is (h << s) + gear[word], over as many words as have bits in it. Of equal hashes the last one counts.
     """
-    k, among, _ = sizes(min_words)
+    k, among, side = sizes(min_words)
     m = len(h) - k + 1
     if m < among:
         return np.zeros(0, dtype=np.int64)
@@ -117,13 +126,34 @@ def beginnings(h: np.ndarray, min_words: int) -> np.ndarray:
         rolled += gear[k - 1 - j : k - 1 - j + m] << np.uint32(shift * j)
     rolled *= np.uint32(0x9E3779B1)
     rolled ^= rolled >> np.uint32(15)
-    least = np.lib.stride_tricks.sliding_window_view(rolled[::-1], among).argmin(axis=1)
-    return np.unique(m - 1 - (np.arange(len(least)) + least))
+    last = np.uint64(0xFFFFFFFF)
+    least = _least_of((rolled.astype(np.uint64) << np.uint64(32)) | (last - np.arange(m, dtype=np.uint64)), among)
+    if doc is not None:
+        least = least[doc[: len(least)] == doc[min_words - 1 :]]
+    begins = np.zeros(m, dtype=bool)
+    begins[(last - (least & last)).astype(np.int64)] = True
+    return np.flatnonzero(begins)
+
+
+def packed(short: np.ndarray) -> np.ndarray:
+    """Rows of an even number of 12-bit values as bytes."""
+    a, b = short[:, ::2].astype(np.uint32), short[:, 1::2].astype(np.uint32)
+    both = a | b << np.uint32(12)
+    return np.stack([both, both >> np.uint32(8), both >> np.uint32(16)], axis=2).astype(np.uint8).reshape(len(short), -1)
+
+
+def unpacked(raw: list[bytes], side: int) -> np.ndarray:
+    """The same back: one row for each, the words to the left and those to the right."""
+    x = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), side, 3).astype(np.uint32)
+    both = x[:, :, 0] | x[:, :, 1] << np.uint32(8) | x[:, :, 2] << np.uint32(16)
+    return np.stack([both & np.uint32(0xFFF), both >> np.uint32(12)], axis=2).reshape(len(raw), 2 * side)
 
 
-def _own(doc_id: str | Column, text: str | Column) -> tuple[Column, Column]:
-    """What tells documents apart: the id, NO_ID for null, and a hash of the text."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.xxhash64(text)
+def _own(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What tells documents apart: the id, NO_ID for null, and a hash of the text, which is 0 where every document has an id of its own."""
+    doc_id = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    shared = docs.select(doc_id.alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")).where(f"n > 1 OR doc_id = {NO_ID}")
+    return doc_id, F.lit(0).cast("long") if shared.isEmpty() else F.xxhash64(text_col)
 
 
 CHUNKS = "digest long, doc_id long, h long, at int, beside binary"
@@ -142,28 +172,25 @@ def chunks(docs: DataFrame, min_words: int, skip: Iterable[int] = (), only: Iter
         powers = np.array([pow(int(_STEP), j, 1 << 64) for j in range(k)], dtype=np.uint64)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, own, text in zip(ids, hashes, texts(batch)):
-                words = words_of(text.encode("utf-8", "surrogatepass"))
-                h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-                at = beginnings(h, min_words)
-                if not len(at):
-                    continue
-                digest = _mixed((h[at[:, None] + np.arange(k)] * powers).sum(axis=1, dtype=np.uint64)).view(np.int64)
-                if len(skip) or only is not None:
-                    kept = np.isin(digest, skip, invert=True) if only is None else np.isin(digest, only)
-                    at, digest = at[kept], digest[kept]
-                # Zero stands for a word that isn't there.
-                short = np.concatenate([np.zeros(side, dtype=np.uint16), np.maximum((h >> np.uint64(8)).astype(np.uint16), 1), np.zeros(side, dtype=np.uint16)])
-                left, right = short[at[:, None] + side - 1 - np.arange(side)], short[at[:, None] + side + k + np.arange(side)]
-                for column, values in zip(out, (digest, np.full(len(at), doc_id), np.full(len(at), own), at, np.concatenate([left, right], axis=1))):
-                    column.append(values)
-            n = sum(map(len, out[0]))
-            join = lambda i, t: np.concatenate(out[i]).astype(t) if n else np.zeros(0, dtype=t)
-            beside = np.concatenate(out[4]).astype("<u2").tobytes() if n else b""
-            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 4 * side).astype(np.int32).tobytes()), pa.py_buffer(beside)])
-            return pa.RecordBatch.from_arrays([*[pa.array(join(i, t)) for i, t in enumerate((np.int64, np.int64, np.int64, np.int32))], packed], names=["digest", "doc_id", "h", "at", "beside"])
+            words = [words_of(raw or b"") for raw in batch.column("text").to_pylist()]
+            counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+            h = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=counts.sum())
+            doc, ends = np.repeat(np.arange(len(words)), counts), counts.cumsum()
+            at = beginnings(h, min_words, doc)
+            digest = _mixed((h[at[:, None] + np.arange(k)] * powers).sum(axis=1, dtype=np.uint64)).view(np.int64)
+            if len(skip) or only is not None:
+                kept = np.isin(digest, skip, invert=True) if only is None else np.isin(digest, only)
+                at, digest = at[kept], digest[kept]
+            n, own = len(at), doc[at]
+            first, end = (ends - counts)[own], ends[own]
+            # Zero stands for a word that isn't there.
+            short = np.maximum((h >> np.uint64(8)).astype(np.uint16) & np.uint16(0xFFF), 1)
+            places = np.concatenate([at[:, None] - 1 - np.arange(side), at[:, None] + k + np.arange(side)], axis=1)
+            there = (places >= first[:, None]) & (places < end[:, None])
+            beside = packed(np.where(there, short[np.where(there, places, 0)], 0)).tobytes() if n else b""
+            offsets = pa.py_buffer((np.arange(n + 1) * 3 * side).astype(np.int32).tobytes())
+            columns = [pa.array(digest), *[batch.column(c).take(pa.array(own)) for c in ("doc_id", "h")], pa.array((at - first).astype(np.int32)), pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(beside)])]
+            return pa.RecordBatch.from_arrays(columns, names=["digest", "doc_id", "h", "at", "beside"])
 
         return apply
 
@@ -207,12 +234,11 @@ def _spans_of(batch: pa.RecordBatch, min_words: int) -> pa.RecordBatch:
     """The stretches that several of the rows share, all rows of a digest being there; those of one chunk and one first document are put together."""
     side = sizes(min_words)[2]
     digest = batch.column("digest").to_numpy()
-    n = len(digest)
     same = np.diff(digest, append=~digest[-1:]) == 0
     rows = np.flatnonzero(same | np.concatenate([[False], same[:-1]]))
     digest, doc, h, at = (batch.column(c).to_numpy()[rows] for c in ("digest", "doc_id", "h", "at"))
     m = len(rows)
-    wide = np.frombuffer(b"".join(batch.column("beside").take(pa.array(rows)).to_pylist()), dtype="<u2").reshape(m, 2 * side) if n else np.zeros((0, 2 * side), dtype=np.uint16)
+    wide = unpacked(batch.column("beside").take(pa.array(rows)).to_pylist(), side)
     found, first, text = np.zeros((m, side + 3), dtype=bool), np.zeros((m, side + 3), dtype=np.int64), np.zeros((m, side + 3), dtype=np.int64)
     alone = np.zeros((m, side + 3), dtype=bool)
     for left, there, key in _keys(digest, wide, side):
@@ -267,8 +293,7 @@ def _hot(rows: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = batch.num_rows
-            wide = np.frombuffer(b"".join(batch.column("beside").to_pylist()), dtype="<u2").reshape(m, 2 * side)
+            wide = unpacked(batch.column("beside").to_pylist(), side)
             for left, there, key in _keys(batch.column("digest").to_numpy(), wide, side):
                 i = pa.array(np.flatnonzero(there))
                 took = batch.take(i)
@@ -297,22 +322,21 @@ def hot_digests(docs: DataFrame, min_words: int) -> list[int]:
     return [r["digest"] for r in counts.where(F.col("n") > least).select("digest").collect()]
 
 
-def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, h, a, b, first_doc, first_h): words a to b of a document, of which another one holds each min_words in a row.
+def repeated_stretches(docs: DataFrame, own: tuple[Column, Column], text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, h, a, b, first_doc, first_h): words a to b of a document, of which another one holds each min_words in a row. own tells documents apart.
 
     first_doc is the smallest id that has them, first_h the smallest hash of the texts that have them if they all have that id.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    doc_id, h = _own(id_col, text_col)
-    narrow = docs.select(doc_id.alias("doc_id"), h.alias("h"), F.col(text_col).alias("text"))
+    narrow = docs.select(own[0].alias("doc_id"), own[1].alias("h"), F.col(text_col).cast("binary").alias("text"))
     hot = hot_digests(narrow, min_words)
     out = _cold(chunks(narrow, min_words, skip=hot), min_words)
     return out.unionByName(_hot(chunks(narrow, min_words, only=hot), min_words)) if hot else out
 
 
-def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def _passages(docs: DataFrame, own: tuple[Column, Column], text_col: str, min_words: int) -> DataFrame:
     """passages in words, with doc_id and h as chunks has them."""
-    rows = repeated_stretches(docs, id_col, text_col, min_words).dropDuplicates(["doc_id", "h", "a", "b", "first_doc"])
+    rows = repeated_stretches(docs, own, text_col, min_words).dropDuplicates(["doc_id", "h", "a", "b", "first_doc"])
     doc = ["doc_id", "h"]
     in_doc = Window.partitionBy(doc).orderBy("a", "b")
     so_far, earlier = in_doc.rowsBetween(Window.unboundedPreceding, 0), in_doc.rowsBetween(Window.unboundedPreceding, -1)
@@ -344,11 +368,11 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
 
 def _located(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """_passages with their places in bytes: (doc_id, h, spans), one row a document, spans in order."""
-    found = _passages(docs, id_col, text_col, min_words)
+    own = _own(docs, id_col, text_col)
+    found = _passages(docs, own, text_col, min_words)
     span = F.struct("a", "b", "run", "removable", "first_doc")
     per = found.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    doc_id, h = _own(id_col, text_col)
-    joined = docs.select(doc_id.alias("doc_id"), h.alias("h"), F.col(text_col).alias("text")).join(per, ["doc_id", "h"])
+    joined = docs.select(own[0].alias("doc_id"), own[1].alias("h"), F.col(text_col).alias("text")).join(per, ["doc_id", "h"])
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -370,7 +394,7 @@ def _null_ids(df: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, h, run, start, end, words, first_doc, removable): the repeated passages, as byte ranges; h is a hash of the text.
+    """(doc_id, h, run, start, end, words, first_doc, removable): the repeated passages, as byte ranges; h tells texts apart that share an id, and is 0 where none do.
 
     A passage is what overlapping stretches of min_words words cover, each of which one other document holds
     in a row; all such stretches are found. It gives one row for each part that stretches of an earlier
@@ -401,10 +425,10 @@ def shared_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the removable passages cut out of the texts; all rows and columns stay. A null text stays null."""
     key, h, cuts = fresh("key", docs), fresh("h", docs), fresh("cuts", docs)
-    gone = _passages(docs, id_col, text_col, min_words).where("removable")
+    own = _own(docs, id_col, text_col)
+    gone = _passages(docs, own, text_col, min_words).where("removable")
     cut = gone.groupBy(F.col("doc_id").alias(key), F.col("h").alias(h)).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias(cuts))
-    doc_id, text = _own(id_col, text_col)
-    joined = docs.withColumns({key: doc_id, h: text}).join(cut, [key, h], "left").select(*docs.columns, cuts)
+    joined = docs.withColumns({key: own[0], h: own[1]}).join(cut, [key, h], "left").select(*docs.columns, cuts)
     at = docs.columns.index(text_col)
 
     def make():

@@ -46,6 +46,9 @@ def test_any_fifteen_words_hold_a_beginning_that_depends_on_them_only():
             inside = at[(at >= i) & (at <= i + side)]
             own = substrings.beginnings(h[i : i + min_words], min_words) + i
             assert len(own) == 1 and own[0] in inside
+        doc = np.repeat([0, 1, 2], [250, 3, 347])
+        parts = [substrings.beginnings(h[doc == d], min_words) + a for d, a in ((0, 0), (1, 250), (2, 253))]
+        assert substrings.beginnings(h, min_words, doc).tolist() == np.concatenate(parts).tolist()
     assert len(substrings.beginnings(rng.integers(0, 1 << 63, 9000).astype(np.uint64), 15)) < 9000 / 4
 
 
@@ -130,7 +133,7 @@ def covered(texts, min_words=substrings.MIN_WORDS):
 
 def found_words(docs, min_words=substrings.MIN_WORDS):
     shared, gone = {}, {}
-    for r in substrings._passages(docs, "doc_id", "text", min_words).collect():
+    for r in substrings._passages(docs, substrings._own(docs, "doc_id", "text"), "text", min_words).collect():
         shared.setdefault(r["doc_id"], set()).update(range(r["a"], r["b"]))
         if r["removable"]:
             assert r["first_doc"] < r["doc_id"]
@@ -154,6 +157,13 @@ def test_passages_are_what_shared_stretches_cover(make_docs):
     assert words == {k: len(v) for k, v in covered(texts)[0].items()}
 
 
+def test_words_beside_a_chunk_are_packed_and_read_back():
+    rng = np.random.default_rng(3)
+    for side in (0, 1, 7, 12):
+        short = rng.integers(0, 4096, (50, 2 * side)).astype(np.uint16)
+        assert (substrings.unpacked([r.tobytes() for r in substrings.packed(short)], side) == short).all()
+
+
 def test_hot_chunks_give_what_others_give(make_docs, monkeypatch):
     rng = random.Random(15)
     line = prose(rng, 20)
