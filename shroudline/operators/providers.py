@@ -2,34 +2,38 @@
 
 A provider is a callable that is shipped to the tasks: from a Request to a dict with payload (JSON
 text) and usage (tokens_in and so on, see USAGE), or None where it failed or the item was too large.
-An answer without findings is final; None is not, and an exception counts as None. One level of
-halving is one round over the items that failed, all of them at once.
+An answer without findings is final; None is not, and an exception counts as None. What gets no answer
+is halved by its task at once, depth first, until its parts are answered or can't be halved.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import logging
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
-from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import ensure_checkpoint_dir
+from ..functions.stores import AnswerStore
 from ..functions.text import READ_SECONDS, document_block, serialize_blocks, serialize_flat, static_prefix, system_text
 from .findings import dedupe, parse_payloads, translate
-from .planning import batches, halves
+from .planning import OVERLAP, batches
 from .selection import slice_words
 
 
 @dataclass(frozen=True)
 class Request:
-    """One attempt of a call. system and prefix are the same for all batches of a submission, so that a provider can cache them; document is not."""
+    """One attempt of a call. system and prefix are the same for all batches of a submission, so that a provider can cache them; document is not.
+
+    key is the same for all attempts at what is asked, for providers that tell repeated requests by it.
+    """
 
     document: str
     prefix: str = ""
@@ -39,6 +43,7 @@ class Request:
     model: str = "default"
     attempt: int = 0
     seed: int | None = None
+    key: str = ""
 
     @property
     def prompt(self) -> str:
@@ -119,6 +124,56 @@ def with_prompts(items: DataFrame, pages: DataFrame, layout_aware: bool = False)
     return back.select(*key, F.transform("t", lambda x: x["page"]).alias("pages"), prefix.alias("prefix"), document_block(F.transform("t", lambda x: x["s"])).alias("document"))
 
 
+def with_contents(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """Items with the words and blocks of their pages, in order (contents), from which a task makes prompts of any part of them."""
+    rows = items.select("*", F.posexplode("pages").alias("nth", "page")).join(pages.select("doc_id", "page", "words"), ["doc_id", "page"])
+    key = [c for c in items.columns if c != "pages"]
+    of = lambda name: F.transform("words", lambda w: w[name]).alias(name)
+    back = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("nth", "page", of("text"), of("block_id")))).alias("contents"))
+    return back.select(*key, static_prefix(F.col("category_ids"), F.col("instructions"), SCHEMA_HINT).alias("prefix"), "contents")
+
+
+def document(contents: list[dict], w0: int | None = None, w1: int | None = None, layout_aware: bool = False) -> str:
+    """The text of pages in a prompt, as with_prompts gives it; a range of words of one page is numbered from 0."""
+    shown = []
+    for page in contents:
+        words, blocks = (list(page[c][w0:w1]) for c in ("text", "block_id"))
+        pieces = []
+        for i, word in enumerate(words):
+            opens = layout_aware and (i == 0 or blocks[i] != blocks[i - 1])
+            tag = f'<block id="{blocks[i]}">' if opens else ""
+            pieces.append(("</block>\n" if i else "") + tag if opens else " " if i else "")
+            pieces.append(f"[{i}]{word}")
+        body = "".join(pieces) + ("</block>" if layout_aware and words else "")
+        shown.append(f'<page n="{page["page"]}">\n{body}\n</page>')
+    return "<document>\n" + "\n".join(shown) + "\n</document>"
+
+
+@dataclass(frozen=True)
+class Part:
+    """A part of an item: pages from first to last, or words w0 to w1 of one page."""
+
+    path: str
+    first: int
+    last: int
+    w0: int | None
+    w1: int | None
+
+    def halves(self, sizes: list[int]) -> list[Part]:
+        """Its halves by planning.halves, given the words of the item's pages; none at the floor."""
+        n = self.last - self.first
+        if n >= 2:
+            cut = self.first + n // 2
+            spans = [(self.first, cut), (cut, self.last)]
+            whole = [(0, sizes[a]) if b - a == 1 else (None, None) for a, b in spans]
+            return [Part(self.path + side, a, b, *w) for side, (a, b), w in zip("LR", spans, whole)]
+        w0, w1 = self.w0 or 0, sizes[self.first] if self.w1 is None else self.w1
+        if w1 - w0 <= 2 * OVERLAP:
+            return []
+        half = (w1 - w0) // 2 + OVERLAP
+        return [Part(f"{self.path}L", self.first, self.last, w0, w0 + half), Part(f"{self.path}R", self.first, self.last, w1 - half, w1)]
+
+
 def waits(max_retries: int, backoff: float, multiplier: float) -> list[float]:
     """Seconds before each retry."""
     return [backoff * multiplier**k for k in range(max_retries)]
@@ -130,38 +185,78 @@ CALL = (
 )
 
 
-def call(prompts: DataFrame, provider: Provider, max_retries: int, parallel: int, *, backoff: float = 1.0, multiplier: float = 2.0, seed: int | None = None, layout_aware: bool = False) -> DataFrame:
-    """Call the provider for each prompt, again up to max_retries times where it gives None, waiting longer each time; parallel tasks call at once at most."""
-    system, pauses = system_text(layout_aware), waits(max_retries, backoff, multiplier)
-    names = [c.split()[0] for c in CALL.split(", ")]
+ITEM = "doc_id long, batch_idx int, ord int, path string, pages array<int>, w0 int, w1 int, model string, category_ids array<string>, instructions array<string>"
+
+
+def call(
+    items: DataFrame, provider: Provider, max_retries: int, parallel: int, *, backoff: float = 1.0, multiplier: float = 2.0, seed: int | None = None, layout_aware: bool = False,
+    max_levels: int | None = None, store: AnswerStore | None = None, run_id: str = "",
+) -> DataFrame:
+    """Call the provider for each item (with_contents), again up to max_retries times where it gives None, waiting longer each time; parallel tasks call at once at most.
 
-    def one(row) -> tuple:
-        made = Request(row.document, row.prefix, system, list(row.category_ids), list(row.instructions), row.model, 0, seed)
+    What gets no answer is halved in the task, depth first: a row for each answered part, and for each that can't be halved any more
+    or has been halved max_levels - 1 times. With a store, an answer is put there as it comes, under a hash of
+    all that is asked, and is looked for before a call; what fails counts for the run of run_id only.
+    """
+    system, pauses = system_text(layout_aware), waits(max_retries, backoff, multiplier)
+    names = [c.split()[0] for c in f"{ITEM}, {CALL}".split(", ")]
+
+    def ask(made: Request) -> tuple[dict | None, int]:
+        """The answer, and the attempts that it took."""
+        key = hashlib.sha256(json.dumps([made.system, made.prompt, made.model, made.seed]).encode()).hexdigest()
+        known = store.get(key) if store else None
+        if known and (known["answer"] is not None or known["run_id"] == run_id):
+            return known["answer"], known["attempts"]
         answer = None
         for attempt in range(max_retries + 1):
             if attempt:
                 time.sleep(pauses[attempt - 1])
             try:
-                answer = provider(Request(**{**made.__dict__, "attempt": attempt}))
+                answer = provider(Request(**{**made.__dict__, "attempt": attempt, "key": key}))
             except Exception:  # noqa: BLE001 - whatever a provider raises, the item was not answered
                 logging.getLogger(__name__).warning("attempt %d failed", attempt + 1, exc_info=True)
             if answer is not None:
                 break
-        got = answer or {}
-        payload = str(got.get("payload", ""))
-        temperature = float(got.get("temperature") or 0.0)
-        return (
-            payload, answer is not None, attempt + 1, temperature, bool(got.get("seed_honored", False)), got.get("system_fingerprint"),
-            hashlib.sha256((system + made.prompt).encode()).hexdigest(), hashlib.sha256(payload.encode()).hexdigest(), *[usage(got, c) for c in USAGE],
-        )
-
-    def run(parts):
-        for part in parts:
-            got = pd.DataFrame([one(row) for row in part.itertuples(index=False)], columns=names, index=part.index)
-            yield pd.concat([part.drop(columns=["document", "prefix"]), got], axis=1)
-
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prompts.schema if f.name not in ("document", "prefix"))
-    return prompts.repartition(parallel, "doc_id", "batch_idx", "path", "ord").mapInPandas(run, f"{kept}, {CALL}")
+        if store:
+            if known:
+                store.drop(key)
+            store.put(key, {"answer": answer, "attempts": attempt + 1, "run_id": run_id})
+        return answer, attempt + 1
+
+    def parts(row) -> Iterator[tuple]:
+        sizes, contents = [len(p["text"]) for p in row.contents], row.contents
+        number = lambda x: None if x is None or x != x else int(x)
+        todo = [Part(row.path, 0, len(contents), number(row.w0), number(row.w1))]
+        while todo:
+            part = todo.pop()
+            text = document(contents[part.first : part.last], part.w0, part.w1, layout_aware)
+            made = Request(text, row.prefix, system, list(row.category_ids), list(row.instructions), row.model, 0, seed)
+            answer, attempts = ask(made)
+            if answer is None and (max_levels is None or len(part.path) - len(row.path) + 1 < max_levels):
+                if halves := part.halves(sizes):
+                    todo += reversed(halves)
+                    continue
+            got = answer or {}
+            payload = str(got.get("payload", ""))
+            pages = [int(p["page"]) for p in contents[part.first : part.last]]
+            yield (
+                row.doc_id, row.batch_idx, row.ord, part.path, pages, part.w0, part.w1, row.model, list(row.category_ids), list(row.instructions),
+                payload, answer is not None, attempts, float(got.get("temperature") or 0.0), bool(got.get("seed_honored", False)), got.get("system_fingerprint"),
+                hashlib.sha256((system + made.prompt).encode()).hexdigest(), hashlib.sha256(payload.encode()).hexdigest(), *[usage(got, c) for c in USAGE],
+            )
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = lambda rows: pd.DataFrame(rows, columns=names).astype({"w0": "Int32", "w1": "Int32"})
+        for frame in frames:
+            held: list[tuple] = []
+            for row in frame.itertuples(index=False):
+                held += parts(row)
+                if len(held) >= 256:
+                    yield made(held)
+                    held = []
+            yield made(held)
+
+    return items.repartition(parallel, "doc_id", "batch_idx", "path", "ord").mapInPandas(run, f"{ITEM}, {CALL}")
 
 
 def call_records(calls: DataFrame, seed: int | None = None) -> DataFrame:
@@ -173,37 +268,25 @@ def call_records(calls: DataFrame, seed: int | None = None) -> DataFrame:
 
 def detect(
     pages: DataFrame, submissions: DataFrame, provider: Provider, *, pages_per_batch: int = 1, max_retries: int = 0, parallel: int = 4, max_levels: int | None = None, strict: bool = True,
-    backoff: float = 1.0, multiplier: float = 2.0, seed: int | None = None, layout_aware: bool = False,
+    backoff: float = 1.0, multiplier: float = 2.0, seed: int | None = None, layout_aware: bool = False, store: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, calls, failed) of a provider over all pages and submissions.
 
-    Answers are written to the checkpoint folder before anything reads them, so that no call is
-    made twice. Findings of halves are moved to their page and deduplicated within the item that
-    was halved; those of different items or submissions are not. With strict an item that can't be
-    halved any more raises CallFailed, otherwise it is a row of failed. Rounds go on until nothing is
-    lost, which the size of the pages bounds; with max_levels, what the last round loses counts as failed.
+    All calls are one job. Answers are written to the checkpoint folder before anything reads them; with a
+    store, a folder that tasks share, a task also puts each answer there as it comes, so that neither the attempt of a
+    lost task nor another run makes a call twice. Findings of halves are moved to their page and
+    deduplicated within the item that was halved; those of different items or submissions are not.
+    With strict an item that can't be halved any more raises CallFailed, otherwise it is a row of
+    failed. Halving goes on until nothing is lost, which the size of the pages bounds; with max_levels, what
+    the last level loses counts as failed.
     """
     ensure_checkpoint_dir(pages.sparkSession)
     todo = work_items(pages, pages_per_batch, submissions)
-    answered, failed = [], []
-    for level in count(1):
-        got = call(with_prompts(todo, pages, layout_aware), provider, max_retries, parallel, backoff=backoff, multiplier=multiplier, seed=seed, layout_aware=layout_aware).checkpoint()
-        answered.append(got.where("answered"))
-        lost = got.where("NOT answered").select(*todo.columns)
-        last = level == max_levels
-        given_up = lost if last else lost.where((F.size("pages") == 1) & (F.col("w1") - F.col("w0") <= 100))
-        if strict and (bad := given_up.first()):
-            raise CallFailed(f"document {bad['doc_id']}, batch {bad['batch_idx']}, pages {bad['pages']}, words {bad['w0']} to {bad['w1']}: no answer in {max_retries + 1} attempts")
-        failed.append(given_up)
-        if last or lost.isEmpty():
-            break
-        sizes = pages.select("doc_id", F.col("page").alias("only"), F.size("words").cast("int").alias("n"))
-        children = halves(lost)
-        single = children.where(F.size("pages") == 1).withColumn("only", F.get("pages", F.lit(0))).join(sizes, ["doc_id", "only"])
-        single = single.withColumns({"w0": F.coalesce("w0", F.lit(0)), "w1": F.coalesce("w1", "n")}).select(*todo.columns)
-        todo = children.where(F.size("pages") > 1).select(*todo.columns).unionByName(single)
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    calls = union(answered)
+    options = {"backoff": backoff, "multiplier": multiplier, "seed": seed, "layout_aware": layout_aware, "max_levels": max_levels}
+    got = call(with_contents(todo, pages), provider, max_retries, parallel, store=AnswerStore(store) if store else None, run_id=uuid.uuid4().hex, **options).checkpoint()
+    calls, failed = got.where("answered"), got.where("NOT answered").select(*[c.split()[0] for c in ITEM.split(", ")])
+    if strict and (bad := failed.first()):
+        raise CallFailed(f"document {bad['doc_id']}, batch {bad['batch_idx']}, pages {bad['pages']}, words {bad['w0']} to {bad['w1']}: no answer in {max_retries + 1} attempts")
     sizes = pages.select("doc_id", "page", F.size("words").alias("n_words"))
     keys = F.struct("batch_idx", "ord", "path", "w0").alias("item")
     tag = F.when(F.size("category_ids") > 0, F.lit("llm")).otherwise(F.lit("instruction"))
@@ -216,4 +299,4 @@ def detect(
     moved = translate(flat.withColumn("slice_start", F.col("item.w0"))).select("doc_id", F.col("item.batch_idx").alias("batch_idx"), F.col("item.ord").alias("ord"), F.col("item.path").alias("path"), "page", "word_start", "word_end", "kind", "confidence", "source", "seq")
     ordered = moved.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("batch_idx", "ord", "path", "seq")).cast("long"))
     whole, halved = ordered.where("path = ''"), ordered.where("path <> ''")
-    return whole.drop("path").unionByName(dedupe(halved.drop("path"), ("doc_id", "batch_idx", "ord"))), calls, union(failed)
+    return whole.drop("path").unionByName(dedupe(halved.drop("path"), ("doc_id", "batch_idx", "ord"))), calls, failed

@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions.stores import create, file_system
+
 #: What is wrong with a document, from its rows; an empty list lets it pass. An exception holds it back.
 Check = Callable[[pa.Table], list[dict]]
 
@@ -47,10 +49,6 @@ class Written(WriterCommitMessage):
     n_held: int
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each document, one document at a time; rows come sorted by document."""
     held: list[pa.RecordBatch] = []
@@ -108,7 +106,7 @@ class GateWriter(DataSourceArrowWriter):
         self.schema = to_arrow_schema(schema)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        fs, root = _file_system(self.path)
+        fs, root = file_system(self.path)
         name = uuid.uuid4().hex  # another one for each attempt
         data, held = _Parts(fs, f"{root}/data/{self.run_id}/{name}.parquet"), _Parts(fs, f"{root}/held/{self.run_id}/{name}.parquet")
         for document in _documents(iterator):
@@ -132,7 +130,7 @@ class GateWriter(DataSourceArrowWriter):
         })
 
     def abort(self, messages: list[Written | None]) -> None:
-        fs, root = _file_system(self.path)
+        fs, root = file_system(self.path)
         if self.run_id not in {x["run_id"] for x in _log(fs, root)}:  # a run that is done keeps its files
             for part in ("data", "held"):
                 folder = f"{root}/{part}/{self.run_id}"
@@ -151,40 +149,16 @@ def _log(fs: pafs.FileSystem, root: str) -> list[dict]:
 
 def _append(path: str, entry: dict) -> None:
     """Add an entry to the log unless its run is there. Entries are numbered, and a number is given once: a name that is taken is refused by the store."""
-    fs, root = _file_system(path)
+    fs, root = file_system(path)
     fs.create_dir(f"{root}/log", recursive=True)
     while True:
         entries = _log(fs, root)
         if entry["run_id"] in {x["run_id"] for x in entries}:
             return
-        if _create(fs, f"{root}/log/{len(entries):010d}.json", json.dumps(entry).encode()):
+        if create(fs, f"{root}/log/{len(entries):010d}.json", json.dumps(entry).encode()):
             return
 
 
-def _create(fs: pafs.FileSystem, path: str, content: bytes) -> bool:
-    """Create a file whole, or not at all if it is there."""
-    if isinstance(fs, pafs.LocalFileSystem):
-        import os
-
-        beside = f"{path}.{uuid.uuid4().hex}"
-        with open(beside, "xb") as out:
-            out.write(content)
-        try:
-            os.link(beside, path)
-        except FileExistsError:
-            return False
-        finally:
-            os.unlink(beside)
-        return True
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        return False
-    beside = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(beside) as out:
-        out.write(content)
-    fs.move(beside, path)
-    return json.loads(fs.open_input_stream(path).read()) == json.loads(content)
-
-
 def source(check: Check = found_leaks, name: str = "gated_documents") -> type[DataSource]:
     """The data source of a check, to be registered: df.write.format(name).mode("append").option("run_id", ...).save(path)."""
 
@@ -212,7 +186,7 @@ def publish(pages: DataFrame, path: str, run_id: str | None = None, check: Check
     spark = pages.sparkSession
     run_id = run_id or uuid.uuid4().hex
     name = f"gated_documents_{run_id}"
-    fs, root = _file_system(path.rstrip("/"))
+    fs, root = file_system(path.rstrip("/"))
     if run_id not in {x["run_id"] for x in _log(fs, root)}:
         spark.dataSource.register(source(check, name))
         order = ["doc_id", *(["page"] if "page" in pages.columns else [])]
@@ -223,7 +197,7 @@ def publish(pages: DataFrame, path: str, run_id: str | None = None, check: Check
 
 
 def _listed(spark: SparkSession, path: str, part: str) -> list[str]:
-    fs, root = _file_system(path.rstrip("/"))
+    fs, root = file_system(path.rstrip("/"))
     out: list[str] = []
     for entry in _log(fs, root):
         if entry["replaces"]:
@@ -242,7 +216,7 @@ def read(spark: SparkSession, path: str, part: str = "data") -> DataFrame:
 
 def sweep(spark: SparkSession, path: str) -> int:
     """Delete what no entry of the log names: what attempts left that were lost, and what was replaced. Not while a run is writing. The number of files."""
-    fs, root = _file_system(path.rstrip("/"))
+    fs, root = file_system(path.rstrip("/"))
     kept = {p.split("://")[-1].rpartition("/")[2] for part in ("data", "held") for p in _listed(spark, path, part)}
     gone = 0
     for part in ("data", "held"):

@@ -79,9 +79,9 @@ def test_two_runs_that_commit_at_once_get_two_numbers(tmp_path):
     path = str(tmp_path / "out")
     for run_id in "abca":
         gate._append(path, {"run_id": run_id, "replaces": False, "data": [], "held": []})
-    fs, root = gate._file_system(path)
+    fs, root = gate.file_system(path)
     assert [x["run_id"] for x in gate._log(fs, root)] == ["a", "b", "c"]
-    assert not gate._create(fs, f"{root}/log/0000000002.json", b"{}")
+    assert not gate.create(fs, f"{root}/log/0000000002.json", b"{}")
     assert [x["run_id"] for x in gate._log(fs, root)] == ["a", "b", "c"]
 
 

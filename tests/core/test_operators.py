@@ -276,6 +276,76 @@ def test_providers_are_retried_with_waits_and_their_errors_are_no_answers(spark,
     assert '<block id="1">[2]c</block>' in prompt["document"] and prompt["prefix"].startswith("Categories: s")
 
 
+SUBS = "ord int, model string, category_ids array<string>, instructions array<string>"
+
+
+def test_tasks_make_the_prompts_that_sql_makes(spark, pages_of):
+    pages = pages_of("a b\nc  d\n\ne", "x", page_words=3).withColumn("words", F.when(F.col("doc_id") == 1, F.transform("words", lambda w: w)).otherwise(F.col("words")))
+    subs = spark.createDataFrame([(0, "m", ["s"], []), (1, "n", [], ["find"])], SUBS)
+    for size in (1, 2):
+        items = providers.work_items(pages, size, subs)
+        for layout in (False, True):
+            want = {(r["doc_id"], r["batch_idx"], r["ord"]): (r["prefix"], r["document"]) for r in providers.with_prompts(items, pages, layout).collect()}
+            got = {(r["doc_id"], r["batch_idx"], r["ord"]): (r["prefix"], providers.document(r["contents"], layout_aware=layout)) for r in providers.with_contents(items, pages).collect()}
+            assert got == want
+    cut = items.where("size(pages) = 1 AND ord = 0").withColumns({"w0": F.lit(1), "w1": F.lit(3)})
+    assert [r["document"] for r in providers.with_prompts(cut, pages).where("doc_id = 0").collect()] == [providers.document(r["contents"], 1, 3) for r in providers.with_contents(cut, pages).where("doc_id = 0").collect()]
+
+
+def test_parts_are_halved_as_the_plan_halves_items(spark):
+    for n_pages, n in ((1, 1), (1, 101), (1, 777), (5, 230), (2, 90)):
+        item = spark.createDataFrame([(0, "", list(range(1, n_pages + 1)), 0 if n_pages == 1 else None, n if n_pages == 1 else None)], "doc_id long, path string, pages array<int>, w0 int, w1 int")
+        want, level = set(), item
+        sizes = F.lit(n)
+        while True:
+            single = F.size("pages") == 1
+            level = planning.halves(level).withColumns({"w0": F.when(single, F.coalesce("w0", F.lit(0))), "w1": F.when(single, F.coalesce("w1", sizes))})
+            rows = level.collect()
+            if not rows:
+                break
+            want |= {(r["path"], tuple(r["pages"]), r["w0"], r["w1"]) for r in rows}
+            level = spark.createDataFrame(rows, level.schema)
+        got, todo = set(), [providers.Part("", 0, n_pages, *((0, n) if n_pages == 1 else (None, None)))]
+        while todo:
+            new = todo.pop().halves([n] * n_pages)
+            todo += new
+            got |= {(p.path, tuple(range(p.first + 1, p.last + 1)), p.w0, p.w1) for p in new}
+        assert got == want
+
+
+def test_a_task_that_is_killed_half_way_makes_no_call_twice(spark, pages_of, tmp_path):
+    log, alive = str(tmp_path / "calls"), str(tmp_path / "alive")
+
+    def provide(request):
+        import os
+
+        lines = open(log).read().split() if os.path.exists(log) else []
+        if len(lines) == 6 and not os.path.exists(alive):
+            open(alive, "w").close()
+            os._exit(1)  # in the middle of a document whose first half is answered
+        with open(log, "a") as out:
+            out.write(request.key + "\n")
+        return None if request.document.count(" ") > 200 else {"payload": '{"findings": []}', "tokens_in": 1}
+
+    pages = pages_of(*[" ".join(f"w{d}-{i}" for i in range(300)) for d in range(8)])
+    subs = spark.createDataFrame([(0, "m", ["s"], [])], SUBS)
+    store = str(tmp_path / "store")
+    with pytest.raises(Exception):  # noqa: B017
+        providers.detect(pages, subs, provide, parallel=1, store=store)
+    _, calls, failed = providers.detect(pages, subs, provide, parallel=1, store=store)
+    asked = open(log).read().split()
+    assert calls.count() == 16 and failed.count() == 0
+    # Answers are kept, and so is nothing else: what was not answered is asked again by another run.
+    answered = {r for r in asked if providers.AnswerStore(store).get(r)["answer"] is not None}
+    assert len(answered) == 16 and all(asked.count(k) == 1 for k in answered)
+    # Within a run, what failed isn't asked again either.
+    again = providers.AnswerStore(store)
+    assert all(again.get(k)["attempts"] == 1 for k in set(asked))
+    before = len(asked)
+    providers.detect(pages, subs, provide, parallel=2, store=store)
+    assert {k for k in open(log).read().split()[before:]} & answered == set()
+
+
 def test_registry():
     @providers.register("mine")
     def make(model, size=1):
