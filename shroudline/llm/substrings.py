@@ -10,7 +10,7 @@ Text without white space is cut into pieces of a word's length by a gear hash ov
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, ensure_checkpoint_dir, fresh, join_sized, map_text, table, texts
+from .common import HOT_SHARE, ensure_checkpoint_dir, fresh, map_text, steps, table, texts
 
 #: Bytes without white space from which on a text is cut between characters: at one in two beginnings of East Asian ones, one in six of others.
 LONG_RUN, WIDE_ONE_IN, OTHER_ONE_IN = 32, 2, 6
@@ -156,47 +156,6 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
     return doc_id, F.lit(0).cast("long") if shared.isEmpty() else F.xxhash64(text_col)
 
 
-CHUNKS = "digest long, doc_id long, h long, at int, beside binary"
-
-
-def chunks(docs: DataFrame, min_words: int, skip: Iterable[int] = (), only: Iterable[int] | None = None) -> DataFrame:
-    """(digest, doc_id, h, at, beside) of documents (doc_id, h, text): the chunks with the digest of their first words, the number of words before, and hashes of the words to the left and to the right.
-
-    Digests in skip are left out; with only, all others.
-    """
-    k, _, side = sizes(min_words)
-    skip, only = np.array(sorted(skip), dtype=np.int64), None if only is None else np.array(sorted(only), dtype=np.int64)
-
-    def make():
-        known = _Hashes()
-        powers = np.array([pow(int(_STEP), j, 1 << 64) for j in range(k)], dtype=np.uint64)
-
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            words = [words_of(raw or b"") for raw in batch.column("text").to_pylist()]
-            counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-            h = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=counts.sum())
-            doc, ends = np.repeat(np.arange(len(words)), counts), counts.cumsum()
-            at = beginnings(h, min_words, doc)
-            digest = _mixed((h[at[:, None] + np.arange(k)] * powers).sum(axis=1, dtype=np.uint64)).view(np.int64)
-            if len(skip) or only is not None:
-                kept = np.isin(digest, skip, invert=True) if only is None else np.isin(digest, only)
-                at, digest = at[kept], digest[kept]
-            n, own = len(at), doc[at]
-            first, end = (ends - counts)[own], ends[own]
-            # Zero stands for a word that isn't there.
-            short = np.maximum((h >> np.uint64(8)).astype(np.uint16) & np.uint16(0xFFF), 1)
-            places = np.concatenate([at[:, None] - 1 - np.arange(side), at[:, None] + k + np.arange(side)], axis=1)
-            there = (places >= first[:, None]) & (places < end[:, None])
-            beside = packed(np.where(there, short[np.where(there, places, 0)], 0)).tobytes() if n else b""
-            offsets = pa.py_buffer((np.arange(n + 1) * 3 * side).astype(np.int32).tobytes())
-            columns = [pa.array(digest), *[batch.column(c).take(pa.array(own)) for c in ("doc_id", "h")], pa.array((at - first).astype(np.int32)), pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(beside)])]
-            return pa.RecordBatch.from_arrays(columns, names=["digest", "doc_id", "h", "at", "beside"])
-
-        return apply
-
-    return map_text(docs, "text", CHUNKS, make)
-
-
 def _keys(digest: np.ndarray, beside: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each number of words to the left: which rows have these and the rest to the right, and a hash of such a stretch for all rows."""
     left, right = beside[:, :side].astype(np.uint64), beside[:, side:].astype(np.uint64)
@@ -212,7 +171,7 @@ def _keys(digest: np.ndarray, beside: np.ndarray, side: int) -> Iterator[tuple[i
             there &= left[:, n - 1] > 0
         if n < side:
             there &= right[:, side - n - 1] > 0
-        yield n, there, _mixed(base + _mixed(lefts[n]) + (_mixed(rights[side - n]) << np.uint64(1)))
+        yield n, there, _mixed(base + _mixed(lefts[n]) + (_mixed(rights[side - n]) << np.uint64(1))).view(np.int64)
 
 
 def _first(key: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -227,42 +186,170 @@ def _first(key: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray,
     return (~one | (low < high))[back], least[back], one[back], low[back]
 
 
+class _Found:
+    """What is known of m chunks with each number of words to the left: whether the stretch is shared, and its first document."""
+
+    def __init__(self, m: int, side: int):
+        shape = (m, side + 3)  # a column more on either side
+        self.shared, self.alone = np.zeros(shape, dtype=bool), np.zeros(shape, dtype=bool)
+        self.first, self.text = np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=np.int64)
+
+    def put(self, rows: np.ndarray, left: int, shared: np.ndarray, least: np.ndarray, one: np.ndarray, low: np.ndarray) -> None:
+        self.shared[rows, left + 1], self.first[rows, left + 1], self.alone[rows, left + 1], self.text[rows, left + 1] = shared, least, one, np.where(one, low, 0)
+
+    def spans(self, at: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+        """(row, a, b, first_doc, first_h, whether there is a first_h): neighbouring stretches of one first document are put together."""
+        pair = lambda x: x[:, 1:] == x[:, :-1]
+        joined = self.shared[:, 1:] & self.shared[:, :-1] & pair(self.first) & pair(self.alone) & pair(self.text)
+        r, low = np.nonzero(self.shared[:, 1:] & ~joined)
+        _, high = np.nonzero(self.shared[:, :-1] & ~joined)  # the last column of a run is followed by one that isn't joined to it
+        column = low + 1
+        return r, at[r] - (high - 1), at[r] + min_words - low, self.first[r, column], self.text[r, column], self.alone[r, column]
+
+
+class Hot:
+    """Digests that very many chunks have; and the stretches about them that very many hold, with what is known of them.
+
+    Both are bounded: each has more than a given share of all chunks.
+    """
+
+    def __init__(self, digests: list[int], stretches: list[tuple[int, int, int, int, int]] = ()):
+        self.digests = np.array(sorted(digests), dtype=np.int64)
+        rows = np.array(sorted(stretches), dtype=np.int64).reshape(-1, 5)
+        self.keys, self.low, self.high, self.low_h, self.high_h = rows.T
+
+    def place(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys are, and which of them are."""
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        return at, (self.keys[at] == key) if len(self.keys) else np.zeros(len(key), dtype=bool)
+
+
+class _Step:
+    """The chunks of the texts of one step."""
+
+    def __init__(self, batch: pa.RecordBatch, min_words: int, known: _Hashes, powers: np.ndarray):
+        k, _, side = sizes(min_words)
+        words = [words_of(raw or b"") for raw in batch.column("text").to_pylist()]
+        counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        h = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=counts.sum())
+        doc, ends = np.repeat(np.arange(len(words)), counts), counts.cumsum()
+        at = beginnings(h, min_words, doc)
+        self.digest = _mixed((h[at[:, None] + np.arange(k)] * powers).sum(axis=1, dtype=np.uint64)).view(np.int64)
+        own = doc[at]
+        first, end = (ends - counts)[own], ends[own]
+        # Zero stands for a word that isn't there.
+        short = np.maximum((h >> np.uint64(8)).astype(np.uint16) & np.uint16(0xFFF), 1)
+        places = np.concatenate([at[:, None] - 1 - np.arange(side), at[:, None] + k + np.arange(side)], axis=1)
+        there = (places >= first[:, None]) & (places < end[:, None])
+        self.beside = np.where(there, short[np.where(there, places, 0)], 0) if len(at) else np.zeros((0, 2 * side), dtype=np.uint16)
+        self.at = (at - first).astype(np.int64)
+        self.doc_id, self.h = (batch.column(c).to_numpy()[own] for c in ("doc_id", "h"))
+
+
+def _stepper(min_words: int):
+    k = sizes(min_words)[0]
+    known, powers = _Hashes(), np.array([pow(int(_STEP), j, 1 << 64) for j in range(k)], dtype=np.uint64)
+    return lambda batch: _Step(batch, min_words, known, powers)
+
+
+CHUNKS = "digest long, doc_id long, h long, at int, beside binary, b int, first_doc long, first_h long"
+
+
+def chunks(docs: DataFrame, min_words: int, hot: Hot | None = None) -> DataFrame:
+    """(digest, doc_id, h, at, beside, b, first_doc, first_h) of documents (doc_id, h, text).
+
+    A chunk has the digest of its first words, the number of words before, and hashes of the words to the left and right (beside).
+    Those with a hot digest give their stretches instead: one that is hot is known already, so that its span
+    from at to b has its first document, and a digest that only spreads it; any other has
+    its own hash for a digest and no words beside, so that it meets its like.
+    """
+    side = sizes(min_words)[2]
+
+    def make():
+        step_of = _stepper(min_words)
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x = step_of(batch)
+            heated = np.isin(x.digest, hot.digests) if hot else np.zeros(len(x.at), dtype=bool)
+            plain, i = np.flatnonzero(~heated), np.flatnonzero(heated)
+            parts = [(x.digest[plain], x.doc_id[plain], x.h[plain], x.at[plain])]
+            done: tuple = ()
+            if len(i):
+                found = _Found(len(i), side)
+                for left, there, key in _keys(x.digest[i], x.beside[i], side):
+                    rows = np.flatnonzero(there)
+                    place, known = hot.place(key[rows])
+                    place = place[known]
+                    one = hot.low[place] == hot.high[place]
+                    found.put(rows[known], left, ~one | (hot.low_h[place] < hot.high_h[place]), hot.low[place], one, hot.low_h[place])
+                    rest = rows[~known]
+                    parts.append((key[rest], x.doc_id[i[rest]], x.h[i[rest]], x.at[i[rest]] - left))
+                r, a, b, first, text, alone = found.spans(x.at[i], min_words)
+                done = (b, first, text, alone)
+                parts.append((_mixed((x.doc_id[i[r]] * 1_000_003 + a).view(np.uint64)).view(np.int64), x.doc_id[i[r]], x.h[i[r]], a))
+            digest, doc_id, h, at = (np.concatenate(c) for c in zip(*parts))
+            n, m, z = len(digest), len(plain), len(done[0]) if done else 0
+            lengths = np.zeros(n, dtype=np.int64)
+            lengths[:m] = 3 * side
+            offsets = pa.py_buffer(np.concatenate([[0], lengths.cumsum()]).astype(np.int32).tobytes())
+            chunk = np.arange(n) < m
+            beside = pa.Array.from_buffers(pa.binary(), n, [pa.py_buffer(np.packbits(chunk, bitorder="little").tobytes()), offsets, pa.py_buffer(packed(x.beside[plain]).tobytes() if m and side else b"")])
+            tail = lambda values, kind, known=None: pa.array(np.concatenate([np.zeros(n - z, dtype=kind), np.asarray(values, dtype=kind)]), mask=np.concatenate([np.ones(n - z, dtype=bool), ~known if known is not None else np.zeros(z, dtype=bool)]))
+            b, first, text, alone = done or ([], [], [], np.zeros(0, dtype=bool))
+            return pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc_id), pa.array(h), pa.array(at.astype(np.int32)), beside, tail(b, np.int32), tail(first, np.int64), tail(text, np.int64, alone)], names=[c.split()[0] for c in CHUNKS.split(", ")])
+
+        return apply
+
+    return map_text(docs, "text", CHUNKS, make)
+
+
 SPANS = "doc_id long, h long, a int, b int, first_doc long, first_h long"
 
 
-def _spans_of(batch: pa.RecordBatch, min_words: int) -> pa.RecordBatch:
-    """The stretches that several of the rows share, all rows of a digest being there; those of one chunk and one first document are put together."""
+def _span_batch(doc, h, a, b, first, text, alone) -> pa.RecordBatch:
+    arrays = [pa.array(doc), pa.array(h), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(first), pa.array(text, mask=~alone)]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SPANS.split(", ")])
+
+
+def _spans_of(batch: pa.RecordBatch, min_words: int) -> Iterator[pa.RecordBatch]:
+    """The spans of chunks and stretches that several documents share, all rows of a digest being there; spans that are known go through."""
     side = sizes(min_words)[2]
+    known = batch.column("first_doc").is_valid().to_numpy(zero_copy_only=False)
+    if known.any():
+        kept = batch.filter(pa.array(known))
+        yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("doc_id", "h", "at", "b", "first_doc", "first_h")], names=[c.split()[0] for c in SPANS.split(", ")])
+        batch = batch.filter(pa.array(~known))
+    if not batch.num_rows:
+        return
     digest = batch.column("digest").to_numpy()
     same = np.diff(digest, append=~digest[-1:]) == 0
     rows = np.flatnonzero(same | np.concatenate([[False], same[:-1]]))
-    digest, doc, h, at = (batch.column(c).to_numpy()[rows] for c in ("digest", "doc_id", "h", "at"))
-    m = len(rows)
-    wide = unpacked(batch.column("beside").take(pa.array(rows)).to_pylist(), side)
-    found, first, text = np.zeros((m, side + 3), dtype=bool), np.zeros((m, side + 3), dtype=np.int64), np.zeros((m, side + 3), dtype=np.int64)
-    alone = np.zeros((m, side + 3), dtype=bool)
-    for left, there, key in _keys(digest, wide, side):
-        i = np.flatnonzero(there)
-        if len(i):
-            shared, least, one, low = _first(key[i], doc[i], h[i])
-            found[i, left + 1], first[i, left + 1], alone[i, left + 1], text[i, left + 1] = shared, least, one, np.where(one, low, 0)
-    joined = found[:, 1:] & found[:, :-1] & (first[:, 1:] == first[:, :-1]) & (alone[:, 1:] == alone[:, :-1]) & (text[:, 1:] == text[:, :-1])
-    r, low = np.nonzero(found[:, 1:] & ~joined)
-    _, high = np.nonzero(found[:, :-1] & ~joined)
-    high = high - 1  # the last column of a run is followed by one that isn't joined to it
-    column = low + 1
-    a, b = at[r] - high, at[r] + min_words - low
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[r]), pa.array(h[r]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(first[r, column]), pa.array(text[r, column], mask=~alone[r, column])],
-        names=["doc_id", "h", "a", "b", "first_doc", "first_h"],
-    )
-
-
-def _cold(rows: DataFrame, min_words: int) -> DataFrame:
-    """The shared stretches of chunks whose digests are not hot: one shuffle, and one pass over the sorted rows."""
+    if not len(rows):
+        return
+    batch = batch.take(pa.array(rows))
+    whole = batch.column("beside").is_valid().to_numpy(zero_copy_only=False)
+    columns = [batch.column(c).to_numpy() for c in ("digest", "doc_id", "h", "at")]
+    digest, doc, h, at = (c[~whole] for c in columns)
+    if len(digest):  # stretches of hot digests
+        shared, least, one, low = _first(digest, doc, h)
+        yield _span_batch(doc[shared], h[shared], at[shared], at[shared] + min_words, least[shared], np.where(one, low, 0)[shared], one[shared])
+    digest, doc, h, at = (c[whole] for c in columns)
+    if len(digest):
+        found = _Found(len(digest), side)
+        for left, there, key in _keys(digest, unpacked(batch.column("beside").filter(pa.array(whole)).to_pylist(), side), side):
+            i = np.flatnonzero(there)
+            if len(i):
+                found.put(i, left, *_first(key[i], doc[i], h[i]))
+        r, a, b, first, text, alone = found.spans(at, min_words)
+        yield _span_batch(doc[r], h[r], a, b, first, text, alone)
+
+
+def _shared_spans(rows: DataFrame, min_words: int) -> DataFrame:
+    """The spans of chunks: one shuffle by digest, and one pass over the sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        whole = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -270,56 +357,73 @@ def _cold(rows: DataFrame, min_words: int) -> DataFrame:
             # The rows of the last digest wait for the next batch.
             cut = int(np.searchsorted(digest, digest[-1]))
             if cut == 0 and held and held[0].column("digest")[0].as_py() != digest[0]:
-                yield _spans_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], min_words)
+                yield from _spans_of(whole(held), min_words)
                 held = []
             if cut:
-                whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+                yield from _spans_of(whole([*held, batch.slice(0, cut)]), min_words)
                 held = []
-                yield _spans_of(whole, min_words)
             held.append(batch.slice(cut))
         if held:
-            yield _spans_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], min_words)
+            yield from _spans_of(whole(held), min_words)
 
     return rows.repartition("digest").sortWithinPartitions("digest").mapInArrow(run, SPANS)
 
 
-def _hot(rows: DataFrame, min_words: int) -> DataFrame:
-    """The same of chunks whose digests are hot. Rows with the same words beside them are one node, an aggregate that is combined before
-    the shuffle; what nodes share is counted by stretch, and goes back by joins that hold out hot keys (join_sized)."""
+def _stretch_keys(rows: DataFrame, min_words: int) -> DataFrame:
+    """(key) of the stretches about each chunk."""
     side = sizes(min_words)[2]
-    ends = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("h").alias("low_h"), F.max("h").alias("high_h")]
-    rows = rows.withColumn("node", F.xxhash64("digest", "beside"))
-    nodes = rows.groupBy("node").agg(F.min("digest").alias("digest"), F.min("beside").alias("beside"), *ends, F.count("*").alias("n")).checkpoint()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = unpacked(batch.column("beside").to_pylist(), side)
-            for left, there, key in _keys(batch.column("digest").to_numpy(), wide, side):
-                i = pa.array(np.flatnonzero(there))
-                took = batch.take(i)
-                yield pa.RecordBatch.from_arrays([*[took.column(c) for c in ("node", "low", "high", "low_h", "high_h")], pa.array(np.full(len(i), left, dtype=np.int32)), pa.array(key[there].view(np.int64))], names=["node", "low", "high", "low_h", "high_h", "left", "key"])
-
-    keyed = nodes.drop("n").mapInArrow(run, "node long, low long, high long, low_h long, high_h long, left int, key long")
-    least = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_h").alias("low_h"), F.max("high_h").alias("high_h"), F.count("*").alias("n")]
-    one = F.when(F.col("low") == F.col("high"), F.col("low_h"))
-    shared = keyed.groupBy("key").agg(*least).where("low < high OR low_h < high_h").select("key", F.col("low").alias("first_doc"), one.alias("first_h"), "n").checkpoint()
-    back = join_sized(keyed.select("node", "left", "key"), shared, "key", "n", "node").where("first_doc IS NOT NULL")
-    lists = back.groupBy("node").agg(F.collect_list(F.struct("left", "first_doc", "first_h")).alias("spans")).join(nodes.select("node", "n"), "node").checkpoint()
-    out = join_sized(rows.select("node", "doc_id", "h", "at"), lists, "node", "n", F.struct("doc_id", "h", "at"))
-    out = out.select("doc_id", "h", "at", F.explode("spans").alias("s"))
-    return out.select("doc_id", "h", (F.col("at") - F.col("s.left")).alias("a"), (F.col("at") - F.col("s.left") + min_words).alias("b"), "s.first_doc", "s.first_h")
-
-
-def hot_digests(docs: DataFrame, min_words: int) -> list[int]:
-    """Digests that more than HOT_SHARE of all chunks have, or half of an average task's share, as one document in HOT_ONE_IN tells; fewer than 2,000, or twice the shuffle partitions.
-
-    Only the way of the work depends on them, not its result.
+            beside = unpacked(batch.column("beside").to_pylist(), side)
+            for _, there, key in _keys(batch.column("digest").to_numpy(), beside, side):
+                yield pa.RecordBatch.from_arrays([pa.array(key[there])], names=["key"])
+
+    return rows.select("digest", "beside").mapInArrow(run, "key long")
+
+
+def _ends(docs: DataFrame, min_words: int, digests: list[int], keys: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """(key, low, high, low_h, high_h): the least and greatest ids and hashes of texts of all documents that hold each of a few stretches. A task gives a row for a key at most."""
+    hot, side = Hot(digests, [(k, 0, 0, 0, 0) for k in keys]), sizes(min_words)[2]
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step_of = _stepper(min_words)
+        ends = [np.full(len(hot.keys), x) for x in (most, least, most, least)]
+        for batch in steps(batches, "text"):
+            x = step_of(batch)
+            i = np.flatnonzero(np.isin(x.digest, hot.digests))
+            for _, there, key in _keys(x.digest[i], x.beside[i], side):
+                rows = np.flatnonzero(there)
+                place, known = hot.place(key[rows])
+                rows, place = i[rows[known]], place[known]
+                for end, put, values in zip(ends, (np.minimum, np.maximum) * 2, (x.doc_id, x.doc_id, x.h, x.h)):
+                    put.at(end, place, values[rows])
+        seen = ends[0] <= ends[1]
+        yield pa.RecordBatch.from_arrays([pa.array(c[seen]) for c in (hot.keys, *ends)], names=["key", "low", "high", "low_h", "high_h"])
+
+    rows = docs.mapInArrow(run, "key long, low long, high long, low_h long, high_h long")
+    found = rows.groupBy("key").agg(F.min("low"), F.max("high"), F.min("low_h"), F.max("high_h")).collect()  # as many as there are keys
+    return [tuple(r) for r in found]
+
+
+def heat(docs: DataFrame, min_words: int) -> Hot | None:
+    """Digests and stretches that more than HOT_SHARE of all chunks have, or half of an average task's share, as one document in HOT_ONE_IN tells.
+
+    There are fewer than 2,000 such digests, or twice the shuffle partitions, and fewer than that times the words beside a
+    chunk and one of stretches. Only the way of the work depends on them, not its result.
     """
     some = docs.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(HOT_ONE_IN)) == 0)
-    counts = chunks(some, min_words).groupBy("digest").agg(F.count("*").alias("n")).checkpoint()
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = chunks(some, min_words).select("digest", "beside").checkpoint()
+    total = rows.count()
     least = max(HOT_LEAST, total * min(HOT_SHARE, 0.5 / int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return [r["digest"] for r in counts.where(F.col("n") > least).select("digest").collect()]
+    digests = [r["digest"] for r in rows.groupBy("digest").count().where(F.col("count") > least).collect()]
+    if not digests:
+        return None
+    hot = docs.sparkSession.createDataFrame([(d,) for d in digests], "digest long")
+    about = _stretch_keys(rows.join(F.broadcast(hot), "digest", "left_semi"), min_words)
+    keys = [r["key"] for r in about.groupBy("key").count().where(F.col("count") > least).collect()]
+    return Hot(digests, _ends(docs, min_words, digests, keys) if keys else [])
 
 
 def repeated_stretches(docs: DataFrame, own: tuple[Column, Column], text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -329,14 +433,13 @@ def repeated_stretches(docs: DataFrame, own: tuple[Column, Column], text_col: st
     """
     ensure_checkpoint_dir(docs.sparkSession)
     narrow = docs.select(own[0].alias("doc_id"), own[1].alias("h"), F.col(text_col).cast("binary").alias("text"))
-    hot = hot_digests(narrow, min_words)
-    out = _cold(chunks(narrow, min_words, skip=hot), min_words)
-    return out.unionByName(_hot(chunks(narrow, min_words, only=hot), min_words)) if hot else out
+    return _shared_spans(chunks(narrow, min_words, heat(narrow, min_words)), min_words)
 
 
 def _passages(docs: DataFrame, own: tuple[Column, Column], text_col: str, min_words: int) -> DataFrame:
     """passages in words, with doc_id and h as chunks has them."""
-    rows = repeated_stretches(docs, own, text_col, min_words).dropDuplicates(["doc_id", "h", "a", "b", "first_doc"])
+    # One shuffle by document serves all that follows.
+    rows = repeated_stretches(docs, own, text_col, min_words).repartition("doc_id", "h").dropDuplicates(["doc_id", "h", "a", "b", "first_doc"])
     doc = ["doc_id", "h"]
     in_doc = Window.partitionBy(doc).orderBy("a", "b")
     so_far, earlier = in_doc.rowsBetween(Window.unboundedPreceding, 0), in_doc.rowsBetween(Window.unboundedPreceding, -1)
@@ -411,15 +514,16 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 
 def shared_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each document with a repeated passage: how many, how long, which can go, and where they are."""
-    total = lambda spans, c: F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s[c])
+    """One row for each document with a repeated passage: how many, how long, which can go, and where they are, in words from 0 (a:b, b not included)."""
+    found = _passages(docs, _own(docs, id_col, text_col), text_col, min_words)
+    spans = F.array_sort(F.collect_list(F.struct("a", "b", "removable")))
     gone = F.filter("spans", lambda s: s["removable"])
-    places = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
-    rows = _located(docs, id_col, text_col, min_words).select(
-        "doc_id", F.array_min(F.transform("spans", lambda s: s["first_doc"])).alias("first_doc"), F.size(F.array_distinct(F.transform("spans", lambda s: s["run"]))).cast("long").alias("n_passages"),
-        total(F.col("spans"), "words").alias("repeated_words"), total(gone, "words").alias("removed_words"), places(F.col("spans")).alias("passages"), places(gone).alias("removed"),
+    places = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["a"], s["b"])), ",")
+    words = (F.col("b") - F.col("a")).cast("long")
+    rows = found.groupBy("doc_id", "h").agg(
+        F.min("first_doc").alias("first_doc"), F.count_distinct("run").alias("n_passages"), F.sum(words).alias("repeated_words"), F.sum(F.when(F.col("removable"), words).otherwise(0)).alias("removed_words"), spans.alias("spans"),
     )
-    return _null_ids(rows)
+    return _null_ids(rows.select("doc_id", "first_doc", "n_passages", "repeated_words", "removed_words", places(F.col("spans")).alias("passages"), places(gone).alias("removed")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -171,9 +171,15 @@ def test_hot_chunks_give_what_others_give(make_docs, monkeypatch):
     docs = make_docs(list(texts.items()), CLASH)
     want = covered(texts)
     monkeypatch.setattr(substrings, "HOT_ONE_IN", 1)
-    called = []
-    monkeypatch.setattr(substrings, "_hot", lambda rows, n, f=substrings._hot: called.append(n) or f(rows, n))
-    assert found_words(docs) == want and called == [15]
+    for least in (8, 1, 25):  # all stretches of the hot digests are hot, or some
+        monkeypatch.setattr(substrings, "HOT_LEAST", least)
+        own = substrings._own(docs, "doc_id", "text")
+        hot = substrings.heat(docs.select(own[0].alias("doc_id"), own[1].alias("h"), docs["text"].cast("binary").alias("text")), 15)
+        assert len(hot.digests) and found_words(docs) == want
+    assert len(hot.keys) < 8 * len(hot.digests)
+    twice = make_docs([*texts.items(), *[(k, t) for k, t in texts.items() if k < 9], (None, texts[10])])
+    both = lambda found: {k: v for k, v in found.items() if k in texts and k != 10}  # noqa: E731  the tenth has a copy now
+    assert both(found_words(twice)[0]) == both(want[0])
 
 
 def test_recall_on_the_whole_table(spark):
