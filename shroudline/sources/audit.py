@@ -90,8 +90,22 @@ def session_status(passed: Column, leaks: Column) -> Column:
     )
 
 
-def write(lines: DataFrame, path: str) -> None:
-    """Append sessions (session_id, ord, value) as text, one folder a session, lines in order."""
+def write(lines: DataFrame, path: str, buckets: int = 64) -> None:
+    """Append sessions (session_id, ord, value) as lines of JSON that name their session and place; sessions are dealt into buckets, so that there are as many files."""
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket")
+    named = lines.select(bucket, "session_id", "ord", "value").repartition(buckets, "bucket").sortWithinPartitions("bucket", "session_id", "ord")
+    row = F.to_json(F.struct(F.col("session_id").cast("string").alias("session_id"), "ord", "value"))
+    named.select("bucket", row.alias("value")).write.mode("append").partitionBy("bucket").text(path)
+
+
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """Events of what write has written, of any number of sessions: session_key is the session's id, line_no its place. A line is found wherever a file is split."""
+    rows = spark.read.text(path).select(F.from_json("value", "session_id string, ord long, value string").alias("r")).select("r.*")
+    return parse_lines(rows.select(F.col("session_id").alias("session_key"), F.col("ord").alias("line_no"), "value")).drop("_corrupt")
+
+
+def export(lines: DataFrame, path: str) -> None:
+    """Write sessions as logs that read takes: one folder a session, lines in order. For as many sessions as one wants folders."""
     lines.repartition("session_id").sortWithinPartitions("session_id", "ord").select("session_id", "value").write.mode("append").partitionBy("session_id").text(path)
 
 

@@ -1,13 +1,13 @@
 """Pages from files: any format, by a pluggable extractor; pages without text by a pluggable recognizer.
 
 No library for a page format is part of this one. An extractor is a callable (content, pages or
-None) that returns a list of (page number, words, has_image); it gets the selected pages, so that
-it need not read others. Words are texts, or (text, block, x0, y0, x1, y1).
+None) that returns a list of (page number, words, has_image); it gets the selected pages (what can be
+asked whether a number is in it), so that it need not read others. Words are texts, or (text, block, x0, y0, x1, y1).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Container
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from ..functions.text import page_ranges
 from .corpus import WORDS_TYPE
 
-Extractor = Callable[[bytes, list[int] | None], list[tuple[int, list, bool]]]
+Extractor = Callable[[bytes, Container[int] | None], list[tuple[int, list, bool]]]
 
 
 class RecognitionRequired(RuntimeError):
     """Pages hold images, and no recognizer was given."""
 
 
-def plain_text(content: bytes, pages: list[int] | None) -> list[tuple[int, list, bool]]:
+def plain_text(content: bytes, pages: Container[int] | None) -> list[tuple[int, list, bool]]:
     """The extractor of text files: form feeds part pages, lines are blocks."""
     out = []
     for n, page in enumerate(content.decode("utf-8", "replace").split("\f"), start=1):
@@ -33,6 +33,20 @@ def plain_text(content: bytes, pages: list[int] | None) -> list[tuple[int, list,
     return out
 
 
+def pages_of(content: bytes, extractor: Extractor, wanted: Container[int] | None, recognizer: Extractor | None) -> list[tuple[int, list[dict], bool]]:
+    """The pages of one file, with the words of a recognizer on those that hold an image."""
+    pages = extractor(content, wanted)
+    images = [n for n, _, image in pages if image]
+    if recognizer is not None and images:
+        seen = {n: words for n, words, _ in recognizer(content, images)}
+        pages = [(n, seen.get(n, words), image) for n, words, image in pages]
+    out = []
+    for n, words, image in pages:
+        full = [w if isinstance(w, tuple) else (w, 0, 0.0, 0.0, 0.0, 0.0) for w in words]
+        out.append((n, [{"idx": i, "text": t, "block_id": b, "x0": x0, "y0": y0, "x1": x1, "y1": y1} for i, (t, b, x0, y0, x1, y1) in enumerate(full)], image))
+    return out
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(doc_id, path, content) of the files under path; doc_id is a hash of the path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
@@ -49,14 +63,7 @@ def extract(files: DataFrame, extractor: Extractor, selection: list[int] | None
         for part in parts:
             rows = []
             for doc_id, content in zip(part["doc_id"], part["content"]):
-                pages = extractor(bytes(content), selection)
-                images = [n for n, _, image in pages if image]
-                if recognizer is not None and images:
-                    seen = {n: words for n, words, _ in recognizer(bytes(content), images)}
-                    pages = [(n, seen.get(n, words), image) for n, words, image in pages]
-                for n, words, image in pages:
-                    full = [w if isinstance(w, tuple) else (w, 0, 0.0, 0.0, 0.0, 0.0) for w in words]
-                    rows.append((doc_id, n, [{"idx": i, "text": t, "block_id": b, "x0": x0, "y0": y0, "x1": x1, "y1": y1} for i, (t, b, x0, y0, x1, y1) in enumerate(full)], image))
+                rows += [(doc_id, *page) for page in pages_of(bytes(content), extractor, selection, recognizer)]
             yield pd.DataFrame(rows, columns=["doc_id", "page", "words", "has_image"])
 
     return files.select("doc_id", "content").mapInPandas(run, f"doc_id long, page int, words {WORDS_TYPE}, has_image boolean")

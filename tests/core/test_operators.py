@@ -466,9 +466,17 @@ def test_run_audit_and_undo(spark, pages_of, tmp_path):
     assert {r["doc_id"]: r["passed"] for r in result.report.collect()} == {0: True, 1: True}
     assert {r["doc_id"]: [w["text"] for w in r["words"]] for r in result.pages.collect()} == {0: ["mail", "or", "now"], 1: ["clean", "text"]}
     path = str(tmp_path / "log")
-    audit.write(result.events, path)
+    audit.export(result.events, path)
     events = audit.read(spark, path)
     assert [r["event"] for r in events.orderBy("line_no").collect()] == ["session_start", "finding", "finding", "session_end"]
+    many = str(tmp_path / "logs")
+    more = plan.run(pages_of(*["mail a@bc.de"] * 30), PACK).events
+    audit.write(more, many, buckets=4)
+    audit.write(result.events.withColumn("session_id", F.lit(77).cast("long")), many, buckets=4)
+    back = audit.read_written(spark, many)
+    assert back.select("session_key").distinct().count() == 31 and len(list((tmp_path / "logs").glob("bucket=*"))) <= 4
+    assert [r["event"] for r in back.where("session_key = '77'").orderBy("line_no").collect()] == ["session_start", "finding", "finding", "session_end"]
+    assert replay.applied(back).count() == 32
     keyed = events.withColumn("session_key", F.lit("0"))
     assert audit.sessions(keyed).first()["input_path"] == "doc:0"
     back = plan.undo(pages, keyed, kind="email").first()
