@@ -691,6 +691,22 @@ def exclusion_set(spark, sf_dir):
     return longs(replay.exclusions(found, pages=[1, 2], kind="email", picked=found.where("ordinal = 0")))
 
 
+CTES["selectors"] = """selectors AS (SELECT CAST(doc_id AS VARCHAR) AS session_key, CASE WHEN doc_id % 4 = 1 THEN 1 END AS page, CASE WHEN doc_id % 4 = 2 THEN 'email' END AS kind, CAST(NULL AS BIGINT) AS word_start, CAST(NULL AS BIGINT) AS word_end FROM documents WHERE doc_id % 4 < 3 AND doc_id % 3 = 0
+UNION ALL SELECT NULL, 2, 'phone_us', NULL, NULL UNION ALL SELECT NULL, NULL, 'email', word_start, word_end FROM (SELECT min(word_start) AS word_start, min(word_end) AS word_end FROM log) UNION ALL SELECT NULL, 3, NULL, NULL, NULL)"""
+
+
+@query("""SELECT session_key, ordinal FROM log l WHERE EXISTS (SELECT 1 FROM selectors s WHERE (s.session_key IS NULL OR s.session_key = l.session_key) AND (s.page IS NULL OR s.page = l.page)
+AND (s.kind IS NULL OR s.kind = l.kind) AND (s.word_start IS NULL OR (s.word_start = l.word_start AND s.word_end = l.word_end)))""", (*BASE, "log", "selectors"))
+def exclusions_of_selectors(spark, sf_dir):
+    """What a table of selectors takes back in all sessions: by session, by session and page or kind, and in any session."""
+    found, k = replay.applied(_log(spark, sf_dir)), F.col("doc_id")
+    kind = "session_key string, page int, kind string, word_start int, word_end int"
+    own = table(spark, sf_dir, "documents").where((k % 4 < 3) & (k % 3 == 0)).select(k.cast("string").alias("session_key"), F.when(k % 4 == 1, 1).alias("page"), F.when(k % 4 == 2, "email").alias("kind"), F.lit(None).cast("int").alias("word_start"), F.lit(None).cast("int").alias("word_end"))
+    first = found.agg(F.min("word_start").alias("word_start"), F.min("word_end").alias("word_end")).select(F.lit(None).cast("string").alias("session_key"), F.lit(None).cast("int").alias("page"), F.lit("email").alias("kind"), "word_start", "word_end")
+    any_session = spark.createDataFrame([(None, 2, "phone_us", None, None), (None, 3, None, None, None)], kind)
+    return longs(replay.exclusions_of(found, own.unionByName(first).unionByName(any_session)))
+
+
 @query("SELECT session_key, ordinal, kind FROM log WHERE NOT (page = 1 AND kind = 'phone_us')", (*BASE, "log"))
 def kept_findings(spark, sf_dir):
     found = replay.applied(_log(spark, sf_dir))

@@ -20,9 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if cores < 2 or size > SMALL:
         return rows
-    # Counts the splits that have rows from the files' footers.
-    blocks = rows.groupBy(F.spark_partition_id()).count().count()
-    return rows.repartition(cores) if 0 < 2 * blocks < cores else rows
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}", size)
+    if key not in _BLOCKS:  # counts the splits that have rows from the files' footers, once for each table
+        _BLOCKS[key] = rows.groupBy(F.spark_partition_id()).count().count()
+    return rows.repartition(cores) if 0 < 2 * _BLOCKS[key] < cores else rows
+
+
+#: Blocks of the small tables that were read, by application, path and size.
+_BLOCKS: dict[tuple[str, str, int], int] = {}
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

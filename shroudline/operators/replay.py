@@ -47,6 +47,28 @@ def exclusions(found: DataFrame, *, pages: list[int] | None = None, page: int |
     return out if picked is None else out.union(picked.select("session_key", "ordinal")).distinct()
 
 
+#: What a selector may ask for; the two ends of a range of words go together.
+ASKED = (("session_key",), ("page",), ("kind",), ("word_start", "word_end"))
+
+
+def exclusions_of(found: DataFrame, selectors: DataFrame) -> DataFrame:
+    """(session_key, ordinal) of the findings of many sessions that any selector (session_key, page, kind, word_start, word_end) picks; null means any.
+
+    Selectors that ask for the same columns are joined on these: each of the sixteen shapes is an
+    equi-join, and only those that occur are made. One that asks for nothing picks all.
+    """
+    has = [F.col(c[0]).isNotNull() & F.col(c[-1]).isNotNull() for c in ASKED]
+    shape = sum((F.when(h, 1 << i).otherwise(0) for i, h in enumerate(has)), F.lit(0))
+    shaped = selectors.withColumn("shape", shape)
+    out = found.select("session_key", "ordinal").limit(0)
+    for r in shaped.select("shape").distinct().collect():  # sixteen at most
+        columns = [c for i, group in enumerate(ASKED) if r["shape"] >> i & 1 for c in group]
+        wanted = shaped.where(F.col("shape") == r["shape"])
+        picked = found.join(wanted.select(*columns).distinct(), columns, "left_semi") if columns else found
+        out = out.unionByName(picked.select("session_key", "ordinal"))
+    return out.distinct()
+
+
 def kept(found: DataFrame, excluded: DataFrame) -> DataFrame:
     return found.join(excluded, ["session_key", "ordinal"], "left_anti")
 

@@ -194,7 +194,8 @@ def _selected(selection: str) -> Column:
 def undo(pages: DataFrame, events: DataFrame, **selector) -> DataFrame:
     """Pages redacted anew with the applied findings of parsed audit events, but for those that the selector takes back.
 
-    Without a selector all findings are taken back. session_key is the document's id as text.
+    Without a selector all findings are taken back; selectors is a table of them for many sessions (replay.exclusions_of).
+    session_key is the document's id as text.
     """
     found, excluded = _taken_back(events, selector)
     stay = replay.kept(found, excluded).withColumn("doc_id", F.col("session_key").cast("long"))
@@ -204,6 +205,8 @@ def undo(pages: DataFrame, events: DataFrame, **selector) -> DataFrame:
 
 def _taken_back(events: DataFrame, selector: dict) -> tuple[DataFrame, DataFrame]:
     found = replay.applied(events)
+    if "selectors" in selector:
+        return found, replay.exclusions_of(found, selector["selectors"])
     return found, replay.exclusions(found, **selector) if selector else found.select("session_key", "ordinal")
 
 

@@ -554,6 +554,26 @@ def test_undo_lines_and_texts(spark, pages_of):
     assert replay.page_choices(replay.applied(log), pages=[2]).count() == 0
 
 
+def test_selectors_of_every_shape(spark, pages_of):
+    pages = pages_of("mail a@bc.de or 123-45-6789", "x@yz.org", " ".join(["w"] * 400 + ["q@rs.tu"]), "call 743-555-3824")
+    log = _keyed(plan.run(pages, PACK).events)
+    found = replay.applied(log)
+    rows = {(r["session_key"], r["ordinal"]): r for r in found.collect()}
+    assert len(rows) == 5
+    kind = "session_key string, page int, kind string, word_start int, word_end int"
+    for selectors in (
+        [], [(None, None, None, None, None)], [("0", None, None, None, None)], [(None, 2, None, None, None)], [(None, None, "email", None, None), ("3", 1, "phone_us", None, None)],
+        [(None, None, None, 1, 1)], [("0", 1, "email", 1, 1), ("0", 2, None, None, None), ("9", None, None, None, None)], [("1", None, None, 0, 0), ("1", None, None, 0, 0)], [(None, None, None, 1, None), ("2", None, None, None, None)],
+    ):
+        want = {k for k, r in rows.items() if any(all(a is None or a == r[c] for c, a in zip(("session_key", "page", "kind"), s)) and (s[3] is None or s[4] is None or s[3:] == (r["word_start"], r["word_end"])) for s in selectors)}
+        got = replay.exclusions_of(found, spark.createDataFrame(selectors, kind))
+        assert {(r["session_key"], r["ordinal"]) for r in got.collect()} == want and got.count() == len(want)
+    some = spark.createDataFrame([("0", None, "email", None, None), ("1", None, None, None, None)], kind)
+    back = {r["doc_id"]: [w["text"] for w in r["words"]] for r in plan.undo(pages, log, selectors=some).where("page = 1").collect()}
+    assert back[0] == ["mail", "a@bc.de", "or"] and back[1] == ["x@yz.org"] and back[3] == ["call"]
+    assert sorted(r["session_key"] for r in plan.undo_lines(log, selectors=some).where("ord < 0").collect()) == ["0", "1"]
+
+
 def test_bad_logs(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.log").write_text('{"event": "session_start", "session_id": "1"}\n\n{oops\n')
