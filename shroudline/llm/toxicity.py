@@ -22,9 +22,11 @@ MAX_LABELLED = 6000
 MIN_DOCS = 5
 #: Least log ratio of an entry's rates in the two classes.
 MIN_WEIGHT = 2.0
+#: Documents of the negative class that a phrase with a match is found in at least to be an exception; none of the positive class may have it.
+MIN_CLEAN_DOCS = 5
 #: Word beginnings of these lengths are candidates besides whole words.
 PREFIXES = range(3, 9)
-#: Harmless phrases: lexicon matches inside them don't count.
+#: Harmless phrases besides those that are learned: lexicon matches inside them don't count.
 EXCEPTIONS = ("clown fish", "trash can", "trash bin", "pathetic fallacy", "class clown college")
 
 # Look-alikes of Latin letters, and other characters that are written in their place. Fixed values.
@@ -104,6 +106,22 @@ class Lexicon:
 
         return features
 
+    def phrases(self):
+        """A function from folded words to the pairs of neighbours of which one is matched."""
+        machine, known = ahocorasick.Automaton(), {}
+        for entry in self.weights:
+            machine.add_word(entry, len(entry))
+        if len(machine):
+            machine.make_automaton()
+
+        def matched(word: str) -> bool:
+            hit = known.get(word)
+            if hit is None:
+                hit = known[word] = len(machine) > 0 and any(end == size - 1 for end, size in machine.iter(f" {word} "))
+            return hit
+
+        return lambda words: {f"{a} {b}" for a, b in zip(words, words[1:]) if matched(a) or matched(b)}
+
     def scorer(self):
         """A function from text to a score between 0 and 1."""
         features, coef = self.matcher(), self.coef
@@ -162,6 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     Occurrences are counted in the tasks, summed by Spark, and filtered there; the driver gets the
     entries that at least MIN_DOCS of the at most max_labelled rows have, and three numbers for each of these rows.
+    Exception phrases are learned, too: two words with a match that MIN_CLEAN_DOCS clean rows have and no toxic one; the given ones join them.
     Without rows of both classes the lexicon is empty and every score is 0.
     """
     sample = labelled(docs, labels, "toxic", max_labelled, id_col, text_col).checkpoint()
@@ -190,6 +209,18 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     top = counts.where(f"entry <> '' AND docs >= {MIN_DOCS}").withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT)
     lexicon = Lexicon(prune({r["entry"]: float(r["w"]) for r in top.collect()}), exceptions)
 
+    def pair(batches):
+        pairs = lexicon.phrases()
+        for batch in steps(batches, "text"):
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, y in zip(texts(batch), batch.column("y").to_pylist()):
+                seen[y].update(pairs(fold(text).split()))
+            names = list(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[p] for p in names], pa.int64()) for c in seen]], names=["phrase", "clean", "toxic"])
+
+    harmless = sample.mapInArrow(pair, "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(f"clean >= {MIN_CLEAN_DOCS} AND toxic = 0")
+    lexicon.exceptions = tuple(sorted({*exceptions, *(r["phrase"] for r in harmless.collect())}))
+
     def measure(batches):
         features = lexicon.matcher()
         for batch in steps(batches, "text"):

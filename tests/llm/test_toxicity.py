@@ -1,4 +1,8 @@
+import os
 import random
+import zlib
+
+import pytest
 
 from shroudline.llm import toxicity
 from shroudline.llm.common import held_out
@@ -47,8 +51,6 @@ def test_learned_lexicon_finds_held_out_texts(spark, make_docs):
 
 def test_held_out_labels_change_nothing(spark, make_docs):
     rows, labels = corpus()
-    import zlib
-
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
     schema = "doc_id long, quality int, toxic int"
     a, b = (toxicity.learn(make_docs(rows), spark.createDataFrame(x, schema)) for x in (labels, flipped))
@@ -63,6 +65,40 @@ def test_exception_phrases_are_spared():
     assert features("a clown")[0] == 250.0
 
 
+def test_exception_phrases_are_learned_from_clean_rows_and_act_on_others(spark, make_docs):
+    """A word that toxic texts have is harmless beside another one."""
+    rows, labels = corpus(seed=4)
+    rng, out = random.Random(5), []
+    for (i, text), (_, _, toxic) in zip(rows, labels):
+        words = text.split()
+        if not toxic and i % 17 == 0:
+            words[rng.randrange(len(words)) : 0] = ["zweeny", "river"]
+        out.append((i, " ".join(words).replace("zweeny zweeny river", "zweeny river") if not toxic else text.replace("zweeny river", "zweeny")))
+    lexicon = toxicity.learn(make_docs(out), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), exceptions=("trash can",))
+    assert "zweeny river" in lexicon.exceptions and "trash can" in lexicon.exceptions
+    toxic_texts = [toxicity.fold(t).split() for (i, t), (_, _, y) in zip(out, labels) if y and zlib.crc32(str(i).encode()) % 5]
+    assert not any(f"{a} {b}" in lexicon.exceptions for words in toxic_texts for a, b in zip(words, words[1:]))
+    plain = toxicity.Lexicon(lexicon.weights, (), lexicon.coef)
+    held = [t for (i, t), (_, _, y) in zip(out, labels) if not y and i % 17 == 0 and zlib.crc32(str(i).encode()) % 5 == 0]
+    ours, without = lexicon.matcher(), plain.matcher()
+    assert len(held) >= 2 and all(ours(t)[2] < without(t)[2] for t in held)
+    assert lexicon.scorer()("green house zweeny river walk stone") < 0.5 < lexicon.scorer()("green house zweeny zweeny walk stone")
+
+
+def test_learned_phrases_act_on_held_out_documents(spark):
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("the driver's tables are not here")
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.learn(docs, labels)
+    truth = {r["doc_id"]: r["toxic"] for r in labels.where(held_out("doc_id")).collect() if r["toxic"] is not None}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.where(held_out("doc_id")).select("doc_id", "text").collect() if r["doc_id"] in truth}
+    ours, without, score = lexicon.matcher(), toxicity.Lexicon(lexicon.weights, ()).matcher(), lexicon.scorer()
+    acted = [i for i, t in texts.items() if ours(t)[2] < without(t)[2]]
+    assert len(acted) >= 20 and sum(truth[i] == 0 for i in acted) > 0.9 * len(acted)
+    assert sum((score(t) >= 0.5) == bool(truth[i]) for i, t in texts.items()) > 0.985 * len(texts)
+
+
 def test_matcher_equals_a_plain_scan():
     rng = random.Random(7)
     stems = ["ab", "abc", "bca", "cab", "bb", "cc"]
