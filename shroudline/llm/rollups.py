@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import time
 import uuid
 
 import pyarrow as pa
@@ -25,6 +26,11 @@ KEYS = ("source", "lang", "version")
 #: Batches after which a commit makes a snapshot of ledger and totals, so that reads never list more of them.
 SNAPSHOT_EVERY = 16
 
+#: Documents of a batch up to which their ids are sent to the tasks that read the ledger, so that no other row of it is shuffled.
+FEW_IDS = 200_000
+#: Seconds after which a table that no reader starts from any more may go: longer than any read or commit takes.
+GRACE_SECONDS = 86_400
+
 _LEDGER = "doc_id long, version string, source string, lang string, tokens long, live boolean, batch long"
 _DELTAS = "source string, lang string, version string, docs long, tokens long"
 
@@ -106,11 +112,13 @@ class RollupStore:
         paths = [self._at(name, e["folder"]) for e in entries]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _winners(self, entries: list[dict], within: tuple | None = None) -> DataFrame:
-        """The rows of each document and version of its highest batch, deletions included; within: the least and the largest id that matter."""
+    def _winners(self, entries: list[dict], within: tuple | None = None, only: DataFrame | None = None) -> DataFrame:
+        """The rows of each document and version of its highest batch, deletions included; within: the least and the largest id that matter; only: the documents and versions that do, if they are few."""
         rows = self._read("ledger", _LEDGER, entries)
         if within is not None:
             rows = rows.where(F.col("doc_id").between(*within))
+        if only is not None:
+            rows = rows.join(F.broadcast(only), ["doc_id", "version"], "left_semi")
         row = F.struct("batch", "source", "lang", "tokens", "live")
         return rows.groupBy("doc_id", "version").agg(F.max_by(row, "batch").alias("r")).select("doc_id", "version", "r.*")
 
@@ -130,13 +138,14 @@ class RollupStore:
         folder = f"{batch}-{uuid.uuid4().hex}"
         new.write.parquet(self._at("ledger", folder))
         written = self.spark.read.schema(_LEDGER).parquet(self._at("ledger", folder))
-        within = tuple(written.agg(F.min("doc_id"), F.max("doc_id")).first())
+        *within, size = written.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+        ids = written.select("doc_id", "version")
         plus = [*KEYS, F.lit(1).cast("long").alias("docs"), "tokens"]
         minus = [*KEYS, F.lit(-1).cast("long").alias("docs"), (-F.col("tokens")).alias("tokens")]
         while True:
             signed = written.where("live").select(plus)
             if entries and within[0] is not None:
-                old = self._winners(entries, within).join(written.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
+                old = self._winners(entries, within, ids) if size <= FEW_IDS else self._winners(entries, within).join(ids, ["doc_id", "version"], "left_semi")
                 late = written.join(old.where(F.col("batch") > batch).select("doc_id", "version"), ["doc_id", "version"], "left_anti") if max(known) > batch else written
                 signed = late.where("live").select(plus).union(old.where(F.col("live") & (F.col("batch") < batch)).select(minus))
             deltas = signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
@@ -146,8 +155,8 @@ class RollupStore:
             last, known, entries = self._log()
             if batch in known:
                 return False
-        if len(entries) >= self.snapshot_every:
-            self.snapshot()
+        if len(entries) >= self.snapshot_every and self.snapshot():
+            self.vacuum()
         return True
 
     def snapshot(self) -> bool:
@@ -160,6 +169,26 @@ class RollupStore:
         sums.where("docs <> 0 OR tokens <> 0").coalesce(1).write.parquet(self._at("deltas", folder))
         return self._append(last + 1, {"batches": known, "folder": folder})
 
+    def vacuum(self, keep: int = 1, grace_seconds: int = GRACE_SECONDS) -> int:
+        """Delete the tables that no reader starts from: those before the last snapshots (keep besides the newest), and those of attempts that were lost; the number of folders.
+
+        Only what is older than grace_seconds goes, so that readers and commits that are under way keep what they have listed.
+        """
+        needed, snapshots = set(), 0
+        for number in range(self._log()[0], 0, -1):
+            entry = self._entry(number)
+            needed.add(entry["folder"])
+            snapshots += "batches" in entry
+            if snapshots > keep:
+                break
+        gone, before = 0, int(time.time() * 1000) - grace_seconds * 1000
+        for name in ("ledger", "deltas"):
+            path = self._path(name)
+            for f in self._fs.listStatus(path) if self._fs.exists(path) else []:
+                if f.getPath().getName() not in needed and f.getModificationTime() <= before:
+                    gone += bool(self._fs.delete(f.getPath(), True))
+        return gone
+
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens): the sums of all deltas; keys that have no document any more are left out."""
         sums = self._read("deltas", _DELTAS, self._log()[2]).groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))

@@ -126,3 +126,40 @@ def test_pieces_of_a_tokenizer_are_a_version_like_any_other(spark, make_docs, tm
     assert totals(store) == {("src0", "en", "piece-32k"): (len(ODD), sum(len(model.encode(t or "", add_eos=True)) for t in ODD))}
     store.remove()
     assert store.batches() == []
+
+
+def folders(path, name):
+    return sorted(p.name for p in (path / "s" / name).iterdir() if p.is_dir())
+
+
+def test_superseded_tables_and_those_of_lost_attempts_go(spark, tmp_path):
+    store = RollupStore(spark, str(tmp_path / "s"), snapshot_every=4)
+    event = lambda k: spark.createDataFrame([(k % 5, "insert", "a", "en", "v", k, 0)], EVENT)
+    event(1).select("doc_id").write.parquet(str(tmp_path / "s/ledger/7-lost"))
+    for k in range(1, 13):
+        assert store.commit(k, event(k))
+    before, kept = totals(store), folders(tmp_path, "ledger")
+    assert len(kept) > 12 and store.vacuum() == 0  # nothing is old enough
+    under_way = store.totals()  # lists the newest tables
+    gone = store.vacuum(grace_seconds=0)
+    left = folders(tmp_path, "ledger")
+    assert gone > 0 and len(left) < 10 and "7-lost" not in left and len(folders(tmp_path, "deltas")) == len(left)
+    assert totals(store) == before == {("a", "en", "v"): (5, sum(range(8, 13)))}
+    assert under_way.count() == 1
+    assert store.commit(13, event(13)) and not store.commit(5, event(5)) and store.commit(0, event(99))
+    assert totals(store) == {("a", "en", "v"): (5, 9 + 10 + 11 + 12 + 13)}
+    assert store.vacuum(keep=0, grace_seconds=0) > 0 and totals(store) == {("a", "en", "v"): (5, 55)}
+
+
+def test_few_and_many_ids_give_the_same(spark, tmp_path, monkeypatch):
+    from shroudline.llm import rollups
+
+    def run(name):
+        rng, store = random.Random(3), RollupStore(spark, str(tmp_path / name))
+        for batch in rng.sample(range(1, 5), 4):
+            store.commit(batch, spark.createDataFrame([(rng.randrange(20), rng.choice(rollups.OPERATIONS), rng.choice("ab"), "en", rng.choice("vw"), rng.randint(1, 9), 0) for _ in range(12)], EVENT))
+        return totals(store)
+
+    few = run("few")
+    monkeypatch.setattr(rollups, "FEW_IDS", 0)
+    assert few == run("many") and few
