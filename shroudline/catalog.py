@@ -156,6 +156,16 @@ def findings_all_rules(spark, sf_dir):
     return longs(_found(spark, sf_dir).drop("seq"))
 
 
+#: A pack of 676 patterns: words of two letters and an ending.
+ENDINGS = rulepacks.RulePack("endings", "Endings", "Words of two letters and an ending", 1, tuple(rulepacks.Category(a + b, a + b, "regex", "low", rf"(?<!\S){a}{b}ing(?:s|ly)?(?!\S)") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"))
+
+
+@query("SELECT doc_id, page, idx AS word_start, idx AS word_end, substr(text, 1, 2) AS kind FROM words WHERE regexp_full_match(text, '[a-z][a-z]ing(s|ly)?')", ("words",))
+def findings_large_pack(spark, sf_dir):
+    """Findings of a pack of hundreds of patterns, of which an index chooses those to run on each page."""
+    return longs(rules.regex_findings(_pages(spark, sf_dir), ENDINGS).select("doc_id", "page", "word_start", "word_end", "kind"))
+
+
 @query("SELECT kind, confidence, count(*) AS n_findings, count(DISTINCT doc_id) AS n_documents FROM found GROUP BY kind, confidence", BASE)
 def findings_by_kind(spark, sf_dir):
     return _found(spark, sf_dir).groupBy("kind", "confidence").agg(F.count("*").alias("n_findings"), F.count_distinct("doc_id").alias("n_documents"))

@@ -63,6 +63,57 @@ def test_findings_equal_the_patterns(pages_of):
     assert {r["source"] for r in rows} == {"rules:pii-en"} and {r["confidence"] for r in rows} == {"high", "medium"}
 
 
+@pytest.mark.parametrize(
+    "pattern, literal",
+    [
+        (r"abc", "abc"), (r"\babcd\b", "abcd"), (r"a+bcd", "bcd"), (r"abcd?ef", "abc"), (r"abc|d", None), (r"(?:abc|def)ghi", "ghi"), (r"[abc]xyz[^]]uvwxy", "uvwxy"), (r"a\.b\.c", "a.b.c"), (r"(?i)abcdef", None),
+        (r"\d{3}-\d{2}", None), (r"abc{2}def", "abc"), (r"abc{0,2}def", "def"), (r"abc*defg", "defg"), (r"x(a(b)[)]c)yzyz", "yzyz"), (r"(?<!\S)kking(?:s|ly)?(?!\S)", "kking"), (r"ab", None), (r"abc+?defg", "defg"), (r"\(tel\)", "(tel)"),
+    ],
+)
+def test_literals_that_matches_must_hold(pattern, literal):
+    assert rules.required_literal(pattern) == literal
+
+
+def test_many_patterns_give_what_few_give(spark, pages_of, monkeypatch):
+    texts = ["mail a@bc.de or 123-45-6789 or b@cd.ef", "call +1 (743) 555-3824 or 743-555-3824, iban DE89 3704 0044 0532 0130 00 end", "abc xabcx  abcabc 🙂 abc", "", "no match"]
+    more = tuple(rulepacks.Category(f"c{i}", "c", "regex", "low", p) for i, p in enumerate([r"abc", r"\w*abc\w*", r"a b|c", r"or \d+", r"zzz+", r"(?:x|y)abc"]))
+    pack = rulepacks.RulePack("p", "p", "p", 1, (*PACK.categories, *more))
+    few = sorted(map(tuple, rules.regex_findings(pages_of(*texts), pack).collect()))
+    monkeypatch.setattr(rules, "MANY", 1)
+    assert sorted(map(tuple, rules.regex_findings(pages_of(*texts), pack).collect())) == few and len(few) > 10
+
+
+def test_hundreds_of_patterns_cost_little_more_than_a_few():
+    import random
+    import time
+
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(60_000))
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    cats = [(i, rulepacks.Category(w, w, "regex", "low", rf"\b{w}(?:s|ly)?\b")) for i, w in enumerate(words)]
+
+    def seconds(some):
+        index = rules.PatternIndex(some)
+        began = time.process_time()
+        for _ in range(3):
+            found = index.found(text)
+        return time.process_time() - began, found
+
+    few, many = seconds(cats[:4]), seconds(cats)
+    assert len(many[1]) > len(few[1]) and len(rules.PatternIndex(cats).chosen(text[:300])) < 5
+    whole = [(m.start(), i) for i, c in cats for m in re.finditer(c.pattern, text)]
+    assert len(many[1]) == len(whole)
+    short = text[:3000]  # a page: few of the literals are there
+    a, b = rules.PatternIndex(cats[:4]), rules.PatternIndex(cats)
+    timed = []
+    for index in (a, b):
+        began = time.process_time()
+        for k in range(200):
+            index.found(short)
+        timed.append(time.process_time() - began)
+    assert timed[1] < 3 * timed[0] + 0.05
+
+
 def test_packs():
     assert rulepacks.load("pii") is rulepacks.load("pii-en")
     with pytest.raises(KeyError):
