@@ -106,7 +106,7 @@ def _page_hashes(column: str) -> Column:
 
 def run(
     pages: DataFrame, found: DataFrame | RulePack, metadata: DataFrame | None = None, rects: DataFrame | None = None, ts: str = EPOCH, include_text: bool = False, *,
-    provider: str = "none", model: str = "none", rule_names: tuple[str, ...] | None = None, instructions: tuple[str, ...] = (), selection: str | None = None, calls: DataFrame | None = None, decomposed: DataFrame | None = None,
+    provider: str = "none", model: str = "none", rule_names: tuple[str, ...] | None = None, instructions: tuple[str, ...] = (), selection: str | None = None, calls: DataFrame | None = None, decomposed: DataFrame | None = None, inputs: DataFrame | None = None,
 ) -> Result:
     """Redact the pages, verify what comes out, and make the audit lines (session_id, ord, value).
 
@@ -114,7 +114,9 @@ def run(
     (rects) are tested on the redacted pages: pages may have a column of that name, or rects is a table.
     The metadata of a document are cleared as its pages are redacted; the verification looks at the cleared ones.
     calls are the records of model calls (providers.call_records, with cost_usd if known); decomposed is
-    (source, detail, rules) of the instructions. A document is a session of its own.
+    (source, detail, rules) of the instructions. A document is a session of its own. inputs (doc_id, sha256, size)
+    are the hashes and sizes of the files that documents come from (sources.blocks.content_hashes); where there are
+    none, a document's hash is that of the hashes of its pages' texts.
     A document that fails the verification keeps its report and its audit lines, which list the leaks, but its pages are
     not among the result's. Documents without findings have no audit lines.
     """
@@ -144,6 +146,8 @@ def run(
     per_doc = record.groupBy("doc_id").agg(
         F.sum(F.size("found")).alias("n"), F.count("*").alias("n_pages"), F.sum("n_bytes").alias("n_bytes"), _page_hashes("before_sha256").alias("before"), _page_hashes("after_sha256").alias("after")
     )
+    if inputs is not None:
+        per_doc = per_doc.join(inputs.select("doc_id", "sha256", "size"), "doc_id", "left").withColumns({"before": F.coalesce("sha256", "before"), "n_bytes": F.coalesce("size", "n_bytes")}).drop("sha256", "size")
     listed = F.array_sort(F.collect_list(F.struct("page", "kind", "detail")))
     sessions = per_doc.where("n > 0").join(report, "doc_id").join(leaks.groupBy("doc_id").agg(listed.alias("leaks")), "doc_id", "left")
     names = ("tokens_in", "tokens_out", "duration_ms")
