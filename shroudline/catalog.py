@@ -178,13 +178,15 @@ LITERALS = (
     "call +1 555 123 4567, (555)123-4567 or 555.123.4567x; mail a.b@c.de.",
     "FR14 2004 1010 0505 0001 3M02 606 987-65-4321 x@y.org 555 123 4567",
 )
-CTES["literals"] = "documents(doc_id, text) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(LITERALS)) + ")"
+CTES["literals"] = "documents AS (SELECT doc_id, CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(LITERALS)) + " END || ' ' || coalesce(lang, '') AS text FROM documents)"
 
 
 @query("SELECT doc_id, page, word_start, word_end, kind, array_to_string(ws[word_start+1:word_end+1], ' ') AS text FROM found f JOIN pg USING (doc_id, page)", ("literals", *BASE))
 def findings_in_literals(spark, sf_dir):
-    """Social security numbers, bank accounts, and matches over several words."""
-    docs = spark.createDataFrame(list(enumerate(LITERALS)), "doc_id long, text string")
+    """Social security numbers, bank accounts, and matches over several words, in place of the documents' texts."""
+    k = F.col("doc_id") % 4
+    text = F.coalesce(*[F.when(k == i, t) for i, t in enumerate(LITERALS)])
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(text, F.lit(" "), F.coalesce("lang", F.lit(""))).alias("text"))
     rows = rules.regex_findings(corpus.paginate(docs, "doc_id", F.col("text")), PACK, with_words=True)
     return longs(rows.select("doc_id", "page", "word_start", "word_end", "kind", fnd.text_of(fnd.covered()).alias("text")))
 
@@ -404,16 +406,32 @@ def batch_labels(spark, sf_dir):
     return longs(rows.select("doc_id", "batch_idx", tx.page_range_label(F.col("pages")).alias("label")))
 
 
-@query("""SELECT * FROM (VALUES (0::BIGINT, 'large', 'person_name,street_address', 'names of judges'), (1, 'large', 'person_name,street_address', 'dates of birth')) t(ord, model, category_ids, instructions)""")
+# The sources of the documents as categories, of which every fourth has a pattern; the languages as instructions.
+CTES["planned"] = """cats AS (SELECT min(doc_id) AS ord, source AS id, CASE min(doc_id) % 3 WHEN 1 THEN 'small' WHEN 2 THEN 'medium' ELSE 'large' END AS model FROM documents WHERE source IS NOT NULL GROUP BY source HAVING min(doc_id) % 4 <> 3),
+asks AS (SELECT min(doc_id) AS ord, lang AS text FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+per_model AS (SELECT min(ord) AS first, model, string_agg(id, ',' ORDER BY ord) AS category_ids FROM cats GROUP BY model)"""
+
+
+def _planned(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    k = F.col("ord")
+    cats = docs.where("source IS NOT NULL").groupBy(F.col("source").alias("id")).agg(F.min("doc_id").alias("ord"))
+    cats = cats.select("ord", "id", F.when(k % 4 == 3, "regex").otherwise("llm").alias("detection"), F.when(k % 3 == 1, "small").when(k % 3 == 2, "medium").alias("model"))
+    return cats, docs.where("lang IS NOT NULL").groupBy(F.col("lang").alias("text")).agg(F.min("doc_id").alias("ord"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, 'large' AS model, coalesce((SELECT category_ids FROM per_model ORDER BY first LIMIT 1), '') AS category_ids, text AS instructions FROM asks""", ("planned",))
 def joint_submissions(spark, sf_dir):
-    rows = planning.joint_submissions(_own_categories(spark), _asked(spark), "large")
+    """The older plan: the categories of the first model ride with each instruction."""
+    rows = planning.joint_submissions(*_planned(spark, sf_dir), "large")
     return longs(rows.select("ord", "model", F.array_join("category_ids", ",").alias("category_ids"), F.array_join("instructions", ",").alias("instructions")))
 
 
-@query("""SELECT * FROM (VALUES (0::BIGINT, 'large', 'street_address'), (1, 'small', 'case_no')) t(ord, model, category_ids)""")
+@query("""SELECT row_number() OVER (ORDER BY min(ord)) - 1 AS ord, model, string_agg(id, ',' ORDER BY ord) AS category_ids FROM cats WHERE id IN ('src0', 'src2', 'src3', 'src5', 'unknown') GROUP BY model""", ("planned",))
 def active_submissions(spark, sf_dir):
     """Submissions of the categories that a run has switched on."""
-    rows = planning.submissions(_own_categories(spark), _asked(spark).limit(0), "large", active=["case_no", "street_address", "unknown"])
+    categories, instructions_ = _planned(spark, sf_dir)
+    rows = planning.submissions(categories, instructions_.limit(0), "large", active=["src0", "src2", "src3", "src5", "unknown"])
     return longs(rows.select("ord", "model", F.array_join("category_ids", ",").alias("category_ids")))
 
 
@@ -430,9 +448,12 @@ def _submissions(spark) -> DataFrame:
     return planning.submissions(_own_categories(spark), _asked(spark), "large")
 
 
-@query("""SELECT * FROM (VALUES (0::BIGINT, 'large', 'person_name,street_address', ''), (1, 'small', 'case_no', ''), (2, 'large', '', 'names of judges'), (3, 'large', '', 'dates of birth')) t(ord, model, category_ids, instructions)""")
+@query("""SELECT row_number() OVER (ORDER BY part, first) - 1 AS ord, model, category_ids, instructions
+FROM (SELECT 0 AS part, first, model, category_ids, '' AS instructions FROM per_model UNION ALL SELECT 1, ord, 'large', '', text FROM asks)""", ("planned",))
 def submissions_by_model(spark, sf_dir):
-    return longs(_submissions(spark).select("ord", "model", F.array_join("category_ids", ",").alias("category_ids"), F.array_join("instructions", ",").alias("instructions")))
+    """A submission for each model that categories name, then one for each instruction."""
+    rows = planning.submissions(*_planned(spark, sf_dir), "large")
+    return longs(rows.select("ord", "model", F.array_join("category_ids", ",").alias("category_ids"), F.array_join("instructions", ",").alias("instructions")))
 
 
 _TREE = r"""WITH RECURSIVE sizes AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\f\r]+')) AS n_words FROM documents),

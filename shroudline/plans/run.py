@@ -208,7 +208,9 @@ def undo(pages: DataFrame, events: DataFrame, **selector) -> DataFrame:
 
 
 def _taken_back(events: DataFrame, selector: dict) -> tuple[DataFrame, DataFrame]:
-    found = replay.applied(events)
+    """The applied findings, read from the log once, and those that the selector takes back."""
+    ensure_checkpoint_dir(events.sparkSession)
+    found = replay.applied(events).checkpoint()
     if "selectors" in selector:
         return found, replay.exclusions_of(found, selector["selectors"])
     return found, replay.exclusions(found, **selector) if selector else found.select("session_key", "ordinal")
