@@ -258,7 +258,11 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
 
 
 def reject_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is under the threshold; columns unchanged."""
+    """The rows of docs whose score is under the threshold; columns unchanged.
+
+    Cases: null and empty texts have no match and stay, as do all rows where nothing was learned; repeated rows
+    and rows without an id are judged by their texts alone; an empty table gives no rows.
+    """
     at = docs.columns.index(text_col)
 
     def make():
