@@ -106,3 +106,61 @@ def test_another_rate_gives_nearly_the_same(spark):
     fast = np.repeat(pcm, 4)
     a, b = (np.array(chroma.fingerprint(x, r)[0], np.int32) for x, r in ((pcm, chroma.RATE), (fast, 4 * chroma.RATE)))
     assert chroma.bit_error(a, b, 0)[0] < 0.05
+
+
+def brute_votes(table, min_votes=chroma.MIN_VOTES):
+    """Best offset and votes of every pair of the recordings (id: (fp, loud)), every meeting counted by itself."""
+    looked = {i: chroma.looked_up(np.array(fp), np.array(loud)) for i, (fp, loud) in table.items()}
+    out = {}
+    for q in table:
+        for r in table:
+            votes = {}
+            for a in looked[q]:
+                for b in looked[r]:
+                    if table[q][0][a] == table[r][0][b]:
+                        votes[b - a] = votes.get(b - a, 0) + 1
+            best = max(((n, -abs(o), o) for o, n in votes.items() if n >= min_votes), default=None)
+            if best:
+                out[q, r] = (best[2], best[0])
+    return out
+
+
+def scattered(seed=5, pairs=8, windows=60):
+    """Pairs of recordings that agree in every fifth integer, all of them common, and differ by a few bits between."""
+    rng, table = np.random.default_rng(seed), {}
+    for i in range(pairs):
+        fp = rng.integers(0, 1 << 30, windows)
+        fp[::5] = rng.integers(0, 2, len(fp[::5]))
+        other = np.where(np.arange(windows) % 5 == 0, fp, fp ^ (1 << rng.integers(0, 30, windows)))
+        table |= {2 * i: ([int(x) for x in fp], [True] * windows), 2 * i + 1: ([int(x) for x in other], [True] * windows)}
+    return table
+
+
+def test_votes_of_common_integers_are_all_counted(spark):
+    table = scattered()
+    # Recordings in which the two integers are as common as in the others, so that the list of each has over LONG_LIST windows.
+    rng = np.random.default_rng(6)
+    table |= {100 + i: ([int(x) for x in np.where(np.arange(60) % 2, rng.integers(0, 2, 60), rng.integers(0, 1 << 30, 60))], [True] * 60) for i in range(30)}
+    assert min(sum(fp[p] == x for fp, loud in table.values() for p in chroma.looked_up(np.array(fp), np.array(loud))) for x in (0, 1)) > chroma.LONG_LIST
+    fps = spark.createDataFrame([(i, *row) for i, row in table.items()], "id long, fp array<int>, loud array<boolean>")
+    classes = chroma._classes(fps)
+    want = brute_votes(table)
+    for block in (chroma.BLOCK, 100):
+        assert {(r["q"], r["rep"]): (r["offset"], r["votes"]) for r in chroma.exact_votes(classes, classes, chroma.MIN_VOTES, block).collect()} == want
+    found = {(r["query_id"], r["match_id"]) for r in chroma.align(fps, fps.where("id < 16")).collect()}
+    assert {(i, i ^ 1) for i in range(16)} <= found
+    errors = {p: chroma.bit_error(*(np.array(table[i][0], np.int32) for i in p), want[p][0]) for p in want if p[0] < 16}
+    assert found == {p for p, (error, n) in errors.items() if n >= chroma.MIN_OVERLAP and error <= chroma.MAX_BIT_ERROR}
+    # The bounded way loses pairs whose neighbouring integers differ.
+    assert len(chroma.align(fps, fps.where("id < 16"), long_list=chroma.LONG_LIST).collect()) < len(found)
+
+
+def test_meetings_are_counted_in_steps_of_any_size():
+    table = scattered(7, 5, 40) | {50: ([3] * 400, [True] * 400), 51: ([3] * 300 + [0, 1] * 20, [True] * 340)}
+    want = brute_votes(table)
+    names = sorted(table)
+    windows = [np.array(x) for x in zip(*((names.index(i), p, table[i][0][p]) for i in names for p in chroma.looked_up(np.array(table[i][0]), np.array(table[i][1]))))]
+    for step in (chroma.STEP, 500, 7, 1):
+        got = chroma.best_offsets(chroma.by_integer(*windows), windows, chroma.MIN_VOTES, step)
+        assert {(names[q], names[r]): (o, n) for q, r, o, n in zip(*(x.tolist() for x in got))} == want
+    assert not len(chroma.best_offsets(chroma.by_integer(*[x[:0] for x in windows]), windows, 3)[0]) and not len(chroma.best_offsets(chroma.by_integer(*windows), [x[:0] for x in windows], 3)[0])
