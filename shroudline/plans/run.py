@@ -26,7 +26,8 @@ class Result:
     """findings, report, leaks and events come from one checkpointed pass over the pages; pages are redacted when they are read.
 
     pages and metadata are those of the documents that pass; staged are all redacted pages, with what
-    the verification found on each (leaks), as sources.gate writes them.
+    the verification found on each (leaks), as sources.gate writes them. cleared is what the verification would
+    have found in the metadata had they not been cleared.
     """
 
     findings: DataFrame
@@ -36,6 +37,7 @@ class Result:
     leaks: DataFrame
     staged: DataFrame
     metadata: DataFrame | None
+    cleared: DataFrame | None = None
 
 
 def detect(pages: DataFrame, pack: RulePack, selection: str | None = None, provider: providers.Provider | None = None, submissions: DataFrame | None = None, **options) -> DataFrame:
@@ -186,7 +188,7 @@ def run(
     if calls is not None:
         rows = calls.join(begun, "doc_id", "left_semi").select(key, (F.lit(CALLS) + F.col("chunk_idx")).cast("long").alias("ord"), audit.call_line(ts).alias("value"))
         events = events.unionByName(rows)
-    return Result(findings, good, report, events, leaks, staged, passed_metadata)
+    return Result(findings, good, report, events, leaks, staged, passed_metadata, None if metadata is None else redaction.metadata_leaks(metadata))
 
 
 def _selected(selection: str) -> Column:

@@ -41,3 +41,19 @@ def test_query(name, spark, sql):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_run_reads_the_metadata_that_it_clears(spark, sql, tmp_path):
+    """Metadata of the input don't fail a document, but a run counts them, and its SQL does."""
+    ours = {r["doc_id"]: r for r in catalog.QUERIES["run_rules"](spark, DATA).collect()}
+    held = {}
+    for r in catalog.QUERIES["metadata_leaks"](spark, DATA).collect():
+        held[r["doc_id"]] = held.get(r["doc_id"], 0) + 1
+    assert {k: r["n_cleared"] for k, r in ours.items()} == {k: held.get(k, 0) for k in ours} and any(r["n_cleared"] and r["passed"] and r["n_words"] for r in ours.values())
+    # Texts of white space of any kind as metadata, nulls and ids that repeat: the same as the SQL.
+    docs = [(0, " \u00a0\u2003\n", "a"), (7, "\u00a0\x0b\x85", "\u3000"), (14, "\u00a0 x", None), (21, None, "a"), (35, "mail a@bc.de", "s"), (35, "mail a@bc.de", "s"), (70, "", " ")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("doc_id", "text", "'en' AS lang", "source", "length(text) AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = catalog.QUERIES["run_rules"](spark, str(tmp_path)).select("doc_id", "n_cleared").toPandas(), con.sql(catalog.ORACLE_SQL["run_rules"]).df()[["doc_id", "n_cleared"]]
+    assert rows(got) == rows(want) and len(got) > 2
