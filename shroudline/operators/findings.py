@@ -88,20 +88,35 @@ def _int(c: Column) -> Column:
     )
 
 
-def _items(answers: DataFrame, page_sizes: DataFrame, source: Column) -> DataFrame:
-    """The items of model answers with a flag: ok where they are findings on a known page."""
+def _typed(answers: DataFrame, source: Column, *keep: str) -> DataFrame:
+    """The items of model answers with numbers as numbers, and the answers' columns to keep."""
     item = "struct<page:string,start:string,end:string,kind:string,confidence:string>"
-    items = answers.select("doc_id", F.posexplode(F.from_json("payload", f"findings array<{item}>")["findings"]).alias("seq", "i"))
+    items = answers.select("doc_id", *keep, F.posexplode(F.from_json("payload", f"findings array<{item}>")["findings"]).alias("seq", "i"))
     known = F.col("i.confidence").isin(*RANKS)
-    typed = items.select(
-        "doc_id", _int(F.col("i.page")).alias("page"), _int(F.col("i.start")).alias("word_start"), _int(F.col("i.end")).alias("word_end"),
+    return items.select(
+        "doc_id", *keep, _int(F.col("i.page")).alias("page"), _int(F.col("i.start")).alias("word_start"), _int(F.col("i.end")).alias("word_end"),
         F.col("i.kind").alias("kind"), F.when(known, F.col("i.confidence")).otherwise("medium").alias("confidence"), source.alias("source"), F.col("seq").cast("long").alias("seq"),
     )
-    sized = typed.join(page_sizes, ["doc_id", "page"], "left")
+
+
+def _judged(sized: DataFrame) -> DataFrame:
+    """Items whose page has n_words, null where it is unknown, with a flag: ok where they are findings on a known page."""
     whole = F.col("kind").isNotNull() & (F.col("word_start") >= 0) & (F.col("word_start") <= F.col("word_end")) & (F.col("word_end") < F.col("n_words"))
     return sized.withColumn("ok", F.coalesce(whole, F.lit(False))).drop("n_words")
 
 
+def _items(answers: DataFrame, page_sizes: DataFrame, source: Column) -> DataFrame:
+    """The items of model answers with a flag: ok where they are findings on a known page."""
+    return _judged(_typed(answers, source).join(page_sizes, ["doc_id", "page"], "left"))
+
+
+def parse_own_pages(answers: DataFrame, source: Column) -> DataFrame:
+    """parse_payloads of answers that carry their pages and, in the same order, how many words these have (sizes): nothing is joined."""
+    rows = _typed(answers, source, "pages", "sizes")
+    n = F.get("sizes", F.array_position("pages", F.col("page")).cast("int") - 1)
+    return _judged(rows.withColumn("n_words", n).drop("pages", "sizes")).where("ok").drop("ok")
+
+
 def parse_payloads(answers: DataFrame, page_sizes: DataFrame, source: Column) -> DataFrame:
     """Findings of model answers (doc_id, payload JSON {"findings": [...]}); page_sizes (doc_id, page, n_words).
 

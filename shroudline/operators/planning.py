@@ -11,12 +11,12 @@ from ..functions.checkpoints import ensure_checkpoint_dir
 OVERLAP = 50
 
 
-def batches(pages: DataFrame, size: int) -> DataFrame:
-    """(doc_id, page, batch_idx): consecutive groups of size of a document's pages, in page order."""
+def batches(pages: DataFrame, size: int, *keep: str) -> DataFrame:
+    """(doc_id, page, batch_idx) and the columns to keep: consecutive groups of size of a document's pages, in page order."""
     if size < 1:
         raise ValueError(f"a batch has one page at least, not {size}")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
-    return pages.select("doc_id", "page", F.floor((nth - 1) / size).cast("int").alias("batch_idx"))
+    return pages.select("doc_id", "page", F.floor((nth - 1) / size).cast("int").alias("batch_idx"), *keep)
 
 
 def submissions(categories: DataFrame, instructions: DataFrame, default_model: str, active: list[str] | None = None) -> DataFrame:

@@ -15,15 +15,16 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from operator import add
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checkpoints import ensure_checkpoint_dir
+from ..functions.checkpoints import written
 from ..functions.stores import AnswerStore
 from ..functions.text import READ_SECONDS, document_block, serialize_blocks, serialize_flat, static_prefix, system_text
-from .findings import dedupe, parse_payloads, translate
+from .findings import dedupe, parse_own_pages, translate
 from .planning import OVERLAP, batches
 from .selection import slice_words
 
@@ -133,22 +134,82 @@ def with_contents(items: DataFrame, pages: DataFrame) -> DataFrame:
     return back.select(*key, static_prefix(F.col("category_ids"), F.col("instructions"), SCHEMA_HINT).alias("prefix"), "contents")
 
 
-def document(contents: list[dict], w0: int | None = None, w1: int | None = None, layout_aware: bool = False) -> str:
-    """The text of pages in a prompt, as with_prompts gives it; a range of words of one page is numbered from 0."""
-    shown = []
-    for page in contents:
-        words, blocks = (list(page[c][w0:w1]) for c in ("text", "block_id"))
+#: Stands between the words of a page where it is in none of them.
+SEPARATOR = "\x1f"
+
+
+def gathered(pages: DataFrame, pages_per_batch: int, with_blocks: bool = False) -> DataFrame:
+    """(doc_id, batch_idx, contents) of each batch: pages in order, their words as one text (joined), or as they are (texts) where a word holds the separator or is null, and their blocks if asked for.
+
+    Texts are shuffled once, whatever the number of submissions; nothing is joined.
+    """
+    words = F.transform("words", lambda w: w["text"])
+    blocks = F.transform("words", lambda w: w["block_id"]) if with_blocks else F.lit(None).cast("array<int>")
+    rows = pages.select("doc_id", "page", F.array_join(words, SEPARATOR).alias("joined"), "words")
+    plain = F.length("joined") - F.length(F.replace("joined", F.lit(SEPARATOR), F.lit(""))) == F.size("words") - 1
+    slim = rows.select("doc_id", "page", F.when(plain, F.col("joined")).alias("joined"), F.when(~plain, words).alias("texts"), blocks.alias("blocks"))
+    page = F.struct("page", "joined", "texts", "blocks")
+    return batches(slim, pages_per_batch, "joined", "texts", "blocks").groupBy("doc_id", "batch_idx").agg(F.array_sort(F.collect_list(page)).alias("contents"))
+
+
+_NUMBERS: list[str] = []
+
+
+def _shown(number: int, words: list[str], blocks: list[int] | None) -> str:
+    """A page in its tag, the words numbered from 0; with a tag for each run of words of one block if there are blocks."""
+    while len(_NUMBERS) < len(words):
+        _NUMBERS.append(f"[{len(_NUMBERS)}]")
+    numbered = map(add, _NUMBERS, words)
+    if blocks is None:
+        body = " ".join(numbered)
+    else:
         pieces = []
-        for i, word in enumerate(words):
-            opens = layout_aware and (i == 0 or blocks[i] != blocks[i - 1])
+        for i, word in enumerate(numbered):
+            opens = i == 0 or blocks[i] != blocks[i - 1]
             tag = f'<block id="{blocks[i]}">' if opens else ""
-            pieces.append(("</block>\n" if i else "") + tag if opens else " " if i else "")
-            pieces.append(f"[{i}]{word}")
-        body = "".join(pieces) + ("</block>" if layout_aware and words else "")
-        shown.append(f'<page n="{page["page"]}">\n{body}\n</page>')
+            pieces.append(("</block>\n" if i else "") + tag if opens else " ")
+            pieces.append(word)
+        body = "".join(pieces) + ("</block>" if words else "")
+    return f'<page n="{number}">\n{body}\n</page>'
+
+
+def document(contents: list[dict], w0: int | None = None, w1: int | None = None, layout_aware: bool = False) -> str:
+    """The text of pages in a prompt, as with_prompts gives it; a range of words of one page is numbered from 0."""
+    shown = [_shown(page["page"], list(map(str, page["text"][w0:w1])), list(page["block_id"][w0:w1]) if layout_aware else None) for page in contents]
     return "<document>\n" + "\n".join(shown) + "\n</document>"
 
 
+class Item:
+    """The pages of a batch in a task, and the documents of its parts, each made once for all submissions."""
+
+    def __init__(self, contents: list[dict], layout_aware: bool):
+        self.pages = [int(p["page"]) for p in contents]
+        self.words = [p["joined"].split(SEPARATOR) if p["joined"] is not None else list(map(str, p["texts"])) for p in contents]
+        self.blocks = [p["blocks"] if layout_aware else None for p in contents]
+        self.sizes = list(map(len, self.words))
+        self._whole: dict[int, str] = {}
+        self._made: dict[tuple, tuple[str, bytes, bytes]] = {}
+
+    def _page(self, i: int, w0: int | None, w1: int | None) -> str:
+        if (w0 or 0, self.sizes[i] if w1 is None else w1) != (0, self.sizes[i]):
+            return _shown(self.pages[i], self.words[i][w0:w1], self.blocks[i] and self.blocks[i][w0:w1])
+        if i not in self._whole:
+            self._whole[i] = _shown(self.pages[i], self.words[i], self.blocks[i])
+        return self._whole[i]
+
+    def document(self, part: Part) -> tuple[str, bytes, bytes]:
+        """The document of a part, its bytes, and those of its JSON without the first quote."""
+        key = (part.first, part.last, part.w0, part.w1)
+        if key not in self._made:
+            text = "<document>\n" + "\n".join(self._page(i, part.w0, part.w1) for i in range(part.first, part.last)) + "\n</document>"
+            self._made[key] = text, text.encode(), json.dumps(text)[1:].encode()
+        return self._made[key]
+
+    def whole(self) -> Part:
+        """All of it; one page alone carries its range of words."""
+        return Part("", 0, len(self.pages), *((0, self.sizes[0]) if len(self.pages) == 1 else (None, None)))
+
+
 @dataclass(frozen=True)
 class Part:
     """A part of an item: pages from first to last, or words w0 to w1 of one page."""
@@ -187,24 +248,66 @@ CALL = (
 
 ITEM = "doc_id long, batch_idx int, ord int, path string, pages array<int>, w0 int, w1 int, model string, category_ids array<string>, instructions array<string>"
 
+#: What a task writes of a call: sizes are the words of its pages; what all calls of a submission share is added when the calls are read.
+MADE = "doc_id long, batch_idx int, ord int, path string, pages array<int>, sizes array<int>, w0 int, w1 int, " + CALL
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<int>": pa.list_(pa.int32())}
+_names = lambda schema: [c.split()[0] for c in schema.split(", ")]
+
+
+@dataclass(frozen=True)
+class Submission:
+    """What is asked of every batch, with the prefix of its prompts."""
+
+    ord: int
+    model: str
+    category_ids: list[str]
+    instructions: list[str]
+    prefix: str
+
+
+def asked(submissions: DataFrame) -> list[Submission]:
+    """The submissions, as few as a rule pack has models and a user instructions; ValueError if there is none."""
+    rows = submissions.select("ord", "model", "category_ids", "instructions", static_prefix(F.col("category_ids"), F.col("instructions"), SCHEMA_HINT).alias("prefix")).collect()
+    if not rows:
+        raise ValueError("there is no submission")
+    return [Submission(r["ord"], r["model"], list(r["category_ids"]), list(r["instructions"]), r["prefix"]) for r in rows]
+
 
 def call(
-    items: DataFrame, provider: Provider, max_retries: int, parallel: int, *, backoff: float = 1.0, multiplier: float = 2.0, seed: int | None = None, layout_aware: bool = False,
+    batched: DataFrame, plans: list[Submission], provider: Provider, max_retries: int, parallel: int, *, backoff: float = 1.0, multiplier: float = 2.0, seed: int | None = None, layout_aware: bool = False,
     max_levels: int | None = None, store: AnswerStore | None = None, run_id: str = "",
 ) -> DataFrame:
-    """Call the provider for each item (with_contents), again up to max_retries times where it gives None, waiting longer each time; parallel tasks call at once at most.
+    """Call the provider for each batch (gathered) and submission, again up to max_retries times where it gives None, waiting longer each time; parallel tasks call at once at most.
 
+    A task makes the calls of all submissions for its batches, so that texts are not multiplied on their way to it.
     What gets no answer is halved in the task, depth first: a row for each answered part, and for each that can't be halved any more
     or has been halved max_levels - 1 times. With a store, an answer is put there as it comes, under a hash of
     all that is asked, and is looked for before a call; what fails counts for the run of run_id only.
     """
     system, pauses = system_text(layout_aware), waits(max_retries, backoff, multiplier)
-    names = [c.split()[0] for c in f"{ITEM}, {CALL}".split(", ")]
+    schema = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in MADE.split(", ")])
+
+    class Hashes:
+        """Of a submission: of the JSON of system, prompt, model and seed, and of system and prompt; a document ends the prompt, and all before it is hashed once."""
+
+        def __init__(self, plan: Submission):
+            self.before, self.after = hashlib.sha256(f"[{json.dumps(system)}, {json.dumps(plan.prefix)[:-1]}".encode()), f", {json.dumps(plan.model)}, {json.dumps(seed)}]".encode()
+            self.plain = hashlib.sha256((system + plan.prefix).encode())
+
+        def key(self, as_json: bytes) -> str:
+            h = self.before.copy()
+            h.update(as_json)
+            h.update(self.after)
+            return h.hexdigest()
+
+        def prompt(self, raw: bytes) -> str:
+            h = self.plain.copy()
+            h.update(raw)
+            return h.hexdigest()
 
     def ask(made: Request) -> tuple[dict | None, int]:
         """The answer, and the attempts that it took."""
-        key = hashlib.sha256(json.dumps([made.system, made.prompt, made.model, made.seed]).encode()).hexdigest()
-        known = store.get(key) if store else None
+        known = store.get(made.key) if store else None
         if known and (known["answer"] is not None or known["run_id"] == run_id):
             return known["answer"], known["attempts"]
         answer = None
@@ -212,51 +315,54 @@ def call(
             if attempt:
                 time.sleep(pauses[attempt - 1])
             try:
-                answer = provider(Request(**{**made.__dict__, "attempt": attempt, "key": key}))
+                answer = provider(Request(**{**made.__dict__, "attempt": attempt}) if attempt else made)
             except Exception:  # noqa: BLE001 - whatever a provider raises, the item was not answered
                 logging.getLogger(__name__).warning("attempt %d failed", attempt + 1, exc_info=True)
             if answer is not None:
                 break
         if store:
             if known:
-                store.drop(key)
-            store.put(key, {"answer": answer, "attempts": attempt + 1, "run_id": run_id})
+                store.drop(made.key)
+            store.put(made.key, {"answer": answer, "attempts": attempt + 1, "run_id": run_id})
         return answer, attempt + 1
 
-    def parts(row) -> Iterator[tuple]:
-        sizes, contents = [len(p["text"]) for p in row.contents], row.contents
-        number = lambda x: None if x is None or x != x else int(x)
-        todo = [Part(row.path, 0, len(contents), number(row.w0), number(row.w1))]
+    def parts(doc_id: int, batch_idx: int, item: Item, plan: Submission, hashes: Hashes) -> Iterator[tuple]:
+        todo = [item.whole()]
         while todo:
             part = todo.pop()
-            text = document(contents[part.first : part.last], part.w0, part.w1, layout_aware)
-            made = Request(text, row.prefix, system, list(row.category_ids), list(row.instructions), row.model, 0, seed)
+            text, raw, as_json = item.document(part)
+            made = Request(text, plan.prefix, system, list(plan.category_ids), list(plan.instructions), plan.model, 0, seed, hashes.key(as_json))
             answer, attempts = ask(made)
-            if answer is None and (max_levels is None or len(part.path) - len(row.path) + 1 < max_levels):
-                if halves := part.halves(sizes):
+            if answer is None and (max_levels is None or len(part.path) + 1 < max_levels):
+                if halves := part.halves(item.sizes):
                     todo += reversed(halves)
                     continue
             got = answer or {}
             payload = str(got.get("payload", ""))
-            pages = [int(p["page"]) for p in contents[part.first : part.last]]
+            print_ = got.get("system_fingerprint")
             yield (
-                row.doc_id, row.batch_idx, row.ord, part.path, pages, part.w0, part.w1, row.model, list(row.category_ids), list(row.instructions),
-                payload, answer is not None, attempts, float(got.get("temperature") or 0.0), bool(got.get("seed_honored", False)), got.get("system_fingerprint"),
-                hashlib.sha256((system + made.prompt).encode()).hexdigest(), hashlib.sha256(payload.encode()).hexdigest(), *[usage(got, c) for c in USAGE],
+                doc_id, batch_idx, plan.ord, part.path, item.pages[part.first : part.last], item.sizes[part.first : part.last], part.w0, part.w1,
+                payload, answer is not None, attempts, float(got.get("temperature") or 0.0), bool(got.get("seed_honored", False)), None if print_ is None else str(print_),
+                hashes.prompt(raw), hashlib.sha256(payload.encode()).hexdigest(), *[usage(got, c) for c in USAGE],
             )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = lambda rows: pd.DataFrame(rows, columns=names).astype({"w0": "Int32", "w1": "Int32"})
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda held: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+        hashed = [(plan, Hashes(plan)) for plan in plans]
         for frame in frames:
             held: list[tuple] = []
-            for row in frame.itertuples(index=False):
-                held += parts(row)
+            for i in range(frame.num_rows):
+                doc_id, batch_idx, contents = (frame.column(c)[i].as_py() for c in ("doc_id", "batch_idx", "contents"))
+                item = Item(contents, layout_aware)
+                for plan, hashes in hashed:
+                    held += parts(doc_id, batch_idx, item, plan, hashes)
                 if len(held) >= 256:
-                    yield made(held)
+                    yield rows(held)
                     held = []
-            yield made(held)
+            if held:
+                yield rows(held)
 
-    return items.repartition(parallel, "doc_id", "batch_idx", "path", "ord").mapInPandas(run, f"{ITEM}, {CALL}")
+    return batched.repartition(parallel, "doc_id", "batch_idx").mapInArrow(run, MADE)
 
 
 def call_records(calls: DataFrame, seed: int | None = None) -> DataFrame:
@@ -272,7 +378,7 @@ def detect(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, calls, failed) of a provider over all pages and submissions.
 
-    All calls are one job. Answers are written to the checkpoint folder before anything reads them; with a
+    All calls are one job. Answers are written to the checkpoint folder, as Parquet, before anything reads them; with a
     store, a folder that tasks share, a task also puts each answer there as it comes, so that neither the attempt of a
     lost task nor another run makes a call twice. Findings of halves are moved to their page and
     deduplicated within the item that was halved; those of different items or submissions are not.
@@ -280,21 +386,21 @@ def detect(
     failed. Halving goes on until nothing is lost, which the size of the pages bounds; with max_levels, what
     the last level loses counts as failed.
     """
-    ensure_checkpoint_dir(pages.sparkSession)
-    todo = work_items(pages, pages_per_batch, submissions)
+    plans = asked(submissions)
     options = {"backoff": backoff, "multiplier": multiplier, "seed": seed, "layout_aware": layout_aware, "max_levels": max_levels}
-    got = call(with_contents(todo, pages), provider, max_retries, parallel, store=AnswerStore(store) if store else None, run_id=uuid.uuid4().hex, **options).checkpoint()
-    calls, failed = got.where("answered"), got.where("NOT answered").select(*[c.split()[0] for c in ITEM.split(", ")])
+    made = call(gathered(pages, pages_per_batch, layout_aware), plans, provider, max_retries, parallel, store=AnswerStore(store) if store else None, run_id=uuid.uuid4().hex, **options)
+    of = F.create_map(*[x for p in plans for x in (F.lit(p.ord), F.struct(F.lit(p.model).alias("model"), F.lit(p.category_ids).cast("array<string>").alias("category_ids"), F.lit(p.instructions).cast("array<string>").alias("instructions")))])
+    kept = written(made, "calls").select("*", of[F.col("ord")].alias("s")).select("*", "s.*").drop("s")
+    got = kept.select(*_names(ITEM), *_names(CALL))
+    calls, failed = got.where("answered"), got.where("NOT answered").select(*_names(ITEM))
     if strict and (bad := failed.first()):
         raise CallFailed(f"document {bad['doc_id']}, batch {bad['batch_idx']}, pages {bad['pages']}, words {bad['w0']} to {bad['w1']}: no answer in {max_retries + 1} attempts")
-    sizes = pages.select("doc_id", "page", F.size("words").alias("n_words"))
     keys = F.struct("batch_idx", "ord", "path", "w0").alias("item")
     tag = F.when(F.size("category_ids") > 0, F.lit("llm")).otherwise(F.lit("instruction"))
-    answers = calls.select(F.col("doc_id"), "payload", keys, "pages", tag.alias("tag"), F.coalesce(F.col("w1") - F.col("w0"), F.lit(1 << 30)).alias("limit"))
-    item = answers.select(F.struct("doc_id", "item", "tag", "limit").alias("doc_id"), "pages", "payload")
-    # The pages of an item, with the words that it has of them.
-    own = item.select("doc_id", F.col("doc_id.doc_id").alias("d"), F.explode("pages").alias("page")).join(sizes.withColumnRenamed("doc_id", "d"), ["d", "page"])
-    parsed = parse_payloads(item.drop("pages"), own.select("doc_id", "page", F.least("n_words", F.col("doc_id.limit")).alias("n_words")), F.lit(""))
+    # The words that an item has of each of its pages.
+    limit = F.coalesce(F.col("w1") - F.col("w0"), F.lit(1 << 30))
+    answers = kept.where("answered").select(F.struct("doc_id", keys, tag.alias("tag")).alias("doc_id"), "payload", "pages", F.transform("sizes", lambda n: F.least(n, limit)).alias("sizes"))
+    parsed = parse_own_pages(answers, F.lit(""))
     flat = parsed.select("doc_id.*", "page", "word_start", "word_end", "kind", "confidence", "seq").withColumnRenamed("tag", "source")
     moved = translate(flat.withColumn("slice_start", F.col("item.w0"))).select("doc_id", F.col("item.batch_idx").alias("batch_idx"), F.col("item.ord").alias("ord"), F.col("item.path").alias("path"), "page", "word_start", "word_end", "kind", "confidence", "source", "seq")
     ordered = moved.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("batch_idx", "ord", "path", "seq")).cast("long"))

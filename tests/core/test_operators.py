@@ -343,6 +343,55 @@ def test_tasks_make_the_prompts_that_sql_makes(spark, pages_of):
     assert [r["document"] for r in providers.with_prompts(cut, pages).where("doc_id = 0").collect()] == [providers.document(r["contents"], 1, 3) for r in providers.with_contents(cut, pages).where("doc_id = 0").collect()]
 
 
+def shuffled(spark, make):
+    """Bytes that the stages of make() write to shuffles."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        rows = sc.statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (rows.apply(i) for i in range(rows.size()))}
+
+    before = stages()
+    make()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_texts_are_shuffled_once_whatever_the_number_of_submissions(spark, pages_of):
+    """Disk: a batch goes to its task once, not once for each submission, and only with its texts."""
+    pages = pages_of(*[" ".join(f"w{d * 7919 + i * 104729 % 99991}" for i in range(1200)) for d in range(40)])
+    of = lambda n: spark.createDataFrame([(i, "m", [f"s{i}"], []) for i in range(n)], SUBS)
+    answer = lambda request: {"payload": '{"findings": []}'}
+    one, many = (shuffled(spark, lambda: providers.detect(pages, of(n), answer, pages_per_batch=3, parallel=2)[1].count()) for n in (1, 8))
+    n_chars = pages.select(F.sum(F.length(corpus.page_text(F.col("words"))))).first()[0]
+    assert 0 < one < 3 * n_chars and many < 1.2 * one
+
+
+def test_a_batch_is_asked_as_its_prompt_and_key_say(spark, pages_of):
+    """Whatever the words hold: the task's documents are those of with_contents, the key hashes all that is asked, and every submission asks for every batch."""
+
+    def provide(request):
+        import hashlib as h
+        import json as j
+
+        assert request.key == h.sha256(j.dumps([request.system, request.prompt, request.model, request.seed]).encode()).hexdigest()
+        return {"payload": '{"findings": [{"page": 2, "start": 1, "end": 1, "kind": "k"}]}', "system_fingerprint": request.document}
+
+    pages = pages_of("a b\nc \x1f d\x1fe\n\nf 🙂 \"g\" é", "x", "\x1f", page_words=3).withColumn("words", F.when(F.col("doc_id") == 1, F.slice("words", 1, 0)).otherwise(F.col("words")))
+    subs = spark.createDataFrame([(0, "m", ["s"], []), (1, "n", [], ["f\u00fcnd \"it\""])], SUBS)
+    for layout in (False, True):
+        for size in (1, 2):
+            items = providers.with_contents(providers.work_items(pages, size, subs), pages)
+            want = {(r["doc_id"], r["batch_idx"], r["ord"]): providers.document(r["contents"], layout_aware=layout) for r in items.collect()}
+            found, calls, _ = providers.detect(pages, subs, provide, pages_per_batch=size, parallel=2, seed=3, layout_aware=layout)
+            rows = calls.collect()
+            assert {(r["doc_id"], r["batch_idx"], r["ord"]): r["system_fingerprint"] for r in rows} == want and len(rows) == len(want)
+            assert {(r["ord"], r["model"], tuple(r["category_ids"]), tuple(r["instructions"])) for r in rows} == {(0, "m", ("s",), ()), (1, "n", (), ('f\u00fcnd "it"',))}
+            # Only page 2 has a second word, and only the call that has the page may name it.
+            assert sorted((r["doc_id"], r["batch_idx"], r["ord"], r["page"], r["source"]) for r in found.collect()) == [(0, 1 if size == 1 else 0, o, 2, s) for o, s in ((0, "llm"), (1, "instruction"))]
+
+
 def test_parts_are_halved_as_the_plan_halves_items(spark):
     for n_pages, n in ((1, 1), (1, 101), (1, 777), (5, 230), (2, 90)):
         item = spark.createDataFrame([(0, "", list(range(1, n_pages + 1)), 0 if n_pages == 1 else None, n if n_pages == 1 else None)], "doc_id long, path string, pages array<int>, w0 int, w1 int")
