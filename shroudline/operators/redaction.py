@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, contains_sorted, covered_by, merged, rank
-from ..sources.corpus import page_text
+from ..sources.corpus import WORDS_TYPE, page_text
+from .covers import texts_under
 
 # A fill is dark if its first three components are under DARK; a thinner box hides no text; tolerance in points.
 DARK, MIN_HEIGHT, TOLERANCE = 0.5, 5.0, 1.0
@@ -204,6 +206,11 @@ def covered_texts(words: Column | str = "words") -> Column:
 
     many = bind(words, lambda ws: bind(edges(ws, "x0"), lambda x: bind(edges(ws, "y0"), lambda y: looked_up(x, y))))
     found = F.when(F.size("rects") <= FEW, bind(words, one_by_one)).otherwise(many)
+    return _readable(found)
+
+
+def _readable(found: Column) -> Column:
+    """The recovered texts in which there is more than punctuation."""
     return F.filter(found, lambda t: t["recovered_text"].rlike(r"[\p{L}\p{N}]"))
 
 
@@ -218,8 +225,22 @@ def seen_leaks(pages: DataFrame) -> DataFrame:
 
 
 def found_leaks(pages: DataFrame) -> DataFrame:
-    """Text under dark rectangles of pages with a column rects."""
-    return seen_leaks(pages.select("doc_id", "page", covered_texts().alias("seen")))
+    """Text under dark rectangles of pages with a column rects.
+
+    Pages with few rectangles are tested by Spark; those with more go to the tasks' Python in Arrow batches, as
+    Spark interprets a search for each rectangle (covered_texts), which takes many times as long.
+    """
+    few = F.size("rects") <= FEW
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            many = texts_under(f.column("words"), f.column("rects"), dark=DARK, min_height=MIN_HEIGHT, tolerance=TOLERANCE)
+            yield pa.RecordBatch.from_arrays([*(f.column(c) for c in ("doc_id", "page", "few")), many], ["doc_id", "page", "few", "many"])
+
+    kind = "array<struct<rect_id:bigint,recovered_text:string>>"
+    split = pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), F.when(few, covered_texts()).cast(kind).alias("few"), F.when(~few, F.col("words")).cast(WORDS_TYPE).alias("words"), F.when(~few, F.col("rects")).cast(RECTS).alias("rects"))
+    seen = split.mapInArrow(run, f"doc_id long, page int, few {kind}, many {kind}")
+    return seen_leaks(seen.select("doc_id", "page", F.coalesce("few", _readable(F.col("many"))).alias("seen")))
 
 
 def overlay_leaks(pages: DataFrame, rects: DataFrame) -> DataFrame:
