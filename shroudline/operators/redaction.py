@@ -76,26 +76,52 @@ def redacted_text(pages: DataFrame, findings: DataFrame, token: str = "█") ->
     return text_found(with_ranges(pages, findings), token)
 
 
-def _gone() -> Column:
+def _key(w: Column) -> Column:
+    """Place and text of a word, the place in tenths of a point, half to even; whole numbers, the usual case, are not rounded."""
+    tenths = lambda v: F.when(F.rint(v) == v, v * 10).otherwise(F.rint(F.bround(v, 1) * 10)).cast("long").cast("string")
+    at = lambda v: F.when(F.abs(v) < 1e15, tenths(v)).otherwise(F.bround(v, 1).cast("string"))
+    return F.concat_ws(" ", at(w["x0"]), at(w["y0"]), w["text"])
+
+
+def _gone(versions: DataFrame) -> Column:
     """The words of the row's column words that its column after lacks at their place, each as often as it is there.
 
-    Places and texts are keys; those of the later version are sorted once for the row and looked up.
+    Places and texts are keys, of which both versions are maps that Spark zips by hashes. Where a key is there twice,
+    the later version's are sorted once for the row and looked up.
     """
-    key = lambda w: F.concat_ws(" ", F.bround(w["x0"], 1).cast("string"), F.bround(w["y0"], 1).cast("string"), w["text"])
-    lost = bind(F.sort_array(F.transform("after", key)), lambda keys: F.filter("words", lambda w: ~contains_sorted(keys, key(w))))
-    return F.when(F.col("words") == F.col("after"), F.slice("words", 1, 0)).otherwise(lost)
+    later = F.array_distinct(F.transform("after", _key))
+
+    def zipped(mine: Column) -> Column:
+        left = F.map_zip_with(F.map_from_arrays(mine, F.col("words")), bind(later, lambda keys: F.map_from_arrays(keys, keys)), lambda k, w, there: F.when(there.isNull(), w))
+        return F.filter(F.map_values(left), lambda w: w.isNotNull())
 
+    def searched() -> Column:
+        keyed = F.transform("words", lambda w: F.struct(_key(w).alias("k"), w.alias("w")))
+        return bind(F.sort_array(later), lambda keys: F.transform(F.filter(keyed, lambda s: ~contains_sorted(keys, s["k"])), lambda s: s["w"]))
 
-def _versions(original: DataFrame, redacted: DataFrame, how: str) -> DataFrame:
-    """Pages with their later version in a column after; one join."""
-    return original.select("doc_id", "page", "words").join(redacted.select("doc_id", "page", F.col("words").alias("after")), ["doc_id", "page"], how)
+    lost = bind(F.transform("words", _key), lambda mine: F.when(F.size(F.array_distinct(mine)) == F.size(mine), zipped(mine)).otherwise(searched()))
+    # Words of one type are compared as they are, up to the first difference.
+    one_type = versions.schema["words"].dataType.simpleString() == versions.schema["after"].dataType.simpleString()
+    places = lambda c: F.col(c) if one_type else F.transform(c, lambda w: F.struct(w["text"], w["x0"], w["y0"]))
+    return F.when(places("words") == places("after"), F.slice("words", 1, 0)).otherwise(lost)
+
+
+def _versions(original: DataFrame, redacted: DataFrame, how: str, *fields: str) -> DataFrame:
+    """Pages with their later version in a column after; one join, of the fields that are asked for and those of a key."""
+    slim = F.transform("words", lambda w: F.struct(*[w[c].alias(c) for c in dict.fromkeys(["text", "x0", "y0", *fields])]))
+    key = F.transform("words", lambda w: F.struct(*[w[c].alias(c) for c in ("text", "x0", "y0")]))
+    return original.select("doc_id", "page", slim.alias("words")).join(redacted.select("doc_id", "page", key.alias("after")), ["doc_id", "page"], how)
+
+
+def removed_from(versions: DataFrame) -> DataFrame:
+    """removed_words of pages that have their later version in a column after, null where it is missing: nothing is joined or shuffled."""
+    rows = versions.select("doc_id", "page", F.inline_outer(F.when(F.col("after").isNull(), F.col("words")).otherwise(_gone(versions)))).where("idx IS NOT NULL")
+    return rows.select("doc_id", "page", "idx", "text", "x0", "y0", "x1", "y1")
 
 
 def removed_words(original: DataFrame, redacted: DataFrame) -> DataFrame:
     """Words of the original pages that the redacted ones lack at their place: (doc_id, page, idx, text, x0, y0, x1, y1). A page that is missing lacks all."""
-    both = _versions(original, redacted, "left").withColumn("after", F.coalesce("after", F.slice("words", 1, 0)))
-    rows = both.select("doc_id", "page", F.inline_outer(_gone())).where("idx IS NOT NULL")
-    return rows.select("doc_id", "page", "idx", "text", "x0", "y0", "x1", "y1")
+    return removed_from(_versions(original, redacted, "left", "idx", "x1", "y1"))
 
 
 def require_same_pages(original: DataFrame, redacted: DataFrame) -> None:
@@ -106,13 +132,18 @@ def require_same_pages(original: DataFrame, redacted: DataFrame) -> None:
         raise ValueError(f"page count differs in document {bad['doc_id']}: {bad['a']} and {bad['b']}")
 
 
+def diff_of(versions: DataFrame) -> DataFrame:
+    """page_diff of pages that have their later version in a column after: the difference is taken inside the row, nothing is joined or shuffled."""
+    removed = F.transform(_gone(versions), lambda w: w["text"])
+    return versions.select("doc_id", "page", page_text(F.col("words")).alias("before_text"), page_text(F.col("after")).alias("after_text"), removed.alias("removed"))
+
+
 def page_diff(original: DataFrame, redacted: DataFrame) -> DataFrame:
     """(doc_id, page, before_text, after_text, removed): pages with the words removed from them, in order; pages without any stay.
 
-    Both versions of a page are joined once; the difference of their words is taken inside the row.
+    Both versions of a page are joined once.
     """
-    removed = F.transform(_gone(), lambda w: w["text"])
-    return _versions(original, redacted, "inner").select("doc_id", "page", page_text(F.col("words")).alias("before_text"), page_text(F.col("after")).alias("after_text"), removed.alias("removed"))
+    return diff_of(_versions(original, redacted, "inner"))
 
 
 def diff_found(pages: DataFrame) -> DataFrame:

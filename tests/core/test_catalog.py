@@ -7,6 +7,8 @@ import pytest
 import __spark_entry__ as entry
 from shroudline import catalog
 
+from .test_operators import shuffled
+
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
@@ -38,6 +40,13 @@ def test_query(name, spark, sql):
     assert rows(ours) == rows(theirs)
 
 
+@pytest.mark.parametrize("name, times", [("diff_versions", 2)])
+def test_what_is_shuffled_is_bounded_by_the_table(spark, name, times):
+    """Disk: versions of a page are compared in its row, and calls get texts only. Dealing out the small table is counted."""
+    written = shuffled(spark, lambda: catalog.QUERIES[name](spark, DATA).write.format("noop").mode("overwrite").save())
+    assert written < times * os.path.getsize(f"{DATA}/documents.parquet")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

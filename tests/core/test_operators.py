@@ -567,6 +567,35 @@ def test_a_page_with_very_many_rectangles_is_quick(spark, pages_of):
     assert n > 9000 and time.monotonic() - began < 20
 
 
+def test_differences_go_by_places_in_tenths_whatever_these_are(spark):
+    """Against plain Python: ties, signs of zero, places that are no numbers, words that are there twice, versions in the row and in a table of their own."""
+    import decimal
+    import random
+
+    rng, tenth = random.Random(3), decimal.Decimal("0.1")
+    odd = [0.0, -0.0, 0.04, -0.04, 0.05, 0.15, 0.25, 0.35, -0.25, 0.1, 0.2, 40.0, 40.04, 39.96, 1e15, 1e15 + 0.5, 1e22, float("nan"), float("inf"), float("-inf"), None]
+    word = lambda i: {"idx": i, "text": rng.choice(["a", "a", "b", "1 a", None]), "block_id": 0, "x0": rng.choice(odd), "y0": rng.choice(odd[:4]), "x1": 1.0, "y1": 2.0}
+
+    def key(w):
+        at = lambda v: None if v is None else str(v) if v != v or v in (float("inf"), float("-inf")) else str(float(decimal.Decimal(repr(v)).quantize(tenth, decimal.ROUND_HALF_EVEN, decimal.Context(prec=60))) + 0.0)
+        return " ".join(x for x in (at(w["x0"]), at(w["y0"]), w["text"]) if x is not None)
+
+    rows = []
+    for d in range(60):
+        words = [word(i) for i in range(rng.choice([0, 1, 5, 30]))]
+        if d % 2:  # no key is there twice
+            words = list({key(w): w for w in words}.values())
+        after = None if d == 7 else words if d == 8 else [dict(w, x1=9.0) for w in words] if d == 9 else [dict(w, x0=rng.choice(odd) if rng.random() < 0.2 else w["x0"]) for w in words if rng.random() < 0.8]
+        rows.append((d, 1, words, after))
+    want = sorted((d, w["idx"]) for d, _, words, after in rows for w in words if key(w) not in set(map(key, after or [])))
+    both = spark.createDataFrame(rows, f"doc_id long, page int, words {corpus.WORDS_TYPE}, after {corpus.WORDS_TYPE}")
+    old, new = both.drop("after"), both.where("after IS NOT NULL").select("doc_id", "page", F.col("after").alias("words"))
+    for gone in (redaction.removed_from(both), redaction.removed_words(old, new)):
+        assert sorted((r["doc_id"], r["idx"]) for r in gone.collect()) == want and len(want) > 100
+    sizes = {(r["doc_id"], len(r["removed"])) for r in redaction.page_diff(old, new).collect()}
+    assert sizes == {(r["doc_id"], len(r["removed"])) for r in redaction.diff_of(both.where("after IS NOT NULL")).collect()} == {(d, sum(k == d for k, _ in want)) for d in range(60) if d != 7}
+
+
 def test_differences_count_repeated_words(spark, pages_of):
     """A word that is twice at its place is lost twice or not at all; a page that is missing is lost whole."""
     at = lambda t, x: {"idx": 0, "text": t, "block_id": 0, "x0": x, "y0": 0.0, "x1": x + 5, "y1": 9.0}
