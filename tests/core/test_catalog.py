@@ -43,7 +43,11 @@ def test_query(name, spark, sql):
 @pytest.mark.parametrize("name, times", [("diff_versions", 2), ("model_call_records", 5), ("diff_lines", 2), ("diff_removed_words", 2)])
 def test_what_is_shuffled_is_bounded_by_the_table(spark, name, times):
     """Disk: versions of a page are compared in its row, and calls get texts only. Dealing out the small table is counted."""
-    written = shuffled(spark, lambda: catalog.QUERIES[name](spark, DATA).write.format("noop").mode("overwrite").save())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # so small a table would be broadcast
+    try:
+        written = shuffled(spark, lambda: catalog.QUERIES[name](spark, DATA).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert written < times * os.path.getsize(f"{DATA}/documents.parquet")
 
 
